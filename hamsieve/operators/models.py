@@ -146,7 +146,7 @@ def fit_logistic(
     vector: str = "features",
     c: float = fixed.LR_C,
     max_iter: int = fixed.LR_MAX_ITER,
-    tol: float = 1e-8,
+    tol: float = 1e-6,
 ) -> tuple[LinearModel, LogisticRegressionModel]:
     """Balanced, L2-regularised logistic regression; the intercept is not penalised.
 
