@@ -9,7 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import (
+    CountVectorizer,
+    CountVectorizerModel,
+    ElementwiseProduct,
+    Normalizer,
+)
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,41 +85,48 @@ def fit_vocabulary(
 
 @dataclass(frozen=True)
 class TfidfModel:
-    """A fitted vocabulary (at most ``max_features`` terms) with its idf weights, by index."""
+    """A fitted vocabulary (at most ``max_features`` terms) with its idf weights, by term id."""
 
+    counter: CountVectorizerModel
     vocabulary: tuple[str, ...]
     idf: tuple[float, ...]
 
     @classmethod
     def fit(cls, df: DataFrame, term_col: str = "terms", **limits) -> "TfidfModel":
-        rows = (
-            fit_vocabulary(df, term_col, **limits)
-            .select("term", "total", "idf")
-            .collect()  # bounded by max_features
-        )
-        rows.sort(key=lambda r: (-r["total"], r["term"]))
-        return cls(tuple(r["term"] for r in rows), tuple(r["idf"] for r in rows))
+        rows = fit_vocabulary(df, term_col, **limits).select("term", "idf").collect()
+        return cls.of(df.sparkSession, [(r["term"], r["idf"]) for r in rows])  # max_features rows
+
+    @classmethod
+    def of(cls, spark: SparkSession, weights: list[tuple[str, float]]) -> "TfidfModel":
+        """From pairs of term and idf.
+
+        The counting model numbers the terms; fitting it on one row of all terms hands them over in
+        one piece, where ``from_vocabulary`` sends them to the JVM one at a time.
+        """
+        if not weights:
+            raise ValueError("empty vocabulary: no term passed the frequency limits")
+        idf = dict(weights)
+        one = spark.createDataFrame([(list(idf),)], "terms array<string>")
+        counter = CountVectorizer(
+            inputCol="terms", outputCol="_counts", vocabSize=len(idf), minDF=1.0
+        ).fit(one)
+        single = one.select(F.explode("terms").alias("term")).withColumn("terms", F.array("term"))
+        place = F.get(F.unwrap_udt("_counts")["indices"], F.lit(0))
+        numbered = counter.transform(single).select("term", place.alias("i")).collect()
+        terms_by_id = [r["term"] for r in sorted(numbered, key=lambda r: r["i"])]
+        return cls(counter, tuple(terms_by_id), tuple(idf[t] for t in terms_by_id))
 
     def table(self, spark: SparkSession) -> DataFrame:
         """``term_id, term, idf``."""
         rows = [(i, t, w) for i, (t, w) in enumerate(zip(self.vocabulary, self.idf))]
         return spark.createDataFrame(rows, "term_id int, term string, idf double")
 
-    @classmethod
-    def from_table(cls, df: DataFrame) -> "TfidfModel":
-        rows = sorted(df.select("term_id", "term", "idf").collect())
-        return cls(tuple(r["term"] for r in rows), tuple(r["idf"] for r in rows))
-
     def transform(self, df: DataFrame, term_col: str = "terms", out: str = "features") -> DataFrame:
         """Add a sparse vector of tf x idf with unit length. Narrow: no join, no shuffle.
 
         Unknown terms are ignored; a mail without known terms gets an empty vector.
         """
-        if not self.vocabulary:
-            raise ValueError("empty vocabulary: no term passed the frequency limits")
-        counts = CountVectorizerModel.from_vocabulary(
-            list(self.vocabulary), inputCol=term_col, outputCol="_counts"
-        )
+        counts = self.counter.copy().setInputCol(term_col).setOutputCol("_counts")
         weigh = ElementwiseProduct(
             scalingVec=Vectors.dense(self.idf), inputCol="_counts", outputCol="_weighted"
         )

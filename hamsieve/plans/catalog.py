@@ -574,7 +574,7 @@ def decide(spark: SparkSession, d: str) -> DataFrame:
 def lr_fit(spark: SparkSession, d: str) -> DataFrame:
     data = part(corpus(spark, d), "train")
     tfidf_model, train = vectors(data)
-    model, _ = L.fit_logistic(train)
+    model = L.fit_logistic(train, len(tfidf_model.vocabulary))
     names = tfidf_model.table(spark).select("term_id", "term")
     return model.table(spark).join(F.broadcast(names), "term_id", "left").select(
         F.coalesce("term", F.lit("(intercept)")).alias("term"), "weight"

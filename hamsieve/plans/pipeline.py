@@ -134,7 +134,7 @@ def fit_baselines(train: DataFrame, which: tuple[str, ...] = ("naive_bayes",), *
         if name == "naive_bayes":
             models[name] = fit_naive_bayes(data, len(tfidf.vocabulary))
         elif name == "logistic_regression":
-            models[name] = fit_logistic(data)[0]
+            models[name] = fit_logistic(data, len(tfidf.vocabulary))
         else:
             raise ValueError(f"unknown model {name!r}")
     return Baselines(tfidf, models)

@@ -16,17 +16,25 @@ from hamsieve.operators.models import LinearModel
 def save_models(
     spark: SparkSession, path: str, tfidf: TfidfModel, models: Mapping[str, LinearModel]
 ) -> None:
-    """The vectoriser and each model as parquet tables below ``path``; saved ones are replaced."""
-    tfidf.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/vectorizer")
+    """The vectoriser and each model as tables of terms below ``path``; saved ones are replaced."""
+    terms = tfidf.table(spark)
+    terms.coalesce(1).write.mode("overwrite").parquet(f"{path}/vectorizer")
     for name, model in models.items():
-        model.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+        named = model.table(spark).join(terms.select("term_id", "term"), "term_id", "left")
+        named.select("term", "weight").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_models(
     spark: SparkSession, path: str, *names: str
 ) -> tuple[TfidfModel, dict[str, LinearModel]]:
-    tfidf = TfidfModel.from_table(spark.read.parquet(f"{path}/vectorizer"))
-    return tfidf, {n: LinearModel.from_table(spark.read.parquet(f"{path}/{n}")) for n in names}
+    """Term ids are given anew on loading; weights follow their terms. The intercept has no term."""
+    rows = spark.read.parquet(f"{path}/vectorizer").select("term", "idf").collect()
+    tfidf = TfidfModel.of(spark, [(r["term"], r["idf"]) for r in rows])
+    models = {}
+    for name in names:
+        weights = {r["term"]: r["weight"] for r in spark.read.parquet(f"{path}/{name}").collect()}
+        models[name] = LinearModel(weights[None], tuple(weights[t] for t in tfidf.vocabulary))
+    return tfidf, models
 
 
 def save_ml(model: LogisticRegressionModel, path: str) -> None:
