@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from hamsieve.functions import fixed
 from hamsieve.functions.let import let
+from hamsieve.functions.rows import struct_rows, value_rows
 from hamsieve.functions.text import WORD, WS
 
 
@@ -55,7 +56,7 @@ def term_stats(df: DataFrame, term_col: str = "terms") -> DataFrame:
         lambda t: F.struct(t.alias("term"), one.alias("d"), zero.alias("c")),
     )
     return (
-        df.select(F.inline(F.concat(occurrence, presence)))
+        struct_rows(df, [], F.concat(occurrence, presence), "term")
         .groupBy("term")
         .agg(F.sum("d").alias("df"), F.sum("c").alias("total"))
     )
@@ -146,7 +147,7 @@ def long_form(
     df: DataFrame, model: TfidfModel, id_col: str = "id", vector: str = "features"
 ) -> DataFrame:
     """``id, term, weight``: one row per non-zero entry."""
-    entries = df.select(id_col, F.inline(sparse_entries(vector)))
+    entries = struct_rows(df, [id_col], sparse_entries(vector), "term_id")
     # max_features rows at most
     names = F.broadcast(model.table(df.sparkSession).select("term_id", "term"))
     return entries.join(names, "term_id").select(id_col, "term", "weight")
@@ -171,7 +172,7 @@ def fit_token_vocabulary(df: DataFrame, token_col: str, size: int = 30522) -> Da
     """
     reserved = list(fixed.RESERVED_TOKENS)
     counts = (
-        df.select(F.explode(token_col).alias("token"))
+        value_rows(df, [], F.col(token_col), "token")
         .where(~F.col("token").isin(reserved))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))

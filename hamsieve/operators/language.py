@@ -6,6 +6,7 @@ size is ``languages x profile_size`` whatever the corpus; that bound is what let
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hamsieve.functions import fixed
 from hamsieve.functions.let import let
+from hamsieve.functions.rows import value_rows
 
 PROFILE_SIZE = 1000
 MAX_LANGUAGES = 200
@@ -43,7 +45,7 @@ class LanguageProfile:
 def gram_counts(df: DataFrame, text: str, lang: str, profile_size: int) -> DataFrame:
     """``lang, gram, n``: the most frequent trigrams of each language; ties by gram."""
     counts = (
-        df.select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
+        value_rows(df, [F.col(lang).alias("lang")], trigrams(F.col(text)), "gram")
         .groupBy("lang", "gram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -75,8 +77,6 @@ def fit_language(
     for r in rows:
         total[r["lang"]] += r["n"]
         table.setdefault(r["gram"], {})[r["lang"]] = r["n"]
-    import math
-
     denominator = {k: math.log(total[k] + len(table)) for k in langs}
     grams = [
         (g, [math.log(seen.get(k, 0) + 1) - denominator[k] for k in langs])
@@ -100,7 +100,7 @@ def detect_language(
     """
     sums = [F.sum(F.get("lp", F.lit(k))).alias(f"s{k}") for k in range(len(profile.langs))]
     scored = (
-        df.select(id_col, F.explode(trigrams(F.col(text))).alias("gram"))
+        value_rows(df, [id_col], trigrams(F.col(text)), "gram")
         # languages x profile_size rows at most
         .join(F.broadcast(profile.grams), "gram")
         .groupBy(id_col)

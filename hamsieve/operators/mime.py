@@ -23,6 +23,7 @@ from hamsieve.functions.bytes import (
     quoted_printable_to_percent,
 )
 from hamsieve.functions.let import let
+from hamsieve.functions.rows import struct_rows
 from hamsieve.functions.text import WS_CHARS
 from hamsieve.operators.gates import is_valid
 
@@ -251,7 +252,7 @@ def parse_mails(df: DataFrame, raw: str = "message") -> DataFrame:
 
 def mail_parts(parsed: DataFrame, id_col: str = "mail_id") -> DataFrame:
     """One row per leaf part; containers are left out."""
-    return parsed.select(id_col, F.inline("parts")).where(
+    return struct_rows(parsed, [id_col], F.col("parts"), "part_no").where(
         ~F.startswith("content_type", F.lit("multipart/"))
     )
 

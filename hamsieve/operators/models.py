@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from hamsieve.functions import fixed
 from hamsieve.functions.let import let
+from hamsieve.functions.rows import struct_rows
 from hamsieve.operators.features import sparse_entries
 
 
@@ -41,7 +42,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 def class_term_sums(df: DataFrame, label: str = "label", vector: str = "features") -> DataFrame:
     """``label, term_id, total``: summed feature weight per class and term."""
     return (
-        df.select(label, F.inline(sparse_entries(vector)))
+        struct_rows(df, [label], sparse_entries(vector), "term_id")
         .groupBy(label, "term_id")
         .agg(F.sum("weight").alias("total"))
     )
@@ -102,7 +103,7 @@ class LinearModel:
         rows = [(i, t, w) for i, (t, w) in enumerate(zip(model.vocabulary, self.weights))]
         table = df.sparkSession.createDataFrame(rows, "term_id int, term string, w double")
         return (
-            df.select(id_col, F.inline(sparse_entries(vector)))
+            struct_rows(df, [id_col], sparse_entries(vector), "term_id")
             .join(F.broadcast(table), "term_id")  # one row per vocabulary term
             .select(id_col, "term", (F.col("weight") * F.col("w")).alias("contribution"))
         )
@@ -152,20 +153,15 @@ def _loss_and_gradient(
     def entry(place, value) -> Column:
         return F.struct(place.cast("int").alias("place"), value.alias("value"))
 
+    places = F.concat(
+        F.transform(
+            sparse_entries(vector), lambda e: entry(e["term_id"], e["weight"] * F.col("_r"))
+        ),
+        F.array(entry(F.lit(-1), F.col("_r")), entry(F.lit(-2), w * loss)),
+    )
+    scored = model.with_margin(train, vector, "_m").withColumn("_r", residual)
     sums = (
-        model.with_margin(train, vector, "_m")
-        .withColumn("_r", residual)
-        .select(
-            F.inline(
-                F.concat(
-                    F.transform(
-                        sparse_entries(vector),
-                        lambda e: entry(e["term_id"], e["weight"] * F.col("_r")),
-                    ),
-                    F.array(entry(F.lit(-1), F.col("_r")), entry(F.lit(-2), w * loss)),
-                )
-            )
-        )
+        struct_rows(scored, [], places, "place")
         .groupBy("place")
         .agg(F.sum("value").alias("value"))
         .collect()

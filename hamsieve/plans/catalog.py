@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hamsieve.functions.rows import value_rows
 from hamsieve.functions.text import (
     after_first_line,
     clean,
@@ -467,8 +468,7 @@ def vocab(spark: SparkSession, d: str) -> DataFrame:
 def tf(spark: SparkSession, d: str) -> DataFrame:
     """Raw counts per mail; the tokens of a mail meet in one task before they shuffle."""
     return (
-        with_terms(corpus(spark, d))
-        .select("id", F.explode("terms").alias("term"))
+        value_rows(with_terms(corpus(spark, d)), ["id"], F.col("terms"), "term")
         .groupBy("id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -510,7 +510,7 @@ def encode_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def no_stop(spark: SparkSession, d: str) -> DataFrame:
-    words = full_text(mails(spark, d)).select(F.explode(V.tokens(F.col("text"))).alias("word"))
+    words = value_rows(full_text(mails(spark, d)), [], V.tokens(F.col("text")), "word")
     return V.remove_stop_words(words, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
