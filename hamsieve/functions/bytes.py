@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hamsieve.functions.let import let
+
 _HIGH = "".join(chr(i) for i in range(0x80, 0x100))
 _UTF8_NAMES = ("utf-8", "utf8", "us-ascii", "ascii")
 # Declared name -> codec that says what bytes 0x80..0xFF mean. Others count as undeclared.
@@ -66,12 +68,18 @@ def decode_ignoring(content: Column) -> Column:
 
 def base64_bytes(text: Column) -> Column:
     """Lenient base64: foreign characters are ignored, missing padding is supplied."""
-    data = F.regexp_replace(text, F.lit("[^A-Za-z0-9+/]"), F.lit(""))
-    # A single left-over character carries no whole byte.
-    n = F.length(data) - F.when(F.length(data) % 4 == 1, 1).otherwise(0)
-    data = F.substring(data, F.lit(1), n)
-    pad = F.repeat(F.lit("="), (F.lit(4) - n % 4) % 4)
-    return F.unbase64(F.concat(data, pad))
+
+    def padded(data: Column) -> Column:
+        over = F.length(data) % 4
+        # A single left-over character carries no whole byte.
+        return (
+            F.when(over == 0, data)
+            .when(over == 1, F.substring(data, F.lit(1), F.length(data) - 1))
+            .otherwise(F.concat(data, F.repeat(F.lit("="), F.lit(4) - over)))
+        )
+
+    data = F.regexp_replace(text, F.lit("[^A-Za-z0-9+/]+"), F.lit(""))
+    return F.unbase64(let(data, padded))
 
 
 # --- percent form: text in which byte XX is written %XX and a literal % is %25 ------------------
