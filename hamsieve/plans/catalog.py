@@ -33,10 +33,13 @@ from hamsieve.operators.language import detect_language, fit_language
 from hamsieve.plans.pipeline import (
     Baselines,
     accepted,
+    accepted_english,
     build_corpus,
     fit_baselines,
+    judge_language,
     judge_mails,
     vectors,
+    with_full_text,
 )
 from hamsieve.sources import artifacts, corpus as S
 from hamsieve.sources.compose import compose_mails
@@ -74,18 +77,20 @@ def mails(spark: SparkSession, d: str) -> DataFrame:
     return as_mails(df.withColumnRenamed("doc_id", "id"))
 
 
-def labelled_mails(spark: SparkSession, d: str) -> DataFrame:
-    labels = table(spark, d, "labels", "doc_id", "toxic").select(
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labels", "doc_id", "toxic").select(
         F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label")
     )
+
+
+def labelled_mails(spark: SparkSession, d: str) -> DataFrame:
     docs = text_table(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
-    return as_mails(docs.join(labels, "id"))
+    return as_mails(docs.join(labels(spark, d), "id"))
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned, valid, labelled mails with their split, stored once."""
-    kept = accepted(judge_mails(labelled_mails(spark, d))).drop("full_text", "reason")
-    return C.exact_split(kept)
+    return C.exact_split(accepted(judge_mails(labelled_mails(spark, d))).drop("reason"))
 
 
 def part(df: DataFrame, split: str) -> DataFrame:
@@ -273,10 +278,7 @@ def mail_body_serve(spark: SparkSession, d: str) -> DataFrame:
 @query
 def corpus_from_raw(spark: SparkSession, d: str) -> DataFrame:
     """Raw mails through parsing, cleaning, gates and split."""
-    labels = table(spark, d, "labels", "doc_id", "toxic").select(
-        F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label")
-    )
-    raw = raw_mails(spark, d).withColumnRenamed("mail_id", "id").join(labels, "id")
+    raw = raw_mails(spark, d).withColumnRenamed("mail_id", "id").join(labels(spark, d), "id")
     return build_corpus(raw).select("id", "subject", "label", "split", F.md5("body").alias("digest"))
 
 
@@ -370,13 +372,9 @@ def valid_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    stored = materialize(G.with_clean_mail(mails(spark, d)), "cleaned")
-    profile = fit_language(stored)
-    detected = detect_language(stored, profile)
-    s, b, t = F.col("subject"), F.col("body"), F.col("full_text")
-    return stored.join(detected, "id", "left").withColumn(
-        "reason", G.reject_reason(s, b, t, F.col("detected"))
-    )
+    judged = judge_mails(mails(spark, d))
+    texts = with_full_text(judged)
+    return judge_language(judged, detect_language(texts, fit_language(texts)))
 
 
 @query
@@ -620,9 +618,8 @@ def softmax(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def log_loss(spark: SparkSession, d: str) -> DataFrame:
-    """Mean cross-entropy over mails, and over batches of 16 in id order."""
-    scored = scored_test(spark, d).withColumn("key", F.lpad(F.col("id").cast("string"), 20, "0"))
-    ranked = C.global_rank(scored, F.md5(F.col("id").cast("string")))
+    """Mean cross-entropy over mails, and over batches of 16 in shuffled order."""
+    ranked = C.global_rank(scored_test(spark, d), F.md5(F.col("id").cast("string")))
     plain = M.log_loss(ranked)
     batched = M.batched_log_loss(ranked, F.floor((F.col("position") - 1) / 16))
     return plain.select(F.lit("mails").alias("mean_over"), r6("log_loss").alias("log_loss")).unionByName(
@@ -808,11 +805,10 @@ def stream_scores(spark: SparkSession, d: str) -> DataFrame:
 @query
 def train_and_evaluate(spark: SparkSession, d: str) -> DataFrame:
     """Labelled mails cleaned, gated (language too), split; naive Bayes fitted; test metrics."""
-    everything = materialize(G.with_clean_mail(mails(spark, d)), "cleaned")
-    profile = fit_language(everything)
-    judged = judge_mails(labelled_mails(spark, d), profile)
-    kept = accepted(judged).select("id", "subject", "body", "label")
-    data = C.exact_split(materialize(kept, "corpus"))
+    judged = judge_mails(mails(spark, d))
+    profile = fit_language(with_full_text(judged))
+    kept = accepted_english(judged.join(labels(spark, d), "id"), profile)
+    data = C.exact_split(materialize(kept.select("id", "subject", "body", "label"), "corpus"))
     fitted = fit_baselines(part(data, "train"))
     scored = fitted.models["naive_bayes"].score(fitted.features(part(data, "test")))
     return _metrics6(M.binary_metrics(scored.withColumn("pred", L.predicted_class())))

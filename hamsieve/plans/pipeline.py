@@ -24,28 +24,38 @@ from hamsieve.operators.models import (
 from hamsieve.sources.scratch import materialize
 
 
-def judge_mails(
-    mails: DataFrame, profile: LanguageProfile | None = None, id_col: str = "id"
-) -> DataFrame:
-    """Clean ``subject, body`` and add ``full_text`` and ``reason``; stored.
+def with_full_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("full_text", plain_text(F.col("subject"), F.col("body")))
+
+
+def judge_mails(mails: DataFrame) -> DataFrame:
+    """Clean ``subject, body`` and add ``reason`` by the native gates; stored.
 
     Stored before anything filters on ``reason``: a filter is pushed below the projection it reads,
     and would carry a copy of the whole cleaning chain for each mention of a text. Afterwards
-    ``reason`` is a pushed-down predicate. With a language profile, language is looked up only for
-    the mails that pass the native gates.
+    ``reason`` is a pushed-down predicate. The joined text is cheap to rebuild and is not stored.
     """
-    cleaned = with_clean_mail(mails)
     s, b, t = F.col("subject"), F.col("body"), F.col("full_text")
-    stored = materialize(cleaned.withColumn("reason", reject_reason(s, b, t)), "judged")
-    if profile is None:
-        return stored
-    passed = stored.where(F.col("reason") == "accepted")
-    detected = detect_language(passed, profile, id_col)
+    judged = with_clean_mail(mails).withColumn("reason", reject_reason(s, b, t))
+    return materialize(judged.drop("full_text"), "judged")
+
+
+def judge_language(judged: DataFrame, detected: DataFrame, id_col: str = "id") -> DataFrame:
+    """Give the mails that passed the native gates ``language`` as reason unless found English."""
     english = F.col("detected").eqNullSafe(F.lit("en"))
     reason = F.when((F.col("reason") == "accepted") & ~english, "language").otherwise(
         F.col("reason")
     )
-    return stored.join(detected, id_col, "left").withColumn("reason", reason).drop("detected")
+    return judged.join(detected, id_col, "left").withColumn("reason", reason)
+
+
+def accepted_english(
+    judged: DataFrame, profile: LanguageProfile, id_col: str = "id"
+) -> DataFrame:
+    """Accepted mails in English. Language, the costly gate, sees only what passed the others."""
+    passed = accepted(judged)
+    detected = detect_language(with_full_text(passed), profile, id_col)
+    return accepted(judge_language(passed, detected, id_col)).drop("detected", "reason")
 
 
 def accepted(judged: DataFrame) -> DataFrame:
@@ -59,13 +69,15 @@ def build_corpus(
     profile: LanguageProfile | None = None,
 ) -> DataFrame:
     """Raw mails with ``id, label`` to cleaned, accepted and split ones: ``id, subject, body, label, split``."""
-    mails = corpus_mails(parse_mails(raw, message))
-    kept = accepted(judge_mails(mails, profile, id_col)).select(
-        id_col, "subject", "body", F.col("label").cast("int").alias("label")
+    judged = judge_mails(
+        corpus_mails(parse_mails(raw, message)).withColumn("label", F.col("label").cast("int"))
     )
-    if profile is not None:
-        kept = materialize(kept, "corpus")  # the language join is not repeated for the split
-    return exact_split(kept, id_col)
+    if profile is None:
+        kept = accepted(judged)
+    else:
+        # stored, so that the language join is not repeated for the split
+        kept = materialize(accepted_english(judged, profile, id_col), "corpus")
+    return exact_split(kept.select(id_col, "subject", "body", "label"), id_col)
 
 
 @dataclass(frozen=True)
