@@ -13,24 +13,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hamsieve.functions import fixed
-from hamsieve.functions.let import let
 from hamsieve.functions.rows import value_rows
 
 PROFILE_SIZE = 1000
 MAX_LANGUAGES = 200
 
 
-def trigrams(c: Column) -> Column:
-    """Character trigrams of the first 1000 characters; none for shorter text than three."""
+# A look-ahead matches at every character, so trigrams overlap; one pass over the text. The second
+# half of a surrogate pair is not the start of a character.
+_TRIGRAM = r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(...))"
 
-    def cut(s: Column) -> Column:
-        n = F.char_length(s) - 2
-        places = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(places, lambda i: F.substring(s, i, F.lit(3)))
 
-    return let(F.substring(c, 1, fixed.LANG_SAMPLE_CHARS), cut)
+def trigrams(c: Column) -> Column:
+    """Character trigrams of the first 1000 characters; none for shorter text than three."""
+    return F.regexp_extract_all(
+        F.substring(c, 1, fixed.LANG_SAMPLE_CHARS), F.lit(_TRIGRAM), F.lit(1)
+    )
 
 
 @dataclass(frozen=True)
