@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hamsieve.functions import fixed
 from hamsieve.functions.rows import value_rows
 from hamsieve.functions.text import (
     after_first_line,
@@ -30,7 +31,7 @@ from hamsieve.operators import metrics as M
 from hamsieve.operators import mime
 from hamsieve.operators import models as L
 from hamsieve.operators.language import detect_language, fit_language
-from hamsieve.plans.pipeline import (
+from hamsieve.plans.flows import (
     Baselines,
     accepted,
     accepted_english,
@@ -127,7 +128,7 @@ def scored_test(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def epoch_runs(spark: SparkSession, d: str) -> DataFrame:
+def epoch_runs(spark: SparkSession, d: str, *by: str) -> DataFrame:
     """Training history per run: users are runs, three days an epoch, values stand for scores.
 
     Events are aggregated before anything is ordered, so a user with a third of all events is a
@@ -140,15 +141,16 @@ def epoch_runs(spark: SparkSession, d: str) -> DataFrame:
         (F.lit(1.0) / (F.lit(1.0) + F.exp((F.lit(20.0) - F.col("value")) / 10.0))).alias("p"),
         (F.substring(F.md5(F.col("event_id").cast("string")), 1, 1) < "d").alias("in_train"),
     )
+    by = by or ("run_id", "epoch")
     loss = M.cross_entropy(F.col("label"), F.col("p"))
-    losses = ev.groupBy("run_id", "epoch").agg(
+    losses = ev.groupBy(*by).agg(
         F.coalesce(F.avg(F.when(F.col("in_train"), loss)), F.lit(0.0)).alias("train_loss"),
         F.coalesce(F.avg(F.when(~F.col("in_train"), loss)), F.lit(0.0)).alias("val_loss"),
     )
     metrics = M.binary_metrics(
-        ev.withColumn("pred", (F.col("p") >= 0.5).cast("int")), "run_id", "epoch"
+        ev.withColumn("pred", (F.col("p") >= 0.5).cast("int")), *by
     )
-    return losses.join(metrics, ["run_id", "epoch"])
+    return losses.join(metrics, list(by))
 
 
 # --- sources and sinks -------------------------------------------------------------------------
@@ -222,6 +224,36 @@ def prediction_history(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query
+def history_csv(spark: SparkSession, d: str) -> DataFrame:
+    """All events as one run of ten epochs, written as a history file and read back."""
+    path = scratch_path(spark, "history-csv")
+    artifacts.save_history(epoch_runs(spark, d, "epoch"), path)
+    back = spark.read.schema(artifacts.HISTORY_SCHEMA).csv(path, header=True)
+    return _metrics6(
+        back, "epoch", r6("train_loss").alias("train_loss"), r6("val_loss").alias("val_loss")
+    )
+
+
+@query
+def run_params(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of that run with its best epoch, written as JSON and read back."""
+    path = scratch_path(spark, "params")
+    run = epoch_runs(spark, d, "epoch").withColumn("run_id", F.lit("events"))
+    best = M.best_epoch(run).first()
+    params = {
+        "max_length": fixed.MAX_LENGTH,
+        "patience": fixed.PATIENCE,
+        "best_f1": best["f1"] if best else 0.0,
+        "best_epoch": best["epoch"] if best else 0,
+    }
+    artifacts.save_params(spark, path, "events", params)
+    back = spark.read.schema(
+        "run_id string, max_length int, patience int, best_f1 double, best_epoch int"
+    ).json(path)
+    return back.withColumn("best_f1", r6("best_f1"))
+
+
 @query
 def resolve_model(spark: SparkSession, d: str) -> DataFrame:
     """Per user: the best epoch if any run has one, else the latest."""

@@ -13,6 +13,9 @@ from hamsieve.operators.metrics import HISTORY_COLUMNS
 from hamsieve.operators.models import LinearModel
 
 
+HISTORY_SCHEMA = ", ".join(f"{c} {'int' if c == 'epoch' else 'double'}" for c in HISTORY_COLUMNS)
+
+
 def save_models(
     spark: SparkSession, path: str, tfidf: TfidfModel, models: Mapping[str, LinearModel]
 ) -> None:

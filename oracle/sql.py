@@ -222,6 +222,16 @@ RUNS = (
     coalesce(avg(loss) FILTER (NOT in_train), 0) AS val_loss FROM ev2 GROUP BY ALL),
 runs AS (SELECT * FROM losses JOIN run_metrics USING (run_id, epoch))""",
 )
+EPOCHS = (
+    EVENTS,
+    "run_metrics AS ("
+    + METRICS.format(by="epoch,", source="ev2", group="GROUP BY epoch")
+    + ")",
+    """losses AS (
+  SELECT epoch, coalesce(avg(loss) FILTER (in_train), 0) AS train_loss,
+    coalesce(avg(loss) FILTER (NOT in_train), 0) AS val_loss FROM ev2 GROUP BY epoch),
+epochs AS (SELECT * FROM losses JOIN run_metrics USING (epoch))""",
+)
 BEST = """best AS (
   SELECT run_id, epoch, f1 FROM (
     SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY f1 DESC, epoch) AS r FROM runs WHERE f1 > 0)
@@ -365,6 +375,11 @@ ORACLES: dict[str, str] = {
     + "SELECT id, subject, body, label FROM corpus WHERE split = 'validate'",
     "model_round_trip": with_(*TEST) + "SELECT id, spam_prob FROM scored",
     "prediction_history": with_(*MODEL, scored("split IN ('validate', 'test')")) + decided("scored"),
+    "history_csv": with_(*EPOCHS)
+    + f"SELECT epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss, {ROUNDED} FROM epochs",
+    "run_params": with_(*EPOCHS)
+    + """SELECT 'events' AS run_id, 512 AS max_length, 3 AS patience, round(f1, 6) AS best_f1, epoch AS best_epoch
+FROM epochs WHERE f1 > 0 ORDER BY f1 DESC, epoch LIMIT 1""",
     "resolve_model": with_(*RUNS, BEST)
     + """SELECT l.run_id AS user_id, coalesce(b.epoch, l.epoch) AS epoch,
   CASE WHEN b.epoch IS NULL THEN 'latest' ELSE 'best' END AS alias, round(coalesce(b.f1, l.f1), 6) AS f1

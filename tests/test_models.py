@@ -9,7 +9,7 @@ from hamsieve.operators import explain as X
 from hamsieve.operators import features as V
 from hamsieve.operators import metrics as M
 from hamsieve.operators import models as L
-from hamsieve.plans.pipeline import Baselines, fit_baselines
+from hamsieve.plans.flows import Baselines, fit_baselines
 from hamsieve.sources import artifacts
 from hamsieve.sources.scratch import scratch_path
 from hamsieve.streaming.scoring import mail_stream, score_stream
