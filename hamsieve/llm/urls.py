@@ -11,9 +11,9 @@ an executor share the pages, and none loads the list.
 
 from __future__ import annotations
 
-import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -56,8 +56,8 @@ def write_digests(rules: Iterable[tuple[str, str]], folder: str) -> str:
         records[i] = (digest, at, len(text), block)
         at += len(text)
     body = np.array([len(entries), at], "<u8").tobytes() + records.tobytes() + b"".join(e[1] for e in entries)
-    # Named by content: the same rules are the same file for Spark.
-    path = os.path.join(folder, f"rules-{hashlib.sha256(body).hexdigest()[:24]}.bin")
+    # A name of its own for each call: Spark refuses one file name from two folders.
+    path = os.path.join(folder, f"rules-{uuid.uuid4().hex}.bin")
     with open(path, "wb") as f:
         f.write(body)
     return path
