@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hamsieve.llm.joins import join_groups
 from hamsieve.sources.scratch import materialize
 
 #: Rows that a bucket holds before it splits, and address bits at most (2^14 directory rows, broadcast).
 #: Beyond that depth a bucket keeps what it has: longer chains, same results.
 CAPACITY = 4096
 MAX_DEPTH = 14
-#: A group with more than this share of all rows is joined by broadcast: there are at most 1,000 such.
-HOT_SHARE = 0.001
+
 
 
 def _whole(value: int) -> Column:
@@ -95,18 +95,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     index = materialize(index, "exact-index").drop("bucket")
 
     rows = norm.select(id_col, F.xxhash64("_norm").alias("hash"), F.sha2(F.col("_norm"), 256).alias("text_sha256"))
-    total = index.agg(F.sum("group_size").alias("n")).collect()[0]["n"] or 0
-    limit = int(total * HOT_SHARE)
-    hot = index.where(F.col("group_size") > limit)
-    cold = index.where(F.col("group_size") <= limit)
-    keys = ["hash", "text_sha256"]
-    # Rows of a hot group meet it in the scan; none of them is shuffled by its key.
-    near = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    done = near.where("_hot").drop("_hot")
-    rest = near.where("_hot IS NULL").select(id_col, *keys).join(cold, keys)
+    joined = join_groups(rows, index, ["hash", "text_sha256"], "group_size")
     return (
-        done.select(id_col, "keep_id", "group_size", "text_sha256")
-        .unionByName(rest.select(id_col, "keep_id", "group_size", "text_sha256"))
+        joined
         .select(
             id_col,
             "keep_id",
