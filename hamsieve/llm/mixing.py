@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hamsieve.sources.scratch import materialize
+
 #: Raking stops at this relative distance from every target, or after so many sweeps.
 TOLERANCE = 1e-6
 SWEEPS = 40
@@ -112,9 +114,10 @@ def mix(
     if "topic" in targets:
         named["topic"] = topic if topic is not None else topic_of(text)
     docs = df.select(F.col(id_col).cast("long").alias(id_col), *(c.alias(m) for m, c in named.items()), token_count(text).alias("tokens"))
+    # One pass over the texts; what is left of a document is narrow.
+    docs = materialize(docs, "mixing-documents")
 
     cells = docs.groupBy(*targets).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    # One pass over the texts: cells are read again many times.
     cells = cells.checkpoint()
     raked = rake(cells, targets)
     everywhere = Window.partitionBy(F.lit(1))
