@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hamsieve.llm.exact import exact_groups
 from hamsieve.llm.jaccard import near_groups
+from hamsieve.llm.lm import score_texts
 from hamsieve.llm.mixing import mix
 from hamsieve.llm.sharding import shard_rows
 from hamsieve.llm.urls import judge_urls
@@ -26,6 +28,17 @@ URL_RULES = (
 SHARDS = 24
 
 
+def _remainder(modulus: int) -> Column:
+    """crc32 of the id as text, modulo; a null id has remainder 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % modulus
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = score_texts(docs, train=_remainder(10) != 0)
+    return scores.withColumn("held_out", _remainder(10) == 0)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -47,6 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
     "op5_url_filters": op5_url_filters,
     "op8_jaccard_join": op8_jaccard_join,
