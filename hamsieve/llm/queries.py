@@ -12,6 +12,7 @@ from hamsieve.llm.jaccard import near_groups
 from hamsieve.llm.lm import score_texts
 from hamsieve.llm.mixing import mix
 from hamsieve.llm.sharding import shard_rows
+from hamsieve.llm.suffixes import remove_repeats
 from hamsieve.llm.urls import judge_urls
 from hamsieve.sources.tables import table
 
@@ -43,6 +44,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -62,6 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
+    "op3_repeats": op3_repeats,
     "op5_url_filters": op5_url_filters,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
