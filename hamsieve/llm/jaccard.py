@@ -37,6 +37,9 @@ FREQUENT = 32
 #: Sets near this size do both, so that no link crosses the border unseen.
 PAIRED_SIZE = 512
 
+#: Ids up to this number (8 bytes each) are broadcast to find their texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
 _SEEDS = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
 
 
@@ -57,8 +60,11 @@ def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _index(s: np.ndarray, sketch: np.ndarray, limit: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys, positions of their first token, and the number of rare tokens, for one set."""
+def _index(s: np.ndarray, sketch: np.ndarray, limit: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Keys, positions of their first token, the prefix in order, and the number of rare tokens, for one set.
+
+    The prefix holds order values: class in the leading six bits, then the token's leading bits.
+    """
     n = len(s)
     least = least_overlap(n, percent)
     plain, extended = n - least + 1, min(n, n - least + 2)
@@ -66,10 +72,13 @@ def _index(s: np.ndarray, sketch: np.ndarray, limit: float, percent: int) -> tup
     common = counts > limit
     rare = s[~common]
     keys, at = [mix(rare[:plain])], [np.arange(min(plain, len(rare)))]
+    prefix = [rare[:extended] >> np.uint64(6)]
     left = extended - len(rare)
     if left > 0:
-        often, level = s[common], np.log2(counts[common] / limit).astype(np.int64)
-        often = often[np.lexsort((often, level))][:left]
+        often, level = s[common], np.minimum(np.log2(counts[common] / limit), 30).astype(np.int64)
+        order = np.lexsort((often, level))[:left]
+        often = often[order]
+        prefix.append((np.minimum(level[order] + 1, 31).astype(np.uint64) << np.uint64(58)) | (often >> np.uint64(6)))
         first = plain - len(rare)
         if n <= PAIRED_SIZE:
             i, j = np.triu_indices(len(often), 1)
@@ -80,7 +89,7 @@ def _index(s: np.ndarray, sketch: np.ndarray, limit: float, percent: int) -> tup
             single = often[: max(first, 0)]
             keys.append(mix(single ^ _SEEDS[0]))
             at.append(np.arange(len(single)) + len(rare))
-    return np.concatenate(keys), np.concatenate(at), len(rare)
+    return np.concatenate(keys), np.concatenate(at), np.concatenate(prefix), len(rare)
 
 
 def _classes_and_sketch(docs: DataFrame, id_col: str, k: int) -> tuple[DataFrame, np.ndarray]:
@@ -148,46 +157,39 @@ def _classes_and_sketch(docs: DataFrame, id_col: str, k: int) -> tuple[DataFrame
 
 
 def _entries(docs: DataFrame, id_col: str, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """Index rows: ``key``, signature, ``n``, ``at`` (position) and ``rare``; a set once per task."""
+    """Per row with two shingles or more: ``id``, ``n``, ``rare``, ``prefix``, ``keys``, ``at`` (their positions)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     limit = FREQUENT + 2.0 * float(sketch.mean())
 
+    def lists(parts: list[np.ndarray], kind: np.dtype) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(kind, copy=False)))
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        seen: set[tuple[int, int]] = set()
-        names = ["key", "s1", "s2", "n", "at", "rare"]
 
         def pack(rows: list) -> pa.RecordBatch:
-            size = [len(r[0]) for r in rows]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)),
-                    *(pa.array(np.repeat(np.array([r[c] for r in rows], t), size)) for c, t in ((2, np.int64), (3, np.int64), (4, np.int32))),
-                    pa.array(np.concatenate([r[1] for r in rows]).astype(np.int32)),
-                    pa.array(np.repeat(np.array([r[5] for r in rows], np.int32), size)),
-                ],
-                names=names,
-            )
+            ids, n, rare, prefix, keys, at = zip(*rows, strict=True)
+            columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(rare, pa.int32())]
+            columns += [lists([p.view(np.int64) for p in prefix], np.int64), lists([x.view(np.int64) for x in keys], np.int64), lists(list(at), np.int32)]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "n", "rare", "prefix", "keys", "at"])
 
         for batch in batches:
+            ids = batch.column(0)
             rows, held = [], 0
-            for _, s in _sets(batch.column(1), k):
+            for row, s in _sets(batch.column(1), k):
                 if len(s) < 2:
                     continue
-                sign = _signature(s)
-                if sign in seen:
-                    continue
-                seen.add(sign)
-                keys, at, rare = _index(s, table, limit, percent)
-                rows.append((keys, at, *sign, len(s), rare))
+                keys, at, prefix, rare = _index(s, table, limit, percent)
+                rows.append((ids[row].as_py(), len(s), rare, prefix, keys, at))
                 held += len(keys)
                 if held > 200_000:
                     yield pack(rows)
                     rows, held = [], 0
-            if held:
+            if rows:
                 yield pack(rows)
 
-    return docs.mapInArrow(emit, "key long, s1 long, s2 long, n int, at int, rare int")
+    return docs.mapInArrow(emit, "id long, n int, rare int, prefix array<long>, keys array<long>, at array<int>")
 
 
 def _possible(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int) -> Column:
@@ -196,17 +198,49 @@ def _possible(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int
     return (100 + percent) * most >= percent * (n_a + n_b)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, id_col: str, k: int, percent: int) -> DataFrame:
+    """The pairs that link.
+
+    First by prefixes alone: up to where the shorter one ends both are known whole, and what differs
+    there must not exceed what may differ in all. The rest is decided on whole sets, which are worked
+    out for the ids that are left.
+    """
+    part = {c: entries.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}")) for c in "ab"}
+    end = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
+    upto = pairs.join(part["a"], "a").join(part["b"], "b").withColumn("end", end)
+    upto = upto.withColumn("pa", F.filter("pa", lambda v: v <= F.col("end"))).withColumn("pb", F.filter("pb", lambda v: v <= F.col("end")))
+    apart = F.size("pa") + F.size("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
+    near = materialize(
+        upto.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "jaccard-near"
+    )
+    ids = near.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            for row, s in _sets(batch.column(1), k):
+                if found[row] not in seen and len(s):
+                    seen.add(found[row])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([found[row]], pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["id", "tokens"]
+                    )
+
+    sets = docs.join(ids, id_col, "left_semi").mapInArrow(whole, "id long, tokens array<long>")
+    sets = materialize(sets, "jaccard-tokens")
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return (
-        pairs.join(left, "a")
+    links = (
+        near.join(left, "a")
         .join(right, "b")
         .select("a", "b", both.alias("both"), (F.size("ta") + F.size("tb")).alias("all"))
         .where((100 + percent) * F.col("both") >= percent * F.col("all"))
         .select("a", "b")
     )
+    return materialize(links, "jaccard-links")
 
 
 def near_groups(
@@ -230,34 +264,21 @@ def near_groups(
         "jaccard-sets",
     )
 
+    # One entry per distinct set, that of the class's smallest id.
+    entries = _entries(docs, id_col, k, percent, sketch).join(classes.select("id"), "id", "left_semi")
+    entries = materialize(entries, "jaccard-entries")
+
     key = Window.partitionBy("key")
-    one = F.struct("s1", "s2")
-    smallest = F.greatest(F.col("_least"), ((percent * F.col("n") + 99) / 100).cast("int"))
+    smallest = F.greatest(F.col("_least"), F.floor((percent * F.col("n") + 99) / 100))
     met = (
-        _entries(docs, id_col, k, percent, sketch)
-        .select("*", F.min(one).over(key).alias("_lo"), F.max(one).over(key).alias("_hi"), F.min("n").over(key).alias("_least"))
+        entries.select("id", "n", "rare", F.explode(F.arrays_zip("keys", "at")).alias("e"))
+        .select(F.col("e.keys").alias("key"), "id", "n", F.col("e.at").alias("at"), "rare")
+        .select("*", F.min("id").over(key).alias("_lo"), F.max("id").over(key).alias("_hi"), F.min("n").over(key).alias("_least"))
         .where("_lo <> _hi")
         .where((100 + percent) * (F.col("n") - F.col("at")) >= percent * (F.col("n") + smallest))
-        .select("key", "s1", "s2", "n", "at", "rare")
+        .select("key", "id", "n", "at", "rare")
     )
-    met = materialize(met.join(classes.drop("rows"), ["s1", "s2"]).select("key", "id", "n", "at", "rare"), "jaccard-met")
-
-    # Whole sets of those that met any other, for verifying; 64-bit token hashes.
-    ids = met.select("id").distinct()
-    schema = "id long, tokens array<long>"
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            found = batch.column(0).to_pylist()
-            for row, s in _sets(batch.column(1), k):
-                if found[row] not in seen and len(s):
-                    seen.add(found[row])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([found[row]], pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["id", "tokens"]
-                    )
-
-    sets = materialize(docs.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi").mapInArrow(whole, schema), "jaccard-tokens")
+    met = materialize(met, "jaccard-met")
 
     order = Window.partitionBy("key").orderBy("rare", "id")
     centre, before = F.first(F.struct("id", "n", "at")).over(order), F.lag(F.struct("id", "n", "at")).over(order)
@@ -268,7 +289,7 @@ def near_groups(
         ).select(F.col("id").alias("x"), F.col("o.id").alias("y"))
     )
     pairs = materialize(pairs, "jaccard-pairs")
-    links = materialize(_verified(pairs, sets, percent), "jaccard-links")
+    links = _verified(pairs, entries, docs, id_col, k, percent)
     joined = connected_components(links)
 
     # What is left: members of one bucket that are still apart.
@@ -289,7 +310,7 @@ def near_groups(
         & (F.col("l.id") < F.col("r.id"))
         & _possible(F.col("l.n"), F.col("l.at"), F.col("r.n"), F.col("r.at"), percent),
     ).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
-    more = materialize(_verified(_pairs(crossing).join(pairs, ["a", "b"], "left_anti"), sets, percent), "jaccard-more")
+    more = _verified(_pairs(crossing).join(pairs, ["a", "b"], "left_anti"), entries, docs, id_col, k, percent)
     final = connected_components(links.unionByName(more))
 
     groups = materialize(
