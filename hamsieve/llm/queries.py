@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hamsieve.llm.decontam import contaminated
 from hamsieve.llm.exact import exact_groups
+from hamsieve.llm.html import extract_pages
 from hamsieve.llm.jaccard import near_groups
 from hamsieve.llm.lm import score_texts
 from hamsieve.llm.mixing import mix
+from hamsieve.llm.quality import fit_neighbours, score_quality
 from hamsieve.llm.sharding import shard_rows
 from hamsieve.llm.suffixes import remove_repeats
 from hamsieve.llm.urls import judge_urls
@@ -48,10 +51,24 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=50)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_neighbours(docs, table(spark, sf_dir, "labels").where(_remainder(4) != 2))
+    return score_quality(docs, model).withColumn("held_out", _remainder(4) == 2)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -68,7 +85,10 @@ QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
     "op3_repeats": op3_repeats,
+    "op4_html_extraction": op4_html_extraction,
     "op5_url_filters": op5_url_filters,
+    "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
