@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hamsieve.llm.kernels import mix
+from hamsieve.llm.kernels import CHUNK, mix, span_hashes, text_bytes, word_spans
 
 #: Template words in a window; items with fewer are one window of their own length.
 WINDOW = 5
@@ -120,10 +120,38 @@ def _windows(ids: np.ndarray, size: int) -> np.ndarray:
     return mix(h)
 
 
+#: Stands for a word that may be a slot.
+_HIDDEN = np.uint64(0xA0761D6478BD642F)
+_BYTES = np.arange(256)
+_DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
+_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+_LETTER = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
+_CORE = _DIGIT | _LETTER
+#: Lead bytes of signs and quotes beyond ASCII, and of letters whose case is not that of Latin-1.
+_ODD = (_BYTES == 0xC2) | (_BYTES >= 0xC4)
+
+
+def _span(word: bytes) -> int:
+    """Hash of a literal word as the glance sees it: its letters and figures from first to last."""
+    data = np.frombuffer(word, np.uint8)
+    core = np.flatnonzero(_CORE[data])
+    if not len(core):
+        return 0
+    return int(span_hashes(data, core[:1], core[-1:] + 1)[0])
+
+
+def _glance(rows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(rows), np.uint64)
+    for j in range(rows.shape[1]):
+        h = h * _BASE + mix(rows[:, j])
+    return h
+
+
 class WindowTable:
     """The windows of a block of items: sorted hashes, with item and place of each."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], coverage: float = COVERAGE):
+        self.coverage = coverage
         words = sorted({w.strip(_EDGE).lower() for _, text in items for w in _GLUED.sub(r"\1 \2", text).split()})
         self.vocabulary = {w: i for i, w in enumerate(words, _FIRST_WORD)}
         codes = _Codes(self.vocabulary)
@@ -139,6 +167,100 @@ class WindowTable:
         self.place = (np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64))[order]
         self.lengths = sorted({s for s in self.sizes if s})
 
+        # What a glance at raw words needs: the windows with any of their words hidden, by their hashes.
+        self.glances: dict[int, np.ndarray] = {}
+        literals: set[int] = set()
+        for size in self.lengths:
+            seen: set[int] = set()
+            for t, own in zip(self.templates, self.sizes, strict=True):
+                if own != size:
+                    continue
+                h = np.array([_span(t.value(i).encode()) if t.ids[i] >= _FIRST_WORD else _HIDDEN for i in range(len(t.ids))], np.uint64)
+                literals.update(h.tolist())
+                for hide in range(1 << size):
+                    hidden = np.array([bool(hide >> j & 1) for j in range(size)])
+                    rows = np.lib.stride_tricks.sliding_window_view(h, size)
+                    seen.update(_glance(np.where(hidden, _HIDDEN, rows)).tolist())
+            self.glances[size] = np.array(sorted(seen), np.uint64)
+        self.literals = np.array(sorted(literals), np.uint64)
+        self.needs = {n: min(self.least(t) for t, s in zip(self.totals, self.sizes, strict=True) if s == n) for n in self.lengths}
+        self.reach = max((_reach(t) for t in self.templates), default=0)
+
+    def least(self, total: int) -> int:
+        """Windows of an item with ``total`` that a document must hold."""
+        return max(1, math.ceil(self.coverage * total))
+
+    def suspects(self, column: pa.Array) -> np.ndarray:
+        """Texts that may hold a window: words in a row that are one's words but for what may be a slot.
+
+        Worked out on bytes for many texts at once; it only ever errs on the side of looking closer.
+        """
+        out = np.zeros(len(column), bool)
+        data, offsets = text_bytes(column)
+        i, n = 0, len(column)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+            if offsets[j] - offsets[i] > CHUNK:
+                out[i] = True
+            else:
+                part = data[offsets[i] : offsets[j]]
+                bounds = offsets[i : j + 1] - offsets[i]
+                at = self._promising(part, bounds)
+                out[i + np.unique(np.searchsorted(bounds, at, "right") - 1)] = True
+            i = j
+        return out
+
+    def _promising(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        starts, ends = word_spans(data, bounds)
+        core = np.flatnonzero(_CORE[data])
+        if not len(starts) or not len(core):
+            return core[:0]
+        lo, hi = np.searchsorted(core, starts), np.searchsorted(core, ends)
+        some = hi > lo
+        s = np.where(some, core[np.minimum(lo, len(core) - 1)], starts)
+        e = np.where(some, core[np.maximum(hi - 1, 0)] + 1, starts)
+        # Latin-1 capitals are lower-cased as A-Z are.
+        accent = np.concatenate([[False], data[:-1] == 0xC3])
+        capital = accent & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+        h = span_hashes(np.where(capital, data + 32, data).astype(np.uint8), s, e)
+        # Figures, capitals, and what case or quotes beyond ASCII could hide.
+        hides = np.concatenate([[0], np.cumsum(_DIGIT[data] | _ODD[data] | capital)])
+        slot = ~some | (hides[e] > hides[s]) | _UPPER[data[s]]
+        # A figure glued to letters is two words of the template; slots in a row may be one.
+        glue = np.concatenate([[0], np.cumsum(_DIGIT[data[:-1]] & _LETTER[data[1:]]), [0]])
+        glued = slot & (glue[np.maximum(e - 1, s)] > glue[s])
+        loose = np.concatenate([[False], slot[1:] & slot[:-1]])
+        known = self.literals[np.minimum(np.searchsorted(self.literals, h), len(self.literals) - 1)] == h if len(self.literals) else np.zeros(len(h), bool)
+        fine = slot | known
+        h = np.where(slot, _HIDDEN, h)
+        text = np.searchsorted(bounds, starts, "right")
+        found = [core[:0]]
+        for size, glances in self.glances.items():
+            if len(h) < size:
+                # Merged or glued slots can make fewer raw words than the window has.
+                found.append(starts[loose | glued])
+                continue
+            n = len(h) - size + 1
+            sums = np.concatenate([[0], np.cumsum(~fine)])
+            at = np.flatnonzero((sums[size:] == sums[:-size]) & (text[size - 1 :] == text[:n]))
+            rows = np.lib.stride_tricks.sliding_window_view(h, size)[at]
+            g = _glance(rows)
+            exact = glances[np.minimum(np.searchsorted(glances, g), len(glances) - 1)] == g
+            free = np.lib.stride_tricks.sliding_window_view(loose, size)[at].any(1)
+            # Around a glued figure the words of a window are not counted.
+            near = np.flatnonzero(np.convolve(glued, np.ones(size, bool))[size - 1 :][:n])
+            begins = np.union1d(at[exact | free], near)
+            # So many windows of the item with the fewest must stand within the reach of the longest.
+            need = self.needs[size] - 1
+            if len(begins) <= need:
+                continue
+            if need:
+                close = np.flatnonzero(begins[need:] - begins[: len(begins) - need] <= self.reach)
+                close = close[text[begins[close]] == text[begins[close + need]]]
+                begins = begins[close]
+            found.append(starts[begins])
+        return np.concatenate(found)
+
     def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Item, its place and the document's place of each pair of equal windows."""
         for size in self.lengths:
@@ -192,7 +314,12 @@ def _consistent(item: _Template, doc: _Template, size: int, pairs: list[tuple[in
     return _Match(len(good), len(slots), sum(slots.values()))
 
 
-def find_leaks(text: str, table: WindowTable, codes: _Codes, coverage: float = COVERAGE) -> list[tuple[int, int, _Match]]:
+def _reach(item: _Template) -> int:
+    """Raw words within which the windows of a copy of ``item`` must begin."""
+    return 2 * len(item.raw) + 2 * WINDOW
+
+
+def find_leaks(text: str, table: WindowTable, codes: _Codes) -> list[tuple[int, int, _Match]]:
     """Index, number of windows and match of every item of ``table`` that ``text`` holds."""
     doc = _template(text, codes)
     found: dict[int, list[tuple[int, int]]] = {}
@@ -201,18 +328,20 @@ def find_leaks(text: str, table: WindowTable, codes: _Codes, coverage: float = C
     out = []
     for item, pairs in sorted(found.items()):
         total, size = table.totals[item], table.sizes[item]
-        if len({p for p, _ in pairs}) < coverage * total:
+        if len({p for p, _ in pairs}) < table.least(total):
             continue
-        # One copy of the item is a run of like distances between the two places.
+        # One copy of the item is a run of like distances between the two places, within its reach.
         pairs.sort(key=lambda p: (p[1] - p[0], p[1]))
+        reach = _reach(table.templates[item])
         runs: list[list[tuple[int, int]]] = []
         for p in pairs:
-            if runs and (p[1] - p[0]) - (runs[-1][-1][1] - runs[-1][-1][0]) <= WINDOW:
+            last = runs[-1][-1] if runs else None
+            if last and (p[1] - p[0]) - (last[1] - last[0]) <= WINDOW and abs(int(doc.first[p[1]] - doc.first[runs[-1][0][1]])) <= reach // 2:
                 runs[-1].append(p)
             else:
                 runs.append([p])
         best = max((_consistent(table.templates[item], doc, size, sorted(r, key=lambda p: p[1])) for r in runs), key=lambda m: m.windows)
-        if best.windows >= coverage * total:
+        if best.windows >= table.least(total):
             out.append((item, total, best))
     return out
 
@@ -237,16 +366,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for k in range(passes):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).orderBy("item", "text").collect()
-        table = docs.sparkSession.sparkContext.broadcast(WindowTable([(r["item"], r["text"]) for r in block]))
+        table = docs.sparkSession.sparkContext.broadcast(WindowTable([(r["item"], r["text"]) for r in block], coverage))
 
         def scan(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             held = table.value
             codes = _Codes(held.vocabulary)
             for batch in batches:
                 rows = []
-                for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                    for item, total, m in find_leaks(text.as_py(), held, codes, coverage):
-                        rows.append((doc.as_py(), held.ids[item], total, m.windows, m.windows / total, m.slots, m.changed, m.changed > 0))
+                for at in np.flatnonzero(held.suspects(batch.column(1))):
+                    doc, text = batch.column(0)[int(at)].as_py(), batch.column(1)[int(at)].as_py()
+                    for item, total, m in find_leaks(text, held, codes):
+                        rows.append((doc, held.ids[item], total, m.windows, m.windows / total, m.slots, m.changed, m.changed > 0))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=columns)
 
         found = texts.mapInArrow(scan, schema)

@@ -43,8 +43,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _piece(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of ``data`` and their starts; no word crosses a position of ``cuts``."""
+def word_spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of ``data``; no word crosses a position of ``cuts``."""
     word = ~SPACE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -53,13 +53,21 @@ def _piece(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inner = cuts[(cuts > 0) & (cuts < len(data))]
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
-    starts = np.flatnonzero(first)
-    ends = np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the given spans of ``data``, A-Z lower-cased."""
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_VALUES[data] * _power_table(_BASE, len(data))[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * _power_table(_INVERSE, len(data) + 1)[starts]
-    return mix(h), starts
+    return mix(h)
+
+
+def _piece(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends = word_spans(data, cuts)
+    return span_hashes(data, starts, ends), starts
 
 
 def _long(data: np.ndarray) -> np.ndarray:
