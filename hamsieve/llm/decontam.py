@@ -140,6 +140,9 @@ def _span(word: bytes) -> int:
     return int(span_hashes(data, core[:1], core[-1:] + 1)[0])
 
 
+_UNIT_HASHES = np.array(sorted({_span(u.encode()) for u in UNITS} - {0}), np.uint64)
+
+
 def _glance(rows: np.ndarray) -> np.ndarray:
     h = np.zeros(len(rows), np.uint64)
     for j in range(rows.shape[1]):
@@ -226,6 +229,8 @@ class WindowTable:
         # Figures, capitals, and what case or quotes beyond ASCII could hide.
         hides = np.concatenate([[0], np.cumsum(_DIGIT[data] | _ODD[data] | capital)])
         slot = ~some | (hides[e] > hides[s]) | _UPPER[data[s]]
+        # A unit behind a figure is a slot, too.
+        slot[1:] |= slot[:-1] & np.isin(h[1:], _UNIT_HASHES)
         # A figure glued to letters is two words of the template; slots in a row may be one.
         glue = np.concatenate([[0], np.cumsum(_DIGIT[data[:-1]] & _LETTER[data[1:]]), [0]])
         glued = slot & (glue[np.maximum(e - 1, s)] > glue[s])
