@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once (a longer text is cut at white space).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _BYTES = np.arange(256)
 SPACE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
@@ -23,7 +23,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power_table(base: int, size: int) -> np.ndarray:
+def power_table(base: int, size: int) -> np.ndarray:
     """base^0 .. base^(size-1) modulo 2^64; kept, and grown when a longer one is asked for."""
     table = _powers.get(base)
     if table is None or len(table) < size:
@@ -60,8 +60,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """Hashes of the given spans of ``data``, A-Z lower-cased."""
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_VALUES[data] * _power_table(_BASE, len(data))[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power_table(_INVERSE, len(data) + 1)[starts]
+    np.cumsum(_VALUES[data] * power_table(_BASE, len(data))[: len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * power_table(_INVERSE, len(data) + 1)[starts]
     return mix(h)
 
 

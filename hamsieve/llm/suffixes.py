@@ -29,14 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hamsieve.llm.blocks import Keys, answer_sums, ask, in_blocks, owners_of, told
-from hamsieve.llm.kernels import CHUNK, mix, text_bytes
+from hamsieve.llm.kernels import mix, power_table, text_bytes
 
 #: Bytes that a sample is named by.
 GRAM = 16
+#: Bytes that are hashed at once: small enough for the arrays to stay in a core's cache.
+PIECE = 1 << 16
 #: Owners per block in step 3, whose suffixes take ten times their bytes while they are sorted.
 OWNERS_PER_BLOCK = 4
 
 _BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(71).integers(1, 1 << 63, 256, np.uint64)
 
 
@@ -71,42 +74,58 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 @dataclass
 class _Samples:
-    """Samples of a stretch of bytes: name, place, and the run of strings (``first`` .. ``last``) they stand for."""
+    """Samples of a stretch of bytes: places and names; and per string that exists the hash it is sampled by (else 0)."""
 
-    name: np.ndarray
     place: np.ndarray
-    first: np.ndarray
-    last: np.ndarray
+    name: np.ndarray
+    least: np.ndarray
 
 
 def _samples(data: np.ndarray, ends: np.ndarray, length: int) -> _Samples:
     """``ends``: for each byte the end of its text. Strings never cross an end."""
-    none = np.zeros(0, np.int64)
     width = length - GRAM + 1
     if len(data) < length:
-        return _Samples(np.zeros(0, np.uint64), none, none, none)
+        return _Samples(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     # Zero is kept for strings that do not exist.
     grams = np.maximum(mix(_rolling(data, GRAM)), np.uint64(1))
     least = _sliding(grams, width, np.minimum)
-    starts = np.arange(len(least))
-    exists = starts + length <= ends[: len(least)]
-    least = np.where(exists, least, np.uint64(0))
+    least[np.arange(length, length + len(least), dtype=ends.dtype) > ends[: len(least)]] = 0
     reach = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    chosen = np.flatnonzero(_sliding(reach, width, np.maximum)[: len(grams)] == grams)
-    if not len(chosen):
-        return _Samples(np.zeros(0, np.uint64), none, none, none)
+    place = np.flatnonzero(_sliding(reach, width, np.maximum)[: len(grams)] == grams)
+    return _Samples(place, mix(grams[place] ^ np.uint64(_BASE)), least)
+
+
+def _runs(s: _Samples, repeated: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of repeated samples, each with the first and last string that it stands for (a run each)."""
+    none = np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(repeated, s.name), max(len(repeated) - 1, 0))
+    again = repeated[at] == s.name if len(repeated) else np.zeros(len(s.name), bool)
+    if not again.any():
+        return np.zeros(0, np.uint64), none, none
+    width = length - GRAM + 1
+    # Only strings that hold a repeated sample can be sampled by one.
+    near = np.zeros(len(s.least) + 2 * width, np.int32)
+    near[s.place[again]] += 1
+    near[s.place[again] + width] -= 1
+    strings = np.flatnonzero((np.cumsum(near)[width - 1 : width - 1 + len(s.least)] > 0) & (s.least > 0))
+    if not len(strings):
+        return np.zeros(0, np.uint64), none, none
+    before = np.zeros(len(s.least) + width + 1, np.int32)
+    before[s.place + 1] = 1
     # The first place in each string where its smallest gram stands.
-    strings = np.flatnonzero(exists)
-    at = np.searchsorted(chosen, strings)
-    open_ = np.arange(len(strings))
-    while len(open_):
-        wrong = grams[chosen[at[open_]]] != least[strings[open_]]
-        open_ = open_[wrong]
-        at[open_] += 1
-    cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(strings) != 1)) + 1
+    which = np.cumsum(before)[strings].astype(np.int64)
+    wanted = mix(s.least[strings] ^ np.uint64(_BASE))
+    waiting = np.flatnonzero(s.name[which] != wanted)
+    while len(waiting):
+        which[waiting] += 1
+        waiting = waiting[s.name[which[waiting]] != wanted[waiting]]
+    mine = again[which]
+    strings, which = strings[mine], which[mine]
+    if not len(strings):
+        return np.zeros(0, np.uint64), none, none
+    cuts = np.flatnonzero((np.diff(which) != 0) | (np.diff(strings) != 1)) + 1
     begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(strings)]]) - 1
-    place = chosen[at[begin]]
-    return _Samples(mix(grams[place] ^ np.uint64(_BASE)), place, strings[begin], strings[end])
+    return s.name[which[begin]], strings[begin], strings[end]
 
 
 def _pieces(table: pa.Table, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -117,34 +136,32 @@ def _pieces(table: pa.Table, length: int) -> Iterator[tuple[np.ndarray, np.ndarr
     data, offsets = text_bytes(table.column("text"))
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
-        if offsets[j] - offsets[i] > CHUNK:
-            for at in range(int(offsets[i]), int(offsets[j]), CHUNK):
-                part = data[at : min(at + CHUNK + length - 1, int(offsets[j]))]
-                yield part, np.full(len(part), len(part)), np.array([0]), np.array([[i, at - int(offsets[i])]])
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
+        if offsets[j] - offsets[i] > PIECE:
+            for at in range(int(offsets[i]), int(offsets[j]), PIECE):
+                part = data[at : min(at + PIECE + length - 1, int(offsets[j]))]
+                yield part, np.full(len(part), len(part), np.int32), np.array([0]), np.array([[i, at - int(offsets[i])]])
         else:
             bounds = offsets[i : j + 1] - offsets[i]
             rows = np.stack([np.arange(i, j), np.zeros(j - i, np.int64)], 1)
-            yield data[offsets[i] : offsets[j]], np.repeat(bounds[1:], np.diff(bounds)), bounds[:-1], rows
+            yield data[offsets[i] : offsets[j]], np.repeat(bounds[1:].astype(np.int32), np.diff(bounds)), bounds[:-1], rows
         i = j
 
 
-def _names(table: pa.Table, length: int) -> Keys:
-    found = [_samples(data, ends, length).name for data, ends, _, _ in _pieces(table, length)]
-    names, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+def _sampled(table: pa.Table, length: int) -> list[_Samples]:
+    return [_samples(data, ends, length) for data, ends, _, _ in _pieces(table, length)]
+
+
+def _names(sampled: list[_Samples]) -> Keys:
+    names, counts = np.unique(np.concatenate([s.name for s in sampled]) if sampled else np.zeros(0, np.uint64), return_counts=True)
     return {1: (names, counts)}
 
 
 def _stretch_hash(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hash of ``size`` bytes from ``first`` on: two sums of powers."""
-    powers = np.ones(1, np.uint64)
-    while len(powers) < len(data) + 1:
-        powers = np.concatenate([powers, powers * np.uint64(pow(_BASE, len(powers), 1 << 64))])
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * powers[: len(data)], dtype=np.uint64)])
-    inverse = np.ones(1, np.uint64)
-    back = pow(_BASE, -1, 1 << 64)
-    while len(inverse) < len(data) + 1:
-        inverse = np.concatenate([inverse, inverse * np.uint64(pow(back, len(inverse), 1 << 64))])
+    """Hash of ``size`` bytes from ``first`` on, by running sums."""
+    powers, inverse = power_table(_BASE, len(data) + 1), power_table(_BACK, len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * powers[: len(data)], out=sums[1:])
     return mix((sums[first + size] - sums[first]) * inverse[first] + size.astype(np.uint64))
 
 
@@ -155,17 +172,17 @@ class _Stretches:
     what the block holds alone, not on the order of its rows, so that it can be worked out again.
     """
 
-    def __init__(self, table: pa.Table, id_col: str, repeated: np.ndarray, length: int):
+    def __init__(self, table: pa.Table, id_col: str, replies: pa.Table, length: int):
+        sampled = _sampled(table, length)
+        names, _ = _names(sampled)[1]
+        repeated = names[told(replies)[1] > 1] if len(names) else names
         ids = table.column(id_col).to_numpy()
         cols: dict[str, list[np.ndarray]] = {c: [] for c in ("name", "hash", "row", "start", "count")}
         bodies: list[np.ndarray] = []
         picks: list[np.ndarray] = []
         seen = 0
-        for data, ends, bounds, rows in _pieces(table, length):
-            s = _samples(data, ends, length)
-            known = np.searchsorted(repeated, s.name)
-            keep = (known < len(repeated)) & (repeated[np.minimum(known, len(repeated) - 1)] == s.name) if len(repeated) else np.zeros(len(s.name), bool)
-            name, first, last = s.name[keep], s.first[keep], s.last[keep]
+        for (data, _, bounds, rows), s in zip(_pieces(table, length), sampled, strict=True):
+            name, first, last = _runs(s, repeated, length)
             if not len(name):
                 continue
             text = np.searchsorted(bounds, first, "right") - 1
@@ -218,15 +235,15 @@ def _marks(ids: np.ndarray, counts: np.ndarray, body: np.ndarray, length: int) -
     at = np.repeat(base, counts) + inner
     who = np.repeat(ids, counts)
     h = _rolling(body, length)[at]
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     new = np.ones(total, bool)
     new[1:] = np.diff(h[order]) != 0
-    # Neighbours under one hash are compared byte for byte.
-    strings = np.lib.stride_tricks.sliding_window_view(body, length)
-    same = np.flatnonzero(~new)
-    for part in np.array_split(same, max(1, len(same) // 200_000)):
-        differs = (strings[at[order[part]]] != strings[at[order[part - 1]]]).any(1)
-        if differs.any():
+    # Neighbours under one hash are compared byte for byte, eight at a time.
+    eights = np.ndarray((max(len(body) - 7, 0),), "<u8", body, strides=(1,))
+    right = np.flatnonzero(~new)
+    left, right = at[order[right - 1]], at[order[right]]
+    for shift in sorted({*range(0, length - 7, 8), length - 8}):
+        if (eights[left + shift] != eights[right + shift]).any():
             raise ArithmeticError("two strings of one hash differ: choose another table of byte values")
     group = np.cumsum(new) - 1
     least = np.minimum.reduceat(who[order], np.flatnonzero(new)) if total else who
@@ -251,14 +268,10 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     )
     blocked, blocks = in_blocks(docs, id_col, "text")
     owners = blocks * OWNERS_PER_BLOCK
-    counted = answer_sums(ask(blocked, lambda table: _names(table, length), blocks))
-
-    def repeated(table: pa.Table, replies: pa.Table) -> np.ndarray:
-        names, _ = _names(table, length)[1]
-        return names[told(replies)[1] > 1] if len(names) else names
+    counted = answer_sums(ask(blocked, lambda table: _names(_sampled(table, length)), blocks))
 
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
-        s = _Stretches(table, id_col, repeated(table, replies), length)
+        s = _Stretches(table, id_col, replies, length)
         own = owners_of(s.name, owners).astype(np.int64)
         cuts = np.flatnonzero(np.diff(own)) + 1
         body, size = s.body(), s.count + length - 1
@@ -293,7 +306,7 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         kinds = np.asarray(replies.column("kind"))
-        s = _Stretches(table, id_col, repeated(table, replies.filter(pa.array(kinds == 1))), length)
+        s = _Stretches(table, id_col, replies.filter(pa.array(kinds == 1)), length)
         own = owners_of(s.name, owners).astype(np.int64)
         bits = np.zeros(int(s.count.sum()), bool)
         begin = np.cumsum(s.count) - s.count
