@@ -10,7 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hamsieve.llm.mixing import mix
+from hamsieve.llm.decontam import without_leaks
+from hamsieve.llm.jaccard import near_groups
+from hamsieve.llm.mixing import draw
+from hamsieve.llm.quality import fit_neighbours, keep_good
 from hamsieve.llm.sharding import shard_rows
 from hamsieve.sources.scratch import scratch_path
 from hamsieve.sources.tables import table
@@ -20,10 +23,30 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHARDS = 24
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. It learns from the labels outside the held-out quarter."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = fit_neighbours(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return keep_good(docs.select(*COLUMNS), model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group that shares four fifths of its five-word shingles."""
+    groups = near_groups(docs, k=5, percent=80)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    # A document that stands in the table twice is a group, too. Both steps share one shuffle.
+    return keyed.join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark question."""
+    return without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the target weights of source, language and topic."""
-    drawn = mix(docs).where("selected").select("doc_id")
-    return docs.join(drawn.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    return draw(docs.select(*COLUMNS))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +55,9 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
     ("mixing", mixing),
     ("sharding", sharding),
 ]

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -351,6 +352,35 @@ def find_leaks(text: str, table: WindowTable, codes: _Codes) -> list[tuple[int,
     return out
 
 
+def window_tables(benchmark: DataFrame, item_col: str, item_text: str, coverage: float) -> Iterator[Broadcast]:
+    """The benchmark's windows in blocks of at most about BLOCK_BYTES of text, a broadcast table each."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("trim(text) <> ''")
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
+    passes = max(1, math.ceil(size / BLOCK_BYTES))
+    for k in range(passes):
+        block = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).orderBy("item", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(WindowTable([(r["item"], r["text"]) for r in block], coverage))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs`` that hold no item of ``benchmark``, with all their columns; see ``contaminated``."""
+    at = docs.columns.index(text_col)
+    for table in window_tables(benchmark, item_col, item_text, coverage):
+
+        def keep(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            held = table.value
+            codes = _Codes(held.vocabulary)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                texts = batch.column(at).fill_null("")
+                for row in np.flatnonzero(held.suspects(texts)):
+                    clean[row] = not find_leaks(texts[int(row)].as_py(), held, codes)
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """One row per document and item that it holds: id, item, ``n_windows``, ``n_matched``, ``coverage``,
     ``n_slots``, ``n_changed`` (slots whose values differ) and ``reparameterised``.
@@ -361,17 +391,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Texts are read whole and no row is shuffled. Items are taken in blocks by id, a pass over the
     documents each: what is collected and broadcast is bounded by BLOCK_BYTES.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("trim(text) <> ''")
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
-    passes = max(1, math.ceil(size / BLOCK_BYTES))
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = f"`{id_col}` long, `{item_col}` long, n_windows int, n_matched int, coverage double, n_slots int, n_changed int, reparameterised boolean"
     columns = [id_col, item_col, "n_windows", "n_matched", "coverage", "n_slots", "n_changed", "reparameterised"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_()]
     out = None
-    for k in range(passes):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).orderBy("item", "text").collect()
-        table = docs.sparkSession.sparkContext.broadcast(WindowTable([(r["item"], r["text"]) for r in block], coverage))
+    for table in window_tables(benchmark, item_col, item_text, coverage):
 
         def scan(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             held = table.value

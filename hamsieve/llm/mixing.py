@@ -9,6 +9,7 @@ expected tokens of the sample have the target margins exactly.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,6 +92,44 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], sweeps: int = SWEEPS,
     return table.drop(*(f"goal_{m}" for m in targets))
 
 
+@dataclass(frozen=True)
+class Mix:
+    """Calibrated rates: per cell (``rates``: margins, ``_rate``, ``_share`` of all tokens per token); of texts without tokens."""
+
+    targets: tuple[str, ...]
+    rates: DataFrame
+    average: float
+
+    def join(self, docs: DataFrame, id_col: str, seed: int) -> DataFrame:
+        """``docs`` (id, margins, ``tokens``, any others) with ``weight``, ``probability`` and ``selected``."""
+        draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10)
+        probability = F.when(F.col("tokens") > 0, F.coalesce("_rate", F.lit(0.0))).otherwise(F.lit(self.average))
+        return (
+            docs.join(_sized(self.rates), list(self.targets), "left")
+            .withColumn("weight", F.col("tokens") * F.coalesce("_share", F.lit(0.0)))
+            .withColumn("probability", probability)
+            .withColumn("selected", draw.cast("double") / float(1 << 52) < F.col("probability"))
+            .drop("_rate", "_share")
+        )
+
+
+def _margins(targets: Mapping[str, Target], topic: Column | None, text: Column) -> dict[str, Column]:
+    named = {m: F.coalesce(F.col(m).cast("string"), F.lit("(none)")) for m in targets if m != "topic"}
+    if "topic" in targets:
+        named["topic"] = topic if topic is not None else topic_of(text)
+    return named
+
+
+def calibrate(cells: DataFrame, targets: Mapping[str, Target]) -> Mix:
+    """Rates for documents summed to ``cells`` (margins, ``tokens``, ``docs``)."""
+    cells = cells.checkpoint()
+    everywhere = Window.partitionBy(F.lit(1))
+    raked = rake(cells, targets).withColumn("_share", F.col("weight") / F.col("tokens"))
+    rated = raked.withColumn("_rate", F.col("_share") / F.max("_share").over(everywhere)).checkpoint()
+    mean = rated.agg((F.sum(F.col("_rate") * F.col("docs")) / F.sum("docs")).alias("m")).collect()[0]["m"]
+    return Mix(tuple(targets), rated.select(*targets, "_rate", "_share"), 1.0 if mean is None else mean)
+
+
 def mix(
     df: DataFrame,
     targets: Mapping[str, Target] | None = None,
@@ -110,34 +149,33 @@ def mix(
     """
     targets = dict(targets or DEFAULT_TARGETS)
     text = F.col(text_col).cast("string")
-    named = {m: F.coalesce(F.col(m).cast("string"), F.lit("(none)")) for m in targets if m != "topic"}
-    if "topic" in targets:
-        named["topic"] = topic if topic is not None else topic_of(text)
+    named = _margins(targets, topic, text)
     docs = df.select(F.col(id_col).cast("long").alias(id_col), *(c.alias(m) for m, c in named.items()), token_count(text).alias("tokens"))
     # One pass over the texts; what is left of a document is narrow.
     docs = materialize(docs, "mixing-documents")
-
     cells = docs.groupBy(*targets).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    cells = cells.checkpoint()
-    raked = rake(cells, targets)
-    everywhere = Window.partitionBy(F.lit(1))
-    ratio = F.col("weight") / F.col("tokens")
-    rated = raked.withColumn("_ratio", ratio).withColumn("rate", F.col("_ratio") / F.max("_ratio").over(everywhere))
-    mean = F.sum(F.col("rate") * F.col("docs")).over(everywhere) / F.sum("docs").over(everywhere)
-    rated = rated.withColumn("_mean", mean).checkpoint()
-    average = rated.agg(F.max("_mean").alias("m")).collect()[0]["m"]
-
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10)
-    rates = rated.select(*targets, F.col("rate").alias("_rate"), F.col("_ratio").alias("_share"))
-    joined = docs.join(_sized(rates), list(targets), "left")
-    probability = F.when(F.col("tokens") > 0, F.coalesce("_rate", F.lit(0.0))).otherwise(F.lit(1.0 if average is None else average))
-    return joined.select(
-        id_col,
-        *targets,
-        "tokens",
-        (F.col("tokens") * F.coalesce("_share", F.lit(0.0))).alias("weight"),
-        probability.alias("probability"),
-    ).withColumn("selected", draw.cast("double") / float(1 << 52) < F.col("probability"))
+    drawn = calibrate(cells, targets).join(docs, id_col, seed)
+    return drawn.select(id_col, *targets, "tokens", "weight", "probability", "selected")
+
+
+def draw(
+    df: DataFrame,
+    targets: Mapping[str, Target] | None = None,
+    topic: Column | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    seed: int = 42,
+) -> DataFrame:
+    """The rows of ``df`` that ``mix`` selects, with all their columns. Texts are read twice and not shuffled."""
+    targets = dict(targets or DEFAULT_TARGETS)
+    text = F.col(text_col).cast("string")
+    named = _margins(targets, topic, text)
+    tokens = token_count(text)
+    cells = df.groupBy(*(c.alias(m) for m, c in named.items())).agg(F.sum(tokens).alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    found = calibrate(cells, targets)
+    whole = F.struct(*(F.col(c) for c in df.columns)).alias("_row")
+    rows = df.select(F.col(id_col).cast("long").alias(id_col), *(c.alias(m) for m, c in named.items()), tokens.alias("tokens"), whole)
+    return found.join(rows, id_col, seed).where("selected").select("_row.*")
 
 
 #: Cells up to this number are broadcast to the documents; more are joined by shuffle.

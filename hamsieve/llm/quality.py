@@ -174,3 +174,18 @@ def score_quality(docs: DataFrame, model: NeighbourModel, id_col: str = "doc_id"
 
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(score, f"`{id_col}` long, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: NeighbourModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are predicted good, with all their columns; see ``score_quality``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2 * BLOCK):
+                part = batch.slice(start, 2 * BLOCK)
+                s = shared.value.scores(term_rows(part.column(at).fill_null("")))
+                yield part.filter(pa.array(s >= THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
