@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.feature import (
     CountVectorizer,
     CountVectorizerModel,
@@ -23,6 +24,7 @@ from hamsieve.functions import fixed
 from hamsieve.functions.let import let
 from hamsieve.functions.rows import struct_rows, value_rows
 from hamsieve.functions.text import WORD, WS
+from hamsieve.sources.scratch import materialize
 
 
 def tokens(text: Column) -> Column:
@@ -46,19 +48,24 @@ def terms(text: Column) -> Column:
 
 
 def term_stats(df: DataFrame, term_col: str = "terms") -> DataFrame:
-    """``term, df, total`` over an array column, in one shuffle."""
-    zero, one = F.lit(0), F.lit(1)
-    occurrence = F.transform(
-        F.col(term_col), lambda t: F.struct(t.alias("term"), zero.alias("d"), one.alias("c"))
-    )
-    presence = F.transform(
-        F.array_distinct(term_col),
-        lambda t: F.struct(t.alias("term"), one.alias("d"), zero.alias("c")),
-    )
+    """``term, df, total`` over an array column, in one shuffle.
+
+    A mail's terms are sorted in the row; the first of each run of equal ones also counts the mail.
+    """
+
+    def marked(terms: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), terms)
+        return F.zip_with(
+            terms,
+            F.slice(before, F.lit(1), F.size(terms)),
+            lambda t, p: F.struct(t.alias("term"), (~t.eqNullSafe(p)).cast("int").alias("first")),
+        )
+
+    entries = let(F.array_sort(F.col(term_col)), marked)
     return (
-        struct_rows(df, [], F.concat(occurrence, presence), "term")
+        struct_rows(df, [], entries, "term")
         .groupBy("term")
-        .agg(F.sum("d").alias("df"), F.sum("c").alias("total"))
+        .agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("total"))
     )
 
 
@@ -79,9 +86,65 @@ def fit_vocabulary(
         .where((F.col("df") >= min_df) & (F.col("df") <= n * F.lit(max_df)))
         .withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
     )
-    if max_features is not None:
-        vocab = vocab.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
-    return vocab
+    return vocab if max_features is None else most_frequent(materialize(vocab, "terms"), max_features)
+
+
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The ``size`` rows of ``counts`` (``term``, ``total``) with the largest totals; ties by term.
+
+    Rows are counted per total, which finds the total where the cut lies; terms above it stay, and
+    only those that have just that total are ranked, in ranges of terms. Nothing but the cut and the counts of
+    ranges reaches the driver. ``counts`` is read three times: pass a stored table.
+    """
+    levels = counts.groupBy("total").agg(F.count(F.lit(1)).alias("rows"))
+    # One row per distinct total; running sums over them run in one task and see no terms.
+    above = F.sum("rows").over(Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1))
+    cut = (
+        levels.withColumn("above", F.coalesce(above, F.lit(0)))
+        .where((F.col("above") < size) & (F.col("above") + F.col("rows") >= size))
+        .select("total", "above")
+        .first()
+    )
+    if cut is None:
+        return counts
+    at_cut = numbered(counts.where(F.col("total") == cut["total"]), [F.asc("term")], "place")
+    return counts.where(F.col("total") > cut["total"]).unionByName(
+        at_cut.where(F.col("place") <= size - cut["above"]).select(*counts.columns)
+    )
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add the row's place, from 1, in a total ``order``: ranges are sorted each on its own.
+
+    Rows are stored in ranges of the order, so that ranges stay as they are while they are counted.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    stored = materialize(ranged, "ranges")
+    # One row per range.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy("_range").orderBy(*order)
+    return (
+        stored.join(F.broadcast(offsets), "_range")
+        .withColumn(name, F.col("_before") + F.row_number().over(inside))
+        .drop("_range", "_before")
+    )
+
+
+def counter_of(spark: SparkSession, terms: list[str]) -> tuple[CountVectorizerModel, list[str]]:
+    """A counting model over ``terms`` and their order in it.
+
+    Fitting it on one row of all terms hands them over in one piece, where ``from_vocabulary`` sends
+    them to the JVM one at a time.
+    """
+    one = spark.createDataFrame([(terms,)], "terms array<string>")
+    counter = CountVectorizer(inputCol="terms", outputCol="_counts", vocabSize=len(terms), minDF=1.0).fit(one)
+    single = one.select(F.explode("terms").alias("term")).withColumn("terms", F.array("term"))
+    place = F.get(F.unwrap_udt("_counts")["indices"], F.lit(0))
+    numbers = counter.transform(single).select("term", place.alias("i")).collect()
+    return counter, [r["term"] for r in sorted(numbers, key=lambda r: r["i"])]
 
 
 @dataclass(frozen=True)
@@ -99,23 +162,12 @@ class TfidfModel:
 
     @classmethod
     def of(cls, spark: SparkSession, weights: list[tuple[str, float]]) -> "TfidfModel":
-        """From pairs of term and idf.
-
-        The counting model numbers the terms; fitting it on one row of all terms hands them over in
-        one piece, where ``from_vocabulary`` sends them to the JVM one at a time.
-        """
+        """From pairs of term and idf."""
         if not weights:
             raise ValueError("empty vocabulary: no term passed the frequency limits")
         idf = dict(weights)
-        one = spark.createDataFrame([(list(idf),)], "terms array<string>")
-        counter = CountVectorizer(
-            inputCol="terms", outputCol="_counts", vocabSize=len(idf), minDF=1.0
-        ).fit(one)
-        single = one.select(F.explode("terms").alias("term")).withColumn("terms", F.array("term"))
-        place = F.get(F.unwrap_udt("_counts")["indices"], F.lit(0))
-        numbered = counter.transform(single).select("term", place.alias("i")).collect()
-        terms_by_id = [r["term"] for r in sorted(numbered, key=lambda r: r["i"])]
-        return cls(counter, tuple(terms_by_id), tuple(idf[t] for t in terms_by_id))
+        counter, ordered = counter_of(spark, list(idf))
+        return cls(counter, tuple(ordered), tuple(idf[t] for t in ordered))
 
     def table(self, spark: SparkSession) -> DataFrame:
         """``term_id, term, idf``."""
@@ -165,10 +217,10 @@ def model_tokens(text: Column) -> Column:
     )
 
 
-def fit_token_vocabulary(df: DataFrame, token_col: str, size: int = 30522) -> DataFrame:
-    """``token, token_id``: reserved tokens first, then the most frequent; ties by token.
+def fit_token_vocabulary(df: DataFrame, token_col: str, size: int | None = None) -> DataFrame:
+    """``token, token_id``: reserved tokens first, then by falling frequency; ties by token.
 
-    ``size`` bounds the whole vocabulary, as in any trained tokenizer; other tokens read [UNK].
+    Every token of ``df`` has an id unless ``size`` bounds the whole vocabulary; others read [UNK].
     """
     reserved = list(fixed.RESERVED_TOKENS)
     counts = (
@@ -177,16 +229,20 @@ def fit_token_vocabulary(df: DataFrame, token_col: str, size: int = 30522) -> Da
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    kept = counts.orderBy(F.desc("n"), F.asc("token")).limit(size - len(reserved))
-    # ``size`` rows at most: one task is enough to number them.
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token")))
-    words = kept.select("token", (rank + len(reserved) - 1).cast("int").alias("token_id"))
+    ranked = numbered(counts, [F.desc("n"), F.asc("token")], "place")
+    words = ranked.select("token", (F.col("place") + len(reserved) - 1).cast("int").alias("token_id"))
+    if size is not None:
+        words = words.where(F.col("token_id") < size)
     heads = df.sparkSession.createDataFrame(
         [(t, i) for i, t in enumerate(reserved)], "token string, token_id int"
     )
     return heads.unionByName(words)
 
 
+#: Vocabularies up to this number of tokens travel with the tasks; larger ones are joined.
+LOOKUP_TOKENS = 2_000_000
+
+
 def encode(
     df: DataFrame,
     vocab: DataFrame,
@@ -196,21 +252,17 @@ def encode(
 ) -> DataFrame:
     """``id, input_ids, attention_mask``: start, token ids cut to fit, end, padding.
 
-    Only the tokens that fit are looked up, so no group is longer than ``max_length``.
+    The ids of a mail are looked up inside its row, in Arrow batches; no row moves. ``vocab`` should be
+    a stored table: it is counted first, and a vocabulary beyond LOOKUP_TOKENS is joined instead.
     """
     reserved = {t: i for i, t in enumerate(fixed.RESERVED_TOKENS)}
     content = max_length - 2
-    head = df.select(id_col, F.posexplode_outer(F.slice(token_col, 1, content)))
-    known = head.join(F.broadcast(vocab), head["col"] == vocab["token"], "left")
-    token_id = F.when(
-        F.col("col").isNotNull(), F.coalesce("token_id", F.lit(reserved["[UNK]"]))
-    )
-    placed = F.when(F.col("pos").isNotNull(), F.struct("pos", token_id.alias("t")))
-    ids = known.groupBy(id_col).agg(F.sort_array(F.collect_list(placed)).alias("s"))
-    body = F.transform("s", lambda x: x["t"])
-    used = F.concat(
-        F.array(F.lit(reserved["[CLS]"])), body, F.array(F.lit(reserved["[SEP]"]))
-    )
+    head = df.select(id_col, F.slice(token_col, 1, content).alias("_tokens"))
+    if vocab.count() <= LOOKUP_TOKENS:
+        ids = _looked_up(head, vocab, reserved["[UNK]"])
+    else:
+        ids = _joined(head, vocab, id_col, reserved["[UNK]"])
+    used = F.concat(F.array(F.lit(reserved["[CLS]"])), F.col("_ids"), F.array(F.lit(reserved["[SEP]"])))
     pad = F.lit(max_length) - F.size("used")
     return (
         ids.select(id_col, used.alias("used"))
@@ -224,6 +276,28 @@ def encode(
     )
 
 
+def _looked_up(head: DataFrame, vocab: DataFrame, unknown: int) -> DataFrame:
+    table = {r["token"]: r["token_id"] for r in vocab.select("token", "token_id").collect()}
+    shared = head.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("array<int>")
+    def look_up(rows: pd.Series) -> pd.Series:
+        known = shared.value
+        return rows.map(lambda words: [known.get(w, unknown) for w in words])
+
+    return head.withColumn("_ids", look_up(F.coalesce("_tokens", F.array().cast("array<string>"))))
+
+
+def _joined(head: DataFrame, vocab: DataFrame, id_col: str, unknown: int) -> DataFrame:
+    """Only the tokens that fit are joined, so no group is longer than they are."""
+    rows = head.select(id_col, F.posexplode_outer("_tokens"))
+    known = rows.join(vocab, rows["col"] == vocab["token"], "left")
+    token_id = F.when(F.col("col").isNotNull(), F.coalesce("token_id", F.lit(unknown)))
+    placed = F.when(F.col("pos").isNotNull(), F.struct("pos", token_id.alias("t")))
+    ids = known.groupBy(id_col).agg(F.sort_array(F.collect_list(placed)).alias("s"))
+    return ids.select(id_col, F.transform("s", lambda x: x["t"]).alias("_ids"))
+
+
 def remove_stop_words(
     df: DataFrame, word_col: str, stop_words: tuple[str, ...] = fixed.STOP_WORDS
 ) -> DataFrame:

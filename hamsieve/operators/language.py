@@ -1,7 +1,7 @@
 """Language detection: naive Bayes over character trigrams, fitted on labelled text.
 
-A profile holds the most frequent trigrams of each language, as usual for such detectors, so its
-size is ``languages x profile_size`` whatever the corpus; that bound is what lets it be broadcast.
+The fit counts every trigram of whole training texts. Detection looks at the first 1000 characters of a
+text, inside its row: no row of the text is exploded, grouped or joined.
 """
 
 from __future__ import annotations
@@ -9,15 +9,19 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hamsieve.functions import fixed
 from hamsieve.functions.rows import value_rows
+from hamsieve.operators.features import counter_of
 
-PROFILE_SIZE = 1000
+#: More languages than this, and the column is not one of languages.
 MAX_LANGUAGES = 200
-
+#: Distinct trigrams that are collected and travel with the tasks; text of every script stays below.
+MAX_GRAMS = 2_000_000
 
 # A look-ahead matches at every character, so trigrams overlap; one pass over the text. The second
 # half of a surrogate pair is not the start of a character.
@@ -25,89 +29,67 @@ _TRIGRAM = r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(...))"
 
 
 def trigrams(c: Column) -> Column:
-    """Character trigrams of the first 1000 characters; none for shorter text than three."""
-    return F.regexp_extract_all(
-        F.substring(c, 1, fixed.LANG_SAMPLE_CHARS), F.lit(_TRIGRAM), F.lit(1)
-    )
+    """Character trigrams; none for text shorter than three characters."""
+    return F.regexp_extract_all(c, F.lit(_TRIGRAM), F.lit(1))
 
 
 @dataclass(frozen=True)
 class LanguageProfile:
-    """``grams(gram, lp array<double>)``; entry k of ``lp`` belongs to ``langs[k]``."""
+    """Log probabilities per language of each trigram that ``counter`` numbers."""
 
     langs: tuple[str, ...]
-    floor: tuple[float, ...]
-    grams: DataFrame
-
-
-def gram_counts(df: DataFrame, text: str, lang: str, profile_size: int) -> DataFrame:
-    """``lang, gram, n``: the most frequent trigrams of each language; ties by gram."""
-    counts = (
-        value_rows(df, [F.col(lang).alias("lang")], trigrams(F.col(text)), "gram")
-        .groupBy("lang", "gram")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # One hot language must not be ranked by one task: rank within salted slices, then rank the
-    # slice winners. A top-k of slice top-ks is the exact top-k.
-    salted = counts.withColumn("slice", F.pmod(F.xxhash64("gram"), F.lit(64)))
-    order = [F.desc("n"), F.asc("gram")]
-    in_slice = Window.partitionBy("lang", "slice").orderBy(*order)
-    overall = Window.partitionBy("lang").orderBy(*order)
-    return (
-        salted.withColumn("r", F.row_number().over(in_slice))
-        .where(F.col("r") <= profile_size)
-        .withColumn("r", F.row_number().over(overall))
-        .where(F.col("r") <= profile_size)
-        .select("lang", "gram", "n")
-    )
-
-
-def fit_language(
-    df: DataFrame, text: str = "full_text", lang: str = "lang", profile_size: int = PROFILE_SIZE
-) -> LanguageProfile:
-    """Fit on rows whose language is known. Add-one smoothing over the union of the profiles."""
-    rows = gram_counts(df.where(F.col(lang).isNotNull()), text, lang, profile_size).collect()
-    langs = tuple(sorted({r["lang"] for r in rows}))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages: column {lang!r} does not look like one")
-    total = {k: 0 for k in langs}
-    table: dict[str, dict[str, int]] = {}
-    for r in rows:
-        total[r["lang"]] += r["n"]
-        table.setdefault(r["gram"], {})[r["lang"]] = r["n"]
-    denominator = {k: math.log(total[k] + len(table)) for k in langs}
-    grams = [
-        (g, [math.log(seen.get(k, 0) + 1) - denominator[k] for k in langs])
-        for g, seen in sorted(table.items())
-    ]
-    spark = df.sparkSession
+    counter: CountVectorizerModel
+    log_probs: tuple[tuple[float, ...], ...]
+
+    def detect(self, df: DataFrame, text: str = "full_text", out: str = "detected") -> DataFrame:
+        """Add the most probable language; ties go to the smallest name, no known gram gives null.
+
+        Trigrams that training has not seen say nothing. Narrow.
+        """
+        head = F.substring(F.col(text), 1, fixed.LANG_SAMPLE_CHARS)
+        counter = self.counter.copy().setInputCol("_grams").setOutputCol("_counts")
+        df = counter.transform(df.withColumn("_grams", trigrams(head)))
+        scores = []
+        for k, weights in enumerate(self.log_probs):
+            name = f"_lang{k}"
+            product = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_counts", outputCol=name)
+            df = product.transform(df)
+            values = F.unwrap_udt(F.col(name))["values"]
+            # Rounded, so that equal scores are ties in every engine.
+            scores.append(F.round(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x), 6))
+        best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+        lang = F.coalesce(*[F.when(s == best, F.lit(k)) for s, k in zip(scores, self.langs)])
+        known = F.size(F.unwrap_udt(F.col("_counts"))["indices"]) > 0
+        return df.withColumn(out, F.when(known, lang)).drop(
+            "_grams", "_counts", *(f"_lang{k}" for k in range(len(self.langs)))
+        )
+
+
+def gram_counts(df: DataFrame, text: str, lang: str, langs: tuple[str, ...]) -> DataFrame:
+    """``gram`` and its number in each language (``n0`` ..) over whole texts, in one shuffle of partial counts."""
+    grams = value_rows(df, [F.col(lang).alias("lang")], trigrams(F.col(text)), "gram")
+    return grams.groupBy("gram").agg(*(F.count_if(F.col("lang") == k).alias(f"n{i}") for i, k in enumerate(langs)))
+
+
+def fit_language(df: DataFrame, text: str = "full_text", lang: str = "lang") -> LanguageProfile:
+    """Fit on rows whose language is known. Add-one smoothing over all trigrams of all languages.
+
+    ``df`` is read twice: pass a stored table. Numbers of languages and of trigrams are checked
+    before anything is collected.
+    """
+    known = df.where(F.col(lang).isNotNull())
+    found = [r[0] for r in known.select(lang).distinct().limit(MAX_LANGUAGES + 1).collect()]
+    if not found or len(found) > MAX_LANGUAGES:
+        raise ValueError(f"column {lang!r} has no or more than {MAX_LANGUAGES} languages")
+    langs = tuple(sorted(found))
+    rows = gram_counts(known, text, lang, langs).limit(MAX_GRAMS + 1).collect()
+    if not rows or len(rows) > MAX_GRAMS:
+        raise ValueError(f"no trigrams, or more than {MAX_GRAMS}: is column {text!r} text?")
+    counter, grams = counter_of(df.sparkSession, [r["gram"] for r in rows])
+    by_gram = {r["gram"]: r[1:] for r in rows}
+    size = [math.log(sum(r[i + 1] for r in rows) + len(rows)) for i in range(len(langs))]
     return LanguageProfile(
         langs,
-        tuple(-denominator[k] for k in langs),
-        spark.createDataFrame(grams, "gram string, lp array<double>"),
-    )
-
-
-def detect_language(
-    df: DataFrame, profile: LanguageProfile, id_col: str = "id", text: str = "full_text"
-) -> DataFrame:
-    """``id, lang``: the most probable language; ties go to the smallest name, no gram gives null.
-
-    Trigrams outside every profile say nothing and are dropped by the join. The trigrams of a row
-    sit in one task, so the partial sums leave a single small row per mail for the shuffle.
-    """
-    sums = [F.sum(F.get("lp", F.lit(k))).alias(f"s{k}") for k in range(len(profile.langs))]
-    scored = (
-        value_rows(df, [id_col], trigrams(F.col(text)), "gram")
-        # languages x profile_size rows at most
-        .join(F.broadcast(profile.grams), "gram")
-        .groupBy(id_col)
-        .agg(*sums)
-    )
-    # Rounded, so that equal scores are ties in every engine.
-    scores = [F.round(F.col(f"s{k}"), 6) for k in range(len(profile.langs))]
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    lang = F.coalesce(
-        *[F.when(s == best, F.lit(k)) for s, k in zip(scores, profile.langs)]
+        counter,
+        tuple(tuple(math.log(by_gram[g][i] + 1) - size[i] for g in grams) for i in range(len(langs))),
     )
-    return scored.select(id_col, lang.alias("detected"))

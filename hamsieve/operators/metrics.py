@@ -10,7 +10,6 @@ from hamsieve.functions.numbers import ratio
 from hamsieve.functions.text import percent
 
 METRICS = ("accuracy", "precision", "recall", "f1")
-SCORE_DIGITS = 6
 _EPS = 1e-15
 
 
@@ -71,17 +70,22 @@ def normalized_confusion(df: DataFrame, label: str = "label", pred: str = "pred"
     )
 
 
+def _range(score: str) -> Column:
+    """One of 1001 ranges, in the order of the scores; what lies outside 0 to 1 is in the first or last."""
+    return F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * 1000)
+
+
 def roc_curve(df: DataFrame, label: str = "label", prob: str = "spam_prob") -> DataFrame:
     """``threshold, fpr, tpr``; starts at (0, 0) with a null threshold, drops collinear points.
 
-    Scores are first counted at six digits, so at most a million and one rows go on, however many
-    mails there are. These are summed within 1001 score ranges and shifted by the ranges above.
+    Equal scores are one point, exactly as they are. Points are summed within 1001 score ranges, which
+    are then shifted by the ranges above.
     """
     y = F.col(label)
     points = (
-        df.groupBy(F.round(F.col(prob), SCORE_DIGITS).alias("threshold"))
+        df.groupBy(F.col(prob).alias("threshold"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-        .withColumn("range", F.floor(F.col("threshold") * 1000))
+        .withColumn("range", _range("threshold"))
     )
     inside = Window.partitionBy("range").orderBy(F.desc("threshold"))
     first = F.max_by(F.struct("pos", "neg"), "threshold")
@@ -129,9 +133,9 @@ def roc_auc(df: DataFrame, label: str = "label", prob: str = "spam_prob") -> Dat
     """
     y = F.col(label)
     points = (
-        df.groupBy(F.round(F.col(prob), SCORE_DIGITS).alias("threshold"))
+        df.groupBy(F.col(prob).alias("threshold"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-        .withColumn("range", F.floor(F.col("threshold") * 1000))
+        .withColumn("range", _range("threshold"))
     )
     below = Window.partitionBy("range").orderBy("threshold").rowsBetween(
         Window.unboundedPreceding, -1

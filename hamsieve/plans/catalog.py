@@ -30,7 +30,7 @@ from hamsieve.operators import gates as G
 from hamsieve.operators import metrics as M
 from hamsieve.operators import mime
 from hamsieve.operators import models as L
-from hamsieve.operators.language import detect_language, fit_language
+from hamsieve.operators.language import LanguageProfile, fit_language
 from hamsieve.plans.flows import (
     Baselines,
     accepted,
@@ -45,14 +45,12 @@ from hamsieve.plans.flows import (
 from hamsieve.sources import artifacts, corpus as S
 from hamsieve.sources.compose import compose_mails
 from hamsieve.sources.scratch import materialize, scratch_path
-from hamsieve.sources.tables import spread, table, text_table
+from hamsieve.sources.tables import table, text_table
 from hamsieve.streaming.scoring import mail_stream, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-LIME_SAMPLES = 100
-
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -84,14 +82,21 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def labelled_mails(spark: SparkSession, d: str) -> DataFrame:
-    docs = text_table(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
-    return as_mails(docs.join(labels(spark, d), "id"))
+def judged_mails(spark: SparkSession, d: str) -> tuple[DataFrame, LanguageProfile]:
+    """Every mail cleaned and judged by the native gates, and the language profile of all of them."""
+    judged = judge_mails(mails(spark, d))
+    return judged, fit_language(with_full_text(judged))
+
+
+def english_mails(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned mails that pass all gates, language too."""
+    return accepted_english(*judged_mails(spark, d)).select("id", "subject", "body")
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Cleaned, valid, labelled mails with their split, stored once."""
-    return C.exact_split(accepted(judge_mails(labelled_mails(spark, d))).drop("reason"))
+    """Cleaned, accepted, labelled mails with their split, stored once."""
+    labelled = english_mails(spark, d).join(labels(spark, d), "id")
+    return materialize(C.exact_split(materialize(labelled, "labelled")), "corpus")
 
 
 def part(df: DataFrame, split: str) -> DataFrame:
@@ -120,11 +125,14 @@ def naive_bayes(spark: SparkSession, d: str) -> tuple[DataFrame, Baselines]:
 
 
 def scored_test(spark: SparkSession, d: str) -> DataFrame:
-    """``id, label, spam_prob, pred`` of the test split by naive Bayes."""
+    """``id, label, spam_prob, pred`` of the test split by naive Bayes.
+
+    Scores keep nine digits, so that mails of one text tie in every engine, however it adds up.
+    """
     data, fitted = naive_bayes(spark, d)
     test = fitted.features(part(data, "test"))
     return fitted.models["naive_bayes"].score(test).select(
-        "id", "label", r6("spam_prob").alias("spam_prob"), L.predicted_class().alias("pred")
+        "id", "label", F.round("spam_prob", 9).alias("spam_prob"), L.predicted_class().alias("pred")
     )
 
 
@@ -188,15 +196,17 @@ def scan_mail_files(spark: SparkSession, d: str) -> DataFrame:
 def split_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "splits")
     S.write_splits(corpus(spark, d), path)
-    return S.read_split(spark, path, "test").select("id", "subject", "body", "label")
+    parts = [S.read_split(spark, path, p).withColumn("split", F.lit(p)) for p in S.SPLITS]
+    return C.union_corpora(*parts).select("id", "subject", "body", "label", "split")
 
 
 @query
 def split_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "split-csv")
     S.write_split_csv(corpus(spark, d).withColumn("id", F.col("id").cast("string")), path)
-    return S.read_split_csv(spark, path, "validate").select(
-        F.col("id").cast("long").alias("id"), "subject", "body", "label"
+    parts = [S.read_split_csv(spark, path, p).withColumn("split", F.lit(p)) for p in S.SPLITS]
+    return C.union_corpora(*parts).select(
+        F.col("id").cast("long").alias("id"), "subject", "body", "label", "split"
     )
 
 
@@ -311,7 +321,7 @@ def mail_body_serve(spark: SparkSession, d: str) -> DataFrame:
 def corpus_from_raw(spark: SparkSession, d: str) -> DataFrame:
     """Raw mails through parsing, cleaning, gates and split."""
     raw = raw_mails(spark, d).withColumnRenamed("mail_id", "id").join(labels(spark, d), "id")
-    return build_corpus(raw).select("id", "subject", "label", "split", F.md5("body").alias("digest"))
+    return build_corpus(raw, profile=judged_mails(spark, d)[1]).select("id", "subject", "label", "split", F.md5("body").alias("digest"))
 
 
 # --- text --------------------------------------------------------------------------------------
@@ -404,9 +414,7 @@ def valid_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    judged = judge_mails(mails(spark, d))
-    texts = with_full_text(judged)
-    return judge_language(judged, detect_language(texts, fit_language(texts)))
+    return judge_language(*judged_mails(spark, d))
 
 
 @query
@@ -433,8 +441,7 @@ def union_corpus(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text"
     )
     talk = (
-        table(spark, d, "conversations", "conv_id", "turn", "role", "text")
-        .where(F.col("role") == "user")
+        table(spark, d, "conversations", "conv_id", "turn", "text")
         .select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     )
     return C.union_corpora(C.with_label(docs, 0), C.with_label(talk, 1))
@@ -442,13 +449,13 @@ def union_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def first_n(spark: SparkSession, d: str) -> DataFrame:
-    kept = accepted(judge_mails(mails(spark, d)))
+    kept = english_mails(spark, d)
     return C.first_n(kept, 300, "id").select("id", "subject")
 
 
 @query
 def sample_n(spark: SparkSession, d: str) -> DataFrame:
-    kept = accepted(judge_mails(mails(spark, d)))
+    kept = english_mails(spark, d)
     return C.sample_n(kept, 300).select("id", "subject")
 
 
@@ -498,7 +505,7 @@ def vocab(spark: SparkSession, d: str) -> DataFrame:
 def tf(spark: SparkSession, d: str) -> DataFrame:
     """Raw counts per mail; the tokens of a mail meet in one task before they shuffle."""
     return (
-        value_rows(with_terms(corpus(spark, d)), ["id"], F.col("terms"), "term")
+        value_rows(with_terms(english_mails(spark, d)), ["id"], F.col("terms"), "term")
         .groupBy("id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -514,7 +521,7 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
 def tfidf_apply(spark: SparkSession, d: str) -> DataFrame:
     data = corpus(spark, d)
     model, _ = vectors(part(data, "train"))
-    new = model.transform(with_terms(part(data, "test")))
+    new = model.transform(with_terms(data))
     return V.long_form(new, model).select("id", "term", r6("weight").alias("weight"))
 
 
@@ -531,9 +538,9 @@ def token_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def encode_ids(spark: SparkSession, d: str) -> DataFrame:
-    data = corpus(spark, d)
-    words = V.fit_token_vocabulary(_model_tokens(part(data, "train")), "tokens")
-    encoded = V.encode(_model_tokens(data), words, "tokens")
+    train = part(corpus(spark, d), "train")
+    words = materialize(V.fit_token_vocabulary(_model_tokens(train), "tokens"), "token-vocab")
+    encoded = V.encode(_model_tokens(english_mails(spark, d)), words, "tokens")
     as_text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
     return encoded.select("id", as_text("input_ids"), as_text("attention_mask"))
 
@@ -564,19 +571,14 @@ def nb_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def nb_score(spark: SparkSession, d: str) -> DataFrame:
-    return scored_test(spark, d).select("id", "label", "spam_prob", "pred")
+    return scored_test(spark, d).select("id", "label", r6("spam_prob").alias("spam_prob"), "pred")
 
 
 @query
 def score_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Every user message of the conversations, scored by the model of the documents."""
+    """Every message of the conversations, scored by the model of the documents."""
     _, fitted = naive_bayes(spark, d)
-    talk = spread(
-        table(spark, d, "conversations", "conv_id", "turn", "role", "text").where(
-            F.col("role") == "user"
-        )
-    )
-    new = talk.select(
+    new = text_table(spark, d, "conversations", "conv_id", "turn", "text").select(
         F.concat_ws(":", "conv_id", "turn").alias("id"),
         F.lit("").alias("subject"),
         F.col("text").alias("body"),
@@ -588,8 +590,7 @@ def score_batch(spark: SparkSession, d: str) -> DataFrame:
 def score_serve(spark: SparkSession, d: str) -> DataFrame:
     """Raw mails of every document through the serving parser and the serving cleaner."""
     _, fitted = naive_bayes(spark, d)
-    raw = raw_mails(spark, d).where(F.col("format").isin("plain", "alternative"))
-    scored = fitted.score_raw(raw, threshold=0.3, profile="serve")
+    scored = fitted.score_raw(raw_mails(spark, d), threshold=0.3, profile="serve")
     return scored.select("mail_id", "prediction", r6("spam_prob").alias("spam_prob"))
 
 
@@ -712,7 +713,7 @@ def confusion_norm(spark: SparkSession, d: str) -> DataFrame:
 @query
 def roc_curve(spark: SparkSession, d: str) -> DataFrame:
     return M.roc_curve(scored_test(spark, d)).select(
-        "threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr")
+        r6("threshold").alias("threshold"), r6("fpr").alias("fpr"), r6("tpr").alias("tpr")
     )
 
 
@@ -746,19 +747,19 @@ def roc_events(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_type").isin("purchase", "signup").cast("int").alias("label"),
         (F.lit(1.0) / (F.lit(1.0) + F.exp((F.lit(20.0) - F.col("value")) / 10.0))).alias("spam_prob"),
     )
-    return M.roc_curve(ev).select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+    return M.roc_curve(ev).select(r6("threshold").alias("threshold"), r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
 
 
 # --- explanation -------------------------------------------------------------------------------
 
 
-def _test_texts(data: DataFrame) -> DataFrame:
-    return part(data, "test").select("id", marked_text(F.col("subject"), F.col("body")).alias("text"))
+def _texts(data: DataFrame) -> DataFrame:
+    return data.select("id", marked_text(F.col("subject"), F.col("body")).alias("text"))
 
 
 @query
 def lime_weights(spark: SparkSession, d: str) -> DataFrame:
-    masks = X.lime_masks(_test_texts(corpus(spark, d)), num_samples=LIME_SAMPLES)
+    masks = X.lime_masks(_texts(corpus(spark, d)))
     return X.lime_weights(masks).select("id", "sample", "kept", "total", r6("weight").alias("weight"))
 
 
@@ -766,7 +767,7 @@ def lime_weights(spark: SparkSession, d: str) -> DataFrame:
 def lime_masks(spark: SparkSession, d: str) -> DataFrame:
     """Per mail and word of the benchmark texts: how often the word stays."""
     items = table(spark, d, "benchmark", "item_id", "text").withColumnRenamed("item_id", "id")
-    masks = X.lime_masks(items, num_samples=LIME_SAMPLES)
+    masks = X.lime_masks(items)
     return (
         masks.select("id", F.inline(F.arrays_zip("vocab", "mask")))
         .groupBy("id", "vocab")
@@ -778,9 +779,7 @@ def lime_masks(spark: SparkSession, d: str) -> DataFrame:
 @query
 def lime_explain(spark: SparkSession, d: str) -> DataFrame:
     data, fitted = naive_bayes(spark, d)
-    found = X.lime_explain(
-        _test_texts(data), fitted.scorer("naive_bayes"), num_samples=LIME_SAMPLES
-    )
+    found = X.lime_explain(_texts(data), fitted.scorer("naive_bayes"))
     return X.top_features(found)
 
 
@@ -788,14 +787,14 @@ def lime_explain(spark: SparkSession, d: str) -> DataFrame:
 def nb_contributions(spark: SparkSession, d: str) -> DataFrame:
     data, fitted = naive_bayes(spark, d)
     found = fitted.models["naive_bayes"].contributions(
-        fitted.features(part(data, "test")), fitted.tfidf
+        fitted.features(data), fitted.tfidf
     )
     return found.select("id", "term", r6("contribution").alias("contribution"))
 
 
 def _nb_importances(data: DataFrame, fitted: Baselines) -> DataFrame:
     found = fitted.models["naive_bayes"].contributions(
-        fitted.features(part(data, "test")), fitted.tfidf
+        fitted.features(data), fitted.tfidf
     )
     return found.select("id", F.col("term").alias("feature"), r6("contribution").alias("score"))
 
@@ -809,7 +808,7 @@ def top_features(spark: SparkSession, d: str) -> DataFrame:
 def explain_status(spark: SparkSession, d: str) -> DataFrame:
     data, fitted = naive_bayes(spark, d)
     features = X.top_features(_nb_importances(data, fitted))
-    return X.explain_status(full_text(part(data, "test")).select("id", "text"), features)
+    return X.explain_status(full_text(data).select("id", "text"), features)
 
 
 # --- streaming ---------------------------------------------------------------------------------
@@ -817,10 +816,10 @@ def explain_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The test split arriving as a stream of files, scored into the prediction history."""
+    """The corpus arriving as a stream of files, scored into the prediction history."""
     data, fitted = naive_bayes(spark, d)
     inbox = scratch_path(spark, "inbox")
-    part(data, "test").select("id", "subject", "body").write.parquet(inbox)
+    data.select("id", "subject", "body").write.parquet(inbox)
     history = scratch_path(spark, "stream-history")
     stream = mail_stream(spark, inbox, spark.read.parquet(inbox).schema)
     score_stream(
@@ -837,10 +836,7 @@ def stream_scores(spark: SparkSession, d: str) -> DataFrame:
 @query
 def train_and_evaluate(spark: SparkSession, d: str) -> DataFrame:
     """Labelled mails cleaned, gated (language too), split; naive Bayes fitted; test metrics."""
-    judged = judge_mails(mails(spark, d))
-    profile = fit_language(with_full_text(judged))
-    kept = accepted_english(judged.join(labels(spark, d), "id"), profile)
-    data = C.exact_split(materialize(kept.select("id", "subject", "body", "label"), "corpus"))
+    data = corpus(spark, d)
     fitted = fit_baselines(part(data, "train"))
     scored = fitted.models["naive_bayes"].score(fitted.features(part(data, "test")))
     return _metrics6(M.binary_metrics(scored.withColumn("pred", L.predicted_class())))

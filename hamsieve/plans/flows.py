@@ -13,7 +13,7 @@ from hamsieve.functions.text import clean, plain_text
 from hamsieve.operators.corpus import exact_split
 from hamsieve.operators.features import TfidfModel, terms
 from hamsieve.operators.gates import reject_reason, with_clean_mail
-from hamsieve.operators.language import LanguageProfile, detect_language
+from hamsieve.operators.language import LanguageProfile
 from hamsieve.operators.mime import corpus_mails, parse_mails, serve_mails
 from hamsieve.operators.models import (
     LinearModel,
@@ -40,22 +40,22 @@ def judge_mails(mails: DataFrame) -> DataFrame:
     return materialize(judged.drop("full_text"), "judged")
 
 
-def judge_language(judged: DataFrame, detected: DataFrame, id_col: str = "id") -> DataFrame:
-    """Give the mails that passed the native gates ``language`` as reason unless found English."""
+def judge_language(judged: DataFrame, profile: LanguageProfile) -> DataFrame:
+    """Add ``detected``, and give mails that passed the other gates ``language`` as reason unless English.
+
+    Inside the row: no text moves.
+    """
     english = F.col("detected").eqNullSafe(F.lit("en"))
     reason = F.when((F.col("reason") == "accepted") & ~english, "language").otherwise(
         F.col("reason")
     )
-    return judged.join(detected, id_col, "left").withColumn("reason", reason)
+    return profile.detect(with_full_text(judged)).drop("full_text").withColumn("reason", reason)
 
 
-def accepted_english(
-    judged: DataFrame, profile: LanguageProfile, id_col: str = "id"
-) -> DataFrame:
-    """Accepted mails in English. Language, the costly gate, sees only what passed the others."""
-    passed = accepted(judged)
-    detected = detect_language(with_full_text(passed), profile, id_col)
-    return accepted(judge_language(passed, detected, id_col)).drop("detected", "reason")
+def accepted_english(judged: DataFrame, profile: LanguageProfile) -> DataFrame:
+    """Accepted mails in English; stored. Language, the costly gate, sees only what passed the others."""
+    kept = accepted(judge_language(accepted(judged), profile))
+    return materialize(kept.drop("detected", "reason"), "english")
 
 
 def accepted(judged: DataFrame) -> DataFrame:
@@ -72,11 +72,7 @@ def build_corpus(
     judged = judge_mails(
         corpus_mails(parse_mails(raw, message)).withColumn("label", F.col("label").cast("int"))
     )
-    if profile is None:
-        kept = accepted(judged)
-    else:
-        # stored, so that the language join is not repeated for the split
-        kept = materialize(accepted_english(judged, profile, id_col), "corpus")
+    kept = accepted(judged) if profile is None else accepted_english(judged, profile)
     return exact_split(kept.select(id_col, "subject", "body", "label"), id_col)
 
 

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
+from hamsieve.sources.tables import SPREAD
 
-def local_session(cpus: int | str = "*", name: str = "hamsieve", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session. On a cluster use the session the cluster gives: nothing here is required."""
-    spark = (
+
+def local_session(cpus: int | str = "*", name: str = "hamsieve", shuffle_partitions: int = 8, spread: int | None = None) -> SparkSession:
+    """A local session. On a cluster use the session the cluster gives: nothing here is required.
+
+    ``spread`` deals small text tables to so many tasks. A scratch folder is made where the session's
+    defaults name none: all executors of a local session share it.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.driver.host", "127.0.0.1")
@@ -22,7 +29,11 @@ def local_session(cpus: int | str = "*", name: str = "hamsieve", shuffle_partiti
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if spread:
+        builder = builder.config(SPREAD, str(spread))
+    spark = builder.getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hamsieve-"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -4,15 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small scan to all cores; leave any larger scan as it is.
-
-    A table of a few row groups is one task or two, however many cores there are. A table large
-    enough to matter has more scan tasks than cores and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+#: Session setting: deal the rows of text tables to so many tasks. Unset, tables are read as they lie.
+#: For tables of one row group only, which no split size can spread over the cores.
+SPREAD = "spark.hamsieve.spread"
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -21,5 +15,7 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def text_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """A table whose rows are costly to process; see ``spread``."""
-    return spread(table(spark, folder, name, *columns))
+    """A table whose rows are costly to process; see ``SPREAD``."""
+    df = table(spark, folder, name, *columns)
+    tasks = spark.conf.get(SPREAD, None)
+    return df.repartition(int(tasks)) if tasks else df

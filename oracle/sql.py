@@ -103,21 +103,21 @@ CLEANED = f"""cleaned AS (
 
 BLANK = "(subject = '' AND body = '')"
 
-# Language: the 1000 most frequent trigrams per language of the first 1000 characters.
-GRAMS = """grams AS (
-  SELECT id, lang, substr(head, i, 3) AS gram FROM (
-    SELECT id, lang, head, unnest(range(1, length(head) - 1)) AS i FROM (
-      SELECT id, lang, substr(full_text, 1, 1000) AS head FROM cleaned)))"""
-PROFILE = """counts AS (SELECT lang, gram, count(*) AS n FROM grams GROUP BY ALL),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM counts),
-profile AS (SELECT lang, gram, n FROM ranked WHERE r <= 1000),
+# Language: all trigrams of whole texts; a text is judged by its first 1000 characters.
+_GRAM_LIST = "list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])"
+GRAMS = f"""grams AS (
+  SELECT id, lang, unnest({_GRAM_LIST}) AS gram FROM (
+    SELECT id, lang, string_split(substr(full_text, 1, 1000), '') AS c FROM cleaned WHERE length(full_text) > 2))"""
+PROFILE = f"""counts AS (
+  SELECT lang, gram, count(*) AS n FROM (
+    SELECT lang, unnest({_GRAM_LIST}) AS gram FROM (
+      SELECT lang, string_split(full_text, '') AS c FROM cleaned WHERE length(full_text) > 2)) GROUP BY ALL),
 sizes AS (
-  SELECT lang, sum(n) + (SELECT count(DISTINCT gram) FROM profile) AS size FROM profile GROUP BY lang),
-known AS (SELECT DISTINCT gram FROM profile),
+  SELECT lang, sum(n) + (SELECT count(DISTINCT gram) FROM counts) AS size FROM counts GROUP BY lang),
+known AS (SELECT DISTINCT gram FROM counts),
 lp AS (
   SELECT k.gram, s.lang, ln(coalesce(p.n, 0) + 1) - ln(s.size) AS lp
-  FROM known k CROSS JOIN sizes s LEFT JOIN profile p ON p.gram = k.gram AND p.lang = s.lang)"""
+  FROM known k CROSS JOIN sizes s LEFT JOIN counts p ON p.gram = k.gram AND p.lang = s.lang)"""
 DETECTED = """scores AS (
   SELECT g.id, lp.lang, round(sum(lp.lp), 6) AS score FROM grams g JOIN lp ON g.gram = lp.gram GROUP BY ALL),
 detected AS (
@@ -143,10 +143,10 @@ def split_of(source: str) -> str:
     SELECT *, row_number() OVER (ORDER BY {key('id')}, id) AS r, count(*) OVER () AS n FROM ({source})))"""
 
 
-LABELLED = f"""SELECT c.id, subject, body, CAST(l.toxic AS INTEGER) AS label
-      FROM cleaned c JOIN labels l ON c.id = l.doc_id
-      WHERE NOT {BLANK} AND {valid('full_text')}"""
-CORPUS = (MAILS, CLEANED, split_of(LABELLED))
+LABELLED = """SELECT j.id, subject, body, CAST(l.toxic AS INTEGER) AS label
+      FROM judged j JOIN labels l ON j.id = l.doc_id WHERE reason = 'accepted'"""
+CORPUS = (*LANGUAGE, split_of(LABELLED))
+KEPT = (*LANGUAGE, "kept AS (SELECT id, subject, body FROM judged WHERE reason = 'accepted')")
 
 TERMS = f"""lists AS (
   SELECT id, label, split, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS t
@@ -183,7 +183,7 @@ MODEL = (*CORPUS, TERMS, VOCAB, TFIDF, NB)
 def scored(where: str) -> str:
     return f"""sums AS (SELECT id, sum(weight * d) AS s FROM tfidf JOIN delta USING (term) WHERE {where} GROUP BY id),
 scored AS (
-  SELECT c.id, c.label, c.split, round(p, 6) AS spam_prob, p, CAST(p > 0.5 AS INTEGER) AS pred FROM (
+  SELECT c.id, c.label, c.split, round(p, 9) AS spam_prob, p, CAST(p > 0.5 AS INTEGER) AS pred FROM (
     SELECT c.id, c.label, c.split, 1.0 / (1.0 + exp(-(b + coalesce(s, 0)))) AS p
     FROM corpus c LEFT JOIN sums ON sums.id = c.id, bias WHERE {where.replace('split', 'c.split')}) c)"""
 
@@ -241,7 +241,7 @@ BEST = """best AS (
 def roc(source: str) -> tuple[str, ...]:
     return (
         f"""points AS (
-  SELECT round({source.split('.')[1]}, 6) AS threshold, count(*) FILTER (label = 1) AS pos,
+  SELECT {source.split('.')[1]} AS threshold, count(*) FILTER (label = 1) AS pos,
     count(*) FILTER (label = 0) AS neg FROM {source.split('.')[0]} GROUP BY 1),
 cumulative AS (
   SELECT threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
@@ -259,7 +259,7 @@ curve AS (
     )
 
 
-ROC_SELECT = "SELECT threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM curve"
+ROC_SELECT = "SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM curve"
 
 FORMAT = """(CASE id % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'base64' WHEN 2 THEN 'quoted'
     WHEN 3 THEN 'alternative' ELSE 'nested' END)"""
@@ -294,8 +294,8 @@ PLACED_B = f"CASE WHEN {trim_ws('body')} = '' THEN '[NO BODY]' ELSE {clean('body
 MODEL_TEXT = f"'[SUBJECT] ' || {PLACED_S} || ' [BODY] ' || {PLACED_B}"
 MARKED = "'[SUBJECT] ' || subject || ' [BODY] ' || body"
 RESERVED = ", ".join(f"({q(t)}, {i})" for i, t in enumerate(fixed.RESERVED_TOKENS))
-TOKEN_IDS = f"""seqs AS (
-  SELECT id, split, regexp_extract_all({MODEL_TEXT}, {q(_SPECIAL + f'|[{WORD}]+|[^{WORD}{WS}]')}) AS toks FROM corpus),
+_TOKS = f"regexp_extract_all({MODEL_TEXT}, {q(_SPECIAL + f'|[{WORD}]+|[^{WORD}{WS}]')}) AS toks"
+TOKEN_IDS = f"""seqs AS (SELECT id, split, {_TOKS} FROM corpus),
 reserved AS (SELECT * FROM (VALUES {RESERVED}) v(token, token_id)),
 token_counts AS (
   SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM seqs WHERE split = 'train')
@@ -303,10 +303,10 @@ token_counts AS (
 token_vocab AS (
   SELECT token, CAST(token_id AS INTEGER) AS token_id FROM reserved
   UNION ALL SELECT token, CAST(6 + r AS INTEGER) FROM (
-    SELECT token, row_number() OVER (ORDER BY n DESC, token) AS r FROM token_counts) WHERE r <= 30515)"""
+    SELECT token, row_number() OVER (ORDER BY n DESC, token) AS r FROM token_counts))"""
 
 STOPS = ", ".join(q(w) for w in fixed.STOP_WORDS)
-LIME_N = 100
+LIME_N = 1000
 
 
 def masks(source: str) -> str:
@@ -324,7 +324,7 @@ masks AS (
 
 
 CONTRIBUTIONS = """contributions AS (
-  SELECT id, term, round(weight * d, 6) AS contribution FROM tfidf JOIN delta USING (term) WHERE split = 'test')"""
+  SELECT id, term, round(weight * d, 6) AS contribution FROM tfidf JOIN delta USING (term))"""
 TOP = f"""ranked_features AS (
   SELECT id, term AS feature, contribution AS score,
     CAST(row_number() OVER (PARTITION BY id ORDER BY abs(contribution) DESC, term) AS INTEGER) AS rank FROM contributions),
@@ -360,6 +360,10 @@ def decided(source: str, p: str = "p", at: float = 0.5, id_: str = "id") -> str:
     )
 
 
+# Form encoding, in which a space is written _ and a byte =XX.
+Q_SUBJECT = (
+    "replace(replace(replace(replace(url_encode(subject), '%20', '_'), '%2A', '*'), '~', '%7E'), '%', '=')"
+)
 SERVE_CLEAN = f"{clean('subject', 'serve')} || ' ' || {clean('body', 'serve')}"
 
 ORACLES: dict[str, str] = {
@@ -370,10 +374,10 @@ ORACLES: dict[str, str] = {
     "scan_mail_files": f"""SELECT item_id, 'item' AS subject,
   CASE WHEN {valid('text')} THEN rtrim(text) ELSE '' END AS body FROM benchmark""",
     "split_round_trip": with_(*CORPUS)
-    + "SELECT id, subject, body, label FROM corpus WHERE split = 'test'",
+    + "SELECT id, subject, body, label, split FROM corpus",
     "split_csv_round_trip": with_(*CORPUS)
-    + "SELECT id, subject, body, label FROM corpus WHERE split = 'validate'",
-    "model_round_trip": with_(*TEST) + "SELECT id, spam_prob FROM scored",
+    + "SELECT id, subject, body, label, split FROM corpus",
+    "model_round_trip": with_(*TEST) + "SELECT id, round(p, 6) AS spam_prob FROM scored",
     "prediction_history": with_(*MODEL, scored("split IN ('validate', 'test')")) + decided("scored"),
     "history_csv": with_(*EPOCHS)
     + f"SELECT epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss, {ROUNDED} FROM epochs",
@@ -397,15 +401,19 @@ LEFT JOIN best b USING (run_id)""",
     "mail_body_serve": with_(MAILS)
     + "SELECT id AS mail_id, body, false AS parse_error FROM mails",
     "corpus_from_raw": with_(
-        MAILS,
+        *LANGUAGE,
         PARTS,
         BODIES,
         f"""raw_cleaned AS (
   SELECT id, subject, body, subject || ' ' || body AS full_text FROM (
     SELECT m.id, {clean('m.subject')} AS subject, {clean('b.body')} AS body FROM mails m JOIN bodies b ON m.id = b.id))""",
+        GRAMS.replace("grams AS", "raw_grams AS").replace("lang, ", "").replace("cleaned", "raw_cleaned"),
+        DETECTED.replace("scores AS", "raw_scores AS").replace("FROM scores", "FROM raw_scores")
+        .replace("detected AS (", "raw_detected AS (").replace("FROM grams", "FROM raw_grams"),
         split_of(
             f"""SELECT c.id, subject, body, CAST(l.toxic AS INTEGER) AS label FROM raw_cleaned c
-      JOIN labels l ON c.id = l.doc_id WHERE NOT {BLANK} AND {valid('full_text')}"""
+      JOIN labels l ON c.id = l.doc_id JOIN raw_detected d ON c.id = d.id
+      WHERE NOT {BLANK} AND {valid('full_text')} AND d.detected = 'en'"""
         ),
     )
     + "SELECT id, subject, label, split, md5(body) AS digest FROM corpus",
@@ -435,11 +443,9 @@ FROM (SELECT *, {clean('text')} AS cleaned FROM texts)""",
     + "SELECT lang, reason, count(*) AS mails FROM judged GROUP BY ALL",
     # corpus
     "union_corpus": """SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, text, 0 AS label FROM documents
-UNION ALL SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), text, 1 FROM conversations WHERE role = 'user'""",
-    "first_n": with_(MAILS, CLEANED)
-    + f"SELECT id, subject FROM cleaned WHERE NOT {BLANK} AND {valid('full_text')} ORDER BY id LIMIT 300",
-    "sample_n": with_(MAILS, CLEANED)
-    + f"SELECT id, subject FROM cleaned WHERE NOT {BLANK} AND {valid('full_text')} ORDER BY {key('id')}, id LIMIT 300",
+UNION ALL SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), text, 1 FROM conversations""",
+    "first_n": with_(*KEPT) + "SELECT id, subject FROM kept ORDER BY id LIMIT 300",
+    "sample_n": with_(*KEPT) + f"SELECT id, subject FROM kept ORDER BY {key('id')}, id LIMIT 300",
     "shuffle_order": f"""SELECT doc_id AS id, row_number() OVER (ORDER BY {key('doc_id')}, doc_id) AS position FROM documents""",
     "exact_split": with_(*CORPUS) + "SELECT id, label, split FROM corpus",
     "split_summary": with_(*CORPUS)
@@ -455,16 +461,17 @@ FROM (SELECT id, {tokens("subject || ' ' || body")} AS t FROM mails)""",
   FROM (SELECT id, {tokens("subject || ' ' || body")} AS t FROM mails))""",
     "vocab": with_(*CORPUS, TERMS, VOCAB)
     + "SELECT term, df, total, round(idf, 6) AS idf FROM vocab",
-    "tf": with_(*CORPUS, TERMS) + "SELECT id, term, tf FROM tf",
+    "tf": with_(*KEPT, "corpus AS (SELECT *, 0 AS label, 'all' AS split FROM kept)", TERMS) + "SELECT id, term, tf FROM tf",
     "tfidf": with_(*CORPUS, TERMS, VOCAB, TFIDF)
     + "SELECT id, term, round(weight, 6) AS weight FROM tfidf WHERE split = 'train'",
     "tfidf_apply": with_(*CORPUS, TERMS, VOCAB, TFIDF)
-    + "SELECT id, term, round(weight, 6) AS weight FROM tfidf WHERE split = 'test'",
+    + "SELECT id, term, round(weight, 6) AS weight FROM tfidf",
     "token_vocab": with_(*CORPUS, TOKEN_IDS) + "SELECT token, token_id FROM token_vocab",
     "encode_ids": with_(*CORPUS, TOKEN_IDS)
+    + f", all_seqs AS (SELECT id, {_TOKS} FROM judged WHERE reason = 'accepted')"
     + """, placed AS (
   SELECT s.id, s.pos, coalesce(v.token_id, 1) AS token_id
-  FROM (SELECT id, unnest(toks[1:510]) AS token, generate_subscripts(toks[1:510], 1) AS pos FROM seqs) s
+  FROM (SELECT id, unnest(toks[1:510]) AS token, generate_subscripts(toks[1:510], 1) AS pos FROM all_seqs) s
   LEFT JOIN token_vocab v ON v.token = s.token),
 used AS (
   SELECT id, list_concat(list_concat([2], list(token_id ORDER BY pos)), [3]) AS ids FROM placed GROUP BY id)
@@ -482,21 +489,22 @@ FROM (SELECT label, count(*) AS mails FROM corpus WHERE split = 'train' GROUP BY
     "nb_fit": with_(*MODEL)
     + """SELECT t.label, term, round(t.lp, 6) AS log_likelihood, round(p.lp, 6) AS log_prior
 FROM theta t JOIN prior p ON t.label = p.label""",
-    "nb_score": with_(*TEST) + "SELECT id, label, spam_prob, pred FROM scored",
+    "nb_score": with_(*TEST) + "SELECT id, label, round(spam_prob, 6) AS spam_prob, pred FROM scored",
     "score_batch": with_(
         *MODEL,
         *new_scores(
             f"""SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, {clean('text')} AS text
-  FROM conversations WHERE role = 'user'"""
+  FROM conversations"""
         ),
     )
     + decided("new_scores"),
     "score_serve": with_(
         *MODEL,
-        *new_scores(
-            f"""SELECT id, {SERVE_CLEAN} AS text FROM (
-    SELECT id, subject, body FROM mails WHERE id % 5 IN (0, 3))"""
-        ),
+        # The serving parser takes the subject as it stands in the header, encoded words and all.
+        f"""served AS (
+  SELECT id, body, CASE WHEN id % 5 = 1 THEN '=?UTF-8?Q?' || {Q_SUBJECT} || '?='
+    WHEN id % 5 = 4 THEN '=?utf-8?B?' || to_base64(encode(subject)) || '?=' ELSE subject END AS subject FROM mails)""",
+        *new_scores(f"SELECT id, {SERVE_CLEAN} AS text FROM served"),
     )
     + """SELECT id AS mail_id, CASE WHEN p >= 0.3 THEN 'spam' ELSE 'ham' END AS prediction,
   round(p, 6) AS spam_prob FROM new_scores""",
@@ -554,10 +562,13 @@ stops AS (SELECT run_id, min(epoch) AS stop_epoch FROM last_gains WHERE epoch -
 FROM last_gains l LEFT JOIN stops s ON s.run_id = l.run_id
 WHERE s.stop_epoch IS NULL OR l.epoch <= s.stop_epoch GROUP BY l.run_id""",
     # explanation
-    "lime_weights": with_(*CORPUS, f"test_texts AS (SELECT id, {MARKED} AS text FROM corpus WHERE split = 'test')", masks("test_texts"))
+    "lime_weights": with_(*CORPUS, f"""removals AS (
+  SELECT id, total, s AS sample, total - CASE WHEN s = 0 THEN 0 ELSE
+    1 + CAST(('0x' || substr(md5('42:' || id || ':' || s), 1, 8)) AS BIGINT) % total END AS kept
+  FROM (SELECT id, len(list_distinct(regexp_extract_all({MARKED}, '[{WORD}]+'))) AS total FROM corpus),
+    (SELECT unnest(range({LIME_N})) AS s) WHERE total > 0)""")
     + """SELECT id, CAST(sample AS INTEGER) AS sample, CAST(kept AS INTEGER) AS kept, CAST(total AS INTEGER) AS total,
-  round(sqrt(exp(-pow(100 * (1 - sqrt(CAST(kept AS DOUBLE) / total)), 2) / 625)), 6) AS weight
-FROM (SELECT id, sample, total, count(*) FILTER (stays) AS kept FROM masks GROUP BY ALL)""",
+  round(sqrt(exp(-pow(100 * (1 - sqrt(CAST(kept AS DOUBLE) / total)), 2) / 625)), 6) AS weight FROM removals""",
     "lime_masks": with_("items AS (SELECT item_id AS id, text FROM benchmark)", masks("items"))
     + "SELECT id, word, count(*) FILTER (stays) AS kept FROM masks GROUP BY ALL",
     "nb_contributions": with_(*MODEL, CONTRIBUTIONS) + "SELECT * FROM contributions",
@@ -565,22 +576,9 @@ FROM (SELECT id, sample, total, count(*) FILTER (stays) AS kept FROM masks GROUP
     "explain_status": with_(*MODEL, CONTRIBUTIONS, TOP)
     + f"""SELECT c.id, CASE WHEN {trim_ws("subject || ' ' || body")} = '' THEN 'empty_text' WHEN n IS NULL THEN 'no_features' ELSE 'ok' END AS status,
   coalesce(n, 0) AS features FROM corpus c
-LEFT JOIN (SELECT id, count(*) AS n FROM top_features GROUP BY id) f ON f.id = c.id WHERE split = 'test'""",
+LEFT JOIN (SELECT id, count(*) AS n FROM top_features GROUP BY id) f ON f.id = c.id""",
     # streaming
-    "stream_scores": with_(*TEST) + decided("scored"),
+    "stream_scores": with_(*MODEL, scored("split IN ('train', 'validate', 'test')")) + decided("scored"),
     # flagship
-    "train_and_evaluate": with_(
-        *LANGUAGE,
-        split_of(
-            """SELECT j.id, subject, body, CAST(l.toxic AS INTEGER) AS label
-      FROM judged j JOIN labels l ON j.id = l.doc_id WHERE reason = 'accepted'"""
-        ),
-        TERMS,
-        VOCAB,
-        TFIDF,
-        NB,
-        scored("split = 'test'"),
-        TEST_METRICS,
-    )
-    + f"SELECT {ROUNDED} FROM metrics",
+    "train_and_evaluate": with_(*TEST, TEST_METRICS) + f"SELECT {ROUNDED} FROM metrics",
 }
