@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from hamsieve.functions.let import let
@@ -25,15 +28,52 @@ _SINGLE_BYTE = {
     "windows-1254": "cp1254",
     "koi8-r": "koi8-r",
 }
+# Declared name -> name of the set in the Java platform, for the sets that are not one byte a character.
+_WIDE = {
+    "gb2312": "GB2312",
+    "gbk": "GBK",
+    "gb18030": "GB18030",
+    "big5": "Big5",
+    "shift_jis": "Shift_JIS",
+    "shift-jis": "Shift_JIS",
+    "euc-jp": "EUC-JP",
+    "iso-2022-jp": "ISO-2022-JP",
+    "euc-kr": "EUC-KR",
+    "utf-16": "UTF-16",
+    "utf-16le": "UTF-16LE",
+    "utf-16be": "UTF-16BE",
+}
+_JAVA_SETS = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+
+
+@contextmanager
+def java_charsets(spark: SparkSession) -> Iterator[None]:
+    """Within, expressions may name any character set of the Java platform, and replace what does not fit.
+
+    Spark notes both settings in each expression when it is resolved, so that plans built within keep them
+    and the session goes on with its own.
+    """
+    before = {k: spark.conf.get(k) for k in _JAVA_SETS}
+    try:
+        for k in _JAVA_SETS:
+            spark.conf.set(k, "true")
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _upper_half(codec: str) -> str:
     return "".join(bytes([i]).decode(codec, "replace") for i in range(0x80, 0x100))
 
 
-def _by_charset(charset: Column, utf8: Column, latin1: Column, undeclared: Column) -> Column:
+def _by_charset(
+    charset: Column, utf8: Column, latin1: Column, undeclared: Column, content: Column
+) -> Column:
     """Pick by declared character set. ``latin1`` is the text with byte n as character n."""
     out = F.when(charset.isin(*_UTF8_NAMES), utf8)
+    for name, java in _WIDE.items():
+        out = out.when(charset == name, F.decode(content, java))
     by_codec: dict[str, list[str]] = {}
     for name, codec in _SINGLE_BYTE.items():
         by_codec.setdefault(codec, []).append(name)
@@ -47,16 +87,20 @@ def latin1_text(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 
 
+def latin1_bytes(text: Column) -> Column:
+    return F.encode(text, "ISO-8859-1")
+
+
 def decode_bytes(content: Column, charset: Column | None = None) -> Column:
     """Binary to string: the declared character set, else UTF-8 when valid, else Latin-1.
 
-    Bytes that a declared UTF-8 cannot read become U+FFFD; nothing raises.
+    Bytes that the declared set cannot read become U+FFFD; nothing raises. Build it within ``java_charsets``.
     """
     charset = F.lit("") if charset is None else F.lower(F.coalesce(charset, F.lit("")))
     valid = F.is_valid_utf8(content.cast("string"))
     utf8 = F.make_valid_utf8(content.cast("string"))
     latin1 = latin1_text(content)
-    return _by_charset(charset, utf8, latin1, F.when(valid, utf8).otherwise(latin1))
+    return _by_charset(charset, utf8, latin1, F.when(valid, utf8).otherwise(latin1), content)
 
 
 def decode_ignoring(content: Column) -> Column:
@@ -120,4 +164,4 @@ def decode_percent(p: Column, charset: Column) -> Column:
     charset = F.lower(F.coalesce(charset, F.lit("")))
     utf8, latin1 = percent_utf8(p), percent_latin1(p)
     undeclared = F.when(F.contains(utf8, F.lit("�")), latin1).otherwise(utf8)
-    return _by_charset(charset, utf8, latin1, undeclared)
+    return _by_charset(charset, utf8, latin1, undeclared, latin1_bytes(latin1))

@@ -19,6 +19,8 @@ from hamsieve.functions.bytes import (
     decode_bytes,
     decode_percent,
     escape_percent,
+    java_charsets,
+    latin1_bytes,
     percent_utf8,
     quoted_printable_to_percent,
 )
@@ -37,6 +39,11 @@ NESTED_MAIL = (
     r"content-type:[ \t]*+message/rfc822[^\n]*+\n(?:[^\n]++\n)*+\n)++"
 )
 BOUNDARY = r"""(?i)boundary[ \t]*=[ \t]*"?([^"\n;]+)"""
+# The same in the header block of a part: a delimiter line, header lines, and among them the content type.
+PART_BOUNDARY = (
+    r"(?im)^--[^\n]*+\n(?:(?!content-type:)[!-9;-~]++:[^\n]*+\n(?:[ \t][^\n]*+\n)*+)*+"
+    r"""content-type:[ \t]*+multipart/(?:[^\n]|\n[ \t])*?boundary[ \t]*=[ \t]*"?([^"\n;]+)"""
+)
 ENCODED_WORD = r"=\?[^?\s]+\?[bBqQ]\?[^?]*\?="
 _BETWEEN_WORDS = r"(=\?[^?\s]+\?[bBqQ]\?[^?]*\?=)\s+(?==\?[^?\s]+\?[bBqQ]\?[^?]*\?=)"
 _WORD_OR_TEXT = rf"{ENCODED_WORD}|(?:(?!{ENCODED_WORD})(?s:.))++"
@@ -155,8 +162,11 @@ def _typed(hb: Column, part_no: Column) -> Column:
     )
 
 
-def _decoded(p: Column) -> Column:
-    """Add ``text`` (declared or guessed character set) and ``strict`` (UTF-8, null if it is not)."""
+def _decoded(p: Column, latin1: Column) -> Column:
+    """Add ``text`` (declared or guessed character set) and ``strict`` (UTF-8, null if it is not).
+
+    ``latin1`` says that the mail was read byte by byte: an 8-bit part is then still to be decoded.
+    """
 
     def out(text: Column, strict: Column) -> Column:
         return F.struct(
@@ -184,13 +194,16 @@ def _decoded(p: Column) -> Column:
             p["encoding"] == "quoted-printable",
             let(quoted_printable_to_percent(p["body"]), from_percent),
         )
+        .when(latin1, let(latin1_bytes(p["body"]), from_bytes))
         .otherwise(out(p["body"], p["body"]))
     )
 
 
 def _delimiter(boundaries: Column) -> Column:
     quoted = F.transform(
-        boundaries, lambda b: F.concat(F.lit(r"\Q"), F.rtrim(b), F.lit(r"\E"))
+        boundaries,
+        # A boundary that holds the end of the quotation is quoted around it.
+        lambda b: F.concat(F.lit(r"\Q"), F.replace(F.rtrim(b), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")),
     )
     return F.concat(
         F.lit(r"(?md)^--(?:"), F.array_join(quoted, "|"), F.lit(r")(?=(?:--)?[ \t]*$)")
@@ -214,9 +227,11 @@ def _pieces(body: Column, boundaries: Column) -> Column:
 def parse_mails(df: DataFrame, raw: str = "message") -> DataFrame:
     """Replace ``raw`` by ``subject_raw, is_multipart, parts, parse_error``.
 
-    ``parts``: array of ``part_no, content_type, charset, encoding, text, strict`` in walk order; a
+    A column ``latin1`` tells mails that were read byte by byte (see ``sources.corpus.decode_mails``); without
+    it no mail was. ``parts``: array of ``part_no, content_type, charset, encoding, text, strict`` in walk order; a
     mail without parts is its own only one. The text of non-text parts is not decoded.
     """
+    latin1 = F.coalesce(F.col("latin1"), F.lit(False)) if "latin1" in df.columns else F.lit(False)
     mail = split_mail(unix_newlines(F.coalesce(F.col(raw), F.lit(""))))
     out = df.withColumn("_m", mail).withColumn(
         "_declared", header_value(F.col("_m.header"), "content-type")
@@ -232,7 +247,7 @@ def parse_mails(df: DataFrame, raw: str = "message") -> DataFrame:
             F.array_distinct(
                 F.concat(
                     F.regexp_extract_all(F.col("_declared"), F.lit(BOUNDARY), F.lit(1)),
-                    F.regexp_extract_all(F.col("_m.body"), F.lit(BOUNDARY), F.lit(1)),
+                    F.regexp_extract_all(F.col("_m.body"), F.lit(PART_BOUNDARY), F.lit(1)),
                 )
             ),
         ),
@@ -242,11 +257,12 @@ def parse_mails(df: DataFrame, raw: str = "message") -> DataFrame:
         F.col("is_multipart"), F.transform(split_pieces, lambda hb, i: _typed(hb, i + 1))
     ).otherwise(F.array(_typed(F.col("_m"), F.lit(0))))
     subject = F.rtrim(header_value(F.col("_m.header"), "subject"))
+    with java_charsets(df.sparkSession):
+        out = out.withColumn("parts", F.transform(typed, lambda p: _decoded(p, latin1)))
     return (
-        out.withColumn("parts", F.transform(typed, _decoded))
-        .withColumn("subject_raw", subject)
+        out.withColumn("subject_raw", subject)
         .withColumn("parse_error", F.col(raw).isNull())
-        .drop("_m", "_declared", "_boundaries", raw)
+        .drop("_m", "_declared", "_boundaries", "latin1", raw)
     )
 
 
@@ -263,12 +279,12 @@ def _is_text(p: Column) -> Column:
 
 def corpus_mails(parsed: DataFrame) -> DataFrame:
     """Subject and body for the corpus: decoded subject; every valid text part, joined by spaces."""
+    with java_charsets(parsed.sparkSession):
+        parsed = parsed.withColumn("_s", decode_header(F.col("subject_raw")))
     kept = F.filter(F.col("parts"), lambda p: _is_text(p) & is_valid(p["text"]))
     body = F.array_join(F.transform(kept, lambda p: p["text"]), " ")
     return _finish(
-        parsed.withColumn("_s", decode_header(F.col("subject_raw"))).withColumn(
-            "parse_error", F.col("parse_error") | F.col("_s.broken")
-        ),
+        parsed.withColumn("parse_error", F.col("parse_error") | F.col("_s.broken")),
         F.col("_s.text"),
         body,
     )

@@ -43,7 +43,7 @@ from hamsieve.plans.flows import (
     with_full_text,
 )
 from hamsieve.sources import artifacts, corpus as S
-from hamsieve.sources.compose import compose_mails
+from hamsieve.sources.compose import compose_foreign_mails, compose_mails
 from hamsieve.sources.scratch import materialize, scratch_path
 from hamsieve.sources.tables import table, text_table
 from hamsieve.streaming.scoring import mail_stream, score_stream
@@ -324,6 +324,26 @@ def corpus_from_raw(spark: SparkSession, d: str) -> DataFrame:
     return build_corpus(raw, profile=judged_mails(spark, d)[1]).select("id", "subject", "label", "split", F.md5("body").alias("digest"))
 
 
+def foreign_mails(spark: SparkSession, d: str) -> DataFrame:
+    """Mails of many character sets, as their bytes are read from files; some cannot be read."""
+    return S.decode_mails(compose_foreign_mails(mails(spark, d), "id", "subject", "body"))
+
+
+@query
+def mail_charsets(spark: SparkSession, d: str) -> DataFrame:
+    return mime.corpus_mails(mime.parse_mails(foreign_mails(spark, d))).select(
+        "mail_id", "subject", "body", "parse_error"
+    )
+
+
+@query
+def reject_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Why mails of many character sets are rejected; unreadable ones are counted as such."""
+    read = mime.corpus_mails(mime.parse_mails(foreign_mails(spark, d)))
+    sets = F.pmod("mail_id", F.lit(6)).cast("int").alias("charset_no")
+    return G.reject_report(judge_mails(read).select("reason", sets), "charset_no")
+
+
 # --- text --------------------------------------------------------------------------------------
 
 
@@ -377,7 +397,7 @@ def marked_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _all_texts(spark: SparkSession, d: str) -> DataFrame:
-    """``source, id, text`` of documents, pages (raw) and conversations."""
+    """``source, id, text`` of documents, pages (raw), conversations and documents with noise."""
     return C.union_corpora(
         text_table(spark, d, "documents", "doc_id", "text").select(
             F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("id"), "text"
@@ -392,6 +412,19 @@ def _all_texts(spark: SparkSession, d: str) -> DataFrame:
             F.concat_ws(":", "conv_id", "turn").alias("id"),
             "text",
         ),
+        # Each document once more with one of the noise patterns behind it, in capitals.
+        text_table(spark, d, "documents", "doc_id", "text").select(
+            F.lit("noisy").alias("source"),
+            F.col("doc_id").cast("string").alias("id"),
+            F.concat_ws(
+                " ",
+                "text",
+                F.upper(F.element_at(
+                    F.array(*[F.lit(p) for p in fixed.NOISE_PATTERNS]),
+                    (F.pmod("doc_id", F.lit(len(fixed.NOISE_PATTERNS))) + 1).cast("int"),
+                )),
+            ).alias("text"),
+        ),
     )
 
 

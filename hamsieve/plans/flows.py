@@ -36,8 +36,12 @@ def judge_mails(mails: DataFrame) -> DataFrame:
     ``reason`` is a pushed-down predicate. The joined text is cheap to rebuild and is not stored.
     """
     s, b, t = F.col("subject"), F.col("body"), F.col("full_text")
-    judged = with_clean_mail(mails).withColumn("reason", reject_reason(s, b, t))
-    return materialize(judged.drop("full_text"), "judged")
+    reason = reject_reason(s, b, t)
+    if "parse_error" in mails.columns:
+        # An unreadable mail has empty texts; it is counted as what it is.
+        reason = F.when(F.col("parse_error"), "parse_error").otherwise(reason)
+    judged = with_clean_mail(mails).withColumn("reason", reason)
+    return materialize(judged.drop("full_text", "parse_error"), "judged")
 
 
 def judge_language(judged: DataFrame, profile: LanguageProfile) -> DataFrame:

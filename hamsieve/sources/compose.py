@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hamsieve.functions.bytes import java_charsets
+
 FORMATS = ("plain", "base64", "quoted", "alternative", "nested")
 
 
@@ -84,3 +86,62 @@ def compose_mails(df: DataFrame, id_col: str, subject: str, body: str) -> DataFr
         )
     )
     return df.select(i.alias("mail_id"), fmt.alias("format"), message.alias("message"))
+
+
+#: Character sets and the letters that stand for a to z in mails written in them.
+ALPHABETS = (
+    ("koi8-r", "абцдефгхийклмнопярстувшыжз"),
+    ("windows-1251", "абцдефгхийклмнопярстувшыжз"),
+    ("iso-8859-2", "aącćdeęfghijklłmnńoóprsśtu"),
+    ("gb2312", "天地人你我他上下大小中国学生老师工作时间地方朋友水火"),
+    ("shift_jis", "アイウエオカキクケコサシスセソタチツテトナニヌネノハ"),
+    ("big5", "天地人你我他上下大小中國學生老師工作時間地方朋友水火"),
+)
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+TRANSFERS = ("8bit", "quoted-printable", "base64")
+
+
+def foreign_text(text: Column, which: Column) -> Column:
+    """``text`` in lower case with the letters of one of ``ALPHABETS``; what is not ASCII becomes a question mark."""
+    plain = F.lower(F.regexp_replace(text, F.lit(r"[^\x00-\x7F]"), F.lit("?")))
+    out = plain
+    for k, (_, letters) in enumerate(ALPHABETS):
+        out = F.when(which == k, F.translate(plain, _LETTERS, letters)).otherwise(out)
+    return out
+
+
+def compose_foreign_mails(df: DataFrame, id_col: str, subject: str, body: str) -> DataFrame:
+    """``mail_id, content``: each row becomes the bytes of a mail in a character set and transfer encoding chosen by its id.
+
+    Every fiftieth cannot be read: one has no content, the next a broken word as its subject.
+    """
+    i = F.col(id_col)
+    which = F.pmod(i, F.lit(len(ALPHABETS)))
+    transfer = F.pmod(F.floor(i / len(ALPHABETS)), F.lit(len(TRANSFERS)))
+    s, b = foreign_text(F.col(subject), which), foreign_text(F.col(body), which)
+
+    def encoded(text: Column) -> Column:
+        out = F.encode(text, "UTF-8")
+        for k, (name, _) in enumerate(ALPHABETS):
+            out = F.when(which == k, F.encode(text, name)).otherwise(out)
+        return out
+
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in ALPHABETS]), (which + 1).cast("int"))
+    with java_charsets(df.sparkSession):
+        # Resolved column by column, while the sets are known.
+        bytes_ = df.select(i.alias("mail_id"), name.alias("_set"), transfer.alias("_transfer"), encoded(s).alias("_s"), encoded(b).alias("_b"))
+    word = F.concat(F.lit("=?"), "_set", F.lit("?B?"), F.regexp_replace(F.base64("_s"), F.lit(r"\s"), F.lit("")), F.lit("?="))
+    broken = F.lit("=?utf-8?B?abcde?=")
+    head = F.concat(
+        F.lit("Subject: "), F.when(F.pmod("mail_id", F.lit(50)) == 8, broken).otherwise(word),
+        F.lit("\nContent-Type: text/plain; charset="), F.col("_set"), F.lit("\nContent-Transfer-Encoding: "),
+        F.element_at(F.array(*[F.lit(t) for t in TRANSFERS]), (F.col("_transfer") + 1).cast("int")), F.lit("\n\n"),
+    )
+    quoted = F.regexp_replace(F.regexp_replace(F.hex("_b"), F.lit("(..)"), F.lit("=$1")), F.lit("((?:=..){20})"), F.lit("$1=\n"))
+    whole = (
+        F.when(F.col("_transfer") == 0, F.concat(F.encode(head, "UTF-8"), "_b"))
+        .when(F.col("_transfer") == 1, F.encode(F.concat(head, quoted), "UTF-8"))
+        .otherwise(F.encode(F.concat(head, F.base64("_b")), "UTF-8"))
+    )
+    content = F.when(F.pmod("mail_id", F.lit(50)) != 7, whole)
+    return bytes_.select("mail_id", content.alias("content"))

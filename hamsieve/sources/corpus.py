@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hamsieve.functions.bytes import decode_bytes, decode_ignoring
+from hamsieve.functions.bytes import decode_bytes, decode_ignoring, java_charsets
 
 CSV_SCHEMA = T.StructType(
     [T.StructField("file", T.StringType()), T.StructField("message", T.StringType())]
@@ -36,18 +36,29 @@ def write_mail_csv(df: DataFrame, path: str) -> None:
     df.select("file", "message").write.options(header=True, quote='"', escape='"').csv(path)
 
 
+def decode_mails(df: DataFrame, charset: str | None = None, content: str = "content") -> DataFrame:
+    """Replace the bytes of whole mails by ``message`` and ``latin1``.
+
+    ``latin1`` is set where neither a given set nor UTF-8 fits: then byte n stands as character n, and
+    the parts are decoded later, each by the set that it declares.
+    """
+    declared = F.lit(charset) if charset else None
+    known = F.is_valid_utf8(F.col(content).cast("string")) | F.lit(charset is not None)
+    with java_charsets(df.sparkSession):
+        return df.withColumn("message", decode_bytes(F.col(content), declared)).withColumn("latin1", ~known).drop(content)
+
+
 def read_mail_files(
     spark: SparkSession, path: str, glob: str = MAIL_GLOB, charset: str | None = None
 ) -> DataFrame:
-    """``path, message``: one row per mail file below ``path``, at any depth, decoded."""
+    """``path, message, latin1``: one row per mail file below ``path``, at any depth; see ``decode_mails``."""
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .load(path)
     )
-    declared = F.lit(charset) if charset else None
-    return raw.select("path", decode_bytes(F.col("content"), declared).alias("message"))
+    return decode_mails(raw.select("path", "content"), charset)
 
 
 def read_mail_files_for_scoring(spark: SparkSession, path: str, glob: str = "*.{eml,txt}") -> DataFrame:

@@ -9,6 +9,44 @@ from __future__ import annotations
 
 from hamsieve.functions import fixed
 
+# The statements' own copies of the two lists.
+STOP_WORDS = """
+a about above across after afterwards again against all almost alone along already also although always am
+among amongst amoungst amount an and another any anyhow anyone anything anyway anywhere are around as at back
+be became because become becomes becoming been before beforehand behind being below beside besides between
+beyond bill both bottom but by call can cannot cant co con could couldnt cry de describe detail do done down
+due during each eg eight either eleven else elsewhere empty enough etc even ever every everyone everything
+everywhere except few fifteen fifty fill find fire first five for former formerly forty found four from front
+full further get give go had has hasnt have he hence her here hereafter hereby herein hereupon hers herself
+him himself his how however hundred i ie if in inc indeed interest into is it its itself keep last latter
+latterly least less ltd made many may me meanwhile might mill mine more moreover most mostly move much must my
+myself name namely neither never nevertheless next nine no nobody none noone nor not nothing now nowhere of
+off often on once one only onto or other others otherwise our ours ourselves out over own part per perhaps
+please put rather re same see seem seemed seeming seems serious several she should show side since sincere six
+sixty so some somehow someone something sometime sometimes somewhere still such system take ten than that the
+their them themselves then thence there thereafter thereby therefore therein thereupon these they thick thin
+third this those though three through throughout thru thus to together too top toward towards twelve twenty
+two un under until up upon us very via was we well were what whatever when whence whenever where whereafter
+whereas whereby wherein whereupon wherever whether which while whither who whoever whole whom whose why will
+with within without would yet you your yours yourself yourselves
+""".split()
+NOISE_PATTERNS = (
+    "content-transfer-encoding",
+    "content-type:",
+    "content-id:",
+    "image/gif",
+    "image/jpeg",
+    "image/png",
+    "application/",
+    "multipart/",
+    "boundary=",
+    "charset=",
+    "name=",
+    "filename=",
+    "base64",
+    "quoted-printable",
+)
+
 WS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
 NL = "chr(10)"
@@ -70,7 +108,7 @@ def clean(expr: str, profile: str = "corpus") -> str:
 
 
 def noise(expr: str) -> str:
-    return "(" + " OR ".join(f"contains(lower({expr}), {q(p)})" for p in fixed.NOISE_PATTERNS) + ")"
+    return "(" + " OR ".join(f"contains(lower({expr}), {q(p)})" for p in NOISE_PATTERNS) + ")"
 
 
 def valid(expr: str) -> str:
@@ -282,10 +320,13 @@ BODIES = f"""bodies AS (
 ALL_TEXTS = """texts AS (
   SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS id, text FROM documents
   UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages
-  UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), text FROM conversations)"""
+  UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), text FROM conversations
+  UNION ALL SELECT 'noisy', CAST(doc_id AS VARCHAR), text || ' ' || upper((""" + "[" + ", ".join(
+    q(p) for p in NOISE_PATTERNS
+) + """])[doc_id % 14 + 1]) FROM documents)"""
 
 RULES = ", ".join(
-    f"CASE WHEN contains(lower(text), {q(p)}) THEN {q(p)} END" for p in fixed.NOISE_PATTERNS
+    f"CASE WHEN contains(lower(text), {q(p)}) THEN {q(p)} END" for p in NOISE_PATTERNS
 )
 
 _SPECIAL = r"\[NO SUBJECT\]|\[NO BODY\]|\[SUBJECT\]|\[BODY\]"
@@ -305,7 +346,7 @@ token_vocab AS (
   UNION ALL SELECT token, CAST(6 + r AS INTEGER) FROM (
     SELECT token, row_number() OVER (ORDER BY n DESC, token) AS r FROM token_counts))"""
 
-STOPS = ", ".join(q(w) for w in fixed.STOP_WORDS)
+STOPS = ", ".join(q(w) for w in STOP_WORDS)
 LIME_N = 1000
 
 
@@ -366,7 +407,42 @@ Q_SUBJECT = (
 )
 SERVE_CLEAN = f"{clean('subject', 'serve')} || ' ' || {clean('body', 'serve')}"
 
+# Letters that stand for a to z in mails of six character sets.
+CYRILLIC = "абцдефгхийклмнопярстувшыжз"
+ALPHABETS = (
+    CYRILLIC,
+    CYRILLIC,
+    "aącćdeęfghijklłmnńoóprsśtu",
+    "天地人你我他上下大小中国学生老师工作时间地方朋友水火",
+    "アイウエオカキクケコサシスセソタチツテトナニヌネノハ",
+    "天地人你我他上下大小中國學生老師工作時間地方朋友水火",
+)
+
+
+def foreign(expr: str) -> str:
+    low = f"lower({sub(expr, '[^' + chr(92) + 'x00-' + chr(92) + 'x7F]', '?')})"
+    arms = " ".join(f"WHEN {k} THEN translate({low}, 'abcdefghijklmnopqrstuvwxyz', '{a}')" for k, a in enumerate(ALPHABETS))
+    return f"CASE id % 6 {arms} END"
+
+
+FOREIGN = f"""foreign_mails AS (
+  SELECT id, id % 50 IN (7, 8) AS parse_error, {foreign('subject')} AS subject, {foreign('body')} AS body FROM mails),
+read_mails AS (
+  SELECT id, parse_error, CASE WHEN parse_error THEN '' ELSE subject END AS subject,
+    CASE WHEN parse_error OR NOT {valid('body')} THEN '' ELSE body END AS body FROM foreign_mails)"""
+
 ORACLES: dict[str, str] = {
+    "mail_charsets": with_(MAILS, FOREIGN) + "SELECT id AS mail_id, subject, body, parse_error FROM read_mails",
+    "reject_parsed": with_(
+        MAILS,
+        FOREIGN,
+        f"""read_cleaned AS (
+  SELECT id, parse_error, subject, body, subject || ' ' || body AS full_text FROM (
+    SELECT id, parse_error, {clean('subject')} AS subject, {clean('body')} AS body FROM read_mails))""",
+    )
+    + f"""SELECT CAST(id % 6 AS INTEGER) AS charset_no, CASE WHEN parse_error THEN 'parse_error' WHEN {BLANK} THEN 'blank'
+  WHEN {noise('full_text')} THEN 'noise' WHEN length({trim_ws('full_text')}) < 10 THEN 'short' ELSE 'accepted' END AS reason,
+  count(*) AS mails FROM read_cleaned GROUP BY ALL""",
     # sources and sinks
     "scan_mail_csv": with_(MAILS)
     + f"""SELECT 'mail/' || id AS file, md5('Subject: ' || subject || {NL} || {NL} || body) AS digest,
