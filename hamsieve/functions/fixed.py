@@ -49,6 +49,14 @@ NUM_SAMPLES = 1000
 NUM_FEATURES = 10
 KERNEL_WIDTH = 25.0
 
+# A training run.
+MODEL_NAME = "naive_bayes"
+BATCH_SIZE = 16
+LEARNING_RATE = 2e-5
+NUM_EPOCHS = 10
+WARMUP_STEPS = 100
+WEIGHT_DECAY = 0.01
+ACCUMULATION_STEPS = 4
 PATIENCE = 3
 THRESHOLD = 0.5
 

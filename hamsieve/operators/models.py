@@ -1,4 +1,4 @@
-"""Classifiers: naive Bayes and logistic regression by aggregation, a dense head by Spark ML.
+"""Classifiers: naive Bayes by aggregation, logistic regression and a dense head by Spark ML.
 
 Both text models are linear in the features, so one scorer serves both: an intercept and a weight
 per term, applied inside the row.
@@ -7,10 +7,10 @@ per term, applied inside the row.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import ElementwiseProduct
@@ -59,7 +59,9 @@ def fit_naive_bayes(
 
     What reaches the driver is 2 x vocabulary numbers.
     """
-    priors = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    # Three rows tell whether there are more than two classes; a wrong column is not collected.
+    priors = {r[label]: r["n"] for r in counts.limit(3).collect()}
     if not priors or set(priors) - {0, 1}:
         raise ValueError(f"labels must be 0 and 1, found {sorted(priors)}")
     sums = {c: [0.0] * vocab_size for c in (0, 1)}
@@ -137,61 +139,6 @@ class NaiveBayes(LinearModel):
 # --- logistic regression -----------------------------------------------------------------------
 
 
-def _loss_and_gradient(
-    train: DataFrame, model: LinearModel, label: str, vector: str
-) -> tuple[float, np.ndarray]:
-    """Weighted log loss and its gradient at ``model``, in one aggregation over the mails.
-
-    Every mail adds (term, residual x feature); place -1 is the intercept and -2 the loss. Partial
-    sums leave each task with at most vocabulary + 2 rows, and so much reaches the driver.
-    """
-    m, y, w = F.col("_m"), F.col(label), F.col("_w")
-    # ln(1 + e^m) without overflow
-    loss = F.greatest(m, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m))) - y * m
-    residual = w * (F.lit(1.0) / (F.lit(1.0) + F.exp(-m)) - y)
-
-    def entry(place, value) -> Column:
-        return F.struct(place.cast("int").alias("place"), value.alias("value"))
-
-    places = F.concat(
-        F.transform(
-            sparse_entries(vector), lambda e: entry(e["term_id"], e["weight"] * F.col("_r"))
-        ),
-        F.array(entry(F.lit(-1), F.col("_r")), entry(F.lit(-2), w * loss)),
-    )
-    scored = model.with_margin(train, vector, "_m").withColumn("_r", residual)
-    sums = (
-        struct_rows(scored, [], places, "place")
-        .groupBy("place")
-        .agg(F.sum("value").alias("value"))
-        .collect()
-    )
-    gradient = np.zeros(len(model.weights) + 1)
-    total = 0.0
-    for r in sums:
-        if r["place"] == -2:
-            total = r["value"]
-        else:
-            gradient[r["place"] + 1] = r["value"]
-    return total, gradient
-
-
-def _direction(gradient: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Limited-memory BFGS descent direction."""
-    d = gradient.copy()
-    used = []
-    for step, change in reversed(pairs):
-        a = (step @ d) / (step @ change)
-        d -= a * change
-        used.append(a)
-    if pairs:
-        step, change = pairs[-1]
-        d *= (step @ change) / (change @ change)
-    for (step, change), a in zip(pairs, reversed(used)):
-        d += step * (a - (change @ d) / (step @ change))
-    return -d
-
-
 def fit_logistic(
     df: DataFrame,
     vocab_size: int,
@@ -199,54 +146,52 @@ def fit_logistic(
     vector: str = "features",
     c: float = fixed.LR_C,
     max_iter: int = fixed.LR_MAX_ITER,
-    tol: float = 1e-4,
-    memory: int = 10,
+    tol: float = 1e-10,
 ) -> LinearModel:
-    """Balanced, L2-regularised logistic regression; the intercept is not penalised.
+    """Balanced, L2-regularised logistic regression by Spark ML; the intercept is not penalised.
 
-    Minimises C x weighted log loss + |w|^2 / 2 until no entry of the gradient exceeds ``tol``.
-    Spark ML's own fit scales every feature to unit variance inside, also with
-    ``standardization=False``; under a plain L2 penalty rare terms then need hundreds of passes
-    (456 at 300 mails) where unscaled steps need a few dozen. Each pass is one aggregation.
+    Minimises C x weighted log loss + |w|^2 / 2: balanced weights add up to the number of mails, by which
+    Spark ML divides the loss, so its penalty is 1 / (C x mails). Warns if ``max_iter`` ends the fit.
     """
-    stats = {r[label]: r["mails"] for r in class_weights(df, label).collect()}
+    # Three rows tell whether there are two classes; a wrong column is not collected.
+    stats = {r[label]: r["mails"] for r in class_weights(df, label).limit(3).collect()}
     if set(stats) != {0, 1}:
         raise ValueError(f"two classes 0 and 1 are needed, found {sorted(stats)}")
-    n, k = sum(stats.values()), len(stats)
-    weight = F.when(F.col(label) == 1, n / (k * stats[1])).otherwise(n / (k * stats[0]))
-    train = df.select(F.col(label).cast("double").alias(label), vector, (weight * c).alias("_w"))
-    train = train.persist()
-
-    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
-        model = LinearModel(float(x[0]), tuple(x[1:].tolist()))
-        loss, gradient = _loss_and_gradient(train, model, label, vector)
-        gradient[1:] += x[1:]
-        return loss + 0.5 * float(x[1:] @ x[1:]), gradient
-
-    x = np.zeros(vocab_size + 1)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    try:
-        value, gradient = evaluate(x)
-        for _ in range(max_iter):
-            if np.abs(gradient).max() <= tol:
-                break
-            direction = _direction(gradient, pairs)
-            slope = gradient @ direction
-            size = 1.0 if pairs else min(1.0, 1.0 / np.abs(gradient).sum())
-            while True:
-                new_value, new_gradient = evaluate(x + size * direction)
-                if new_value <= value + 1e-4 * size * slope or size < 1e-10:
-                    break
-                size /= 2
-            step, change = size * direction, new_gradient - gradient
-            if step @ change > 1e-12:
-                pairs = (pairs + [(step, change)])[-memory:]
-            x, value, gradient = x + step, new_value, new_gradient
-            if size < 1e-10:
-                break
-    finally:
-        train.unpersist()
-    return LinearModel(float(x[0]), tuple(x[1:].tolist()))
+    n = sum(stats.values())
+    weight = F.when(F.col(label) == 1, n / (2 * stats[1])).otherwise(n / (2 * stats[0]))
+    train = df.select(F.col(label).cast("double").alias("_y"), F.col(vector).alias("_x"), weight.alias("_w"))
+    model = LogisticRegression(
+        featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * n), elasticNetParam=0.0,
+        standardization=False, maxIter=max_iter, tol=tol,
+    ).fit(train)
+    if model.summary.totalIterations >= max_iter:
+        warnings.warn(f"logistic regression stopped after {max_iter} passes before it converged", stacklevel=2)
+    return LinearModel(float(model.intercept), tuple(map(float, model.coefficients.toArray())))
+
+
+def logistic_gradient(
+    df: DataFrame, model: LinearModel, label: str = "label", vector: str = "features", c: float = fixed.LR_C
+) -> DataFrame:
+    """``term_id, gradient`` of that loss at ``model``, by one aggregation; the intercept is -1.
+
+    At the optimum all are zero. Terms without any occurrence in ``df`` are left out.
+    """
+    counts = F.broadcast(class_weights(df, label).select(label, F.col("weight").alias("_w")))
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_m")))
+    residual = F.lit(c) * F.col("_w") * (p - F.col(label))
+    scored = model.with_margin(df.join(counts, label), vector, "_m").withColumn("_r", residual)
+    entries = F.concat(
+        F.transform(
+            sparse_entries(vector),
+            lambda e: F.struct(e["term_id"].alias("term_id"), (e["weight"] * F.col("_r")).alias("g")),
+        ),
+        F.array(F.struct(F.lit(-1).alias("term_id"), F.col("_r").alias("g"))),
+    )
+    sums = struct_rows(scored, [], entries, "term_id").groupBy("term_id").agg(F.sum("g").alias("g"))
+    penalty = F.when(F.col("term_id") >= 0, F.col("weight")).otherwise(0.0)
+    return sums.join(F.broadcast(model.table(df.sparkSession)), "term_id").select(
+        "term_id", (F.col("g") + penalty).alias("gradient")
+    )
 
 
 def fit_dense_head(

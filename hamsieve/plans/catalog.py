@@ -39,6 +39,7 @@ from hamsieve.plans.flows import (
     fit_baselines,
     judge_language,
     judge_mails,
+    prepare_corpus,
     vectors,
     with_full_text,
 )
@@ -46,7 +47,7 @@ from hamsieve.sources import artifacts, corpus as S
 from hamsieve.sources.compose import compose_foreign_mails, compose_mails
 from hamsieve.sources.scratch import materialize, scratch_path
 from hamsieve.sources.tables import table, text_table
-from hamsieve.streaming.scoring import mail_stream, score_stream
+from hamsieve.streaming.scoring import mail_file_stream, mail_stream, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,13 +213,27 @@ def split_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def model_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    data, fitted = naive_bayes(spark, d)
+    """Both models saved, loaded, and compared on the test split; naive Bayes also by its scores."""
+    data = corpus(spark, d)
+    names = ("naive_bayes", "logistic_regression")
+    fitted = fit_baselines(part(data, "train"), names)
     path = scratch_path(spark, "models")
-    artifacts.save_models(spark, path, fitted.tfidf, fitted.models)
-    tfidf, models = artifacts.load_models(spark, path, "naive_bayes")
-    loaded = Baselines(tfidf, models)
-    scored = models["naive_bayes"].score(loaded.features(part(data, "test")))
-    return scored.select("id", r6("spam_prob").alias("spam_prob"))
+    fitted.save(spark, path)
+    loaded = Baselines.load(spark, path, *names)
+    test = part(data, "test")
+    for k, b in (("was", fitted), ("now", loaded)):
+        test = b.features(test)
+        for name in names:
+            test = b.models[name].score(test).withColumnRenamed("spam_prob", f"{name}_{k}")
+        test = test.drop("features")
+    same = [F.abs(F.col(f"{n}_was") - F.col(f"{n}_now")) < 1e-9 for n in names]
+    return test.select(
+        "id",
+        r6("naive_bayes_now").alias("spam_prob"),
+        (same[0] & same[1]).alias("same_scores"),
+        F.lit(loaded.profile).alias("profile"),
+        F.lit(loaded.models["naive_bayes"].prior == fitted.models["naive_bayes"].prior).alias("same_priors"),
+    )
 
 
 @query
@@ -252,14 +267,22 @@ def run_params(spark: SparkSession, d: str) -> DataFrame:
     run = epoch_runs(spark, d, "epoch").withColumn("run_id", F.lit("events"))
     best = M.best_epoch(run).first()
     params = {
+        "model_name": fixed.MODEL_NAME,
         "max_length": fixed.MAX_LENGTH,
+        "batch_size": fixed.BATCH_SIZE,
+        "learning_rate": fixed.LEARNING_RATE,
+        "num_epochs": fixed.NUM_EPOCHS,
+        "warmup_steps": fixed.WARMUP_STEPS,
+        "weight_decay": fixed.WEIGHT_DECAY,
+        "gradient_accumulation_steps": fixed.ACCUMULATION_STEPS,
         "patience": fixed.PATIENCE,
         "best_f1": best["f1"] if best else 0.0,
         "best_epoch": best["epoch"] if best else 0,
     }
     artifacts.save_params(spark, path, "events", params)
     back = spark.read.schema(
-        "run_id string, max_length int, patience int, best_f1 double, best_epoch int"
+        "run_id string, model_name string, max_length int, batch_size int, learning_rate double, num_epochs int, "
+        "warmup_steps int, weight_decay double, gradient_accumulation_steps int, patience int, best_f1 double, best_epoch int"
     ).json(path)
     return back.withColumn("best_f1", r6("best_f1"))
 
@@ -645,6 +668,32 @@ def lr_fit(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def lr_settled(spark: SparkSession, d: str) -> DataFrame:
+    """Per term of the logistic model: is the loss level there? The gradient is summed apart from the fit."""
+    tfidf_model, train = vectors(part(corpus(spark, d), "train"))
+    train = materialize(train, "vectors")
+    model = L.fit_logistic(train, len(tfidf_model.vocabulary))
+    names = tfidf_model.table(spark).select("term_id", "term")
+    return L.logistic_gradient(train, model).join(F.broadcast(names), "term_id", "left").select(
+        F.coalesce("term", F.lit("(intercept)")).alias("term"), (F.abs("gradient") < 1e-3).alias("settled")
+    )
+
+
+@query
+def lr_agrees(spark: SparkSession, d: str) -> DataFrame:
+    """Per test mail: does the score in the row equal the one put together from single contributions?"""
+    data = corpus(spark, d)
+    fitted = fit_baselines(part(data, "train"), ("logistic_regression",))
+    model = fitted.models["logistic_regression"]
+    test = materialize(model.score(fitted.features(part(data, "test"))), "scored")
+    sums = model.contributions(test, fitted.tfidf).groupBy("id").agg(F.sum("contribution").alias("s"))
+    margin = F.coalesce("s", F.lit(0.0)) + F.lit(model.intercept)
+    return test.join(sums, "id", "left").select(
+        "id", "label", (F.abs(F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("spam_prob")) < 1e-9).alias("agrees")
+    )
+
+
 @query
 def lr_score(spark: SparkSession, d: str) -> DataFrame:
     data = corpus(spark, d)
@@ -665,7 +714,11 @@ def model_compare(spark: SparkSession, d: str) -> DataFrame:
             for name, m in fitted.models.items()
         ]
     )
-    return M.binary_metrics(scored.withColumn("pred", L.predicted_class()), "model")
+    scored = materialize(scored.withColumn("pred", L.predicted_class()), "compared")
+    areas = [
+        M.roc_auc(scored.where(F.col("model") == name)).withColumn("model", F.lit(name)) for name in fitted.models
+    ]
+    return M.binary_metrics(scored, "model").join(C.union_corpora(*areas), "model")
 
 
 @query
@@ -816,6 +869,24 @@ def lime_explain(spark: SparkSession, d: str) -> DataFrame:
     return X.top_features(found)
 
 
+@query
+def lime_settled(spark: SparkSession, d: str) -> DataFrame:
+    """Per mail: the number of explaining words, and whether the equations of its fit hold."""
+    data, fitted = naive_bayes(spark, d)
+    found = X.lime_explain(_texts(data), fitted.scorer("naive_bayes"))
+    return found.groupBy("id").agg(
+        F.count(F.lit(1)).alias("features"), (F.max("residual") < 1e-6).alias("settled")
+    )
+
+
+@query
+def explain_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Features of each mail in the order of a plot and in that of a table."""
+    return X.ordered_features(X.top_features(_nb_importances(*naive_bayes(spark, d)))).select(
+        "id", "feature", "plot_place", "table_place"
+    )
+
+
 @query
 def nb_contributions(spark: SparkSession, d: str) -> DataFrame:
     data, fitted = naive_bayes(spark, d)
@@ -863,6 +934,56 @@ def stream_scores(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _item_files(spark: SparkSession, d: str) -> str:
+    """The benchmark texts as mail files, one each; returns their folder."""
+    path = scratch_path(spark, "item-files")
+    message = F.concat(F.lit("Subject: win\n\n"), F.col("text"))
+    items = table(spark, d, "benchmark", "item_id", "text")
+    items.select("item_id", message.alias("m")).write.partitionBy("item_id").text(path)
+    return path
+
+
+def _by_item(scored: DataFrame) -> DataFrame:
+    return scored.select(
+        F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"),
+        "prediction",
+        r6("spam_prob").alias("spam_prob"),
+    )
+
+
+@query
+def score_files(spark: SparkSession, d: str) -> DataFrame:
+    """Mail files read, parsed, cleaned and scored."""
+    _, fitted = naive_bayes(spark, d)
+    return _by_item(fitted.score_files(spark, _item_files(spark, d)))
+
+
+@query
+def stream_file_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The same files arriving as a stream."""
+    _, fitted = naive_bayes(spark, d)
+    arriving = S.decode_mails(mail_file_stream(spark, _item_files(spark, d)).select("path", "content"))
+    history = scratch_path(spark, "file-history")
+    score_stream(arriving, fitted.score_raw, history, scratch_path(spark, "file-checkpoint")).awaitTermination()
+    return _by_item(spark.read.parquet(history))
+
+
+@query
+def prepared_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Ham from a CSV corpus and spam from a tree of mail files to one split table."""
+    labelled = materialize(mails(spark, d).join(labels(spark, d), "id"), "two-corpora")
+    message = F.concat(F.lit("Subject: "), "subject", F.lit("\n\n"), "body").alias("message")
+    ham_path, spam_path = scratch_path(spark, "ham-csv"), scratch_path(spark, "spam-files")
+    S.write_mail_csv(labelled.where("label = 0").select(F.col("id").cast("string").alias("file"), message), ham_path)
+    labelled.where("label = 1").select("id", message).write.partitionBy("id").text(spam_path)
+    ham = S.read_mail_csv(spark, ham_path).select(F.col("file").cast("long").alias("id"), "message")
+    files = S.read_mail_files(spark, spam_path)
+    spam = files.select(F.regexp_extract("path", r"id=(\d+)", 1).cast("long").alias("id"), "message", "latin1")
+    return prepare_corpus(ham, spam, judged_mails(spark, d)[1], scratch_path(spark, "prepared")).select(
+        "id", "subject", "label", "split", F.md5("body").alias("digest")
+    )
+
+
 # --- flagship ----------------------------------------------------------------------------------
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hamsieve.functions import fixed
 from hamsieve.functions.text import clean, plain_text
-from hamsieve.operators.corpus import exact_split
+from hamsieve.operators.corpus import exact_split, first_n, sample_n, union_corpora, with_label
 from hamsieve.operators.features import TfidfModel, terms
 from hamsieve.operators.gates import reject_reason, with_clean_mail
 from hamsieve.operators.language import LanguageProfile
@@ -21,6 +21,8 @@ from hamsieve.operators.models import (
     fit_logistic,
     fit_naive_bayes,
 )
+from hamsieve.sources.artifacts import load_models, save_models, saved_profile
+from hamsieve.sources.corpus import read_mail_files_for_scoring, read_split, write_splits
 from hamsieve.sources.scratch import materialize
 
 
@@ -80,6 +82,25 @@ def build_corpus(
     return exact_split(kept.select(id_col, "subject", "body", "label"), id_col)
 
 
+def prepare_corpus(
+    ham: DataFrame, spam: DataFrame, profile: LanguageProfile, path: str, size: int = fixed.SAMPLE_SIZE
+) -> DataFrame:
+    """Two mail corpora to one split table below ``path``: the first job of a training run.
+
+    ``ham`` and ``spam``: ``id, message`` and perhaps ``latin1``, as the readers give them. At most
+    ``size`` mails of each pass: of ham the first that pass all gates, of spam a sample of those that do.
+    Ids must not clash.
+    """
+
+    def judged(mails: DataFrame, label: int) -> DataFrame:
+        read = corpus_mails(parse_mails(mails))
+        return with_label(accepted_english(judge_mails(read), profile).select("id", "subject", "body"), label)
+
+    both = union_corpora(first_n(judged(ham, 0), size, "id"), sample_n(judged(spam, 1), size))
+    write_splits(exact_split(materialize(both, "prepared")), path)
+    return read_split(ham.sparkSession, path)
+
+
 @dataclass(frozen=True)
 class Baselines:
     """A fitted vectoriser and the models over it, with the cleaning profile they were fitted on."""
@@ -125,6 +146,17 @@ class Baselines:
         """Parse raw mails as they are served, then ``score``."""
         return self.score(serve_mails(parse_mails(raw, message)), **options)
 
+    def score_files(self, spark: SparkSession, path: str, **options) -> DataFrame:
+        """Read the mail files below ``path`` and ``score_raw`` them; one row per file."""
+        return self.score_raw(read_mail_files_for_scoring(spark, path), **options)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        save_models(spark, path, self.tfidf, self.models, self.profile)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, *names: str) -> "Baselines":
+        return cls(*load_models(spark, path, *names), saved_profile(spark, path))
+
 
 def vectors(train: DataFrame, **limits) -> tuple[TfidfModel, DataFrame]:
     """Fit TF-IDF on cleaned mails; return it with the training vectors.

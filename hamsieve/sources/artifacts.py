@@ -10,21 +10,40 @@ from pyspark.sql import functions as F
 
 from hamsieve.operators.features import TfidfModel
 from hamsieve.operators.metrics import HISTORY_COLUMNS
-from hamsieve.operators.models import LinearModel
+from hamsieve.operators.models import LinearModel, NaiveBayes
 
 
 HISTORY_SCHEMA = ", ".join(f"{c} {'int' if c == 'epoch' else 'double'}" for c in HISTORY_COLUMNS)
 
 
 def save_models(
-    spark: SparkSession, path: str, tfidf: TfidfModel, models: Mapping[str, LinearModel]
+    spark: SparkSession,
+    path: str,
+    tfidf: TfidfModel,
+    models: Mapping[str, LinearModel],
+    profile: str = "corpus",
 ) -> None:
-    """The vectoriser and each model as tables of terms below ``path``; saved ones are replaced."""
+    """The vectoriser and each model as tables of terms below ``path``; saved ones are replaced.
+
+    Stored with them: the cleaning profile of the training text, and the priors and likelihoods of naive Bayes.
+    """
     terms = tfidf.table(spark)
     terms.coalesce(1).write.mode("overwrite").parquet(f"{path}/vectorizer")
+    about = [(profile, name) for name in models]
+    spark.createDataFrame(about, "profile string, model string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
     for name, model in models.items():
-        named = model.table(spark).join(terms.select("term_id", "term"), "term_id", "left")
-        named.select("term", "weight").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+        # Null for the row of the intercept, where the priors stand.
+        names = [None, *tfidf.vocabulary]
+        weights = [model.intercept, *model.weights]
+        theta = ([model.prior[c], *model.theta[c]] for c in (0, 1)) if isinstance(model, NaiveBayes) else ([None] * len(names),) * 2
+        rows = list(zip(names, map(float, weights), *theta))
+        table = spark.createDataFrame(rows, "term string, weight double, class_0 double, class_1 double")
+        table.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def saved_profile(spark: SparkSession, path: str) -> str:
+    """The cleaning profile that the models below ``path`` were fitted on."""
+    return spark.read.schema("profile string, model string").json(f"{path}/about").first()["profile"]
 
 
 def load_models(
@@ -35,8 +54,12 @@ def load_models(
     tfidf = TfidfModel.of(spark, [(r["term"], r["idf"]) for r in rows])
     models = {}
     for name in names:
-        weights = {r["term"]: r["weight"] for r in spark.read.parquet(f"{path}/{name}").collect()}
-        models[name] = LinearModel(weights[None], tuple(weights[t] for t in tfidf.vocabulary))
+        saved = {r["term"]: r for r in spark.read.parquet(f"{path}/{name}").collect()}
+        if saved[None]["class_0"] is None:
+            models[name] = LinearModel(saved[None]["weight"], tuple(saved[t]["weight"] for t in tfidf.vocabulary))
+        else:
+            theta = [tuple(saved[t][c] for t in tfidf.vocabulary) for c in ("class_0", "class_1")]
+            models[name] = NaiveBayes((saved[None]["class_0"], saved[None]["class_1"]), *theta)
     return tfidf, models
 
 

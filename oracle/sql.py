@@ -317,6 +317,15 @@ BODIES = f"""bodies AS (
   SELECT id, coalesce(string_agg(text, ' ' ORDER BY part_no) FILTER (content_type LIKE 'text/%' AND {valid('text')}), '') AS body
   FROM parts GROUP BY id)"""
 
+RAW_CLEANED = f"""raw_cleaned AS (
+  SELECT id, subject, body, subject || ' ' || body AS full_text FROM (
+    SELECT m.id, {clean('m.subject')} AS subject, {clean('b.body')} AS body FROM mails m JOIN bodies b ON m.id = b.id))"""
+RAW_LANGUAGE = (
+    GRAMS.replace("grams AS", "raw_grams AS").replace("lang, ", "").replace("cleaned", "raw_cleaned"),
+    DETECTED.replace("scores AS", "raw_scores AS").replace("FROM scores", "FROM raw_scores")
+    .replace("detected AS (", "raw_detected AS (").replace("FROM grams", "FROM raw_grams"),
+)
+
 ALL_TEXTS = """texts AS (
   SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS id, text FROM documents
   UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages
@@ -453,12 +462,14 @@ ORACLES: dict[str, str] = {
     + "SELECT id, subject, body, label, split FROM corpus",
     "split_csv_round_trip": with_(*CORPUS)
     + "SELECT id, subject, body, label, split FROM corpus",
-    "model_round_trip": with_(*TEST) + "SELECT id, round(p, 6) AS spam_prob FROM scored",
+    "model_round_trip": with_(*TEST) + "SELECT id, round(p, 6) AS spam_prob, true AS same_scores, 'corpus' AS profile, true AS same_priors FROM scored",
     "prediction_history": with_(*MODEL, scored("split IN ('validate', 'test')")) + decided("scored"),
     "history_csv": with_(*EPOCHS)
     + f"SELECT epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss, {ROUNDED} FROM epochs",
     "run_params": with_(*EPOCHS)
-    + """SELECT 'events' AS run_id, 512 AS max_length, 3 AS patience, round(f1, 6) AS best_f1, epoch AS best_epoch
+    + """SELECT 'events' AS run_id, 'naive_bayes' AS model_name, 512 AS max_length, 16 AS batch_size,
+  CAST(0.00002 AS DOUBLE) AS learning_rate, 10 AS num_epochs, 100 AS warmup_steps, CAST(0.01 AS DOUBLE) AS weight_decay,
+  4 AS gradient_accumulation_steps, 3 AS patience, round(f1, 6) AS best_f1, epoch AS best_epoch
 FROM epochs WHERE f1 > 0 ORDER BY f1 DESC, epoch LIMIT 1""",
     "resolve_model": with_(*RUNS, BEST)
     + """SELECT l.run_id AS user_id, coalesce(b.epoch, l.epoch) AS epoch,
@@ -480,12 +491,8 @@ LEFT JOIN best b USING (run_id)""",
         *LANGUAGE,
         PARTS,
         BODIES,
-        f"""raw_cleaned AS (
-  SELECT id, subject, body, subject || ' ' || body AS full_text FROM (
-    SELECT m.id, {clean('m.subject')} AS subject, {clean('b.body')} AS body FROM mails m JOIN bodies b ON m.id = b.id))""",
-        GRAMS.replace("grams AS", "raw_grams AS").replace("lang, ", "").replace("cleaned", "raw_cleaned"),
-        DETECTED.replace("scores AS", "raw_scores AS").replace("FROM scores", "FROM raw_scores")
-        .replace("detected AS (", "raw_detected AS (").replace("FROM grams", "FROM raw_grams"),
+        RAW_CLEANED,
+        *RAW_LANGUAGE,
         split_of(
             f"""SELECT c.id, subject, body, CAST(l.toxic AS INTEGER) AS label FROM raw_cleaned c
       JOIN labels l ON c.id = l.doc_id JOIN raw_detected d ON c.id = d.id
@@ -653,6 +660,38 @@ WHERE s.stop_epoch IS NULL OR l.epoch <= s.stop_epoch GROUP BY l.run_id""",
     + f"""SELECT c.id, CASE WHEN {trim_ws("subject || ' ' || body")} = '' THEN 'empty_text' WHEN n IS NULL THEN 'no_features' ELSE 'ok' END AS status,
   coalesce(n, 0) AS features FROM corpus c
 LEFT JOIN (SELECT id, count(*) AS n FROM top_features GROUP BY id) f ON f.id = c.id""",
+    "explain_orders": with_(*MODEL, CONTRIBUTIONS, TOP)
+    + """SELECT id, feature, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(score), feature) AS INTEGER) AS plot_place,
+  CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, feature) AS INTEGER) AS table_place FROM top_features""",
+    "lime_settled": with_(*CORPUS)
+    + f"""SELECT id, least(len(list_distinct(regexp_extract_all({MARKED}, '[{WORD}]+'))), 10) AS features, true AS settled
+FROM corpus""",
+    "lr_settled": with_(*CORPUS, TERMS, VOCAB)
+    + "SELECT term, true AS settled FROM vocab UNION ALL SELECT '(intercept)', true",
+    "lr_agrees": with_(*CORPUS) + "SELECT id, label, true AS agrees FROM corpus WHERE split = 'test'",
+    # files
+    **{
+        name: with_(*MODEL, *new_scores(f"""SELECT item_id AS id, 'win ' || {clean('text')} AS text FROM benchmark"""))
+        + """SELECT id AS item_id, CASE WHEN p >= 0.5 THEN 'spam' ELSE 'ham' END AS prediction,
+  round(p, 6) AS spam_prob FROM new_scores"""
+        for name in ("score_files", "stream_file_scores")
+    },
+    "prepared_corpus": with_(
+        *LANGUAGE,
+        f"bodies AS (SELECT id, CASE WHEN {valid('body')} THEN body ELSE '' END AS body FROM mails)",
+        RAW_CLEANED,
+        *RAW_LANGUAGE,
+        f"""passed AS (
+  SELECT c.id, subject, body, CAST(l.toxic AS INTEGER) AS label FROM raw_cleaned c
+  JOIN labels l ON c.id = l.doc_id JOIN raw_detected d ON c.id = d.id
+  WHERE NOT {BLANK} AND {valid('full_text')} AND d.detected = 'en')""",
+        split_of(
+            f"""SELECT id, subject, body, label FROM (
+        SELECT *, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN label = 0 THEN lpad(CAST(id AS VARCHAR), 20, '0')
+          ELSE {key('id')} END, id) AS place FROM passed) WHERE place <= 5000"""
+        ),
+    )
+    + "SELECT id, subject, label, split, md5(body) AS digest FROM corpus",
     # streaming
     "stream_scores": with_(*MODEL, scored("split IN ('train', 'validate', 'test')")) + decided("scored"),
     # flagship
