@@ -130,6 +130,9 @@ _LETTER = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
 _CORE = _DIGIT | _LETTER
 #: Lead bytes of signs and quotes beyond ASCII, and of letters whose case is not that of Latin-1.
 _ODD = (_BYTES == 0xC2) | (_BYTES >= 0xC4)
+_HIDES = _DIGIT | _ODD
+#: Size of the table of literal words' hashes; two words in one place only make a glance less sharp.
+_LITERAL_BITS = 1 << 18
 
 
 def _span(word: bytes) -> int:
@@ -186,7 +189,8 @@ class WindowTable:
                     rows = np.lib.stride_tricks.sliding_window_view(h, size)
                     seen.update(_glance(np.where(hidden, _HIDDEN, rows)).tolist())
             self.glances[size] = np.array(sorted(seen), np.uint64)
-        self.literals = np.array(sorted(literals), np.uint64)
+        self.literals = np.zeros(_LITERAL_BITS, bool)
+        self.literals[[v & (_LITERAL_BITS - 1) for v in literals]] = True
         self.needs = {n: min(self.least(t) for t, s in zip(self.totals, self.sizes, strict=True) if s == n) for n in self.lengths}
         self.reach = max((_reach(t) for t in self.templates), default=0)
 
@@ -216,38 +220,50 @@ class WindowTable:
 
     def _promising(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         starts, ends = word_spans(data, bounds)
-        core = np.flatnonzero(_CORE[data])
-        if not len(starts) or not len(core):
-            return core[:0]
-        lo, hi = np.searchsorted(core, starts), np.searchsorted(core, ends)
+        if not len(starts):
+            return starts
+        # From the first to the last letter or figure of each word.
+        inside = _CORE[data]
+        core = np.flatnonzero(inside)
+        if not len(core):
+            return core
+        count = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(inside, out=count[1:])
+        lo, hi = count[starts], count[ends]
         some = hi > lo
         s = np.where(some, core[np.minimum(lo, len(core) - 1)], starts)
         e = np.where(some, core[np.maximum(hi - 1, 0)] + 1, starts)
         # Latin-1 capitals are lower-cased as A-Z are.
-        accent = np.concatenate([[False], data[:-1] == 0xC3])
-        capital = accent & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
-        h = span_hashes(np.where(capital, data + 32, data).astype(np.uint8), s, e)
+        capital = np.zeros(len(data), bool)
+        accents = np.flatnonzero(data[:-1] == 0xC3) + 1
+        capital[accents] = (data[accents] <= 0x9E) & (data[accents] != 0x97)
+        lowered = data.copy()
+        lowered[capital] += 32
+        h = span_hashes(lowered, s, e)
         # Figures, capitals, and what case or quotes beyond ASCII could hide.
-        hides = np.concatenate([[0], np.cumsum(_DIGIT[data] | _ODD[data] | capital)])
+        hides = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_HIDES[data] | capital, out=hides[1:])
         slot = ~some | (hides[e] > hides[s]) | _UPPER[data[s]]
         # A unit behind a figure is a slot, too.
-        slot[1:] |= slot[:-1] & np.isin(h[1:], _UNIT_HASHES)
+        behind = np.flatnonzero(slot[:-1]) + 1
+        slot[behind[np.isin(h[behind], _UNIT_HASHES)]] = True
         # A figure glued to letters is two words of the template; slots in a row may be one.
-        glue = np.concatenate([[0], np.cumsum(_DIGIT[data[:-1]] & _LETTER[data[1:]]), [0]])
+        glue = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_DIGIT[data[:-1]] & _LETTER[data[1:]], out=glue[1:-1])
         glued = slot & (glue[np.maximum(e - 1, s)] > glue[s])
         loose = np.concatenate([[False], slot[1:] & slot[:-1]])
-        known = self.literals[np.minimum(np.searchsorted(self.literals, h), len(self.literals) - 1)] == h if len(self.literals) else np.zeros(len(h), bool)
-        fine = slot | known
+        fine = slot | self.literals[(h & np.uint64(_LITERAL_BITS - 1)).astype(np.int64)]
         h = np.where(slot, _HIDDEN, h)
         text = np.searchsorted(bounds, starts, "right")
-        found = [core[:0]]
+        found = [starts[:0]]
         for size, glances in self.glances.items():
             if len(h) < size:
                 # Merged or glued slots can make fewer raw words than the window has.
                 found.append(starts[loose | glued])
                 continue
             n = len(h) - size + 1
-            sums = np.concatenate([[0], np.cumsum(~fine)])
+            sums = np.zeros(len(h) + 1, np.int32)
+            np.cumsum(~fine, out=sums[1:])
             at = np.flatnonzero((sums[size:] == sums[:-size]) & (text[size - 1 :] == text[:n]))
             rows = np.lib.stride_tricks.sliding_window_view(h, size)[at]
             g = _glance(rows)
