@@ -2,8 +2,8 @@
 
 Texts are dealt into blocks of bounded size. Each block asks for its distinct keys, with what it
 contributes to each; owners of key ranges add up what all blocks have said and answer every block.
-Keys travel as sorted arrays, answers as arrays in the same order, so a key costs eight bytes one
-way and a small number back, whatever its frequency. A key found everywhere is asked for once per
+Keys travel as the gaps of sorted arrays, answers as arrays in the same order, so a key costs some six
+bytes one way and a small number back, whatever its frequency. A key found everywhere is asked for once per
 block, and a block asks an owner in one row.
 """
 
@@ -39,6 +39,22 @@ def owners_of(keys: np.ndarray, owners: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
 
 
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one, the width of a gap in bytes, and the gaps."""
+    gaps = np.diff(keys)
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return keys[:1].tobytes() + bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    width = packed[8]
+    gaps = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(gaps) + 1, 8), np.uint8)
+    steps[1:, :width] = gaps
+    steps[0] = np.frombuffer(packed, np.uint8, 8)
+    return np.cumsum(steps.view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def ask(blocked: DataFrame, keys_of: Callable[[pa.Table], Keys], owners: int) -> DataFrame:
     """One row per block, kind and owner. ``keys_of`` gives sorted distinct keys and counts by kind."""
 
@@ -53,7 +69,7 @@ def ask(blocked: DataFrame, keys_of: Callable[[pa.Table], Keys], owners: int) ->
                     rows["owner"].append(int(owners_of(k[:1], owners)[0]))
                     rows["block"].append(block)
                     rows["kind"].append(kind)
-                    rows["keys"].append(k.tobytes())
+                    rows["keys"].append(pack(k))
                     rows["counts"].append(c.tobytes())
         return pa.table(
             {
@@ -76,7 +92,7 @@ def answer_sums(asks: DataFrame) -> DataFrame:
         out: list[bytes] = [b""] * table.num_rows
         for kind in np.unique(kinds):
             at = np.flatnonzero(kinds == kind)
-            keys = [np.frombuffer(table.column("keys")[int(i)].as_py(), np.uint64) for i in at]
+            keys = [unpack(table.column("keys")[int(i)].as_py()) for i in at]
             counts = [np.frombuffer(table.column("counts")[int(i)].as_py(), np.uint32) for i in at]
             known, where = np.unique(np.concatenate(keys), return_inverse=True)
             sums = np.bincount(where, np.concatenate(counts), len(known))

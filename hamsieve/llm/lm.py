@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hamsieve.llm.blocks import Keys, answer_sums, ask, in_blocks, owners_of, told
+from hamsieve.llm.blocks import Keys, answer_sums, ask, in_blocks, owners_of, pack, told, unpack
 from hamsieve.llm.kernels import mix, words
 
 #: The least share of the shorter context, and the count at which the rest is halved.
@@ -172,12 +172,12 @@ def corpus_totals(docs: DataFrame, owners: int) -> Totals:
         for k, c in zip(np.split(keys, cuts), np.split(counts, cuts), strict=True):
             if len(k):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(owners_of(k[:1], owners).astype(np.int32)), pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())],
+                    [pa.array(owners_of(k[:1], owners).astype(np.int32)), pa.array([pack(k)], pa.binary()), pa.array([c.tobytes()], pa.binary())],
                     names=["owner", "keys", "counts"],
                 )
 
     def add(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
+        keys = np.concatenate([unpack(x) for x in table.column("keys").to_pylist()])
         counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
         known, where = np.unique(keys, return_inverse=True)
         sums = np.bincount(where, counts, len(known))

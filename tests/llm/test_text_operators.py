@@ -101,6 +101,12 @@ def test_jaccard_of_a_large_group_with_frequent_tokens(make):
     assert got == label
 
 
+@pytest.mark.parametrize("keys", [[5], [0, 1], [1, 2**63, 2**64 - 1], list(range(0, 2**40, 2**33 + 7))])
+def test_packed_keys(keys):
+    keys = np.array(keys, np.uint64)
+    assert (blocks.unpack(blocks.pack(keys)) == keys).all()
+
+
 def test_components_of_a_long_path(spark, make):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "a long, b long")
     got = {r["id"]: r["component"] for r in connected_components(edges).collect()}
