@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hamsieve.functions import fixed
 
 _HEX_PER_STEP = 3
-_SMALL = 10_000
+_KEY_DIGITS = 32
 
 
 def shuffle_key(id_col: str | Column, seed: int = fixed.SEED) -> Column:
@@ -45,7 +45,7 @@ def _kth_key(keys: DataFrame, k: int) -> str | None:
     """The k-th smallest (from 0) of a column ``key`` of hex digests; None past the end.
 
     Radix selection: count by the next three digits, keep the one bucket that holds the k-th, and
-    repeat until it is small. No step sorts or moves more than counts.
+    repeat until one row is left or the key is whole. No step sorts or moves more than counts.
     """
     prefix = ""
     while True:
@@ -56,19 +56,18 @@ def _kth_key(keys: DataFrame, k: int) -> str | None:
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()  # 16 ** 3 rows at most
         )
-        size = 0
         for row in sorted(counts, key=lambda r: r["bucket"]):
             if k < row["n"]:
-                prefix, size = row["bucket"], row["n"]
+                prefix, rows = row["bucket"], row["n"]
                 break
             k -= row["n"]
         else:
             return None
-        if size <= _SMALL or n >= 32:
-            rows = (
-                keys.where(F.startswith("key", F.lit(prefix))).orderBy("key").limit(k + 1).collect()
-            )
-            return rows[k]["key"]
+        if n >= _KEY_DIGITS:
+            # The whole key: all rows of the bucket have it.
+            return prefix
+        if rows == 1:
+            return keys.where(F.startswith("key", F.lit(prefix))).first()["key"]
 
 
 def exact_split(

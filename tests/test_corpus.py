@@ -12,8 +12,7 @@ def digest(i):
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 9, 10, 87, 1000])
-def test_exact_split(spark, n, monkeypatch):
-    monkeypatch.setattr(C, "_SMALL", 3)  # take the radix steps even on few rows
+def test_exact_split(spark, n):
     df = spark.range(n)
     got = {r["id"]: r["split"] for r in C.exact_split(df).collect()}
     order = sorted(range(n), key=digest)

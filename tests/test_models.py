@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -213,6 +214,27 @@ def test_ridge_systems_agree():
         assert np.allclose(xc.T @ (w * (yc - xc @ got)), got)
 
 
+def test_ridge_over_many_words_needs_few_columns_at_once():
+    rng = np.random.default_rng(1)
+    x, y, w = rng.integers(0, 2, (40, 3000), dtype=np.uint8), rng.normal(size=40), rng.uniform(0.1, 1, 40)
+    got = X._ridge(x, y, w, 0.5)
+    xc, yc = x - (w @ x) / w.sum(), y - (w @ y) / w.sum()
+    assert np.allclose(xc.T @ (w * (yc - xc @ got)), 0.5 * got)
+
+
+def test_neighbours_keep_what_stands_between_words(spark):
+    text = "Win!!! now, re-read [BODY] it."
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    masks = X.lime_masks(df, num_samples=200)
+    shown = masks.select("sample", "vocab", "mask", X.neighbour_text(F.col("pieces"), F.col("places"), F.col("mask")).alias("t")).collect()
+    assert [r["t"] for r in shown if r["sample"] == 0] == [text]
+    for r in shown:
+        want = text
+        for word, stays in zip(r["vocab"], r["mask"]):
+            want = want if stays else re.sub(rf"(?<!\w){word}(?!\w)", "", want)
+        assert r["t"] == want
+
+
 def test_sample_zero_is_the_whole_text(spark):
     df = spark.createDataFrame([(1, "a b c a")], "id long, text string")
     rows = X.lime_weights(X.lime_masks(df, num_samples=50)).collect()
