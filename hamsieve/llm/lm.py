@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hamsieve.llm.blocks import Keys, answer_sums, ask, in_blocks, owners_of, pack, told, unpack
+from hamsieve.llm.blocks import BLOCK_BYTES, Keys, answer_sums, ask, in_blocks, owners_of, pack, told, unpack
 from hamsieve.llm.kernels import mix, words
 
 #: The least share of the shorter context, and the count at which the rest is halved.
@@ -195,7 +195,14 @@ def corpus_totals(docs: DataFrame, owners: int) -> Totals:
     return Totals(sums["tokens"], sums["known"], sums["once"], sums["twice"], texts)
 
 
-def score_texts(df: DataFrame, train: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(
+    df: DataFrame,
+    train: Column,
+    order: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """Per row of ``df``: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     ``train`` tells which rows the model learns from; all are scored, on the whole text. Words are
@@ -208,7 +215,7 @@ def score_texts(df: DataFrame, train: Column, order: int = 2, id_col: str = "doc
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.coalesce(train, F.lit(False)).alias("train"),
     )
-    blocked, blocks = in_blocks(docs, id_col, "text")
+    blocked, blocks = in_blocks(docs, id_col, "text", block_bytes)
     totals = corpus_totals(docs, blocks)
     answers = answer_sums(ask(blocked, lambda table: _keys(table, order), blocks))
 

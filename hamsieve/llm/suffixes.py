@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hamsieve.llm.blocks import Keys, answer_sums, ask, in_blocks, owners_of, told
+from hamsieve.llm.blocks import BLOCK_BYTES, Keys, answer_sums, ask, in_blocks, owners_of, told
 from hamsieve.llm.kernels import mix, power_table, text_bytes
 
 #: Bytes that a sample is named by.
@@ -252,7 +252,9 @@ def _marks(ids: np.ndarray, counts: np.ndarray, body: np.ndarray, length: int) -
     return marked
 
 
-def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Per row of ``df``: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
     Removed is each byte that is covered by a string of ``length`` bytes which also starts in a
@@ -266,7 +268,7 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
         F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias(id_col),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    blocked, blocks = in_blocks(docs, id_col, "text")
+    blocked, blocks = in_blocks(docs, id_col, "text", block_bytes)
     owners = blocks * OWNERS_PER_BLOCK
     counted = answer_sums(ask(blocked, lambda table: _names(_sampled(table, length)), blocks))
 

@@ -5,24 +5,24 @@ each rule in order, the rule's verdict and where its full string lies. A URL off
 per host suffix and rule path length; a candidate whose digest is found counts only if the stored
 string equals it, so a collision never decides.
 
-The file is given to the executors by ``addFile``, and each Python worker maps it: the workers of
-an executor share the pages, and none loads the list.
+The file lies in the shared folder and is given to the executors by ``addFile``; each Python worker
+maps it: the workers of an executor share the pages, and none loads the list.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hamsieve.sources.scratch import scratch_path
+
 #: Verdict of URLs that no rule fits.
 DEFAULT_VERDICT = "allow"
 _RECORD = np.dtype([("digest", "<u8"), ("start", "<u8"), ("size", "<u4"), ("block", "u1")])
@@ -37,8 +37,8 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def write_digests(rules: Iterable[tuple[str, str]], folder: str) -> str:
-    """Write ``rules`` (rule, verdict) to ``folder``; returns the file's path.
+def digest_file(rules: Iterable[tuple[str, str]]) -> bytes:
+    """The file of ``rules`` (rule, verdict).
 
     Layout: number of records, bytes of strings, records by (digest, string), strings. The first of
     repeated rules counts. A rule without ``/`` gets one; hosts are lower-cased.
@@ -55,12 +55,21 @@ def write_digests(rules: Iterable[tuple[str, str]], folder: str) -> str:
     for i, (digest, text, block) in enumerate(entries):
         records[i] = (digest, at, len(text), block)
         at += len(text)
-    body = np.array([len(entries), at], "<u8").tobytes() + records.tobytes() + b"".join(e[1] for e in entries)
-    # A name of its own for each call: Spark refuses one file name from two folders.
-    path = os.path.join(folder, f"rules-{uuid.uuid4().hex}.bin")
-    with open(path, "wb") as f:
-        f.write(body)
-    return path
+    return np.array([len(entries), at], "<u8").tobytes() + records.tobytes() + b"".join(e[1] for e in entries)
+
+
+def share_file(spark: SparkSession, body: bytes) -> str:
+    """Write ``body`` to the shared folder and hand it to the executors; returns the name it has there."""
+    # A name of its own for each call: Spark refuses one file name from two places.
+    path = scratch_path(spark, "digests")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    try:
+        out.write(bytearray(body))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
 
 
 class DigestArray:
@@ -135,9 +144,7 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "p
     host and path, which no rule fits. Repeated rows are judged each; an empty table gives no rows;
     further columns are ignored; URLs of any length are judged whole. No rows are shuffled.
     """
-    path = write_digests(rules, tempfile.mkdtemp(prefix="digests-"))
-    df.sparkSession.sparkContext.addFile(path)
-    name = os.path.basename(path)
+    name = share_file(df.sparkSession, digest_file(rules))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         array = DigestArray(SparkFiles.get(name))

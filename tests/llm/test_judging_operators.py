@@ -15,7 +15,7 @@ from hamsieve.llm.decontam import WindowTable, _Codes, contaminated, find_leaks,
 from hamsieve.llm.html import extract_pages, main_text
 from hamsieve.llm.mixing import draw, margins, mix, rake, token_count
 from hamsieve.llm.quality import NeighbourModel, fit_neighbours, keep_good, score_quality, term_rows
-from hamsieve.llm.urls import DigestArray, judge_urls, write_digests
+from hamsieve.llm.urls import DigestArray, digest_file, judge_urls
 
 ARTICLE = "<h1>A &amp; B</h1><p>First, with <b>bold</b>\n and  <a href='#'>links</a>.</p><p>Second&nbsp;one.<br>Same block. <p>Be."
 WANT = "A & B\n\nFirst, with bold and links.\n\nSecond one. Same block.\n\nBe."
@@ -71,6 +71,11 @@ def test_urls(spark):
 def test_many_digests_and_a_collision(tmp_path, monkeypatch):
     import xxhash
 
+    def write_digests(rules, folder):
+        path = tmp_path / f"{len(rules)}.bin"
+        path.write_bytes(digest_file(rules))
+        return str(path)
+
     rules = [(f"h{i}.org/p{i}", "block") for i in range(2000)]
     array = DigestArray(write_digests(rules, str(tmp_path)))
     assert (np.diff(array.digests.astype(object)) >= 0).all()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hamsieve.llm import blocks, suffixes
 from hamsieve.llm.components import connected_components
-from hamsieve.llm.exact import exact_groups
+from hamsieve.llm.exact import directory, exact_groups
 from hamsieve.llm.jaccard import near_groups
 from hamsieve.llm.kernels import shingle_hashes, words
 from hamsieve.llm.lm import score_texts
@@ -148,9 +148,8 @@ def test_a_longer_order_and_no_training(make, corpus):
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 20_000])
-def test_repeats(make, corpus, monkeypatch, block_bytes):
-    monkeypatch.setattr(suffixes, "in_blocks", lambda *a: blocks.in_blocks(*a, block_bytes=block_bytes))
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.remove_repeats(make(corpus)).collect()}
+def test_repeats(make, corpus, block_bytes):
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.remove_repeats(make(corpus), block_bytes=block_bytes).collect()}
     data = {i: (t or "").encode() for i, t in corpus}
     first = {}
     for i in sorted(data):
@@ -191,6 +190,21 @@ def test_exact(make, corpus):
     assert exact_groups(make([])).collect() == []
 
 
+def test_the_directory_splits_only_overfull_buckets(spark):
+    # Half of the hashes share their six leading bits, so only that region goes deep.
+    values = [(k * 0x9E3779B97F4A7C15) % 2**64 for k in range(1, 401)]
+    values += [(0b101010 << 58) | (v >> 6) for v in values]
+    signed = [(v - 2**64 if v >= 2**63 else v,) for v in values]
+    rows = directory(spark.createDataFrame(signed, "hash long"), capacity=40, max_depth=8).collect()
+    found = {r["slot"]: (r["bucket"], r["depth"]) for r in rows}
+    held = Counter(found[v >> 56] for v in values)
+    for (bucket, depth), n in held.items():
+        assert n <= 40 or depth == 8
+        # A shorter address would have been overfull.
+        assert depth == 1 or sum(v >> (64 - depth + 1) == bucket >> (8 - depth + 1) for v in values) > 40
+    assert sum(held.values()) == len(values) and {d for _, d in held} >= {4, 8}
+
+
 def test_sharding(make, corpus):
     rows = corpus + [corpus[0], (-5, "below zero"), (1 << 62, "large"), (None, None)]
     got = shard_rows(make(rows), 24).collect()
