@@ -90,14 +90,18 @@ def judged_mails(spark: SparkSession, d: str) -> tuple[DataFrame, LanguageProfil
 
 
 def english_mails(spark: SparkSession, d: str) -> DataFrame:
-    """Cleaned mails that pass all gates, language too."""
-    return accepted_english(*judged_mails(spark, d)).select("id", "subject", "body")
+    """Cleaned mails that pass all gates, language too; stored."""
+    return materialize(accepted_english(*judged_mails(spark, d)).select("id", "subject", "body"), "english")
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned, accepted, labelled mails with their split, stored once."""
-    labelled = english_mails(spark, d).join(labels(spark, d), "id")
-    return materialize(C.exact_split(materialize(labelled, "labelled")), "corpus")
+    english = accepted_english(*judged_mails(spark, d)).select("id", "subject", "body")
+    return labelled_split(spark, d, english)
+
+
+def labelled_split(spark: SparkSession, d: str, english: DataFrame) -> DataFrame:
+    return C.exact_split(materialize(english.join(labels(spark, d), "id"), "labelled"))
 
 
 def part(df: DataFrame, split: str) -> DataFrame:
@@ -594,9 +598,10 @@ def token_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def encode_ids(spark: SparkSession, d: str) -> DataFrame:
-    train = part(corpus(spark, d), "train")
+    english = english_mails(spark, d)
+    train = part(labelled_split(spark, d, english), "train")
     words = materialize(V.fit_token_vocabulary(_model_tokens(train), "tokens"), "token-vocab")
-    encoded = V.encode(_model_tokens(english_mails(spark, d)), words, "tokens")
+    encoded = V.encode(_model_tokens(english), words, "tokens")
     as_text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
     return encoded.select("id", as_text("input_ids"), as_text("attention_mask"))
 

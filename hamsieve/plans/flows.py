@@ -59,9 +59,11 @@ def judge_language(judged: DataFrame, profile: LanguageProfile) -> DataFrame:
 
 
 def accepted_english(judged: DataFrame, profile: LanguageProfile) -> DataFrame:
-    """Accepted mails in English; stored. Language, the costly gate, sees only what passed the others."""
-    kept = accepted(judge_language(accepted(judged), profile))
-    return materialize(kept.drop("detected", "reason"), "english")
+    """Accepted mails in English. Language, the costly gate, sees only what passed the others.
+
+    Store the result before it is read twice.
+    """
+    return accepted(judge_language(accepted(judged), profile)).drop("detected", "reason")
 
 
 def accepted(judged: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def build_corpus(
     judged = judge_mails(
         corpus_mails(parse_mails(raw, message)).withColumn("label", F.col("label").cast("int"))
     )
-    kept = accepted(judged) if profile is None else accepted_english(judged, profile)
+    kept = accepted(judged) if profile is None else materialize(accepted_english(judged, profile), "english")
     return exact_split(kept.select(id_col, "subject", "body", "label"), id_col)
 
 
