@@ -229,7 +229,8 @@ def fit_token_vocabulary(df: DataFrame, token_col: str, size: int | None = None)
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = numbered(counts, [F.desc("n"), F.asc("token")], "place")
+    # Stored: finding the ranges reads it once more.
+    ranked = numbered(materialize(counts, "token-counts"), [F.desc("n"), F.asc("token")], "place")
     words = ranked.select("token", (F.col("place") + len(reserved) - 1).cast("int").alias("token_id"))
     if size is not None:
         words = words.where(F.col("token_id") < size)
