@@ -1,13 +1,15 @@
 """Mixing to target weights by iterative proportional fitting over source, language and topic.
 
 Tokens are summed per cell (source, language, topic). Raking scales the cells to each margin's
-targets in turn until all margins hold. A document is then drawn with its cell's probability, the
-raked weight over the tokens that the cell has, scaled so that no probability exceeds one: the
-expected tokens of the sample have the target margins exactly.
+targets in turn until all margins hold, for a sample of a stated number of tokens. No cell gives more
+than it has: cells that would are held at probability one, and the others are raked on over what
+remains. So a scarce cell or value is short by itself and scales down nothing else. A document is
+then drawn with its cell's probability.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -24,6 +26,10 @@ SWEEPS = 40
 #: What a margin aims at: a power of the share it has (0: uniform, 1: unchanged), or shares by value.
 Target = float | Mapping[str, float]
 DEFAULT_TARGETS: dict[str, Target] = {"source": 0.7, "lang": 0.8, "topic": 0.8}
+#: Tokens to draw, as a share of all tokens, where the caller states none.
+BUDGET = 0.5
+
+_log = logging.getLogger(__name__)
 
 
 def token_count(text: Column) -> Column:
@@ -50,55 +56,149 @@ def topic_of(text: Column) -> Column:
     )
 
 
+def _one_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    return df.crossJoin(F.broadcast(row))
+
+
 def _targets(cells: DataFrame, margin: str, target: Target) -> DataFrame:
-    """``margin`` value and ``goal`` (share of all tokens); only values that have tokens."""
-    had = cells.groupBy(margin).agg(F.sum("tokens").alias("_had"))
+    """``margin``, ``value``, its tokens ``had`` and ``goal`` (share of the sample); only values that have tokens."""
+    had = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").alias("had"))
     if isinstance(target, Mapping):
-        wanted = F.create_map(*[F.lit(x) for kv in target.items() for x in kv])[F.col(margin)]
+        wanted = F.create_map(*[F.lit(x) for kv in target.items() for x in kv])[F.col("value")]
         goal = F.coalesce(wanted.cast("double"), F.lit(0.0))
     else:
-        goal = F.pow(F.col("_had").cast("double"), F.lit(float(target)))
-    return had.withColumn("_raw", goal).select(
-        margin, (F.col("_raw") / F.sum("_raw").over(Window.partitionBy(F.lit(1)))).alias("goal")
+        goal = F.pow(F.col("had").cast("double"), F.lit(float(target)))
+    raw = had.withColumn("_raw", goal)
+    whole = _one_row(raw, raw.agg(F.sum("_raw").alias("_whole")))
+    return whole.select(F.lit(margin).alias("margin"), "value", "had", (F.col("_raw") / F.col("_whole")).alias("goal"))
+
+
+def _wanted(values: DataFrame, targets: Mapping[str, Target], budget: float | None) -> tuple[DataFrame, float]:
+    """``values`` (``margin``, ``value``, ``had``, ``goal``) with ``want``, and the tokens that are drawn in all.
+
+    A value wants its goal of the tokens drawn. Where it has fewer it gives all of them, and the
+    other values of the margin make up for it in proportion to their goals. Only sums per margin
+    reach the driver.
+    """
+    positive = F.col("goal") > 0
+    sums = values.groupBy("margin").agg(
+        F.sum("had").alias("all"),
+        F.sum(F.when(positive, F.col("had"))).alias("usable"),
+        F.min(F.when(positive, F.col("had") / F.col("goal"))).alias("exact"),
     )
+    rows = {r["margin"]: r for r in sums.collect()}
+    if not rows:
+        return values.withColumn("want", F.lit(0.0)), 0.0
+    total = next(iter(rows.values()))["all"]
+    size = (BUDGET if budget is None else budget) * total
+    if budget is None:
+        # Shares given by value are meant as they stand.
+        size = min([size if size else 0.0, *(r["exact"] or 0.0 for m, r in rows.items() if isinstance(targets[m], Mapping))])
+    size = min([float(size), *(float(r["usable"] or 0) for r in rows.values())])
+    level = dict.fromkeys(rows, size)
+    while True:
+        at = F.create_map(*[F.lit(x) for kv in level.items() for x in kv])[F.col("margin")] * F.col("goal")
+        all_of_it = F.col("had") <= at * (1 + 1e-9)
+        found = values.groupBy("margin").agg(
+            F.sum(F.when(all_of_it, F.col("had")).otherwise(F.lit(0))).alias("held"),
+            F.sum(F.when(all_of_it, F.lit(0.0)).otherwise(F.col("goal"))).alias("free"),
+            F.sum(F.greatest(F.col("goal") * size - F.col("had"), F.lit(0.0))).alias("short"),
+        )
+        again = {r["margin"]: (r["held"], r["free"], r["short"]) for r in found.collect()}
+        new = {m: max(level[m], (size - held) / free) if free > 0 else level[m] for m, (held, free, _) in again.items()}
+        if all(new[m] <= level[m] * (1 + 1e-9) for m in new):
+            break
+        level = new
+    for m, (_, _, short) in again.items():
+        if short > 0:
+            _log.warning("mixing: values of %s are short of their targets by %.0f of %.0f tokens", m, short, size)
+    return values.withColumn("want", F.when(all_of_it, F.col("had").cast("double")).otherwise(at)), size
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Target], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (margin columns, ``tokens``) with ``weight``: the raked share of all tokens.
+def _spread(table: DataFrame, values: DataFrame, column: str, targets: Mapping[str, Target]) -> DataFrame:
+    """``table`` with ``column`` of each margin's value, as ``_<column>_<margin>``."""
+    for margin in targets:
+        own = values.where(F.col("margin") == margin).select(F.col("value").alias(margin), F.col(column).alias(f"_{column}_{margin}"))
+        table = table.join(own, margin)
+    return table
 
-    Each sweep rescales to every margin by one window over it; between sweeps the cells are cut off
-    by ``checkpoint``, so the plan does not grow and executors may be lost. Cells are few beside
-    documents: they were summed before. Where targets contradict each other (a value whose cells
-    all have a zero goal elsewhere) the last margin of a sweep holds and raking stops at ``sweeps``.
+
+def _sweeps(table: DataFrame, targets: Mapping[str, Target], sweeps: int, tolerance: float, bound: Column | None) -> DataFrame:
+    """``table`` (margins, ``tokens``, ``_want_<margin>``, ``weight``) raked; no weight counts beyond ``bound``.
+
+    A weight beyond the bound is held, and may come free again when another margin lowers it. What
+    falls short is raised over the free cells alone, what exceeds is lowered over all, so that no
+    step goes past its target.
     """
-    table = cells.where(F.col("tokens") > 0)
-    for margin, target in targets.items():
-        table = table.join(_targets(table, margin, target).withColumnRenamed("goal", f"goal_{margin}"), margin)
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    table = table.withColumn("weight", F.col("tokens") / total).checkpoint()
+    counted = F.col("weight") if bound is None else F.least("weight", bound)
+    free = F.col("weight") if bound is None else F.when(F.col("weight") < bound, F.col("weight")).otherwise(F.lit(0.0))
     for _ in range(sweeps):
         off = []
         for margin in targets:
-            has = F.sum("weight").over(Window.partitionBy(margin))
-            factor = F.when(has > 0, F.col(f"goal_{margin}") / has).otherwise(F.lit(0.0))
-            table = table.withColumn(f"_f_{margin}", factor).withColumn("weight", F.col("weight") * F.col(f"_f_{margin}"))
-            off.append(F.when(F.col("weight") > 0, F.abs(F.col(f"_f_{margin}") - 1)).otherwise(F.lit(0.0)))
-        table = table.withColumn("_off", F.greatest(*off) if len(off) > 1 else off[0])
-        table = table.drop(*(f"_f_{m}" for m in targets)).checkpoint()
+            over = Window.partitionBy(margin)
+            want, has, open_ = F.col(f"_want_{margin}"), F.col("_has"), F.col("_free")
+            table = table.withColumns({"_has": F.sum(counted).over(over), "_free": F.sum(free).over(over)})
+            raised = F.when(open_ > 0, (want - (has - open_)) / open_).otherwise(F.lit(1.0))
+            factor = F.when(has <= 0, F.lit(0.0)).when(want > has, raised).otherwise(want / has)
+            off.append(F.when((has > 0) & (want > 0), F.abs(has - want) / want).otherwise(F.lit(0.0)))
+            table = table.withColumn(f"_off_{margin}", off[-1]).withColumn("weight", F.col("weight") * factor)
+        offs = [F.col(f"_off_{m}") for m in targets]
+        table = table.withColumn("_off", F.greatest(*offs) if len(offs) > 1 else offs[0])
+        table = table.drop("_has", "_free", *(f"_off_{m}" for m in targets)).checkpoint()
         worst = table.agg(F.max("_off").alias("off")).collect()[0]["off"]
         table = table.drop("_off")
         if worst is None or worst <= tolerance:
             break
-    return table.drop(*(f"goal_{m}" for m in targets))
+    return table.drop(*(f"_want_{m}" for m in targets))
+
+
+def _goals(table: DataFrame, targets: Mapping[str, Target]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_targets(table, m, t) for m, t in targets.items()]).checkpoint()
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Target], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` (margin columns, ``tokens``) with ``weight``: the raked share of all tokens, unbounded.
+
+    Each sweep rescales to every margin by one window over it; between sweeps the cells are cut off
+    by ``checkpoint``, so the plan does not grow and executors may be lost. Cells are few beside
+    documents: they were summed before. Where targets contradict each other (a value whose cells
+    all have a zero goal elsewhere) the last margin of a sweep holds and raking stops at ``sweeps``.
+    """
+    table = cells.where(F.col("tokens") > 0)
+    goals = _goals(table, targets).withColumnRenamed("goal", "want")
+    table = _one_row(_spread(table, goals, "want", targets), table.agg(F.sum("tokens").alias("_total")))
+    table = table.withColumn("weight", F.col("tokens") / F.col("_total")).drop("_total").checkpoint()
+    return _sweeps(table, targets, sweeps, tolerance, None)
+
+
+def rake_within(
+    cells: DataFrame, targets: Mapping[str, Target], budget: float | None = None, sweeps: int = SWEEPS, tolerance: float = TOLERANCE
+) -> tuple[DataFrame, DataFrame]:
+    """``cells`` with ``weight``, the tokens drawn of each: none gives more than it has; and the goals.
+
+    ``budget`` is the share of all tokens to draw. Without one it is BUDGET, or less if shares given by
+    value need it. The second table has per ``margin`` and ``value`` the tokens it ``had``, ``asked``
+    (its goal of what is drawn) and ``want`` (what is raked to, see ``_wanted``).
+    """
+    table = cells.where(F.col("tokens") > 0)
+    goals, size = _wanted(_goals(table, targets), targets, budget)
+    goals = goals.withColumn("asked", F.col("goal") * size)
+    table = _one_row(_spread(table, goals, "want", targets), table.agg(F.sum("tokens").alias("_total")))
+    table = table.withColumn("weight", F.col("tokens") * F.lit(size) / F.col("_total")).drop("_total").checkpoint()
+    raked = _sweeps(table, targets, sweeps, tolerance, F.col("tokens").cast("double"))
+    full = F.col("weight") >= F.col("tokens") * (1 - 1e-6)
+    return raked.withColumn("weight", F.when(full, F.col("tokens").cast("double")).otherwise(F.col("weight"))), goals
 
 
 @dataclass(frozen=True)
 class Mix:
-    """Calibrated rates: per cell (``rates``: margins, ``_rate``, ``_share`` of all tokens per token); of texts without tokens."""
+    """Calibrated rates: per cell (``rates``: margins, ``_rate``, ``_share`` of the tokens drawn per token); of texts without
+    tokens; per margin and value (``reached``) the tokens it had, asked for and gives."""
 
     targets: tuple[str, ...]
     rates: DataFrame
     average: float
+    reached: DataFrame
 
     def join(self, docs: DataFrame, id_col: str, seed: int) -> DataFrame:
         """``docs`` (id, margins, ``tokens``, any others) with ``weight``, ``probability`` and ``selected``."""
@@ -120,14 +220,19 @@ def _margins(targets: Mapping[str, Target], topic: Column | None, text: Column)
     return named
 
 
-def calibrate(cells: DataFrame, targets: Mapping[str, Target]) -> Mix:
+def calibrate(cells: DataFrame, targets: Mapping[str, Target], budget: float | None = None) -> Mix:
     """Rates for documents summed to ``cells`` (margins, ``tokens``, ``docs``)."""
     cells = cells.checkpoint()
-    everywhere = Window.partitionBy(F.lit(1))
-    raked = rake(cells, targets).withColumn("_share", F.col("weight") / F.col("tokens"))
-    rated = raked.withColumn("_rate", F.col("_share") / F.max("_share").over(everywhere)).checkpoint()
-    mean = rated.agg((F.sum(F.col("_rate") * F.col("docs")) / F.sum("docs")).alias("m")).collect()[0]["m"]
-    return Mix(tuple(targets), rated.select(*targets, "_rate", "_share"), 1.0 if mean is None else mean)
+    raked, goals = rake_within(cells, targets, budget)
+    rated = raked.withColumn("_rate", F.col("weight") / F.col("tokens")).checkpoint()
+    sums = rated.agg((F.sum(F.col("_rate") * F.col("docs")) / F.sum("docs")).alias("mean"), F.sum("weight").alias("drawn")).collect()[0]
+    share = F.col("_rate") / F.lit(sums["drawn"]) if sums["drawn"] else F.lit(0.0)
+    given = reduce(
+        DataFrame.unionByName,
+        [rated.groupBy(F.col(m).alias("value")).agg(F.sum("weight").alias("given")).withColumn("margin", F.lit(m)) for m in targets],
+    )
+    reached = goals.select("margin", "value", "had", "asked").join(given, ["margin", "value"])
+    return Mix(tuple(targets), rated.select(*targets, "_rate", share.alias("_share")), 1.0 if sums["mean"] is None else sums["mean"], reached)
 
 
 def mix(
@@ -137,11 +242,12 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 42,
+    budget: float | None = None,
 ) -> DataFrame:
     """Per row of ``df``: id, the margins, ``tokens``, ``weight``, ``probability``, ``selected``.
 
-    ``weight`` is the document's raked share of all tokens. ``selected`` compares the probability
-    with a digest of seed and id, so equal ids are drawn alike and a run can be repeated. A null
+    ``budget`` is the share of all tokens to draw (see ``rake_within``). ``weight`` is the document's
+    share of the tokens drawn. ``selected`` compares the probability with a digest of seed and id, so equal ids are drawn alike and a run can be repeated. A null
     margin counts as the value ``(none)``; documents without tokens (null, empty or blank texts)
     have weight 0 and are drawn as often as the average document, for they change no margin. A null
     id is drawn as the id ``null``; repeated rows count each; an empty table gives no rows; further
@@ -154,7 +260,7 @@ def mix(
     # One pass over the texts; what is left of a document is narrow.
     docs = materialize(docs, "mixing-documents")
     cells = docs.groupBy(*targets).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    drawn = calibrate(cells, targets).join(docs, id_col, seed)
+    drawn = calibrate(cells, targets, budget).join(docs, id_col, seed)
     return drawn.select(id_col, *targets, "tokens", "weight", "probability", "selected")
 
 
@@ -165,6 +271,7 @@ def draw(
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 42,
+    budget: float | None = None,
 ) -> DataFrame:
     """The rows of ``df`` that ``mix`` selects, with all their columns. Texts are read twice and not shuffled."""
     targets = dict(targets or DEFAULT_TARGETS)
@@ -172,7 +279,7 @@ def draw(
     named = _margins(targets, topic, text)
     tokens = token_count(text)
     cells = df.groupBy(*(c.alias(m) for m, c in named.items())).agg(F.sum(tokens).alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    found = calibrate(cells, targets)
+    found = calibrate(cells, targets, budget)
     whole = F.struct(*(F.col(c) for c in df.columns)).alias("_row")
     rows = df.select(F.col(id_col).cast("long").alias(id_col), *(c.alias(m) for m, c in named.items()), tokens.alias("tokens"), whole)
     return found.join(rows, id_col, seed).where("selected").select("_row.*")

@@ -13,7 +13,7 @@ from __spark_entry__ import oracle_sql, queries
 from hamsieve.llm import decontam
 from hamsieve.llm.decontam import WindowTable, _Codes, contaminated, find_leaks, without_leaks
 from hamsieve.llm.html import extract_pages, main_text
-from hamsieve.llm.mixing import draw, margins, mix, rake, token_count
+from hamsieve.llm.mixing import BUDGET, calibrate, draw, margins, mix, rake, token_count
 from hamsieve.llm.quality import NeighbourModel, fit_neighbours, keep_good, score_quality, term_rows
 from hamsieve.llm.urls import DigestArray, digest_file, judge_urls
 
@@ -206,6 +206,25 @@ def test_mix_draws_to_the_targets(make):
     assert mix(make([])).collect() == [] and mix(make([(1, None)])).collect()[0]["selected"] in (True, False)
 
 
+def test_a_scarce_cell_scales_nothing_down(spark):
+    cells = [(f"s{k}", g, 1000 * (k + 1) * n, 10 * (k + 1)) for k in range(5) for g, n in (("x", 3), ("y", 1))]
+    schema = "source string, lang string, tokens long, docs long"
+    targets = {"source": 0.7, "lang": 0.8}
+    total = sum(c[2] for c in cells) + 5
+    found = calibrate(spark.createDataFrame([*cells, ("stray", "x", 5, 1)], schema), targets)
+    rates = {(x["source"], x["lang"]): x["_rate"] for x in found.rates.collect()}
+    assert rates["stray", "x"] == 1.0 and max(rates.values()) == 1.0
+    # The stray document is short by itself; the budget is drawn all the same, and the margins of the others hold.
+    got = {(x["margin"], x["value"]): x for x in found.reached.collect()}
+    assert sum(x["given"] for (m, _), x in got.items() if m == "source") == pytest.approx(BUDGET * total, rel=1e-4)
+    assert got["source", "stray"]["given"] == 5 < got["source", "stray"]["asked"]
+    one, other = got["source", "s1"], got["source", "s3"]
+    assert one["given"] / other["given"] == pytest.approx((one["had"] / other["had"]) ** 0.7, rel=1e-4)
+    assert got["lang", "x"]["given"] == pytest.approx(got["lang", "x"]["asked"], rel=1e-4)
+    whole = calibrate(spark.createDataFrame(cells, schema), targets, budget=1.0)
+    assert {x["_rate"] for x in whole.rates.collect()} == {1.0}
+
+
 def test_token_count(make):
     texts = [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, " a  b\tc\n")]
     got = make(texts).select("doc_id", token_count(F.col("text")).alias("k")).collect()
