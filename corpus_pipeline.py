@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hamsieve.llm.decontam import without_leaks
-from hamsieve.llm.jaccard import near_groups
+from hamsieve.llm.jaccard import first_of_groups
 from hamsieve.llm.mixing import draw
 from hamsieve.llm.quality import fit_neighbours, keep_good
 from hamsieve.llm.sharding import shard_rows
@@ -32,11 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group that shares four fifths of its five-word shingles."""
-    groups = near_groups(docs, k=5, percent=80)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    # A document that stands in the table twice is a group, too. Both steps share one shuffle.
-    return keyed.join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*COLUMNS)
+    return first_of_groups(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

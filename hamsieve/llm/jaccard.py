@@ -93,8 +93,8 @@ def _index(s: np.ndarray, sketch: np.ndarray, limit: float, percent: int) -> tup
 
 
 def _classes_and_sketch(docs: DataFrame, id_col: str, k: int) -> tuple[DataFrame, np.ndarray]:
-    """Per row: id, ``n``, signature ``s1``, ``s2`` (stored); and the summed sketch."""
-    schema = f"`{id_col}` long, n int, s1 long, s2 long, slice int, counts binary"
+    """Per row: id, ``row``, ``n``, signature ``s1``, ``s2`` (stored); and the summed sketch."""
+    schema = f"`{id_col}` long, row long, n int, s1 long, s2 long, slice int, counts binary"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.uint32)
@@ -119,15 +119,15 @@ def _classes_and_sketch(docs: DataFrame, id_col: str, k: int) -> tuple[DataFrame
             flush(seen)
             none = pa.nulls(batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(s1), pa.array(s2), none, pa.nulls(batch.num_rows, pa.binary())],
-                names=[id_col, "n", "s1", "s2", "slice", "counts"],
+                [batch.column(0), batch.column(2), pa.array(n), pa.array(s1), pa.array(s2), none, pa.nulls(batch.num_rows, pa.binary())],
+                names=[id_col, "row", "n", "s1", "s2", "slice", "counts"],
             )
         if sketch.any():
             parts = [p.tobytes() for p in np.split(sketch, _SLICES)]
             none = pa.nulls(_SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, pa.nulls(_SLICES, pa.int32()), none, none, pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())],
-                names=[id_col, "n", "s1", "s2", "slice", "counts"],
+                [none, none, pa.nulls(_SLICES, pa.int32()), none, none, pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())],
+                names=[id_col, "row", "n", "s1", "s2", "slice", "counts"],
             )
 
     stored = materialize(docs.mapInArrow(scan, schema), "jaccard-classes")
@@ -156,8 +156,8 @@ def _classes_and_sketch(docs: DataFrame, id_col: str, k: int) -> tuple[DataFrame
     return stored.where("slice IS NULL").drop("slice", "counts"), sketch.reshape(-1)
 
 
-def _entries(docs: DataFrame, id_col: str, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """Per row with two shingles or more: ``id``, ``n``, ``rare``, ``prefix``, ``keys``, ``at`` (their positions)."""
+def _entries(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
+    """Per row with two shingles or more: ``row``, ``s1``, ``s2``, ``n``, ``rare``, ``prefix``, ``keys``, ``at`` (their positions)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     limit = FREQUENT + 2.0 * float(sketch.mean())
 
@@ -169,19 +169,19 @@ def _entries(docs: DataFrame, id_col: str, k: int, percent: int, sketch: np.ndar
         table = shared.value
 
         def pack(rows: list) -> pa.RecordBatch:
-            ids, n, rare, prefix, keys, at = zip(*rows, strict=True)
-            columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(rare, pa.int32())]
+            marks, n, rare, prefix, keys, at = zip(*rows, strict=True)
+            columns = [pa.array(c, pa.int64()) for c in zip(*marks, strict=True)] + [pa.array(n, pa.int32()), pa.array(rare, pa.int32())]
             columns += [lists([p.view(np.int64) for p in prefix], np.int64), lists([x.view(np.int64) for x in keys], np.int64), lists(list(at), np.int32)]
-            return pa.RecordBatch.from_arrays(columns, names=["id", "n", "rare", "prefix", "keys", "at"])
+            return pa.RecordBatch.from_arrays(columns, names=["row", "s1", "s2", "n", "rare", "prefix", "keys", "at"])
 
         for batch in batches:
-            ids = batch.column(0)
+            ids = batch.column(2)
             rows, held = [], 0
             for row, s in _sets(batch.column(1), k):
                 if len(s) < 2:
                     continue
                 keys, at, prefix, rare = _index(s, table, limit, percent)
-                rows.append((ids[row].as_py(), len(s), rare, prefix, keys, at))
+                rows.append(((ids[row].as_py(), *_signature(s)), len(s), rare, prefix, keys, at))
                 held += len(keys)
                 if held > 200_000:
                     yield pack(rows)
@@ -189,7 +189,7 @@ def _entries(docs: DataFrame, id_col: str, k: int, percent: int, sketch: np.ndar
             if rows:
                 yield pack(rows)
 
-    return docs.mapInArrow(emit, "id long, n int, rare int, prefix array<long>, keys array<long>, at array<int>")
+    return docs.mapInArrow(emit, "row long, s1 long, s2 long, n int, rare int, prefix array<long>, keys array<long>, at array<int>")
 
 
 def _possible(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int) -> Column:
@@ -198,7 +198,7 @@ def _possible(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int
     return (100 + percent) * most >= percent * (n_a + n_b)
 
 
-def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, id_col: str, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that link.
 
     First by prefixes alone: up to where the shorter one ends both are known whole, and what differs
@@ -213,7 +213,7 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, id_col: str
     near = materialize(
         upto.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "jaccard-near"
     )
-    ids = near.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
+    ids = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "row", "s1", "s2"), "node")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
@@ -221,14 +221,16 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, id_col: str
         seen: set[int] = set()
         for batch in batches:
             found = batch.column(0).to_pylist()
-            for row, s in _sets(batch.column(1), k):
-                if found[row] not in seen and len(s):
+            signed = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            for row, s in _sets(batch.column(3), k):
+                # The row key is a hash: the set itself says whether it is the node's.
+                if found[row] not in seen and len(s) and _signature(s) == signed[row]:
                     seen.add(found[row])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([found[row]], pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["id", "tokens"]
                     )
 
-    sets = docs.join(ids, id_col, "left_semi").mapInArrow(whole, "id long, tokens array<long>")
+    sets = docs.join(ids, "row").select("node", "s1", "s2", "text").mapInArrow(whole, "id long, tokens array<long>")
     sets = materialize(sets, "jaccard-tokens")
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
@@ -243,6 +245,11 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, id_col: str
     return materialize(links, "jaccard-links")
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """A number for the id and text of a row: rows of one id and different texts have different ones."""
+    return F.xxhash64(F.coalesce(id_.cast("long"), F.lit(-1)), F.coalesce(text.cast("string"), F.lit("")))
+
+
 def near_groups(
     df: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -251,22 +258,51 @@ def near_groups(
     Sets of ``k``-word shingles link when ``100 * both >= percent * either``. ``component_id`` is the
     smallest id reachable by links. Texts without words (null, empty, blank) have no shingles and
     are alone; texts of fewer than ``k`` words have one shingle and link to their equals. Repeated
-    rows share their class; a null id counts as -1; an empty table gives no rows; further columns
-    are ignored. Texts are read whole. Equal sets are one member of the join, whatever their number.
+    rows share their class; a null id counts as -1; different texts under one id (or under none) are
+    members of their own, so rows of one id can have different components; an empty table gives no rows;
+    further columns are ignored. Texts are read whole. Equal sets are one member of the join, whatever
+    their number.
+    """
+    found = _grouped(df, k, percent, id_col, text_col)
+    return found.select(id_col, F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def first_of_groups(
+    df: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of ``df`` per component of ``near_groups``, that of the smallest id, with all its columns.
+
+    Components are told apart by their sets, not by ids: different texts without an id, or under one
+    id, all stay. Texts without words stay once per id and text.
     """
+    found = _grouped(df, k, percent, id_col, text_col)
+    some = found.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col(id_col).alias("_id"), F.col("row").alias("_row"))).alias("f"))
+    first = some.select("f.*").unionByName(found.where("n = 0").select(F.col(id_col).alias("_id"), F.col("row").alias("_row"))).distinct()
+    keyed = df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "_row": row_key(F.col(id_col), F.col(text_col))})
+    # A row that stands in the table twice is a group, too. Both steps share one shuffle.
+    return keyed.join(first, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*df.columns)
+
+
+def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row of ``df``: id, ``row``, ``n``, ``component`` (a number of its own; null without shingles), ``component_id``."""
     docs = df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias(id_col),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        row_key(F.col(id_col), F.col(text_col)).alias("row"),
     )
     rows, sketch = _classes_and_sketch(docs, id_col, k)
+    # Each distinct set is a node of the graph; its text is read from one row that has it.
     classes = materialize(
-        rows.where("n > 0").groupBy("s1", "s2").agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("rows")),
+        rows.where("n > 0")
+        .groupBy("s1", "s2")
+        .agg(F.min(id_col).alias("id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "jaccard-sets",
     )
 
-    # One entry per distinct set, that of the class's smallest id.
-    entries = _entries(docs, id_col, k, percent, sketch).join(classes.select("id"), "id", "left_semi")
-    entries = materialize(entries, "jaccard-entries")
+    # One entry per node. From here on an id is a node.
+    entries = _entries(docs, k, percent, sketch).join(classes.select("row", "s1", "s2", F.col("node").alias("id")), ["row", "s1", "s2"])
+    entries = materialize(entries.drop("row", "s1", "s2"), "jaccard-entries")
 
     key = Window.partitionBy("key")
     smallest = F.greatest(F.col("_least"), F.floor((percent * F.col("n") + 99) / 100))
@@ -289,7 +325,7 @@ def near_groups(
         ).select(F.col("id").alias("x"), F.col("o.id").alias("y"))
     )
     pairs = materialize(pairs, "jaccard-pairs")
-    links = _verified(pairs, entries, docs, id_col, k, percent)
+    links = _verified(pairs, entries, docs, classes, k, percent)
     joined = connected_components(links)
 
     # What is left: members of one bucket that are still apart.
@@ -310,16 +346,16 @@ def near_groups(
         & (F.col("l.id") < F.col("r.id"))
         & _possible(F.col("l.n"), F.col("l.at"), F.col("r.n"), F.col("r.at"), percent),
     ).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
-    more = _verified(_pairs(crossing).join(pairs, ["a", "b"], "left_anti"), entries, docs, id_col, k, percent)
+    more = _verified(_pairs(crossing).join(pairs, ["a", "b"], "left_anti"), entries, docs, classes, k, percent)
     final = connected_components(links.unionByName(more))
 
-    groups = materialize(
-        classes.join(final, "id", "left").select("s1", "s2", "rows", F.coalesce("component", "id").alias("component_id")),
-        "jaccard-groups",
-    )
+    named = classes.join(final.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named.select("s1", "s2", "rows", "id", "component"), "jaccard-named")
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    groups = materialize(named.drop("id").join(least, "component"), "jaccard-groups")
     some = join_groups(rows.where("n > 0"), groups, ["s1", "s2"], "rows")
-    return some.select(id_col, F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(
-        rows.where("n = 0").select(id_col, F.lit(0).cast("long").alias("n_shingles"), F.col(id_col).alias("component_id"))
+    return some.select(id_col, "row", "n", "component", "component_id").unionByName(
+        rows.where("n = 0").select(id_col, "row", "n", F.lit(None).cast("long").alias("component"), F.col(id_col).alias("component_id"))
     )
 
 

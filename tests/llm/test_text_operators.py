@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hamsieve.llm import blocks, suffixes
 from hamsieve.llm.components import connected_components
 from hamsieve.llm.exact import directory, exact_groups
-from hamsieve.llm.jaccard import near_groups
+from hamsieve.llm.jaccard import first_of_groups, near_groups
 from hamsieve.llm.kernels import shingle_hashes, words
 from hamsieve.llm.lm import score_texts
 from hamsieve.llm.sharding import shard_rows
@@ -73,6 +73,22 @@ def test_jaccard(make, corpus, k, percent):
     assert len({find(i) for i in sets}) < len(sets) - 10
 
 
+def test_jaccard_of_different_texts_under_one_id(make):
+    def text(name, changed=""):
+        return " ".join(f"{name}{i}" for i in range(60)) + changed
+
+    # No id and an id that repeats, each with several texts; copies of all but the first text of each.
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (7, text("e")), (None, ""), (8, "")]
+    rows += [(20, text("b", " more")), (21, text("c", " more")), (5, text("e", " more")), (22, text("f"))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_groups(make(rows), 3, 90).collect())
+    want = [(-1, -1)] * 4 + [(5, 5), (7, 5), (7, 5), (7, 7), (8, 8), (20, -1), (21, -1), (22, 22)]
+    assert got == want
+    kept = first_of_groups(make(rows), 3, 90)
+    assert kept.columns == make(rows).columns
+    found = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    assert found == sorted([(0, text(x)) for x in "abc"] + [(0, ""), (8, ""), (7, text("d")), (5, text("e", " more")), (22, text("f"))])
+
+
 def test_jaccard_of_nothing(make):
     assert near_groups(make([])).collect() == []
 
