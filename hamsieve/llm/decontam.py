@@ -5,6 +5,10 @@ typed placeholders, all other words are lower-cased. Windows of a document's tem
 in the hash table of the benchmark's windows, which is broadcast in blocks of bounded size. Where
 windows meet, the values behind the placeholders must correspond one to one: each value of the
 question always stands for the same value of the document.
+
+Capitals tell what a name is, so a copy in other case has another template. Beside the templates there
+are therefore case-free windows, in which names are words like any other and only numbers and units
+are placeholders. An item is found by either.
 """
 
 from __future__ import annotations
@@ -80,12 +84,16 @@ class _Template:
     first: np.ndarray
     last: np.ndarray
     raw: list[str]
+    #: Are values compared in any case?
+    folded: bool = False
 
     def value(self, i: int) -> str:
-        return " ".join(w.strip(_EDGE) for w in self.raw[self.first[i] : self.last[i]])
+        value = " ".join(w.strip(_EDGE) for w in self.raw[self.first[i] : self.last[i]])
+        return value.lower() if self.folded else value
 
 
-def _template(text: str, codes: _Codes) -> _Template:
+def _templates(text: str, codes: _Codes) -> tuple[_Template, _Template]:
+    """The template of ``text``, and the one without names."""
     raw = text.split()
     n = len(raw)
     code = np.fromiter(map(codes.__getitem__, raw), np.int64, n)
@@ -101,12 +109,14 @@ def _template(text: str, codes: _Codes) -> _Template:
     unit[1:] &= number[:-1]
     unit[:1] = False
     name = ((code & _CAP) > 0) & ~begins & ~number & ~unit
-    ids = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, ids)))
+    plain = np.where(number, _NUM, np.where(unit, _UNIT, ids))
+    ids = np.where(name, _NAME, plain)
     # Names in a row are one.
     kept = np.ones(n, bool)
     kept[1:] = ~(name[1:] & name[:-1])
     first = np.flatnonzero(kept)
-    return _Template(ids[kept], first, np.append(first[1:], n)[: len(first)], raw)
+    named = _Template(ids[kept], first, np.append(first[1:], n)[: len(first)], raw)
+    return named, _Template(plain, np.arange(n), np.arange(1, n + 1), raw, True)
 
 
 def _windows(ids: np.ndarray, size: int) -> np.ndarray:
@@ -135,6 +145,30 @@ _HIDES = _DIGIT | _ODD
 _LITERAL_BITS = 1 << 18
 
 
+#: What str.split() splits at beyond the glance's own white space: first bytes, and whole characters by length.
+_WIDE = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
+_WIDE_FIRST = np.isin(_BYTES, [c[0] for c in _WIDE])
+_CONTROL = (_BYTES >= 0x1C) & (_BYTES <= 0x1F)
+
+
+def _plain_spaces(data: np.ndarray) -> np.ndarray:
+    """``data`` (UTF-8) with every character that str.split() splits at as blanks, as many as it has bytes."""
+    seen = np.flatnonzero((_WIDE_FIRST | _CONTROL)[data])
+    if not len(seen):
+        return data
+    data = data.copy()
+    control = seen[_CONTROL[data[seen]]]
+    padded = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.int64)
+    codes = {n: (padded[seen] << 16 | padded[seen + 1] << 8) | (padded[seen + 2] if n == 3 else 0) for n in (2, 3)}
+    for n, code in codes.items():
+        wide = [int.from_bytes(c.ljust(3, b"\0"), "big") for c in _WIDE if len(c) == n]
+        at = seen[np.isin(code, wide)]
+        for j in range(n):
+            data[at + j] = 0x20
+    data[control] = 0x20
+    return data
+
+
 def _span(word: bytes) -> int:
     """Hash of a literal word as the glance sees it: its letters and figures from first to last."""
     data = np.frombuffer(word, np.uint8)
@@ -154,16 +188,11 @@ def _glance(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-class WindowTable:
-    """The windows of a block of items: sorted hashes, with item and place of each."""
+class _View:
+    """The windows of templates: sorted hashes, with item and place of each."""
 
-    def __init__(self, items: list[tuple[int, str]], coverage: float = COVERAGE):
-        self.coverage = coverage
-        words = sorted({w.strip(_EDGE).lower() for _, text in items for w in _GLUED.sub(r"\1 \2", text).split()})
-        self.vocabulary = {w: i for i, w in enumerate(words, _FIRST_WORD)}
-        codes = _Codes(self.vocabulary)
-        self.ids = [i for i, _ in items]
-        self.templates = [_template(text, codes) for _, text in items]
+    def __init__(self, templates: list[_Template]):
+        self.templates = templates
         self.sizes = [min(WINDOW, len(t.ids)) for t in self.templates]
         self.totals = [len(t.ids) - s + 1 if s else 0 for t, s in zip(self.templates, self.sizes, strict=True)]
         hashes = [_windows(t.ids, s) for t, s in zip(self.templates, self.sizes, strict=True)]
@@ -174,12 +203,46 @@ class WindowTable:
         self.place = (np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64))[order]
         self.lengths = sorted({s for s in self.sizes if s})
 
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Item, its place and the document's place of each pair of equal windows."""
+        for size in self.lengths:
+            if len(ids) < size:
+                continue
+            # Only windows of known words can be in the table.
+            gaps = np.concatenate([[0], np.cumsum(ids == 0)])
+            full = np.flatnonzero(gaps[size:] == gaps[:-size])
+            if not len(full):
+                continue
+            h = _windows(ids, size)[full] if len(full) * 4 > len(ids) else np.concatenate([_windows(ids[p : p + size], size) for p in full])
+            lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+            for k in np.flatnonzero(hi > lo):
+                for at in range(lo[k], hi[k]):
+                    item, place = int(self.item[at]), int(self.place[at])
+                    if self.sizes[item] == size and (self.templates[item].ids[place : place + size] == ids[full[k] : full[k] + size]).all():
+                        yield item, place, int(full[k])
+
+class WindowTable(_View):
+    """The windows of a block of items by templates, and (``plain``) by words in any case."""
+
+    def __init__(self, items: list[tuple[int, str]], coverage: float = COVERAGE):
+        self.coverage = coverage
+        words = sorted({w.strip(_EDGE).lower() for _, text in items for w in _GLUED.sub(r"\1 \2", text).split()})
+        self.vocabulary = {w: i for i, w in enumerate(words, _FIRST_WORD)}
+        codes = _Codes(self.vocabulary)
+        self.ids = [i for i, _ in items]
+        both = [_templates(text, codes) for _, text in items]
+        super().__init__([t for t, _ in both])
+        self.plain = _View([t for _, t in both])
+        views = (self, self.plain)
+
         # What a glance at raw words needs: the windows with any of their words hidden, by their hashes.
         self.glances: dict[int, np.ndarray] = {}
         literals: set[int] = set()
-        for size in self.lengths:
+        lengths = sorted({n for v in views for n in v.lengths})
+        every = [(t, own, total) for v in views for t, own, total in zip(v.templates, v.sizes, v.totals, strict=True)]
+        for size in lengths:
             seen: set[int] = set()
-            for t, own in zip(self.templates, self.sizes, strict=True):
+            for t, own, _ in every:
                 if own != size:
                     continue
                 h = np.array([_span(t.value(i).encode()) if t.ids[i] >= _FIRST_WORD else _HIDDEN for i in range(len(t.ids))], np.uint64)
@@ -191,7 +254,7 @@ class WindowTable:
             self.glances[size] = np.array(sorted(seen), np.uint64)
         self.literals = np.zeros(_LITERAL_BITS, bool)
         self.literals[[v & (_LITERAL_BITS - 1) for v in literals]] = True
-        self.needs = {n: min(self.least(t) for t, s in zip(self.totals, self.sizes, strict=True) if s == n) for n in self.lengths}
+        self.needs = {n: min(self.least(total) for _, own, total in every if own == n) for n in lengths}
         self.reach = max((_reach(t) for t in self.templates), default=0)
 
     def least(self, total: int) -> int:
@@ -219,6 +282,7 @@ class WindowTable:
         return out
 
     def _promising(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        data = _plain_spaces(data)
         starts, ends = word_spans(data, bounds)
         if not len(starts):
             return starts
@@ -283,24 +347,6 @@ class WindowTable:
             found.append(starts[begins])
         return np.concatenate(found)
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Item, its place and the document's place of each pair of equal windows."""
-        for size in self.lengths:
-            if len(ids) < size:
-                continue
-            # Only windows of known words can be in the table.
-            gaps = np.concatenate([[0], np.cumsum(ids == 0)])
-            full = np.flatnonzero(gaps[size:] == gaps[:-size])
-            if not len(full):
-                continue
-            h = _windows(ids, size)[full] if len(full) * 4 > len(ids) else np.concatenate([_windows(ids[p : p + size], size) for p in full])
-            lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            for k in np.flatnonzero(hi > lo):
-                for at in range(lo[k], hi[k]):
-                    item, place = int(self.item[at]), int(self.place[at])
-                    if self.sizes[item] == size and (self.templates[item].ids[place : place + size] == ids[full[k] : full[k] + size]).all():
-                        yield item, place, int(full[k])
-
 
 @dataclass
 class _Match:
@@ -342,19 +388,24 @@ def _reach(item: _Template) -> int:
 
 
 def find_leaks(text: str, table: WindowTable, codes: _Codes) -> list[tuple[int, int, _Match]]:
-    """Index, number of windows and match of every item of ``table`` that ``text`` holds."""
-    doc = _template(text, codes)
+    """Index, number of windows and match of every item of ``table`` that ``text`` holds; by its template, if both find it."""
+    named, plain = _templates(text, codes)
+    out = {item: (item, total, m) for view, doc in ((table.plain, plain), (table, named)) for item, total, m in _leaks(doc, view, table)}
+    return [out[item] for item in sorted(out)]
+
+
+def _leaks(doc: _Template, view: _View, table: WindowTable) -> list[tuple[int, int, _Match]]:
     found: dict[int, list[tuple[int, int]]] = {}
-    for item, place, at in table.hits(doc.ids):
+    for item, place, at in view.hits(doc.ids):
         found.setdefault(item, []).append((place, at))
     out = []
     for item, pairs in sorted(found.items()):
-        total, size = table.totals[item], table.sizes[item]
+        total, size = view.totals[item], view.sizes[item]
         if len({p for p, _ in pairs}) < table.least(total):
             continue
         # One copy of the item is a run of like distances between the two places, within its reach.
         pairs.sort(key=lambda p: (p[1] - p[0], p[1]))
-        reach = _reach(table.templates[item])
+        reach = _reach(view.templates[item])
         runs: list[list[tuple[int, int]]] = []
         for p in pairs:
             last = runs[-1][-1] if runs else None
@@ -362,7 +413,7 @@ def find_leaks(text: str, table: WindowTable, codes: _Codes) -> list[tuple[int,
                 runs[-1].append(p)
             else:
                 runs.append([p])
-        best = max((_consistent(table.templates[item], doc, size, sorted(r, key=lambda p: p[1])) for r in runs), key=lambda m: m.windows)
+        best = max((_consistent(view.templates[item], doc, size, sorted(r, key=lambda p: p[1])) for r in runs), key=lambda m: m.windows)
         if best.windows >= table.least(total):
             out.append((item, total, best))
     return out
@@ -402,7 +453,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``n_slots``, ``n_changed`` (slots whose values differ) and ``reparameterised``.
 
     Documents without a row are clean. Null and empty texts and items hold nothing and are in nothing;
-    an item of fewer words than a window is one window; a null id is kept; repeated rows and repeated
+    an item of fewer words than a window is one window; a copy in other case is found by its words
+    (``n_windows`` and the rest are then of the case-free windows); a null id is kept; repeated rows and repeated
     items have a row each; an empty table on either side gives no rows; further columns are ignored.
     Texts are read whole and no row is shuffled. Items are taken in blocks by id, a pass over the
     documents each: what is collected and broadcast is bounded by BLOCK_BYTES.

@@ -150,6 +150,19 @@ def test_templates_and_slots():
     assert match(QUESTION.replace("300 km", "300km")).windows >= whole - 5
 
 
+def test_copies_in_other_case_or_with_other_spaces():
+    table = WindowTable([(1, QUESTION)])
+    codes = _Codes(table.vocabulary)
+    copies = [QUESTION.lower(), QUESTION.upper(), QUESTION.title()]
+    copies += [t.replace(" ", space) for t in (QUESTION, copies[0]) for space in ("\u00a0", "\u3000", "\u2009", "\x85", "\x1f")]
+    seen = table.suspects(pa.array(["before it " + t + " after it" for t in copies]))
+    for t, looked_at in zip(copies, seen, strict=True):
+        found = find_leaks("before it " + t + " after it", table, codes)
+        assert looked_at and [(item, m.changed) for item, _, m in found] == [(0, 0)], t
+    # Other words between the names are no copy in any case.
+    assert not find_leaks("a boat sails from paris to lyon with 12 people. how far is paris?", table, codes)
+
+
 def test_the_glance_misses_nothing():
     r = random.Random(3)
     items = [(i, prose(r, r.randint(2, 40)).replace("river", r.choice(["Paris", "7 km", "river", "É tang", "$5"]))) for i in range(40)]
