@@ -16,6 +16,7 @@ from hamsieve.llm.mixing import mix
 from hamsieve.llm.quality import fit_neighbours, score_quality
 from hamsieve.llm.sharding import shard_rows
 from hamsieve.llm.suffixes import remove_repeats
+from hamsieve.llm.trie import graft, number_turns, prefix_trie
 from hamsieve.llm.urls import judge_urls
 from hamsieve.sources.tables import table
 
@@ -81,6 +82,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = number_turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    head = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie(*graft(turns, base=conv - conv % 5, head=head, most=8))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
@@ -92,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -119,5 +128,43 @@ g AS (
     count(*) OVER (PARTITION BY norm) AS group_size
   FROM t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+""",
+    "op11_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 bit by bit: eight shifts per byte of the decimal id.
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+u AS (
+  SELECT c.conv_id, 0 AS own, t.p, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.p <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.p, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.p > c.h),
+w AS (
+  SELECT c.conv_id, coalesce(list({'r': u.role, 't': u.text} ORDER BY u.own, u.p) FILTER (u.text IS NOT NULL), []) AS path
+  FROM c LEFT JOIN u USING (conv_id) GROUP BY c.conv_id),
+m AS (SELECT conv_id, len(path) AS size, d.d, path[:d.d] AS prefix FROM w, LATERAL (SELECT unnest(range(0, len(path) + 1)) AS d) d),
+n AS (
+  SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, count(*) FILTER (size = d) AS n_ends,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256
+  FROM m GROUP BY d, prefix),
+k AS (SELECT d - 1 AS d, prefix[:d - 1] AS prefix, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+nk AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children,
+    CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1) * octet_length(encode(n.prefix[n.d].t)) END AS saved
+  FROM n LEFT JOIN k USING (d, prefix)),
+below AS (
+  SELECT a.d, a.prefix, sum(x.saved)::BIGINT AS saved_tokens, count(*) FILTER (x.n_children = 0) AS n_leaves
+  FROM nk AS x, LATERAL (SELECT unnest(range(0, x.d + 1)) AS d) AS s JOIN n AS a ON a.d = s.d AND a.prefix = x.prefix[:s.d]
+  GROUP BY a.d, a.prefix)
+SELECT nk.conv_id, nk.d AS depth, up.conv_id AS parent_conv_id, nk.n_convs, nk.n_children, below.n_leaves, below.saved_tokens,
+  nk.ends_sha256, nk.n_ends
+FROM nk JOIN below USING (d, prefix) LEFT JOIN n AS up ON up.d = nk.d - 1 AND up.prefix = nk.prefix[:nk.d - 1]
 """,
 }
