@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hamsieve.llm.align import align
 from hamsieve.llm.decontam import contaminated
 from hamsieve.llm.exact import exact_groups
 from hamsieve.llm.html import extract_pages
@@ -31,6 +33,8 @@ URL_RULES = (
     ("net/fr/", "block"),
 )
 SHARDS = 24
+#: Where the vocabulary files lie.
+TOKENIZERS = os.environ.get("HAMSIEVE_TOKENIZERS", "/opt/tokenizers")
 
 
 def _remainder(modulus: int) -> Column:
@@ -89,6 +93,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*graft(turns, base=conv - conv % 5, head=head, most=8))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), TOKENIZERS)
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
@@ -101,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
