@@ -261,7 +261,7 @@ class Alignment:
         text_of = np.repeat(np.arange(self.n_texts), self.n_groups)
         keys, times = [], []
         small = np.flatnonzero(links <= LINKS)
-        cuts = np.searchsorted(np.cumsum(links[small]), np.arange(0, int(links[small].sum()) + LINKS, LINKS))
+        cuts = np.searchsorted(np.cumsum(links[small]), np.arange(0, int(links[small].sum()) + LINKS, LINKS), "right")
         for g in (small[s:e] for s, e in itertools.pairwise(cuts.tolist()) if e > s):
             at = _arange(links[g])
             width = np.repeat(self.in_b[g], links[g])
@@ -426,9 +426,9 @@ def align(
     # An A id has at most as many pairs as B has ids.
     most = F.max("n").over(Window.partitionBy(F.shiftright("pair", _ID_BITS)))
     counts = counts.withColumn("best", F.col("n") == most)
-    answers = asks.select("block", "pair").join(counts, "pair")
+    answers = asks.select(F.col("block").alias("asker"), "pair").join(counts, "pair")
     documents = blocks.where("pairs IS NULL").drop("pairs", "docs")
-    settled = documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_settle, f"id long, {_ALIGNED}")
+    settled = documents.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_settle, f"id long, {_ALIGNED}")
     return settled.withColumnRenamed("id", id_col)
 
 
