@@ -18,6 +18,7 @@ from hamsieve.llm.mixing import mix
 from hamsieve.llm.quality import fit_neighbours, score_quality
 from hamsieve.llm.sharding import shard_rows
 from hamsieve.llm.suffixes import remove_repeats
+from hamsieve.llm.toxicity import fit_subwords, score_toxicity
 from hamsieve.llm.trie import graft, number_turns, prefix_trie
 from hamsieve.llm.urls import judge_urls
 from hamsieve.sources.tables import table
@@ -93,6 +94,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*graft(turns, base=conv - conv % 5, head=head, most=8))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_subwords(docs, table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    return score_toxicity(docs, model).withColumn("held_out", _remainder(5) == 0)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), TOKENIZERS)
 
@@ -109,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_toxicity": op12_toxicity,
     "op13_token_alignment": op13_token_alignment,
 }
 
