@@ -10,6 +10,7 @@ then drawn with its cell's probability.
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -56,21 +57,40 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def _one_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    return df.crossJoin(F.broadcast(row))
+def _by_value(cells: DataFrame, targets: Mapping[str, Target], **sums: Column) -> DataFrame:
+    """Sums over the cells of every value of every margin, by one aggregation: ``margin``, ``value`` and the sums."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("margin"), F.col(m).alias("value")) for m in targets)))
+    return cells.select("*", each.alias("_of")).groupBy("_of.margin", "_of.value").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
 
 
-def _targets(cells: DataFrame, margin: str, target: Target) -> DataFrame:
-    """``margin``, ``value``, its tokens ``had`` and ``goal`` (share of the sample); only values that have tokens."""
-    had = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").alias("had"))
+def _raw_goal(target: Target) -> Column:
     if isinstance(target, Mapping):
+        if not target:
+            return F.lit(0.0)
         wanted = F.create_map(*[F.lit(x) for kv in target.items() for x in kv])[F.col("value")]
-        goal = F.coalesce(wanted.cast("double"), F.lit(0.0))
-    else:
-        goal = F.pow(F.col("had").cast("double"), F.lit(float(target)))
-    raw = had.withColumn("_raw", goal)
-    whole = _one_row(raw, raw.agg(F.sum("_raw").alias("_whole")))
-    return whole.select(F.lit(margin).alias("margin"), "value", "had", (F.col("_raw") / F.col("_whole")).alias("goal"))
+        return F.coalesce(wanted.cast("double"), F.lit(0.0))
+    return F.pow(F.col("had").cast("double"), F.lit(float(target)))
+
+
+def _goals(table: DataFrame, targets: Mapping[str, Target]) -> DataFrame:
+    """``margin``, ``value``, its tokens ``had`` and ``goal`` (share of the sample); only values that have tokens."""
+    had = _by_value(table, targets, had=F.col("tokens"))
+    raw = reduce(lambda c, m: c.when(F.col("margin") == m, _raw_goal(targets[m])), targets, F.when(F.lit(False), F.lit(0.0)))
+    had = _few(had.withColumn("_raw", raw))
+    whole = had.groupBy("margin").agg(F.sum("_raw").alias("_whole"))
+    return had.join(F.broadcast(whole), "margin").select("margin", "value", "had", (F.col("_raw") / F.col("_whole")).alias("goal"))
+
+
+#: Rows of cells or values in one task.
+TASK_ROWS = 50_000
+
+
+def _few(small: DataFrame, rows: int | None = None) -> DataFrame:
+    """A stored copy of an aggregate, in as many files as its counted rows ask for, so that passes over it cost few tasks."""
+    if rows is None:
+        small = materialize(small, "mixing")
+        rows = small.count()
+    return materialize(small.coalesce(max(1, math.ceil(rows / TASK_ROWS))), "mixing")
 
 
 def _wanted(values: DataFrame, targets: Mapping[str, Target], budget: float | None) -> tuple[DataFrame, float]:
@@ -115,60 +135,71 @@ def _wanted(values: DataFrame, targets: Mapping[str, Target], budget: float | No
     return values.withColumn("want", F.when(all_of_it, F.col("had").cast("double")).otherwise(at)), size
 
 
-def _spread(table: DataFrame, values: DataFrame, column: str, targets: Mapping[str, Target]) -> DataFrame:
-    """``table`` with ``column`` of each margin's value, as ``_<column>_<margin>``."""
-    for margin in targets:
-        own = values.where(F.col("margin") == margin).select(F.col("value").alias(margin), F.col(column).alias(f"_{column}_{margin}"))
-        table = table.join(own, margin)
-    return table
-
+class _Raking:
+    """Weights of the cells as their first share of the sample times one factor per margin's value.
 
-def _sweeps(table: DataFrame, targets: Mapping[str, Target], sweeps: int, tolerance: float, bound: Column | None) -> DataFrame:
-    """``table`` (margins, ``tokens``, ``_want_<margin>``, ``weight``) raked; no weight counts beyond ``bound``.
-
-    A weight beyond the bound is held, and may come free again when another margin lowers it. What
-    falls short is raised over the free cells alone, what exceeds is lowered over all, so that no
-    step goes past its target.
+    Cells stay as they lie. A step sums the cells' weights by the values of one margin (partly in each
+    task) and stores the new factors, a row per value; they are broadcast to the cells where their
+    counted number allows it, and joined otherwise. No weight counts beyond ``bound``.
     """
-    counted = F.col("weight") if bound is None else F.least("weight", bound)
-    free = F.col("weight") if bound is None else F.when(F.col("weight") < bound, F.col("weight")).otherwise(F.lit(0.0))
-    for _ in range(sweeps):
-        off = []
-        for margin in targets:
-            over = Window.partitionBy(margin)
-            want, has, open_ = F.col(f"_want_{margin}"), F.col("_has"), F.col("_free")
-            table = table.withColumns({"_has": F.sum(counted).over(over), "_free": F.sum(free).over(over)})
-            raised = F.when(open_ > 0, (want - (has - open_)) / open_).otherwise(F.lit(1.0))
-            factor = F.when(has <= 0, F.lit(0.0)).when(want > has, raised).otherwise(want / has)
-            off.append(F.when((has > 0) & (want > 0), F.abs(has - want) / want).otherwise(F.lit(0.0)))
-            table = table.withColumn(f"_off_{margin}", off[-1]).withColumn("weight", F.col("weight") * factor)
-        offs = [F.col(f"_off_{m}") for m in targets]
-        table = table.withColumn("_off", F.greatest(*offs) if len(offs) > 1 else offs[0])
-        table = table.drop("_has", "_free", *(f"_off_{m}" for m in targets)).checkpoint()
-        worst = table.agg(F.max("_off").alias("off")).collect()[0]["off"]
-        table = table.drop("_off")
-        if worst is None or worst <= tolerance:
-            break
-    return table.drop(*(f"_want_{m}" for m in targets))
 
-
-def _goals(table: DataFrame, targets: Mapping[str, Target]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [_targets(table, m, t) for m, t in targets.items()]).checkpoint()
+    def __init__(self, cells: DataFrame, goals: DataFrame, targets: Mapping[str, Target], scale: float, bound: Column | None):
+        self.cells, self.targets, self.scale, self.bound = cells, targets, scale, bound
+        self.sizes = {r["margin"]: r["n"] for r in goals.groupBy("margin").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.factors = {m: goals.where(F.col("margin") == m).select(F.col("value").alias(m), "want", F.lit(1.0).alias("factor")) for m in targets}
+
+    def weighted(self) -> DataFrame:
+        """The cells with ``weight``."""
+        table, weight = self.cells, F.col("tokens") * F.lit(self.scale)
+        for margin, factors in self.factors.items():
+            own = factors.select(margin, F.col("factor").alias(f"_factor_{margin}"))
+            table = table.join(F.broadcast(own) if self.sizes.get(margin, 0) <= BROADCAST_CELLS else own, margin)
+            weight = weight * F.col(f"_factor_{margin}")
+        return table.select(*self.cells.columns, weight.alias("weight"))
+
+    def step(self, margin: str) -> None:
+        """Raise what falls short of the margin's targets over its free cells alone, lower what exceeds over all."""
+        counted = F.col("weight") if self.bound is None else F.least("weight", self.bound)
+        free = F.col("weight") if self.bound is None else F.when(F.col("weight") < self.bound, F.col("weight")).otherwise(F.lit(0.0))
+        sums = self.weighted().groupBy(margin).agg(F.sum(counted).alias("_has"), F.sum(free).alias("_free"))
+        want, has, open_ = F.col("want"), F.col("_has"), F.col("_free")
+        raised = F.when(open_ > 0, (want - (has - open_)) / open_).otherwise(F.lit(1.0))
+        change = F.when(has <= 0, F.lit(0.0)).when(want > has, raised).otherwise(want / has)
+        off = F.when((has > 0) & (want > 0), F.abs(has - want) / want).otherwise(F.lit(0.0))
+        new = self.factors[margin].join(sums, margin).select(margin, "want", (F.col("factor") * change).alias("factor"), off.alias("_off"))
+        self.factors[margin] = _few(new, self.sizes.get(margin, 0))
+
+    def run(self, sweeps: int, tolerance: float) -> DataFrame:
+        worst = 0.0
+        for _ in range(sweeps if self.sizes else 0):
+            for margin in self.targets:
+                self.step(margin)
+            offs = reduce(DataFrame.unionByName, [f.select("_off") for f in self.factors.values()])
+            worst = offs.agg(F.max("_off").alias("off")).collect()[0]["off"] or 0.0
+            if worst <= tolerance:
+                break
+        else:
+            if worst:
+                _log.warning("mixing: after %d sweeps a value is still off its target by a share of %.2g", sweeps, worst)
+        return self.weighted()
+
+
+def _counted_cells(cells: DataFrame) -> tuple[DataFrame, int]:
+    """The cells that have tokens, stored in few files, and their tokens."""
+    table = _few(cells.where(F.col("tokens") > 0))
+    return table, table.agg(F.sum("tokens").alias("n")).collect()[0]["n"] or 0
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Target], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (margin columns, ``tokens``) with ``weight``: the raked share of all tokens, unbounded.
 
-    Each sweep rescales to every margin by one window over it; between sweeps the cells are cut off
-    by ``checkpoint``, so the plan does not grow and executors may be lost. Cells are few beside
-    documents: they were summed before. Where targets contradict each other (a value whose cells
-    all have a zero goal elsewhere) the last margin of a sweep holds and raking stops at ``sweeps``.
+    Between steps only the factors are stored, so the plan does not grow and executors may be lost.
+    Where targets contradict each other (a value whose cells all have a zero goal elsewhere) the last
+    margin of a sweep holds; raking stops at ``sweeps`` and the log says how far off it is.
     """
-    table = cells.where(F.col("tokens") > 0)
-    goals = _goals(table, targets).withColumnRenamed("goal", "want")
-    table = _one_row(_spread(table, goals, "want", targets), table.agg(F.sum("tokens").alias("_total")))
-    table = table.withColumn("weight", F.col("tokens") / F.col("_total")).drop("_total").checkpoint()
-    return _sweeps(table, targets, sweeps, tolerance, None)
+    table, total = _counted_cells(cells)
+    goals = _few(_goals(table, targets).withColumnRenamed("goal", "want"))
+    return _Raking(table, goals, targets, 1 / total if total else 0.0, None).run(sweeps, tolerance)
 
 
 def rake_within(
@@ -178,14 +209,13 @@ def rake_within(
 
     ``budget`` is the share of all tokens to draw. Without one it is BUDGET, or less if shares given by
     value need it. The second table has per ``margin`` and ``value`` the tokens it ``had``, ``asked``
-    (its goal of what is drawn) and ``want`` (what is raked to, see ``_wanted``).
+    (its goal of what is drawn) and ``want`` (what is raked to, see ``_wanted``). A weight beyond the
+    bound is held, and may come free again when another margin lowers it.
     """
-    table = cells.where(F.col("tokens") > 0)
-    goals, size = _wanted(_goals(table, targets), targets, budget)
-    goals = goals.withColumn("asked", F.col("goal") * size)
-    table = _one_row(_spread(table, goals, "want", targets), table.agg(F.sum("tokens").alias("_total")))
-    table = table.withColumn("weight", F.col("tokens") * F.lit(size) / F.col("_total")).drop("_total").checkpoint()
-    raked = _sweeps(table, targets, sweeps, tolerance, F.col("tokens").cast("double"))
+    table, total = _counted_cells(cells)
+    goals, size = _wanted(_few(_goals(table, targets)), targets, budget)
+    goals = _few(goals.withColumn("asked", F.col("goal") * size))
+    raked = _Raking(table, goals, targets, size / total if total else 0.0, F.col("tokens").cast("double")).run(sweeps, tolerance)
     full = F.col("weight") >= F.col("tokens") * (1 - 1e-6)
     return raked.withColumn("weight", F.when(full, F.col("tokens").cast("double")).otherwise(F.col("weight"))), goals
 
@@ -222,15 +252,11 @@ def _margins(targets: Mapping[str, Target], topic: Column | None, text: Column)
 
 def calibrate(cells: DataFrame, targets: Mapping[str, Target], budget: float | None = None) -> Mix:
     """Rates for documents summed to ``cells`` (margins, ``tokens``, ``docs``)."""
-    cells = cells.checkpoint()
     raked, goals = rake_within(cells, targets, budget)
-    rated = raked.withColumn("_rate", F.col("weight") / F.col("tokens")).checkpoint()
+    rated = _few(raked.withColumn("_rate", F.col("weight") / F.col("tokens")))
     sums = rated.agg((F.sum(F.col("_rate") * F.col("docs")) / F.sum("docs")).alias("mean"), F.sum("weight").alias("drawn")).collect()[0]
     share = F.col("_rate") / F.lit(sums["drawn"]) if sums["drawn"] else F.lit(0.0)
-    given = reduce(
-        DataFrame.unionByName,
-        [rated.groupBy(F.col(m).alias("value")).agg(F.sum("weight").alias("given")).withColumn("margin", F.lit(m)) for m in targets],
-    )
+    given = _by_value(rated, targets, given=F.col("weight"))
     reached = goals.select("margin", "value", "had", "asked").join(given, ["margin", "value"])
     return Mix(tuple(targets), rated.select(*targets, "_rate", share.alias("_share")), 1.0 if sums["mean"] is None else sums["mean"], reached)
 
@@ -273,16 +299,15 @@ def draw(
     seed: int = 42,
     budget: float | None = None,
 ) -> DataFrame:
-    """The rows of ``df`` that ``mix`` selects, with all their columns. Texts are read twice and not shuffled."""
+    """The rows of ``df`` that ``mix`` selects, with all their columns. Texts are judged once, stored with it, and not shuffled."""
     targets = dict(targets or DEFAULT_TARGETS)
     text = F.col(text_col).cast("string")
     named = _margins(targets, topic, text)
-    tokens = token_count(text)
-    cells = df.groupBy(*(c.alias(m) for m, c in named.items())).agg(F.sum(tokens).alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    found = calibrate(cells, targets, budget)
     whole = F.struct(*(F.col(c) for c in df.columns)).alias("_row")
-    rows = df.select(F.col(id_col).cast("long").alias(id_col), *(c.alias(m) for m, c in named.items()), tokens.alias("tokens"), whole)
-    return found.join(rows, id_col, seed).where("selected").select("_row.*")
+    rows = df.select(F.col(id_col).cast("long").alias(id_col), *(c.alias(m) for m, c in named.items()), token_count(text).alias("tokens"), whole)
+    rows = materialize(rows, "mixing-rows")
+    cells = rows.groupBy(*targets).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    return calibrate(cells, targets, budget).join(rows, id_col, seed).where("selected").select("_row.*")
 
 
 #: Cells up to this number are broadcast to the documents; more are joined by shuffle.
