@@ -75,7 +75,8 @@ def test_bounded_raking_equals_plain_loops(spark, seed, scarce, targets, budget)
     got = {(x["source"], x["lang"], x["topic"]): min(x["weight"], float(x["tokens"])) for x in raked.collect()}
     want = plainly(cells, targets, budget, sweeps=8)
     assert got.keys() == want.keys()
-    assert got == {c: pytest.approx(w, rel=2e-6) for c, w in want.items()}
+    # Whether a cell at its bound is free hangs on the last digit, so the sums of a sweep may differ by more than that.
+    assert got == {c: pytest.approx(w, rel=2e-4) for c, w in want.items()}
 
 
 def test_many_values_are_joined_not_broadcast(spark, monkeypatch):
