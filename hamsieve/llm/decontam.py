@@ -30,8 +30,11 @@ from hamsieve.llm.kernels import CHUNK, mix, span_hashes, text_bytes, word_spans
 WINDOW = 5
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
-#: Bytes of benchmark text that are looked up in one pass; a larger benchmark takes more passes.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that are looked up in one pass; a larger benchmark takes more passes. A byte costs some 50
+#: in the table that is broadcast (a window has 32 hashes, one for each set of words that may be slots).
+BLOCK_BYTES = 2 << 20
+#: Bytes of text that are glanced at at once, at most; a longer text is read as a whole.
+GLANCE_BYTES = 4 << 20
 #: Distinct words that a task remembers before it forgets them all.
 MEMORY = 1_000_000
 
@@ -221,6 +224,7 @@ class _View:
                     if self.sizes[item] == size and (self.templates[item].ids[place : place + size] == ids[full[k] : full[k] + size]).all():
                         yield item, place, int(full[k])
 
+
 class WindowTable(_View):
     """The windows of a block of items by templates, and (``plain``) by words in any case."""
 
@@ -237,23 +241,29 @@ class WindowTable(_View):
 
         # What a glance at raw words needs: the windows with any of their words hidden, by their hashes.
         self.glances: dict[int, np.ndarray] = {}
-        literals: set[int] = set()
         lengths = sorted({n for v in views for n in v.lengths})
         every = [(t, own, total) for v in views for t, own, total in zip(v.templates, v.sizes, v.totals, strict=True)]
+        spans: dict[str, int] = {}
+        seen = [np.array([_HIDDEN], np.uint64)]
         for size in lengths:
-            seen: set[int] = set()
+            windows = []
             for t, own, _ in every:
-                if own != size:
-                    continue
-                h = np.array([_span(t.value(i).encode()) if t.ids[i] >= _FIRST_WORD else _HIDDEN for i in range(len(t.ids))], np.uint64)
-                literals.update(h.tolist())
-                for hide in range(1 << size):
-                    hidden = np.array([bool(hide >> j & 1) for j in range(size)])
-                    rows = np.lib.stride_tricks.sliding_window_view(h, size)
-                    seen.update(_glance(np.where(hidden, _HIDDEN, rows)).tolist())
-            self.glances[size] = np.array(sorted(seen), np.uint64)
+                if own == size:
+                    h = np.full(len(t.ids), _HIDDEN)
+                    for i in np.flatnonzero(t.ids >= _FIRST_WORD).tolist():
+                        word = t.value(i)
+                        h[i] = spans[word] if word in spans else spans.setdefault(word, _span(word.encode()))
+                    windows.append(np.lib.stride_tricks.sliding_window_view(h, size))
+                    seen.append(h)
+            rows = np.concatenate(windows)
+            hashes = np.zeros(0, np.uint64)
+            for hide in range(1 << size):
+                hidden = np.array([bool(hide >> j & 1) for j in range(size)])
+                hashes = np.union1d(hashes, _glance(np.where(hidden, _HIDDEN, rows)))
+            self.glances[size] = hashes
+        literals = np.unique(np.concatenate(seen))
         self.literals = np.zeros(_LITERAL_BITS, bool)
-        self.literals[[v & (_LITERAL_BITS - 1) for v in literals]] = True
+        self.literals[(literals & np.uint64(_LITERAL_BITS - 1)).astype(np.int64)] = True
         self.needs = {n: min(self.least(total) for _, own, total in every if own == n) for n in lengths}
         self.reach = max((_reach(t) for t in self.templates), default=0)
 
@@ -261,36 +271,56 @@ class WindowTable(_View):
         """Windows of an item with ``total`` that a document must hold."""
         return max(1, math.ceil(self.coverage * total))
 
-    def suspects(self, column: pa.Array) -> np.ndarray:
-        """Texts that may hold a window: words in a row that are one's words but for what may be a slot.
+    def stretches(self, column: pa.Array) -> Iterator[tuple[int, list[tuple[str, int]]]]:
+        """Texts that may hold an item, and where: each stretch of text, and how many of its first words only lead up to it.
 
-        Worked out on bytes for many texts at once; it only ever errs on the side of looking closer.
+        Told by words in a row that are a window's but for what may be a slot, worked out on bytes for many texts
+        at once; it only ever errs on the side of looking closer. A stretch reaches as far as a copy around
+        those words can; the two words before it tell what its own first words are.
         """
-        out = np.zeros(len(column), bool)
         data, offsets = text_bytes(column)
         i, n = 0, len(column)
         while i < n:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
-            if offsets[j] - offsets[i] > CHUNK:
-                out[i] = True
+            part = data[offsets[i] : offsets[j]]
+            if len(part) > GLANCE_BYTES:
+                yield i, [(part.tobytes().decode(), 0)]
             else:
-                part = data[offsets[i] : offsets[j]]
-                bounds = offsets[i : j + 1] - offsets[i]
-                at = self._promising(part, bounds)
-                out[i + np.unique(np.searchsorted(bounds, at, "right") - 1)] = True
+                yield from ((i + row, found) for row, found in self._stretches(part, offsets[i : j + 1] - offsets[i]))
             i = j
-        return out
 
-    def _promising(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def _stretches(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, list[tuple[str, int]]]]:
+        at, starts, ends = self._promising(data, bounds)
+        if not len(at):
+            return
+        at = np.unique(at)
+        text = np.searchsorted(bounds, starts[at], "right") - 1
+        word = np.searchsorted(starts, bounds)
+        low = np.maximum(at - self.reach, word[text])
+        high = np.minimum(at + self.reach + WINDOW, word[text + 1] - 1)
+        # Stretches that meet are one.
+        fresh = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (low[1:] > high[:-1] + 1)]))
+        low, high, text = low[fresh], np.append(high[fresh[1:] - 1], high[-1]), text[fresh]
+        lead = np.maximum(low - 2, word[text])
+        found: dict[int, list[tuple[str, int]]] = {}
+        for row, first, own, last in zip(text.tolist(), lead.tolist(), low.tolist(), high.tolist(), strict=True):
+            before = data[starts[first] : starts[own]].tobytes().decode()
+            whole = before + data[starts[own] : ends[last]].tobytes().decode()
+            found.setdefault(row, []).append((whole, len(_GLUED.sub(r"\1 \2", before).split())))
+        yield from found.items()
+
+    def _promising(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words at which a window may begin; starts and ends of all words."""
         data = _plain_spaces(data)
         starts, ends = word_spans(data, bounds)
+        none = np.zeros(0, np.int64)
         if not len(starts):
-            return starts
+            return none, starts, ends
         # From the first to the last letter or figure of each word.
         inside = _CORE[data]
         core = np.flatnonzero(inside)
         if not len(core):
-            return core
+            return none, starts, ends
         count = np.zeros(len(data) + 1, np.int32)
         np.cumsum(inside, out=count[1:])
         lo, hi = count[starts], count[ends]
@@ -319,11 +349,11 @@ class WindowTable(_View):
         fine = slot | self.literals[(h & np.uint64(_LITERAL_BITS - 1)).astype(np.int64)]
         h = np.where(slot, _HIDDEN, h)
         text = np.searchsorted(bounds, starts, "right")
-        found = [starts[:0]]
+        found = [none]
         for size, glances in self.glances.items():
             if len(h) < size:
                 # Merged or glued slots can make fewer raw words than the window has.
-                found.append(starts[loose | glued])
+                found.append(np.flatnonzero(loose | glued))
                 continue
             n = len(h) - size + 1
             sums = np.zeros(len(h) + 1, np.int32)
@@ -344,8 +374,8 @@ class WindowTable(_View):
                 close = np.flatnonzero(begins[need:] - begins[: len(begins) - need] <= self.reach)
                 close = close[text[begins[close]] == text[begins[close + need]]]
                 begins = begins[close]
-            found.append(starts[begins])
-        return np.concatenate(found)
+            found.append(begins)
+        return np.concatenate(found), starts, ends
 
 
 @dataclass
@@ -389,15 +419,28 @@ def _reach(item: _Template) -> int:
 
 def find_leaks(text: str, table: WindowTable, codes: _Codes) -> list[tuple[int, int, _Match]]:
     """Index, number of windows and match of every item of ``table`` that ``text`` holds; by its template, if both find it."""
-    named, plain = _templates(text, codes)
-    out = {item: (item, total, m) for view, doc in ((table.plain, plain), (table, named)) for item, total, m in _leaks(doc, view, table)}
+    return leaks_of([(text, 0)], table, codes)
+
+
+def leaks_of(stretches: list[tuple[str, int]], table: WindowTable, codes: _Codes) -> list[tuple[int, int, _Match]]:
+    """As ``find_leaks``, of a text of which only ``stretches`` can hold an item; no window begins in a stretch's first words."""
+    by_template: dict[int, tuple[int, int, _Match]] = {}
+    by_words: dict[int, tuple[int, int, _Match]] = {}
+    for text, lead in stretches:
+        named, plain = _templates(text, codes)
+        for view, doc, best in ((table.plain, plain, by_words), (table, named, by_template)):
+            for item, total, match in _leaks(doc, view, table, lead):
+                if item not in best or match.windows > best[item][2].windows:
+                    best[item] = (item, total, match)
+    out = by_words | by_template
     return [out[item] for item in sorted(out)]
 
 
-def _leaks(doc: _Template, view: _View, table: WindowTable) -> list[tuple[int, int, _Match]]:
+def _leaks(doc: _Template, view: _View, table: WindowTable, lead: int) -> list[tuple[int, int, _Match]]:
     found: dict[int, list[tuple[int, int]]] = {}
     for item, place, at in view.hits(doc.ids):
-        found.setdefault(item, []).append((place, at))
+        if doc.first[at] >= lead:
+            found.setdefault(item, []).append((place, at))
     out = []
     for item, pairs in sorted(found.items()):
         total, size = view.totals[item], view.sizes[item]
@@ -440,8 +483,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 texts = batch.column(at).fill_null("")
-                for row in np.flatnonzero(held.suspects(texts)):
-                    clean[row] = not find_leaks(texts[int(row)].as_py(), held, codes)
+                for row, found in held.stretches(texts):
+                    clean[row] = not leaks_of(found, held, codes)
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
@@ -471,9 +514,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             codes = _Codes(held.vocabulary)
             for batch in batches:
                 rows = []
-                for at in np.flatnonzero(held.suspects(batch.column(1))):
-                    doc, text = batch.column(0)[int(at)].as_py(), batch.column(1)[int(at)].as_py()
-                    for item, total, m in find_leaks(text, held, codes):
+                for at, found in held.stretches(batch.column(1)):
+                    doc = batch.column(0)[at].as_py()
+                    for item, total, m in leaks_of(found, held, codes):
                         rows.append((doc, held.ids[item], total, m.windows, m.windows / total, m.slots, m.changed, m.changed > 0))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=columns)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from hamsieve.llm import decontam
-from hamsieve.llm.decontam import WindowTable, _Codes, contaminated, find_leaks, without_leaks
+from hamsieve.llm.decontam import WindowTable, _Codes, contaminated, find_leaks, leaks_of, without_leaks
 from hamsieve.llm.html import extract_pages, main_text
 from hamsieve.llm.mixing import BUDGET, calibrate, draw, margins, mix, rake, token_count
 from hamsieve.llm.quality import NeighbourModel, fit_neighbours, keep_good, score_quality, term_rows
@@ -155,10 +155,10 @@ def test_copies_in_other_case_or_with_other_spaces():
     codes = _Codes(table.vocabulary)
     copies = [QUESTION.lower(), QUESTION.upper(), QUESTION.title()]
     copies += [t.replace(" ", space) for t in (QUESTION, copies[0]) for space in ("\u00a0", "\u3000", "\u2009", "\x85", "\x1f")]
-    seen = table.suspects(pa.array(["before it " + t + " after it" for t in copies]))
-    for t, looked_at in zip(copies, seen, strict=True):
+    seen = dict(table.stretches(pa.array(["before it " + t + " after it" for t in copies])))
+    for k, t in enumerate(copies):
         found = find_leaks("before it " + t + " after it", table, codes)
-        assert looked_at and [(item, m.changed) for item, _, m in found] == [(0, 0)], t
+        assert leaks_of(seen[k], table, codes) == found and [(item, m.changed) for item, _, m in found] == [(0, 0)], t
     # Other words between the names are no copy in any case.
     assert not find_leaks("a boat sails from paris to lyon with 12 people. how far is paris?", table, codes)
 
@@ -169,9 +169,33 @@ def test_the_glance_misses_nothing():
     table = WindowTable(items)
     codes = _Codes(table.vocabulary)
     texts = [prose(r, 30) for _ in range(60)] + [prose(r, 10) + " " + t.replace("Paris", "New York").replace("7 km", "9km") + " " + prose(r, 10) for _, t in items]
-    glance = table.suspects(pa.array(texts))
-    for t, seen in zip(texts, glance, strict=True):
-        assert seen or not find_leaks(t, table, codes)
+    seen = dict(table.stretches(pa.array(texts)))
+    for k, t in enumerate(texts):
+        assert leaks_of(seen.get(k, []), table, codes) == find_leaks(t, table, codes)
+
+
+@pytest.mark.parametrize("glance_bytes", [4 << 20, 3000])
+def test_stretches_of_long_texts_hold_what_the_texts_hold(monkeypatch, glance_bytes):
+    """Copies far apart, at both ends, behind names and glued figures, and windows without a copy around them."""
+    monkeypatch.setattr(decontam, "GLANCE_BYTES", glance_bytes)
+    monkeypatch.setattr(decontam, "CHUNK", 2000)
+    r = random.Random(9)
+    items = [(i, prose(r, r.choice([3, 5, 6, 12, 30]))) for i in range(25)] + [(30, QUESTION), (31, "Anna Lee has 5 km to go."), (32, "go")]
+    table = WindowTable(items)
+    codes = _Codes(table.vocabulary)
+    texts = []
+    for k in range(60):
+        parts = [prose(r, r.choice([0, 1, 300])) + r.choice(["", " Then Bob", " 7km", " Anna Lee", "　x"])]
+        for _ in range(r.choice([1, 1, 2, 4])):
+            copy = r.choice(items)[1]
+            words = copy.split()
+            parts += [r.choice([copy, CHANGED, copy.lower(), " ".join(words[: len(words) // 2])]), prose(r, r.choice([0, 2, 90, 400]))]
+        texts.append(" ".join(parts[:: 1 if k % 2 else -1]))
+    seen = dict(table.stretches(pa.array(texts)))
+    held = [find_leaks(t, table, codes) for t in texts]
+    assert sum(map(bool, held)) > 30
+    for k, want in enumerate(held):
+        assert leaks_of(seen.get(k, []), table, codes) == want
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 200])
