@@ -6,11 +6,14 @@ per term, applied inside the row.
 
 from __future__ import annotations
 
+import itertools
 import math
+import uuid
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import ElementwiseProduct
@@ -253,19 +256,110 @@ def predicted_class(prob: str = "spam_prob") -> Column:
     return (F.col(prob) > 0.5).cast("int")
 
 
-# --- any other model ---------------------------------------------------------------------------
+# --- scorers that live as long as a worker ---------------------------------------------------------
 
 TextScorer = Callable[[list[str]], "list[list[float]]"]
 
+_loaded: dict[str, object] = {}
 
-def score_with(df: DataFrame, scorer: TextScorer, text: str = "text") -> DataFrame:
-    """Add ``spam_prob`` from a function of texts to rows (ham, spam), called once per Arrow batch."""
+
+class PerWorker:
+    """A factory whose product is made once per Python worker: workers outlive tasks, and so does what they load.
+
+    One ``PerWorker`` may serve many queries. A worker keeps the few products it has met last.
+    """
+
+    def __init__(self, make: Callable[[], object]):
+        self.make, self.key = make, uuid.uuid4().hex
+
+    def get(self) -> object:
+        if self.key not in _loaded:
+            while len(_loaded) >= 4:
+                _loaded.pop(next(iter(_loaded)))
+            _loaded[self.key] = self.make()
+        return _loaded[self.key]
+
+
+def per_worker(factory: "Callable[[], object] | PerWorker") -> PerWorker:
+    return factory if isinstance(factory, PerWorker) else PerWorker(factory)
+
+
+def score_with(df: DataFrame, factory: Callable[[], TextScorer] | PerWorker, text: str = "text") -> DataFrame:
+    """Add ``spam_prob`` from a function of texts to rows (ham, spam), which ``factory`` loads once per worker."""
     schema = T.StructType(df.schema.fields + [T.StructField("spam_prob", T.DoubleType())])
+    model = per_worker(factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = model.get()
         for pdf in batches:
             if len(pdf):
                 probs = scorer(pdf[text].fillna("").tolist())
                 yield pdf.assign(spam_prob=[float(p[1]) for p in probs])
 
     return df.mapInPandas(run, schema)
+
+
+class LinearNeighbours:
+    """Scores all neighbours of a mail by a linear model over TF-IDF, as one product of counts and weights."""
+
+    def __init__(self, vocabulary: tuple[str, ...], idf: tuple[float, ...], weights: tuple[float, ...], intercept: float):
+        self.idf, self.weights, self.intercept = np.array(idf), np.array(weights), intercept
+        parts = [t.split(" ") for t in vocabulary]
+        self.token = {w: k for k, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(parts)))}
+        self.single = np.full(len(self.token) + 1, -1)
+        pairs = []
+        for term, part in enumerate(parts):
+            if len(part) == 1:
+                self.single[self.token[part[0]]] = term
+            else:
+                pairs.append((self.token[part[0]], self.token[part[1]], term))
+        first, second, term = np.array(sorted(pairs), np.int64).reshape(-1, 3).T
+        self.first, self.second, self.term = first, second, term
+
+    def score_neighbours(self, mail) -> np.ndarray:
+        """Spam probability of each sample. Counts of terms that the samples hold, never a text."""
+        known = [[self.token.get(t, len(self.token)) for t in word] for word in mail.tokens]
+        sizes = np.array([len(k) for k in known], np.int64)
+        flat = np.array(list(itertools.chain.from_iterable(known)), np.int64)
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[mail.order]
+        at = np.repeat(starts[mail.order] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        token, word = flat[at], np.repeat(mail.order, n)
+        local, token = np.unique(token, return_inverse=True)
+        # The model's terms whose words the mail has: columns of the counts.
+        own = np.full(len(self.token) + 1, -1)
+        own[local] = np.arange(len(local))
+        own[len(self.token)] = -1
+        singles = self.single[local]
+        lows, highs = (np.searchsorted(self.first, local, side) for side in ("left", "right"))
+        spans = highs - lows
+        pair = np.repeat(lows - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))
+        pair = pair[own[self.second[pair]] >= 0]
+        terms = np.concatenate([singles[singles >= 0], self.term[pair]])
+        column = np.full(len(local), -1)
+        column[singles >= 0] = np.arange(int((singles >= 0).sum()))
+        # Sorted, as the model's pairs are by their first word, and columns are by the local ones.
+        code = own[self.first[pair]] * len(local) + own[self.second[pair]]
+        by_code = np.argsort(code)
+        code, code_column = code[by_code], by_code + int((singles >= 0).sum())
+        margin = np.full(len(mail.masks), float(self.intercept))
+        step = max(1, _CELLS // max(len(token), len(terms), 1))
+        for s in range(0, len(mail.masks) if len(terms) else 0, step):
+            row, col = np.nonzero(mail.masks[s : s + step][:, word])
+            kept = token[col]
+            cells = [row[column[kept] >= 0] * len(terms) + column[kept][column[kept] >= 0]]
+            if len(code) and len(kept) > 1:
+                both = kept[:-1] * len(local) + kept[1:]
+                place = np.minimum(np.searchsorted(code, both), len(code) - 1)
+                hit = (code[place] == both) & (row[:-1] == row[1:])
+                cells.append(row[:-1][hit] * len(terms) + code_column[place[hit]])
+            rows = len(mail.masks[s : s + step])
+            counts = np.bincount(np.concatenate(cells), minlength=rows * len(terms)).reshape(rows, len(terms))
+            weighted = counts * self.idf[terms]
+            size = np.sqrt((weighted * weighted).sum(1))
+            margin[s : s + step] += (weighted @ self.weights[terms]) / np.where(size > 0, size, 1.0)
+        return 1.0 / (1.0 + np.exp(-margin))
+
+
+#: Numbers of a matrix of counts that are worked on at once.
+_CELLS = 2_000_000

@@ -759,15 +759,19 @@ def dense_head(spark: SparkSession, d: str) -> DataFrame:
     return probs.select("vec_id", "label", L.argmax(F.col("p")).alias("pred"), F.array_max("p").alias("prob"))
 
 
-def _letter_share(texts: list[str]) -> list[list[float]]:
-    """Stand-in for an outside model: spam is the share of characters that are exclamation marks."""
-    shares = [t.count("!") / len(t) if t else 0.0 for t in texts]
-    return [[1.0 - s, s] for s in shares]
+def _outside_model() -> L.TextScorer:
+    """Loads a stand-in for an outside model: spam is the share of characters that are exclamation marks."""
+
+    def score(texts: list[str]) -> list[list[float]]:
+        shares = [t.count("!") / len(t) if t else 0.0 for t in texts]
+        return [[1.0 - s, s] for s in shares]
+
+    return score
 
 
 @query
 def custom_scorer(spark: SparkSession, d: str) -> DataFrame:
-    scored = L.score_with(full_text(mails(spark, d)).select("id", "text"), _letter_share)
+    scored = L.score_with(full_text(mails(spark, d)).select("id", "text"), _outside_model)
     return scored.select("id", r6("spam_prob").alias("spam_prob"))
 
 
@@ -870,15 +874,23 @@ def lime_masks(spark: SparkSession, d: str) -> DataFrame:
 @query
 def lime_explain(spark: SparkSession, d: str) -> DataFrame:
     data, fitted = naive_bayes(spark, d)
-    found = X.lime_explain(_texts(data), fitted.scorer("naive_bayes"))
-    return X.top_features(found)
+    return X.top_features(X.lime_explain(_texts(data), fitted.neighbours()))
+
+
+@query
+def lime_scores(spark: SparkSession, d: str) -> DataFrame:
+    """All neighbours of the benchmark texts, scored by the corpus's model from their masks."""
+    _, fitted = naive_bayes(spark, d)
+    items = table(spark, d, "benchmark", "item_id", "text").withColumnRenamed("item_id", "id")
+    scored = X.neighbour_scores(items, fitted.neighbours())
+    return scored.select("id", "sample", "kept", r6("spam_prob").alias("spam_prob"))
 
 
 @query
 def lime_settled(spark: SparkSession, d: str) -> DataFrame:
     """Per mail: the number of explaining words, and whether the equations of its fit hold."""
     data, fitted = naive_bayes(spark, d)
-    found = X.lime_explain(_texts(data), fitted.scorer("naive_bayes"))
+    found = X.lime_explain(_texts(data), fitted.neighbours())
     return found.groupBy("id").agg(
         F.count(F.lit(1)).alias("features"), (F.max("residual") < 1e-6).alias("settled")
     )

@@ -17,6 +17,8 @@ from hamsieve.operators.language import LanguageProfile
 from hamsieve.operators.mime import corpus_mails, parse_mails, serve_mails
 from hamsieve.operators.models import (
     LinearModel,
+    LinearNeighbours,
+    PerWorker,
     decide,
     fit_logistic,
     fit_naive_bayes,
@@ -125,6 +127,12 @@ class Baselines:
 
         return run
 
+    def neighbours(self, name: str = "naive_bayes") -> PerWorker:
+        """A scorer for ``explain``: the vocabulary and weights are broadcast, and unpacked once per worker."""
+        model = self.models[name]
+        shared = SparkSession.active().sparkContext.broadcast((self.tfidf.vocabulary, self.tfidf.idf, model.weights, float(model.intercept)))
+        return PerWorker(lambda: LinearNeighbours(*shared.value))
+
     def score(
         self,
         mails: DataFrame,

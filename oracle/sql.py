@@ -369,8 +369,10 @@ lime_samples AS (
   FROM lime_words, (SELECT unnest(range({LIME_N})) AS s) WHERE len(words) > 0),
 masks AS (
   SELECT id, sample, word, total,
-    row_number() OVER (PARTITION BY id, sample ORDER BY md5('42:' || id || ':' || sample || ':' || word)) > k AS stays
-  FROM (SELECT id, sample, total, k, unnest(words) AS word FROM lime_samples))"""
+    row_number() OVER (PARTITION BY id, sample ORDER BY
+      (('0x' || substr(md5('42:' || id || ':' || word), 1, 8))::BIGINT % 2147483648 * factor) % 2147483648, word) > k AS stays
+  FROM (SELECT id, sample, total, k, unnest(words) AS word,
+    2 * (('0x' || substr(md5('42:' || id || ':' || sample), 9, 7))::BIGINT) + 1 AS factor FROM lime_samples))"""
 
 
 CONTRIBUTIONS = """contributions AS (
@@ -654,6 +656,20 @@ WHERE s.stop_epoch IS NULL OR l.epoch <= s.stop_epoch GROUP BY l.run_id""",
   round(sqrt(exp(-pow(100 * (1 - sqrt(CAST(kept AS DOUBLE) / total)), 2) / 625)), 6) AS weight FROM removals""",
     "lime_masks": with_("items AS (SELECT item_id AS id, text FROM benchmark)", masks("items"))
     + "SELECT id, word, count(*) FILTER (stays) AS kept FROM masks GROUP BY ALL",
+    "lime_scores": with_(
+        *MODEL,
+        "items AS (SELECT item_id AS id, text FROM benchmark)",
+        masks("items"),
+        f"""in_order AS (
+  SELECT id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT id, regexp_extract_all(text, '[{WORD}]+') AS w FROM items)),
+kept_words AS (SELECT id, sample, count(*) FILTER (stays) AS kept FROM masks GROUP BY ALL)""",
+        *new_scores(
+            """SELECT id || ':' || sample AS id, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (stays), '') AS text
+  FROM masks JOIN in_order USING (id, word) GROUP BY masks.id, sample"""
+        ),
+    )
+    + """SELECT k.id, CAST(sample AS INTEGER) AS sample, CAST(kept AS INTEGER) AS kept, round(p, 6) AS spam_prob
+FROM kept_words k JOIN new_scores s ON s.id = k.id || ':' || sample""",
     "nb_contributions": with_(*MODEL, CONTRIBUTIONS) + "SELECT * FROM contributions",
     "top_features": with_(*MODEL, CONTRIBUTIONS, TOP) + "SELECT * FROM top_features",
     "explain_status": with_(*MODEL, CONTRIBUTIONS, TOP)

@@ -195,7 +195,7 @@ def test_lime_agrees_with_the_linear_model(spark, fitted):
     df = spark.createDataFrame(
         [(1, "[SUBJECT] money [BODY] free money for the friday meeting notes"), (2, "  ")], "id long, text string"
     )
-    found = X.lime_explain(df, fitted.scorer("naive_bayes"), num_samples=300)
+    found = X.lime_explain(df, fitted.neighbours(), num_samples=300)
     top = X.top_features(found)
     sign = {r["feature"]: r["direction"] for r in top.collect()}
     assert sign["money"] == sign["free"] == "spam"
@@ -222,17 +222,74 @@ def test_ridge_over_many_words_needs_few_columns_at_once():
     assert np.allclose(xc.T @ (w * (yc - xc @ got)), 0.5 * got)
 
 
+ODD_TEXT = "Win!!! now, re-read [BODY] it: Free free FREE money, İstanbul\u0301 a1 b x_y ½ 漢字 win NOW"
+
+
+def rows_of(df, **options):
+    return [mail for _, mail in X._each_mail(iter(X.neighbourhoods(df, **options).toArrow().to_batches()))]
+
+
 def test_neighbours_keep_what_stands_between_words(spark):
-    text = "Win!!! now, re-read [BODY] it."
-    df = spark.createDataFrame([(1, text)], "id long, text string")
-    masks = X.lime_masks(df, num_samples=200)
-    shown = masks.select("sample", "vocab", "mask", X.neighbour_text(F.col("pieces"), F.col("places"), F.col("mask")).alias("t")).collect()
-    assert [r["t"] for r in shown if r["sample"] == 0] == [text]
-    for r in shown:
-        want = text
-        for word, stays in zip(r["vocab"], r["mask"]):
+    df = spark.createDataFrame([(1, ODD_TEXT)], "id long, text string")
+    (mail,) = rows_of(df, num_samples=200)
+    texts = list(mail.texts())
+    assert texts[0] == ODD_TEXT
+    for mask, text in zip(mail.masks, texts, strict=True):
+        want = ODD_TEXT
+        for word, stays in zip(mail.words, mask):
             want = want if stays else re.sub(rf"(?<!\w){word}(?!\w)", "", want)
-        assert r["t"] == want
+        assert text == want
+
+
+def test_masks_are_the_same_in_tasks_and_in_columns(spark):
+    df = spark.createDataFrame([(1, ODD_TEXT), (7, "one"), (8, " ".join(f"w{i}" for i in range(400)))], "id long, text string")
+    want = {}
+    for r in X.lime_masks(df, num_samples=150).collect():
+        want.setdefault(r["id"], {})[r["sample"]] = r["mask"]
+    weights = {(r["id"], r["sample"]): r["weight"] for r in X.lime_weights(X.lime_masks(df, num_samples=150)).collect()}
+    for i, mail in zip((1, 7, 8), rows_of(df, num_samples=150), strict=True):
+        assert [want[i][s] for s in range(150)] == mail.masks.tolist()
+        assert mail.weights().tolist() == pytest.approx([weights[i, s] for s in range(150)])
+
+
+def test_neighbours_score_as_their_texts_do(spark, fitted):
+    texts = ["free money for the friday meeting notes, free money", "hello", ODD_TEXT, "notes friday meeting " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r["id"], r["sample"]): r["spam_prob"] for r in X.neighbour_scores(df, fitted.neighbours(), num_samples=60).collect()}
+    rows = [(i, s, t) for i, mail in enumerate(rows_of(df, num_samples=60)) for s, t in enumerate(mail.texts())]
+    scored = fitted.scorer("naive_bayes")(spark.createDataFrame(rows, "id long, sample int, text string"))
+    want = {(r["id"], r["sample"]): r["spam_prob"] for r in scored.collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()} and len(set(want.values())) > 40
+
+
+def test_samples_are_scored_in_parts(spark, fitted, monkeypatch):
+    (mail,) = rows_of(spark.createDataFrame([(1, "free money for the friday meeting notes " * 9)], "id long, text string"), num_samples=50)
+    scorer = fitted.neighbours().get()
+    whole = scorer.score_neighbours(mail)
+    monkeypatch.setattr(L, "_CELLS", 100)
+    assert np.allclose(scorer.score_neighbours(mail), whole)
+
+
+def test_an_outside_model_explains_and_is_loaded_once_per_worker(spark, tmp_path):
+    path = str(tmp_path / "loads")
+
+    def load():
+        with open(path, "a") as f:
+            f.write("loaded\n")
+
+        def share_of_money(texts):
+            shares = [t.lower().count("money") / (1 + len(t.split())) for t in texts]
+            return [(1 - s, s) for s in shares]
+
+        return share_of_money
+
+    df = spark.createDataFrame([(i, f"send money today mail{i} please") for i in range(64)], "id long, text string").repartition(16)
+    factory = L.PerWorker(load)
+    for _ in range(2):
+        top = X.lime_explain(df, factory, num_samples=80).where("feature = 'money'").collect()
+        assert len(top) == 64 and all(r["score"] > 0.05 and r["residual"] < 1e-6 for r in top)
+    # 32 tasks on four cores.
+    assert len(open(path).readlines()) <= 8
 
 
 def test_sample_zero_is_the_whole_text(spark):
@@ -261,7 +318,7 @@ def test_stream_equals_batch(spark, fitted, train):
 
 def test_custom_scorer(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, text string")
-    got = L.score_with(df, lambda texts: [[1 - len(t), len(t)] for t in texts])
+    got = L.score_with(df, lambda: lambda texts: [[1 - len(t), len(t)] for t in texts])
     assert {r["id"]: r["spam_prob"] for r in got.collect()} == {1: 1.0, 2: 0.0}
 
 
