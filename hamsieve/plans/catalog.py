@@ -45,6 +45,7 @@ from hamsieve.plans.flows import (
 )
 from hamsieve.sources import artifacts, corpus as S
 from hamsieve.sources.compose import compose_foreign_mails, compose_mails
+from hamsieve.sources.log import last_entry
 from hamsieve.sources.scratch import materialize, scratch_path
 from hamsieve.sources.tables import table, text_table
 from hamsieve.streaming.scoring import mail_file_stream, mail_stream, score_stream
@@ -250,7 +251,24 @@ def prediction_history(spark: SparkSession, d: str) -> DataFrame:
             fitted.models["naive_bayes"].score(fitted.features(part(data, split)))
         ).select("id", "prediction", r6("confidence").alias("confidence"))
         artifacts.append_predictions(scored, path)
-    return spark.read.parquet(path)
+    return artifacts.read_predictions(spark, path)
+
+
+@query
+def mixed_history(spark: SparkSession, d: str) -> DataFrame:
+    """One history of a stream that is started twice, a batch that is written twice, and an append beside them."""
+    data, fitted = naive_bayes(spark, d)
+    inbox, path, checkpoint = (scratch_path(spark, f"mixed-{n}") for n in ("inbox", "history", "checkpoint"))
+    scored = {s: fitted.score(part(data, s).select("id", "subject", "body")) for s in ("validate", "test")}
+    artifacts.append_predictions(scored["validate"], path, "nightly", 1)
+    mails = part(data, "train").select("id", "subject", "body")
+    mails.repartition(3, "id").write.parquet(inbox)
+    for _ in range(2):
+        stream = mail_stream(spark, inbox, mails.schema, max_files=2)
+        score_stream(stream, fitted.score, path, checkpoint).awaitTermination()
+        artifacts.append_predictions(scored["validate"], path, "nightly", 1)
+    artifacts.append_predictions(scored["test"], path)
+    return artifacts.read_predictions(spark, path).select("id", "prediction", r6("confidence").alias("confidence"))
 
 
 @query
@@ -309,6 +327,20 @@ def resolve_model(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def model_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Epochs of all events published as versions, every third by a run that missed the version before it."""
+    path = scratch_path(spark, "registry")
+    for k, r in enumerate(epoch_runs(spark, d, "epoch").select("epoch", "f1").orderBy("epoch").collect()):  # ten at most
+        last = last_entry(spark, path)
+        artifacts.publish_model(spark, path, str(r["epoch"]), r["f1"], seen=max(0, last - 1) if k % 3 == 2 else last)
+    aliases = artifacts.registered_models(spark, path)
+    chosen = artifacts.resolve_model(aliases).select("run_id", F.lit(True).alias("chosen"))
+    named = aliases.groupBy("run_id").agg(F.array_join(F.sort_array(F.collect_list("alias")), " ").alias("aliases"))
+    versions = artifacts.model_versions(spark, path).join(named, "run_id", "left").join(chosen, "run_id", "left")
+    return versions.select("version", "run_id", r6("f1").alias("f1"), "aliases", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
 # --- mail decoding -----------------------------------------------------------------------------
 
 
@@ -946,7 +978,7 @@ def stream_scores(spark: SparkSession, d: str) -> DataFrame:
     score_stream(
         stream, fitted.score, history, scratch_path(spark, "stream-checkpoint")
     ).awaitTermination()
-    return spark.read.parquet(history).select(
+    return artifacts.read_predictions(spark, history).select(
         "id", "prediction", r6("confidence").alias("confidence")
     )
 
@@ -982,7 +1014,7 @@ def stream_file_scores(spark: SparkSession, d: str) -> DataFrame:
     arriving = S.decode_mails(mail_file_stream(spark, _item_files(spark, d)).select("path", "content"))
     history = scratch_path(spark, "file-history")
     score_stream(arriving, fitted.score_raw, history, scratch_path(spark, "file-checkpoint")).awaitTermination()
-    return _by_item(spark.read.parquet(history))
+    return _by_item(artifacts.read_predictions(spark, history))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.ml.classification import LogisticRegressionModel
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from hamsieve.operators.features import TfidfModel
 from hamsieve.operators.metrics import HISTORY_COLUMNS
 from hamsieve.operators.models import LinearModel, NaiveBayes
+from hamsieve.sources.log import append_entry, commit_batch, last_entry, read_committed, read_log
 
 
 HISTORY_SCHEMA = ", ".join(f"{c} {'int' if c == 'epoch' else 'double'}" for c in HISTORY_COLUMNS)
@@ -84,9 +86,49 @@ def save_history(history: DataFrame, path: str) -> None:
     ).csv(path, header=True)
 
 
-def append_predictions(scored: DataFrame, path: str) -> None:
-    """Append predictions to the history table."""
-    scored.write.mode("append").parquet(path)
+def append_predictions(scored: DataFrame, path: str, writer: str = "batch", batch: int | str | None = None) -> bool:
+    """Append predictions to the history at ``path``, beside whatever streams and jobs append to it.
+
+    A job that may run again names its ``batch``, and is counted once; without a name each call is one.
+    """
+    return commit_batch(scored, path, writer, uuid.uuid4().hex if batch is None else batch)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """All predictions of the history, each once."""
+    return read_committed(spark, path)
+
+
+_VERSION = "run_id string, f1 double"
+
+
+def publish_model(spark: SparkSession, path: str, run_id: str, f1: float, seen: int | None = None) -> int:
+    """Publish a run's model in the registry at ``path``; returns its version.
+
+    Versions are numbered without a gap, and two runs never get the same: a run that finds its number taken
+    takes the next. ``seen`` is the last version that the run knows of.
+    """
+    after = last_entry(spark, path) if seen is None else seen
+    while not append_entry(spark, path, {"run_id": run_id, "f1": f1}, after):
+        after += 1
+    return after + 1
+
+
+def model_versions(spark: SparkSession, path: str) -> DataFrame:
+    """``version, run_id, f1`` of all published models."""
+    return read_log(spark, path, _VERSION)
+
+
+def registered_models(spark: SparkSession, path: str) -> DataFrame:
+    """``run_id, alias, f1``: the newest version as ``latest``, and the first of those with the highest F1 above 0 as ``best``."""
+    versions = model_versions(spark, path)
+    model = F.struct("run_id", "f1")
+    both = versions.agg(
+        F.max_by(model, "version").alias("latest"),
+        F.max_by(model, F.when(F.col("f1") > 0, F.struct("f1", -F.col("version")))).alias("best"),
+    )
+    each = F.inline(F.array(*(F.struct(F.lit(a).alias("alias"), F.col(a).alias("m")) for a in ("latest", "best"))))
+    return both.select(each).where("m IS NOT NULL").select("m.run_id", "alias", "m.f1")
 
 
 def resolve_model(registry: DataFrame, *by: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Scoring mails as they arrive.
 
 Cleaning, features and the linear scorer are narrow, so a stream runs the same expressions as a
-batch: no state, no watermark. The file sink commits each batch once, whatever is restarted.
+batch: no state, no watermark. Each micro-batch is committed to the prediction history once, whatever is
+restarted, and beside what other streams and jobs commit there.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from hamsieve.sources.artifacts import append_predictions
 from hamsieve.sources.corpus import MAIL_GLOB
 
 
@@ -43,12 +45,15 @@ def score_stream(
     checkpoint: str,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Append every scored mail to the prediction history at ``history``."""
-    writer = (
-        score(mails)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", history)
-        .option("checkpointLocation", checkpoint)
-    )
+    """Append every scored mail to the prediction history at ``history``.
+
+    A micro-batch that is replayed has the number and the stream of the first try, and counts once.
+    """
+
+    def commit(batch: DataFrame, number: int) -> None:
+        # The stream's identity outlives restarts from its checkpoint.
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_predictions(score(batch), history, f"stream:{stream}", number)
+
+    writer = mails.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(commit)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -708,7 +708,15 @@ FROM corpus""",
         ),
     )
     + "SELECT id, subject, label, split, md5(body) AS digest FROM corpus",
+    "model_registry": with_(*EPOCHS)
+    + """SELECT row_number() OVER (ORDER BY epoch) AS version, CAST(epoch AS VARCHAR) AS run_id, round(f1, 6) AS f1,
+  CASE WHEN b AND l THEN 'best latest' WHEN b THEN 'best' WHEN l THEN 'latest' END AS aliases,
+  CASE WHEN any_best THEN b ELSE l END AS chosen
+FROM (SELECT *, bool_or(b) OVER () AS any_best FROM (
+  SELECT epoch, f1, f1 > 0 AND row_number() OVER (ORDER BY f1 DESC, epoch) = 1 AS b, row_number() OVER (ORDER BY epoch DESC) = 1 AS l
+  FROM epochs))""",
     # streaming
+    "mixed_history": with_(*MODEL, scored("split IN ('train', 'validate', 'test')")) + decided("scored"),
     "stream_scores": with_(*MODEL, scored("split IN ('train', 'validate', 'test')")) + decided("scored"),
     # flagship
     "train_and_evaluate": with_(*TEST, TEST_METRICS) + f"SELECT {ROUNDED} FROM metrics",

@@ -12,6 +12,7 @@ from hamsieve.operators import metrics as M
 from hamsieve.operators import models as L
 from hamsieve.plans.flows import Baselines, fit_baselines
 from hamsieve.sources import artifacts
+from hamsieve.sources.artifacts import read_predictions
 from hamsieve.sources.scratch import scratch_path
 from hamsieve.streaming.scoring import mail_stream, score_stream
 
@@ -311,9 +312,9 @@ def test_stream_equals_batch(spark, fitted, train):
     for _ in range(2):  # a restart scores nothing twice
         stream = mail_stream(spark, inbox, mails.schema, max_files=1)
         score_stream(stream, fitted.score, history, checkpoint).awaitTermination()
-    a = {r["id"]: r["prediction"] for r in spark.read.parquet(history).collect()}
+    a = {r["id"]: r["prediction"] for r in read_predictions(spark, history).collect()}
     b = {r["id"]: r["prediction"] for r in fitted.score(mails).collect()}
-    assert a == b and spark.read.parquet(history).count() == len(TEXTS)
+    assert a == b and read_predictions(spark, history).count() == len(TEXTS)
 
 
 def test_custom_scorer(spark):
