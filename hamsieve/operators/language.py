@@ -1,95 +1,175 @@
 """Language detection: naive Bayes over character trigrams, fitted on labelled text.
 
-The fit counts every trigram of whole training texts. Detection looks at the first 1000 characters of a
-text, inside its row: no row of the text is exploded, grouped or joined.
+The fit counts every trigram of whole training texts, in each task before anything is shuffled. Detection looks
+at the first 1000 characters of a text: one lookup of its trigrams in a table of grams by languages gives
+the scores of all languages at once. Only those characters reach Python, and no row moves.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hamsieve.functions import fixed
-from hamsieve.functions.rows import value_rows
-from hamsieve.operators.features import counter_of
 
 #: More languages than this, and the column is not one of languages.
 MAX_LANGUAGES = 200
-#: Distinct trigrams that are collected and travel with the tasks; text of every script stays below.
+#: Distinct trigrams that are collected and travel with the tasks, and entries of their table (a trigram in a
+#: language); text of every script stays below.
 MAX_GRAMS = 2_000_000
+MAX_ENTRIES = 40_000_000
+#: Characters whose trigrams are counted at once.
+_PIECE = 1 << 20
+_BITS = 21
 
-# A look-ahead matches at every character, so trigrams overlap; one pass over the text. The second
-# half of a surrogate pair is not the start of a character.
-_TRIGRAM = r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(...))"
+_CODES = "code long, lang string, n long"
 
 
-def trigrams(c: Column) -> Column:
-    """Character trigrams; none for text shorter than three characters."""
-    return F.regexp_extract_all(c, F.lit(_TRIGRAM), F.lit(1))
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, and the bounds of the texts."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return points, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _codes(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each trigram that lies in one text, and the text."""
+    if len(points) < 3:
+        return points[:0], points[:0]
+    codes = points[:-2] << (2 * _BITS) | points[1:-1] << _BITS | points[2:]
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    whole = text[:-2] == text[2:]
+    return codes[whole], text[:-2][whole]
+
+
+def _gram(code: int) -> str:
+    mask = (1 << _BITS) - 1
+    return chr(code >> (2 * _BITS)) + chr(code >> _BITS & mask) + chr(code & mask)
+
+
+def _code(gram: str) -> int:
+    a, b, c = map(ord, gram)
+    return a << (2 * _BITS) | b << _BITS | c
 
 
 @dataclass(frozen=True)
 class LanguageProfile:
-    """Log probabilities per language of each trigram that ``counter`` numbers."""
+    """Log probability of each trigram (``codes``, sorted) in each language (columns, in the order of ``langs``)."""
 
     langs: tuple[str, ...]
-    counter: CountVectorizerModel
-    log_probs: tuple[tuple[float, ...], ...]
+    codes: np.ndarray
+    log_probs: np.ndarray
 
-    def detect(self, df: DataFrame, text: str = "full_text", out: str = "detected") -> DataFrame:
-        """Add the most probable language; ties go to the smallest name, no known gram gives null.
+    @cached_property
+    def _shared(self):
+        return SparkSession.active().sparkContext.broadcast((self.langs, self.codes, self.log_probs))
+
+    def judge(self, text: Column) -> Column:
+        """Struct of ``detected``, the most probable language, and ``confidence``, its probability among those known.
 
-        Trigrams that training has not seen say nothing. Narrow.
+        Ties go to the smallest name; no known gram gives nulls. Trigrams that training has not seen say nothing.
         """
-        head = F.substring(F.col(text), 1, fixed.LANG_SAMPLE_CHARS)
-        counter = self.counter.copy().setInputCol("_grams").setOutputCol("_counts")
-        df = counter.transform(df.withColumn("_grams", trigrams(head)))
-        scores = []
-        for k, weights in enumerate(self.log_probs):
-            name = f"_lang{k}"
-            product = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_counts", outputCol=name)
-            df = product.transform(df)
-            values = F.unwrap_udt(F.col(name))["values"]
-            # Rounded, so that equal scores are ties in every engine.
-            scores.append(F.round(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x), 6))
-        best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-        lang = F.coalesce(*[F.when(s == best, F.lit(k)) for s, k in zip(scores, self.langs)])
-        known = F.size(F.unwrap_udt(F.col("_counts"))["indices"]) > 0
-        return df.withColumn(out, F.when(known, lang)).drop(
-            "_grams", "_counts", *(f"_lang{k}" for k in range(len(self.langs)))
-        )
-
-
-def gram_counts(df: DataFrame, text: str, lang: str, langs: tuple[str, ...]) -> DataFrame:
-    """``gram`` and its number in each language (``n0`` ..) over whole texts, in one shuffle of partial counts."""
-    grams = value_rows(df, [F.col(lang).alias("lang")], trigrams(F.col(text)), "gram")
-    return grams.groupBy("gram").agg(*(F.count_if(F.col("lang") == k).alias(f"n{i}") for i, k in enumerate(langs)))
+        shared = self._shared
+
+        @F.arrow_udf("struct<detected: string, confidence: double>")
+        def judged(heads: pa.Array) -> pa.Array:
+            langs, codes, log_probs = shared.value
+            scores, known = _scores(heads.fill_null("").to_pylist(), codes, log_probs)
+            best = scores.argmax(1)
+            odds = np.exp(scores - scores[np.arange(len(scores)), best][:, None]).sum(1)
+            detected = pa.array(np.array(langs, object)[best], pa.string(), mask=~known)
+            return pa.StructArray.from_arrays([detected, pa.array(1 / odds, mask=~known)], ["detected", "confidence"])
+
+        return judged(F.substring(text, 1, fixed.LANG_SAMPLE_CHARS))
+
+    def detect(self, df: DataFrame, text: str = "full_text", out: str = "detected") -> DataFrame:
+        """Add the most probable language; see ``judge``. Narrow."""
+        return df.withColumn(out, self.judge(F.col(text))["detected"])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``gram, log_probs`` (an entry per language), for saving."""
+        rows = pa.table({"gram": [_gram(c) for c in self.codes.tolist()], "log_probs": list(self.log_probs)})
+        return spark.createDataFrame(rows)
+
+    @classmethod
+    def of(cls, langs: tuple[str, ...], table: DataFrame) -> LanguageProfile:
+        """From a saved table; its size is that of the profile that was saved."""
+        rows = table.select("gram", "log_probs").toArrow()
+        codes = np.array([_code(g) for g in rows.column("gram").to_pylist()], np.int64)
+        order = np.argsort(codes)
+        probs = np.array(rows.column("log_probs").combine_chunks().flatten()).reshape(len(codes), len(langs))
+        return cls(tuple(langs), codes[order], probs[order])
+
+
+def _scores(texts: list[str], codes: np.ndarray, log_probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score of every text in every language, rounded so that equal scores are ties in every engine; has it a known gram?"""
+    out = np.zeros((len(texts), log_probs.shape[1]))
+    known = np.zeros(len(texts), bool)
+    for at in range(0, len(texts), 256):
+        found, text = _codes(*_points(texts[at : at + 256]))
+        place = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
+        hit = codes[place] == found
+        place, text = place[hit], text[hit]
+        if len(text):
+            first = np.flatnonzero(np.diff(text, prepend=-1))
+            out[at + text[first]] = np.add.reduceat(log_probs[place], first)
+            known[at + text[first]] = True
+    return out.round(6), known
+
+
+def gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """``code, lang, n``: how often each trigram stands in whole texts of each language; partial counts per batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).unique().to_pylist():
+                texts = batch.column(1).filter(pa.compute.equal(batch.column(0), name)).to_pylist()
+                for part in _pieces(texts):
+                    codes, n = np.unique(_codes(*_points(part))[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array([name] * len(codes), pa.string()), pa.array(n)], names=["code", "lang", "n"])
+
+    partial = df.select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(count, _CODES)
+    return partial.groupBy("code", "lang").agg(F.sum("n").alias("n"))
+
+
+def _pieces(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in lists of bounded size; a long text in parts that overlap by two characters."""
+    part, size = [], 0
+    for text in texts:
+        for at in range(0, max(len(text) - 2, 1), _PIECE):
+            part.append(text[at : at + _PIECE + 2])
+            size += len(part[-1])
+            if size >= _PIECE:
+                yield part
+                part, size = [], 0
+    if part:
+        yield part
 
 
 def fit_language(df: DataFrame, text: str = "full_text", lang: str = "lang") -> LanguageProfile:
     """Fit on rows whose language is known. Add-one smoothing over all trigrams of all languages.
 
-    ``df`` is read twice: pass a stored table. Numbers of languages and of trigrams are checked
-    before anything is collected.
+    ``df`` is read once. Numbers of languages and of trigrams are checked before anything is collected.
     """
-    known = df.where(F.col(lang).isNotNull())
-    found = [r[0] for r in known.select(lang).distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if not found or len(found) > MAX_LANGUAGES:
-        raise ValueError(f"column {lang!r} has no or more than {MAX_LANGUAGES} languages")
-    langs = tuple(sorted(found))
-    rows = gram_counts(known, text, lang, langs).limit(MAX_GRAMS + 1).collect()
-    if not rows or len(rows) > MAX_GRAMS:
-        raise ValueError(f"no trigrams, or more than {MAX_GRAMS}: is column {text!r} text?")
-    counter, grams = counter_of(df.sparkSession, [r["gram"] for r in rows])
-    by_gram = {r["gram"]: r[1:] for r in rows}
-    size = [math.log(sum(r[i + 1] for r in rows) + len(rows)) for i in range(len(langs))]
-    return LanguageProfile(
-        langs,
-        counter,
-        tuple(tuple(math.log(by_gram[g][i] + 1) - size[i] for g in grams) for i in range(len(langs))),
-    )
+    counts = gram_counts(df.where(F.col(lang).isNotNull()), text, lang).checkpoint()
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if not sums or len(sums) > MAX_LANGUAGES:
+        raise ValueError(f"column {lang!r} has no text of at least three characters, or more than {MAX_LANGUAGES} languages")
+    langs = tuple(sorted(r["lang"] for r in sums))
+    n_grams = counts.select("code").distinct().count()
+    if n_grams > MAX_GRAMS or n_grams * len(langs) > MAX_ENTRIES:
+        raise ValueError(f"{n_grams} trigrams in {len(langs)} languages are too many: is column {text!r} text?")
+    found = counts.toArrow()
+    code, name, n = (np.asarray(found.column(c)) for c in ("code", "lang", "n"))
+    codes, row = np.unique(code, return_inverse=True)
+    table = np.zeros((n_grams, len(langs)))
+    table[row, np.searchsorted(np.array(langs, object), name)] = n
+    return LanguageProfile(langs, codes, np.log(table + 1) - np.array([math.log(r + n_grams) for r in table.sum(0)]))

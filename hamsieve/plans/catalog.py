@@ -47,7 +47,7 @@ from hamsieve.sources import artifacts, corpus as S
 from hamsieve.sources.compose import compose_foreign_mails, compose_mails
 from hamsieve.sources.log import last_entry
 from hamsieve.sources.scratch import materialize, scratch_path
-from hamsieve.sources.tables import table, text_table
+from hamsieve.sources.tables import table, table_version, text_table
 from hamsieve.streaming.scoring import mail_file_stream, mail_stream, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,10 +84,24 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Where this session has saved the language profile of a table of documents, by the table's files.
+_profiles: dict[tuple[str, str], str] = {}
+
+
+def language_profile(spark: SparkSession, d: str, judged: DataFrame | None = None) -> LanguageProfile:
+    """The profile of all mails: fitted once per session and table, saved, and loaded by whoever needs it."""
+    key = (spark.sparkContext.applicationId, table_version(spark, d, "documents"))
+    if key not in _profiles:
+        path = scratch_path(spark, "language")
+        artifacts.save_language(spark, path, fit_language(with_full_text(judge_mails(mails(spark, d)) if judged is None else judged)))
+        _profiles[key] = path
+    return artifacts.load_language(spark, _profiles[key])
+
+
 def judged_mails(spark: SparkSession, d: str) -> tuple[DataFrame, LanguageProfile]:
     """Every mail cleaned and judged by the native gates, and the language profile of all of them."""
     judged = judge_mails(mails(spark, d))
-    return judged, fit_language(with_full_text(judged))
+    return judged, language_profile(spark, d, judged)
 
 
 def english_mails(spark: SparkSession, d: str) -> DataFrame:
@@ -96,9 +110,11 @@ def english_mails(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Cleaned, accepted, labelled mails with their split, stored once."""
-    english = accepted_english(*judged_mails(spark, d)).select("id", "subject", "body")
-    return labelled_split(spark, d, english)
+    """Cleaned, accepted, labelled mails with their split, stored once. Only labelled mails are cleaned and judged."""
+    profile = language_profile(spark, d)
+    labelled = judge_mails(mails(spark, d).join(labels(spark, d), "id"))
+    kept = accepted_english(labelled, profile).select("id", "subject", "body", "label")
+    return C.exact_split(materialize(kept, "labelled"))
 
 
 def labelled_split(spark: SparkSession, d: str, english: DataFrame) -> DataFrame:
@@ -380,7 +396,7 @@ def mail_body_serve(spark: SparkSession, d: str) -> DataFrame:
 def corpus_from_raw(spark: SparkSession, d: str) -> DataFrame:
     """Raw mails through parsing, cleaning, gates and split."""
     raw = raw_mails(spark, d).withColumnRenamed("mail_id", "id").join(labels(spark, d), "id")
-    return build_corpus(raw, profile=judged_mails(spark, d)[1]).select("id", "subject", "label", "split", F.md5("body").alias("digest"))
+    return build_corpus(raw, profile=language_profile(spark, d)).select("id", "subject", "label", "split", F.md5("body").alias("digest"))
 
 
 def foreign_mails(spark: SparkSession, d: str) -> DataFrame:
@@ -514,6 +530,17 @@ def lang_id(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).select("id", "lang", "detected")
 
 
+@query
+def language_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A profile fitted on the benchmark texts by the first letter of their ids, saved, loaded; how sure it is of each text."""
+    items = table(spark, d, "benchmark", "item_id", "text")
+    known = items.withColumn("lang", F.substring(F.col("item_id").cast("string"), 1, 1))
+    path = scratch_path(spark, "language-profile")
+    artifacts.save_language(spark, path, fit_language(known, "text"))
+    judged = artifacts.load_language(spark, path).judge(F.col("text"))
+    return items.select("item_id", judged.alias("j")).select("item_id", "j.detected", r6("j.confidence").alias("confidence"))
+
+
 @query
 def accepted_mails(spark: SparkSession, d: str) -> DataFrame:
     return accepted(_judged(spark, d)).select("id", "subject", F.char_length("body").alias("chars"))
@@ -1028,7 +1055,7 @@ def prepared_corpus(spark: SparkSession, d: str) -> DataFrame:
     ham = S.read_mail_csv(spark, ham_path).select(F.col("file").cast("long").alias("id"), "message")
     files = S.read_mail_files(spark, spam_path)
     spam = files.select(F.regexp_extract("path", r"id=(\d+)", 1).cast("long").alias("id"), "message", "latin1")
-    return prepare_corpus(ham, spam, judged_mails(spark, d)[1], scratch_path(spark, "prepared")).select(
+    return prepare_corpus(ham, spam, language_profile(spark, d), scratch_path(spark, "prepared")).select(
         "id", "subject", "label", "split", F.md5("body").alias("digest")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hamsieve.operators.features import TfidfModel
+from hamsieve.operators.language import LanguageProfile
 from hamsieve.operators.metrics import HISTORY_COLUMNS
 from hamsieve.operators.models import LinearModel, NaiveBayes
 from hamsieve.sources.log import append_entry, commit_batch, last_entry, read_committed, read_log
@@ -65,6 +66,16 @@ def load_models(
     return tfidf, models
 
 
+def save_language(spark: SparkSession, path: str, profile: LanguageProfile) -> None:
+    profile.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/grams")
+    spark.createDataFrame([(list(profile.langs),)], "langs array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/langs")
+
+
+def load_language(spark: SparkSession, path: str) -> LanguageProfile:
+    langs = spark.read.schema("langs array<string>").json(f"{path}/langs").first()["langs"]
+    return LanguageProfile.of(tuple(langs), spark.read.parquet(f"{path}/grams"))
+
+
 def save_ml(model: LogisticRegressionModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -19,3 +19,11 @@ def text_table(spark: SparkSession, folder: str, name: str, *columns: str) -> Da
     df = table(spark, folder, name, *columns)
     tasks = spark.conf.get(SPREAD, None)
     return df.repartition(int(tasks)) if tasks else df
+
+
+def table_version(spark: SparkSession, folder: str, name: str) -> str:
+    """The table's files, their sizes and times: another text whenever it is written anew."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listStatus(root) if fs.getFileStatus(root).isDirectory() else [fs.getFileStatus(root)]
+    return str(root) + "".join(sorted(f"|{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))

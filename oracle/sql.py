@@ -521,6 +521,20 @@ LEFT JOIN best b USING (run_id)""",
     + f"""SELECT source, id, CAST({valid('text')} AS INTEGER) AS raw_valid,
   CAST({valid('cleaned')} AS INTEGER) AS clean_valid
 FROM (SELECT *, {clean('text')} AS cleaned FROM texts)""",
+    "language_round_trip": with_(
+        f"""items AS (SELECT item_id, left(CAST(item_id AS VARCHAR), 1) AS lang, string_split(text, '') AS c,
+    string_split(substr(text, 1, 1000), '') AS head FROM benchmark WHERE length(text) > 2),
+item_counts AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_GRAM_LIST}) AS gram FROM items) GROUP BY ALL),
+item_sizes AS (SELECT lang, sum(n) + (SELECT count(DISTINCT gram) FROM item_counts) AS size FROM item_counts GROUP BY lang),
+item_scores AS (
+  SELECT g.item_id, s.lang, round(sum(ln(coalesce(p.n, 0) + 1) - ln(s.size)), 6) AS score
+  FROM (SELECT item_id, unnest({_GRAM_LIST}) AS gram FROM (SELECT item_id, head AS c FROM items)) g
+  JOIN (SELECT DISTINCT gram FROM item_counts) k ON k.gram = g.gram
+  CROSS JOIN item_sizes s LEFT JOIN item_counts p ON p.gram = g.gram AND p.lang = s.lang GROUP BY ALL)"""
+    )
+    + """SELECT b.item_id, detected, confidence FROM benchmark b LEFT JOIN (
+  SELECT item_id, arg_min(lang, (-score, lang)) AS detected, round(1 / sum(exp(score - best)), 6) AS confidence
+  FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM item_scores) GROUP BY item_id) USING (item_id)""",
     "lang_id": with_(*LANGUAGE) + "SELECT id, lang, detected FROM judged",
     "accepted_mails": with_(*LANGUAGE)
     + "SELECT id, subject, CAST(length(body) AS INTEGER) AS chars FROM judged WHERE reason = 'accepted'",
