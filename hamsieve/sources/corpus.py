@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hamsieve.functions.bytes import decode_bytes, decode_ignoring, java_charsets
+from hamsieve.sources.quoted import read_records
 
 CSV_SCHEMA = T.StructType(
     [T.StructField("file", T.StringType()), T.StructField("message", T.StringType())]
@@ -25,11 +26,10 @@ _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
 def read_mail_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``file, message``; a message is a whole raw mail over many lines.
-
-    A multi-line CSV file is one task: give a large corpus as many files, or convert it once.
-    """
-    return spark.read.schema(CSV_SCHEMA).options(**_CSV).csv(path)
+    """``file, message``; a message is a whole raw mail over many lines. A large file is read in many tasks; see ``quoted``."""
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in _CSV.items() if k != "header"}
+    record = F.from_csv("record", CSV_SCHEMA.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
+    return read_records(spark, path).select(record.alias("r")).select("r.file", "r.message")
 
 
 def write_mail_csv(df: DataFrame, path: str) -> None:
