@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import logging
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hamsieve.sources.scratch import materialize
 
@@ -83,6 +86,9 @@ def _goals(table: DataFrame, targets: Mapping[str, Target]) -> DataFrame:
 
 #: Rows of cells or values in one task.
 TASK_ROWS = 50_000
+#: Cells (sums over all documents, counted before) that are raked in one task, some tens of megabytes; more are raked by
+#: jobs over all of them, a step each, with the same result.
+TASK_CELLS = 100_000
 
 
 def _few(small: DataFrame, rows: int | None = None) -> DataFrame:
@@ -170,18 +176,53 @@ class _Raking:
         self.factors[margin] = _few(new, self.sizes.get(margin, 0))
 
     def run(self, sweeps: int, tolerance: float) -> DataFrame:
-        worst = 0.0
-        for _ in range(sweeps if self.sizes else 0):
-            for margin in self.targets:
-                self.step(margin)
-            offs = reduce(DataFrame.unionByName, [f.select("_off") for f in self.factors.values()])
-            worst = offs.agg(F.max("_off").alias("off")).collect()[0]["off"] or 0.0
-            if worst <= tolerance:
-                break
+        """Sweeps over all margins until they hold. So few cells that a task can hold them are raked in one; see TASK_CELLS."""
+        if self.cells.count() <= TASK_CELLS:
+            raked = self._in_a_task(sweeps, tolerance)
+            worst = raked.agg(F.max("_off").alias("off")).collect()[0]["off"] or 0.0
+            raked = raked.drop("_off")
         else:
-            if worst:
-                _log.warning("mixing: after %d sweeps a value is still off its target by a share of %.2g", sweeps, worst)
-        return self.weighted()
+            worst = 0.0
+            for _ in range(sweeps):
+                for margin in self.targets:
+                    self.step(margin)
+                offs = reduce(DataFrame.unionByName, [f.select("_off") for f in self.factors.values()])
+                worst = offs.agg(F.max("_off").alias("off")).collect()[0]["off"] or 0.0
+                if worst <= tolerance:
+                    break
+            raked = self.weighted()
+        if worst > tolerance:
+            _log.warning("mixing: after %d sweeps a value is still off its target by a share of %.2g", sweeps, worst)
+        return raked
+
+    def _in_a_task(self, sweeps: int, tolerance: float) -> DataFrame:
+        """The same steps over all cells at once; ``_off`` is how far off the last sweep began."""
+        table = self.cells.withColumns({"_first": F.col("tokens") * F.lit(self.scale), "_bound": F.lit(None).cast("double") if self.bound is None else self.bound})
+        for margin, factors in self.factors.items():
+            table = table.join(F.broadcast(factors.select(margin, F.col("want").alias(f"_want_{margin}"))), margin)
+        names, targets = self.cells.columns, list(self.targets)
+
+        def rake_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cells = pd.concat(list(batches), ignore_index=True)
+            weight, worst = cells["_first"].to_numpy(float), 0.0
+            bound = cells["_bound"].fillna(np.inf).to_numpy(float)
+            values = [pd.factorize(cells[m])[0] for m in targets]
+            wants = [cells[f"_want_{m}"].groupby(v).first().to_numpy(float) for m, v in zip(targets, values, strict=True)]
+            for _ in range(sweeps if len(cells) else 0):
+                worst = 0.0
+                for value, want in zip(values, wants, strict=True):
+                    has = np.bincount(value, np.minimum(weight, bound))
+                    free = np.bincount(value, np.where(weight < bound, weight, 0.0))
+                    worst = max(worst, float(np.max(np.abs(has - want) / want, where=(has > 0) & (want > 0), initial=0.0)))
+                    raised = np.where(free > 0, (want - (has - free)) / np.where(free > 0, free, 1.0), 1.0)
+                    lowered = want / np.where(has > 0, has, 1.0)
+                    weight = weight * np.where(has <= 0, 0.0, np.where(want > has, raised, lowered))[value]
+                if worst <= tolerance:
+                    break
+            yield cells[names].assign(weight=weight, _off=worst)
+
+        fields = T.StructType([*self.cells.schema.fields, T.StructField("weight", T.DoubleType()), T.StructField("_off", T.DoubleType())])
+        return materialize(table.coalesce(1).mapInPandas(rake_all, fields), "mixing")
 
 
 def _counted_cells(cells: DataFrame) -> tuple[DataFrame, int]:

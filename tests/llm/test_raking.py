@@ -69,7 +69,9 @@ def random_cells(seed, scarce):
         (3, True, {"source": 0.3, "lang": {"x": 0.5, "y": 0.3, "z": 0.2}, "topic": 0.5}, 0.4),
     ],
 )
-def test_bounded_raking_equals_plain_loops(spark, seed, scarce, targets, budget):
+@pytest.mark.parametrize("task_cells", [mixing.TASK_CELLS, 0])
+def test_bounded_raking_equals_plain_loops(spark, monkeypatch, task_cells, seed, scarce, targets, budget):
+    monkeypatch.setattr(mixing, "TASK_CELLS", task_cells)
     cells = random_cells(seed, scarce)
     raked, _ = rake_within(spark.createDataFrame(cells, SCHEMA), targets, budget, sweeps=8, tolerance=0)
     got = {(x["source"], x["lang"], x["topic"]): min(x["weight"], float(x["tokens"])) for x in raked.collect()}
@@ -82,6 +84,7 @@ def test_bounded_raking_equals_plain_loops(spark, seed, scarce, targets, budget)
 def test_many_values_are_joined_not_broadcast(spark, monkeypatch):
     cells = spark.createDataFrame(random_cells(4, True), SCHEMA)
     targets = {"source": 0.7, "lang": 0.8, "topic": 0.8}
+    monkeypatch.setattr(mixing, "TASK_CELLS", 0)
     few = {(*x[:3], x["weight"]) for x in rake_within(cells, targets, sweeps=2)[0].collect()}
     monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
     many = {(*x[:3], x["weight"]) for x in rake_within(cells, targets, sweeps=2)[0].collect()}
