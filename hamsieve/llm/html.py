@@ -69,7 +69,7 @@ class _Tags:
     def __init__(self, page: str):
         self.page = page
         self.at = 0
-        self.no_end: set[str] = set()
+        self.ends: dict[str, tuple[int, int]] = {}
         # Opening quotes from which no tag ends.
         self.dead: set[int] = set()
         self.last = page.rfind(">")
@@ -124,19 +124,23 @@ class _Tags:
             start = place = self.at
         yield page[start:], False, "", ""
 
-    def skip_past(self, tag: str) -> bool:
-        """Go on behind the next end tag; False if there is none."""
-        end = None if tag in self.no_end else _END[tag].search(self.page, self.at)
-        if end is None:
-            self.no_end.add(tag)
-            return False
-        self.at = end.end()
-        return True
+    def _next_end(self, tag: str) -> tuple[int, int]:
+        """Start and end of the next end tag; beyond the page if there is none. What was found serves until it is passed."""
+        found = self.ends.get(tag)
+        if found is None or found[0] < self.at:
+            m = _END[tag].search(self.page, self.at)
+            found = self.ends[tag] = m.span() if m else (len(self.page) + 1,) * 2
+        return found
 
     def has_end(self, tag: str) -> bool:
-        if tag not in self.no_end and not _END[tag].search(self.page, self.at):
-            self.no_end.add(tag)
-        return tag not in self.no_end
+        return self._next_end(tag)[0] <= len(self.page)
+
+    def skip_past(self, tag: str) -> bool:
+        """Go on behind the next end tag; False if there is none."""
+        if self.has_end(tag):
+            self.at = self._next_end(tag)[1]
+            return True
+        return False
 
 
 @dataclass
