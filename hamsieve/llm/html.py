@@ -5,7 +5,7 @@ are summed per path and divided by the path's blocks, smoothed over the page's o
 and cut at their standard deviation: the paths above it are content. The main text is what stands in
 the articles that reach the cut, or else in the smallest container around the content, apart from the
 parts that are something else: by their element (menus, footers, forms), or by a name (sidebars, notices,
-adverts, comments) that is not just a word in a longer one, and, inside an article, by a low ratio too.
+adverts, comments) that is not just a word in a longer one, unless the ratio is low there and no article around.
 
 A page is read once from left to right, in time proportional to its length however broken it is.
 """
@@ -372,8 +372,8 @@ def _without_others(blocks: list[_Block]) -> list[_Block]:
     dropped: set[int] = set()
     for node in reversed(_summed(blocks)):
         low = node.weight < cut * node.blocks
-        # Comments may be prose; any other name must be sure, or the ratio low; inside an article both.
-        named = node.other == "comments" and node.sure or node.other and (low and node.sure if node.in_article else low or node.sure)
+        # A name must be all that is said; beside an article a low ratio makes up for other words.
+        named = node.other and (node.sure or (low and not node.in_article))
         if named or (node.parent is not None and id(node.parent) in dropped):
             dropped.add(id(node))
     return [b for b in blocks if id(b.node) not in dropped]
