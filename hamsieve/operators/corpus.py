@@ -6,12 +6,14 @@ makes a split a comparison of keys instead of a global sort.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hamsieve.functions import fixed
+from hamsieve.sources.scratch import materialize
 
 _HEX_PER_STEP = 3
 _KEY_DIGITS = 32
@@ -36,6 +38,31 @@ def first_n(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def first_accepted(mails: DataFrame, n: int, judge: Callable[[DataFrame], DataFrame], order: str = "id") -> DataFrame:
+    """The first ``n`` rows in the order of a column that ``judge`` keeps, as ``first_n(judge(mails), n, order)`` gives them.
+
+    Costly judging stops early: rows are judged in steps, each as long as the share kept so far asks for, and a
+    step reads only its own stretch of the order (which the table's statistics prune). ``judge`` must
+    look at each row by itself. Rows without a key come first.
+    """
+    parts, found, seen, step = [], 0, 0, n + n // 4 + 1
+    rest = mails
+    while found < n:
+        head = rest.select(order).orderBy(order).limit(step).agg(F.max(order).alias("last"), F.count(F.lit(1)).alias("rows")).first()
+        if not head["rows"]:
+            break
+        own = F.col(order).isNull() if head["last"] is None else F.col(order).isNull() | (F.col(order) <= F.lit(head["last"]))
+        parts.append(materialize(judge(rest.where(own)), "first"))
+        found += parts[-1].count()
+        seen += head["rows"]
+        missing = n - found
+        step = max(step, int(1.25 * missing * seen / found) + 1 if found else 2 * step)
+        rest = mails.where(F.col(order).isNotNull() if head["last"] is None else F.col(order) > F.lit(head["last"]))
+    if not parts:
+        return judge(mails.limit(0))
+    return first_n(reduce(DataFrame.unionByName, parts), n, order)
+
+
 def sample_n(df: DataFrame, n: int, id_col: str = "id", seed: int = fixed.SEED) -> DataFrame:
     """``n`` rows in seeded random order; ids must be unique."""
     return first_n(df, n, shuffle_key(id_col, seed), F.col(id_col))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hamsieve.functions import fixed
 from hamsieve.functions.numbers import ratio
 from hamsieve.functions.text import percent
+from hamsieve.sources.scratch import materialize
 
 METRICS = ("accuracy", "precision", "recall", "f1")
 _EPS = 1e-15
@@ -70,30 +71,30 @@ def normalized_confusion(df: DataFrame, label: str = "label", pred: str = "pred"
     )
 
 
-def _range(score: str) -> Column:
-    """One of 1001 ranges, in the order of the scores; what lies outside 0 to 1 is in the first or last."""
-    return F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * 1000)
+def _points(df: DataFrame, label: str, prob: str) -> DataFrame:
+    """``threshold, pos, neg, range``: a row per distinct score, in ranges of the falling score, stored.
+
+    Ranges are cut where the scores lie, however they crowd at 0 and 1, so that no task has many
+    more points than another. Equal scores are one point, summed in each task before anything is shuffled.
+    """
+    y = F.col(label)
+    points = df.groupBy(F.col(prob).alias("threshold")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+    return materialize(points.repartitionByRange(F.desc("threshold")).withColumn("range", F.spark_partition_id()), "roc-points")
 
 
 def roc_curve(df: DataFrame, label: str = "label", prob: str = "spam_prob") -> DataFrame:
     """``threshold, fpr, tpr``; starts at (0, 0) with a null threshold, drops collinear points.
 
-    Equal scores are one point, exactly as they are. Points are summed within 1001 score ranges, which
-    are then shifted by the ranges above.
+    Points are summed within their ranges, which are then shifted by the ranges above.
     """
-    y = F.col(label)
-    points = (
-        df.groupBy(F.col(prob).alias("threshold"))
-        .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-        .withColumn("range", _range("threshold"))
-    )
+    points = _points(df, label, prob)
     inside = Window.partitionBy("range").orderBy(F.desc("threshold"))
     first = F.max_by(F.struct("pos", "neg"), "threshold")
     ranges = points.groupBy("range").agg(
         F.sum("pos").alias("rpos"), F.sum("neg").alias("rneg"), first.alias("first")
     )
-    # 1001 rows at most from here on, in one task.
-    down = Window.orderBy(F.desc("range"))
+    # A row per range from here on, in one task.
+    down = Window.orderBy("range")
     above = down.rowsBetween(Window.unboundedPreceding, -1)
     whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranges = ranges.select(
@@ -129,14 +130,9 @@ def roc_curve(df: DataFrame, label: str = "label", prob: str = "spam_prob") -> D
 def roc_auc(df: DataFrame, label: str = "label", prob: str = "spam_prob") -> DataFrame:
     """``auc`` by trapezoids, summed as rank statistics: each positive beats the negatives below it.
 
-    A positive and a negative of one score count half. Uses the same score ranges as the curve.
+    A positive and a negative of one score count half. Uses the same ranges as the curve.
     """
-    y = F.col(label)
-    points = (
-        df.groupBy(F.col(prob).alias("threshold"))
-        .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-        .withColumn("range", _range("threshold"))
-    )
+    points = _points(df, label, prob)
     below = Window.partitionBy("range").orderBy("threshold").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -146,8 +142,8 @@ def roc_auc(df: DataFrame, label: str = "label", prob: str = "spam_prob") -> Dat
         .groupBy("range")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("wins").alias("wins"))
     )
-    # 1001 rows at most.
-    lower = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per range.
+    lower = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranges.withColumn(
             "wins", F.col("wins") + F.col("pos") * F.coalesce(F.sum("neg").over(lower), F.lit(0))

@@ -568,8 +568,9 @@ def union_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def first_n(spark: SparkSession, d: str) -> DataFrame:
-    kept = english_mails(spark, d)
-    return C.first_n(kept, 300, "id").select("id", "subject")
+    profile = language_profile(spark, d)
+    kept = C.first_accepted(mails(spark, d), 300, lambda part: accepted_english(judge_mails(part), profile))
+    return kept.select("id", "subject")
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hamsieve.functions import fixed
 from hamsieve.functions.text import clean, plain_text
-from hamsieve.operators.corpus import exact_split, first_n, sample_n, union_corpora, with_label
+from hamsieve.operators.corpus import exact_split, first_accepted, sample_n, union_corpora, with_label
 from hamsieve.operators.features import TfidfModel, terms
 from hamsieve.operators.gates import reject_reason, with_clean_mail
 from hamsieve.operators.language import LanguageProfile
@@ -92,7 +92,8 @@ def prepare_corpus(
     """Two mail corpora to one split table below ``path``: the first job of a training run.
 
     ``ham`` and ``spam``: ``id, message`` and perhaps ``latin1``, as the readers give them. At most
-    ``size`` mails of each pass: of ham the first that pass all gates, of spam a sample of those that do.
+    ``size`` mails of each pass: of ham the first that pass all gates (no more is judged than it takes), of spam a
+    sample of those that do.
     Ids must not clash.
     """
 
@@ -100,7 +101,7 @@ def prepare_corpus(
         read = corpus_mails(parse_mails(mails))
         return with_label(accepted_english(judge_mails(read), profile).select("id", "subject", "body"), label)
 
-    both = union_corpora(first_n(judged(ham, 0), size, "id"), sample_n(judged(spam, 1), size))
+    both = union_corpora(first_accepted(ham, size, lambda mails: judged(mails, 0)), sample_n(judged(spam, 1), size))
     write_splits(exact_split(materialize(both, "prepared")), path)
     return read_split(ham.sparkSession, path)
 

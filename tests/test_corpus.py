@@ -78,3 +78,20 @@ def test_params_and_history(spark, tmp_path):
     df = spark.createDataFrame([(2, *[0.2] * 6), (1, *[0.1] * 6)], cols)
     artifacts.save_history(df, str(tmp_path / "h"))
     assert [r["epoch"] for r in spark.read.csv(str(tmp_path / "h"), header=True).collect()] == ["1", "2"]
+
+
+def test_judging_stops_when_enough_are_accepted(spark):
+    rows = [(i, i % 4 == 0 or i > 900) for i in range(1000)] + [(None, True)]
+    mails = spark.createDataFrame(rows, "id long, good boolean").repartition(5)
+    judged = []
+
+    def judge(df):
+        judged.append(df.count())
+        return df.where("good")
+
+    for n in (1, 60, 300, 2000):
+        judged.clear()
+        got = [r["id"] for r in C.first_accepted(mails, n, judge).collect()]
+        assert got == [r["id"] for r in C.first_n(mails.where("good"), n, "id").collect()]
+        assert n > 60 or sum(judged) < 8 * n + 10
+    assert C.first_accepted(mails.limit(0), 5, judge).count() == 0

@@ -169,6 +169,24 @@ def test_roc(spark):
     assert area == pytest.approx(7.5 / 9) == M.roc_auc(df).first()["auc"]
 
 
+def test_ranges_of_scores_that_crowd_at_both_ends(spark):
+    rows = [(k % 2, 1e-9 * k if k % 3 else 1 - 1e-9 * k) for k in range(4000)] + [(1, 0.5), (0, 0.5)]
+    df = spark.createDataFrame(rows, "label int, spam_prob double")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in M._points(df, "label", "spam_prob").groupBy("range").count().collect()]
+        auc = M.roc_auc(df).first()["auc"]
+        curve = [tuple(r)[1:] for r in M.roc_curve(df).orderBy("fpr", "tpr").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    positive, negative = ([p for y, p in rows if y == c] for c in (1, 0))
+    wins = sum((a > b) + (a == b) / 2 for a in positive for b in negative)
+    assert auc == pytest.approx(wins / len(positive) / len(negative))
+    assert sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(curve, curve[1:])) == pytest.approx(auc)
+
+
 def test_history(spark):
     runs = {
         "a": [0.5, 0.7, 0.7, 0.6, 0.65, 0.9],
