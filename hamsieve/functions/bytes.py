@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from encodings.aliases import aliases
+from functools import lru_cache
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from hamsieve.functions.let import let
 
 _HIGH = "".join(chr(i) for i in range(0x80, 0x100))
 _UTF8_NAMES = ("utf-8", "utf8", "us-ascii", "ascii")
-# Declared name -> codec that says what bytes 0x80..0xFF mean. Others count as undeclared.
+# Declared name -> codec that says what bytes 0x80..0xFF mean, for the commonest; all others are the platform's.
 _SINGLE_BYTE = {
     "iso-8859-1": "latin-1",
     "latin1": "latin-1",
@@ -28,21 +31,6 @@ _SINGLE_BYTE = {
     "windows-1254": "cp1254",
     "koi8-r": "koi8-r",
 }
-# Declared name -> name of the set in the Java platform, for the sets that are not one byte a character.
-_WIDE = {
-    "gb2312": "GB2312",
-    "gbk": "GBK",
-    "gb18030": "GB18030",
-    "big5": "Big5",
-    "shift_jis": "Shift_JIS",
-    "shift-jis": "Shift_JIS",
-    "euc-jp": "EUC-JP",
-    "iso-2022-jp": "ISO-2022-JP",
-    "euc-kr": "EUC-KR",
-    "utf-16": "UTF-16",
-    "utf-16le": "UTF-16LE",
-    "utf-16be": "UTF-16BE",
-}
 _JAVA_SETS = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
 
 
@@ -63,6 +51,28 @@ def java_charsets(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+@lru_cache(maxsize=1)
+def platform_charsets() -> dict[str, str]:
+    """Lower-cased name -> name of the set in the Java platform, for all names that the platform or Python has for its sets."""
+    available = SparkSession.active()._jvm.java.nio.charset.Charset.availableCharsets()
+    names = {}
+    for canonical in available.keySet():
+        for name in (canonical, *available.get(canonical).aliases()):
+            names.setdefault(name.lower(), canonical)
+    squeezed = {re.sub("[^a-z0-9]", "", n): c for n, c in sorted(names.items(), reverse=True)}
+    for alias, codec in aliases.items():
+        found = squeezed.get(re.sub("[^a-z0-9]", "", codec))
+        for name in (alias, alias.replace("_", "-"), codec, codec.replace("_", "-")) if found else ():
+            names.setdefault(name, found)
+    return names
+
+
+def _java_name(charset: Column) -> Column:
+    """The platform's name of a declared set; null where it has none. A folded constant, not a branch per name."""
+    table = "\n".join(f"{name}\t{java}" for name, java in platform_charsets().items())
+    return F.str_to_map(F.lit(table), F.lit("\n"), F.lit("\t"))[charset]
+
+
 def _upper_half(codec: str) -> str:
     return "".join(bytes([i]).decode(codec, "replace") for i in range(0x80, 0x100))
 
@@ -72,15 +82,15 @@ def _by_charset(
 ) -> Column:
     """Pick by declared character set. ``latin1`` is the text with byte n as character n."""
     out = F.when(charset.isin(*_UTF8_NAMES), utf8)
-    for name, java in _WIDE.items():
-        out = out.when(charset == name, F.decode(content, java))
     by_codec: dict[str, list[str]] = {}
     for name, codec in _SINGLE_BYTE.items():
         by_codec.setdefault(codec, []).append(name)
     for codec, names in by_codec.items():
         text = latin1 if codec == "latin-1" else F.translate(latin1, _HIGH, _upper_half(codec))
         out = out.when(charset.isin(*names), text)
-    return out.otherwise(undeclared)
+    # An empty name is no key, and needs no lookup.
+    named = F.when(charset != "", _java_name(charset))
+    return out.otherwise(let(named, lambda java: F.when(java.isNull(), undeclared).otherwise(F.call_function("decode", content, java))))
 
 
 def latin1_text(content: Column) -> Column:
@@ -126,6 +136,35 @@ def base64_bytes(text: Column) -> Column:
     return F.unbase64(let(data, padded))
 
 
+#: Six bits as uuencode writes them, and as base64 does.
+_UU = " " + "".join(map(chr, range(33, 96))) + "`"
+_SIX = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/A"
+
+
+def uu_bytes(text: Column) -> Column:
+    """Bytes of uuencoded text; null where it has no first line, or a line that isn't uuencode.
+
+    After a line ``begin mode name`` each line tells its number of bytes by its first character and has
+    four characters for three bytes; blanks that were lost at its end are supplied, what stands behind is
+    left out. A line ``end`` ends it, or the text.
+    """
+    lines = F.regexp_extract(text, r"(?s)(?:\A|\n)begin [0-7]+(?: [^\n]*)?\n(.*)", 1)
+    body = F.split(F.regexp_replace(lines, r"(?s)(?:\A|\n)[ \t\r\f]*end[ \t\r\f]*(?:\n.*)?\z", ""), "\n")
+    body = F.transform(body, lambda line: F.rtrim(line, F.lit("\r")))
+    # The last line end leaves an empty line that is none.
+    body = F.when(F.element_at(body, -1) == "", F.slice(body, F.lit(1), F.size(body) - 1)).otherwise(body)
+    size = lambda line: (F.ascii(line) - 32).bitwiseAND(F.lit(63))
+    wanted = lambda line: F.ceil(size(line) / 3).cast("int") * 4
+    broken = F.exists(body, lambda line: ~F.rlike(F.substring(line, F.lit(1), wanted(line) + 1), F.lit(r"\A[ -`]+\z")))
+
+    def unpacked(line: Column) -> Column:
+        chars = F.translate(F.rpad(F.substring(line, F.lit(2), wanted(line)), wanted(line), F.lit(" ")), _UU, _SIX)
+        return F.substring(F.hex(F.unbase64(chars)), F.lit(1), size(line) * 2)
+
+    found = F.rlike(text, F.lit(r"(?:\A|\n)begin [0-7]+(?: [^\n]*)?\n"))
+    return F.when(found & ~broken, F.unhex(F.array_join(F.transform(body, unpacked), "")))
+
+
 # --- percent form: text in which byte XX is written %XX and a literal % is %25 ------------------
 
 

@@ -23,6 +23,7 @@ from hamsieve.functions.bytes import (
     latin1_bytes,
     percent_utf8,
     quoted_printable_to_percent,
+    uu_bytes,
 )
 from hamsieve.functions.let import let
 from hamsieve.functions.rows import struct_rows
@@ -148,6 +149,10 @@ def _content_type(value: Column) -> Column:
     return F.when(F.rlike(kind, F.lit(r"\A[^/]+/[^/]+\z")), kind).otherwise("text/plain")
 
 
+#: The names of that transfer encoding.
+UUENCODED = ("x-uuencode", "uuencode", "uue", "x-uue")
+
+
 def _typed(hb: Column, part_no: Column) -> Column:
     """Struct ``header, body`` to a struct with the header values that matter."""
     declared = header_value(hb["header"], "content-type")
@@ -182,6 +187,9 @@ def _decoded(p: Column, latin1: Column) -> Column:
         as_text = b.cast("string")
         return out(decode_bytes(b, p["charset"]), F.when(F.is_valid_utf8(as_text), as_text))
 
+    def as_read(text: Column) -> Column:
+        return F.when(latin1, latin1_bytes(text)).otherwise(F.encode(text, "UTF-8"))
+
     def from_percent(q: Column) -> Column:
         utf8 = percent_utf8(q)
         return out(
@@ -194,6 +202,7 @@ def _decoded(p: Column, latin1: Column) -> Column:
             p["encoding"] == "quoted-printable",
             let(quoted_printable_to_percent(p["body"]), from_percent),
         )
+        .when(p["encoding"].isin(*UUENCODED), let(F.coalesce(uu_bytes(p["body"]), as_read(p["body"])), from_bytes))
         .when(latin1, let(latin1_bytes(p["body"]), from_bytes))
         .otherwise(out(p["body"], p["body"]))
     )

@@ -44,7 +44,7 @@ from hamsieve.plans.flows import (
     with_full_text,
 )
 from hamsieve.sources import artifacts, corpus as S
-from hamsieve.sources.compose import compose_foreign_mails, compose_mails
+from hamsieve.sources.compose import compose_foreign_mails, compose_mails, compose_uu_mails
 from hamsieve.sources.log import last_entry
 from hamsieve.sources.scratch import materialize, scratch_path
 from hamsieve.sources.tables import table, table_version, text_table
@@ -404,6 +404,13 @@ def foreign_mails(spark: SparkSession, d: str) -> DataFrame:
     return S.decode_mails(compose_foreign_mails(mails(spark, d), "id", "subject", "body"))
 
 
+@query
+def mail_uuencode(spark: SparkSession, d: str) -> DataFrame:
+    """Every mail with its body uuencoded, and read again."""
+    parsed = mime.parse_mails(compose_uu_mails(mails(spark, d), "id", "subject", "body"))
+    return mime.mail_parts(parsed).select("mail_id", "encoding", "text")
+
+
 @query
 def mail_charsets(spark: SparkSession, d: str) -> DataFrame:
     return mime.corpus_mails(mime.parse_mails(foreign_mails(spark, d))).select(

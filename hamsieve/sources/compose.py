@@ -96,6 +96,12 @@ ALPHABETS = (
     ("gb2312", "天地人你我他上下大小中国学生老师工作时间地方朋友水火"),
     ("shift_jis", "アイウエオカキクケコサシスセソタチツテトナニヌネノハ"),
     ("big5", "天地人你我他上下大小中國學生老師工作時間地方朋友水火"),
+    ("windows-1255", "אבגדהוזחטיךכלםמןנסעףפץצקרש"),
+    ("windows-1256", "ابتثجحخدذرزسشصضطظعغفقكلمنه"),
+    ("windows-874", "กขคฆงจฉชซญฎฏฐฑฒณดตถทธนบปผฝ"),
+    ("windows-1257", "aābcčdeēgģiīkķlļnņsšuūzžąė"),
+    ("iso-8859-3", "abcĉdefgĝhĥijĵklmnopsŝuŭġż"),
+    ("koi8-u", "абвгґдеєжзиіїйклмнопрстуфх"),
 )
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 TRANSFERS = ("8bit", "quoted-printable", "base64")
@@ -145,3 +151,32 @@ def compose_foreign_mails(df: DataFrame, id_col: str, subject: str, body: str) -
     )
     content = F.when(F.pmod("mail_id", F.lit(50)) != 7, whole)
     return bytes_.select("mail_id", content.alias("content"))
+
+
+def uu_lines(content: Column) -> Column:
+    """Bytes as uuencoded lines of 45 bytes, without the first and last line."""
+    chunks = F.regexp_extract_all(F.hex(content), F.lit("(?:..){1,45}"), F.lit(0))
+
+    def line(chunk: Column) -> Column:
+        six = F.translate(F.regexp_replace(F.base64(F.unhex(chunk)), r"\s", ""), _SIX, _UU)
+        return F.concat(F.char((F.length(chunk) / 2).cast("int") + 32), six)
+
+    return F.array_join(F.transform(chunks, line), "\n")
+
+
+_SIX = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="
+_UU = "`" + "".join(map(chr, range(33, 96))) + "`"
+
+
+def compose_uu_mails(df: DataFrame, id_col: str, subject: str, body: str) -> DataFrame:
+    """``mail_id, message``: each row becomes a mail with a uuencoded body; by its id blanks at line ends are lost, or the last line."""
+    i = F.col(id_col)
+    name = F.element_at(F.array(*map(F.lit, ("x-uuencode", "uuencode", "X-UUE", "uue"))), (F.pmod(i, F.lit(4)) + 1).cast("int"))
+    lines = uu_lines(F.encode(F.col(body), "UTF-8"))
+    lost = F.regexp_replace(F.replace(lines, F.lit("`"), F.lit(" ")), r"(?m) +$", "")
+    message = F.concat(
+        F.lit("Subject: "), F.col(subject), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: "), name,
+        F.lit("\n\nbegin 644 a text.txt"), F.when(F.col(body) != "", F.concat(F.lit("\n"), F.when(F.pmod(i, F.lit(3)) == 1, lost).otherwise(lines))).otherwise(""),
+        F.when(F.pmod(i, F.lit(5)) == 2, F.lit("\n")).otherwise(F.lit("\n`\nend\n")),
+    )
+    return df.select(i.alias("mail_id"), message.alias("message"))

@@ -418,7 +418,7 @@ Q_SUBJECT = (
 )
 SERVE_CLEAN = f"{clean('subject', 'serve')} || ' ' || {clean('body', 'serve')}"
 
-# Letters that stand for a to z in mails of six character sets.
+# Letters that stand for a to z in mails of twelve character sets.
 CYRILLIC = "абцдефгхийклмнопярстувшыжз"
 ALPHABETS = (
     CYRILLIC,
@@ -427,13 +427,19 @@ ALPHABETS = (
     "天地人你我他上下大小中国学生老师工作时间地方朋友水火",
     "アイウエオカキクケコサシスセソタチツテトナニヌネノハ",
     "天地人你我他上下大小中國學生老師工作時間地方朋友水火",
+    "אבגדהוזחטיךכלםמןנסעףפץצקרש",
+    "ابتثجحخدذرزسشصضطظعغفقكلمنه",
+    "กขคฆงจฉชซญฎฏฐฑฒณดตถทธนบปผฝ",
+    "aābcčdeēgģiīkķlļnņsšuūzžąė",
+    "abcĉdefgĝhĥijĵklmnopsŝuŭġż",
+    "абвгґдеєжзиіїйклмнопрстуфх",
 )
 
 
 def foreign(expr: str) -> str:
     low = f"lower({sub(expr, '[^' + chr(92) + 'x00-' + chr(92) + 'x7F]', '?')})"
     arms = " ".join(f"WHEN {k} THEN translate({low}, 'abcdefghijklmnopqrstuvwxyz', '{a}')" for k, a in enumerate(ALPHABETS))
-    return f"CASE id % 6 {arms} END"
+    return f"CASE id % {len(ALPHABETS)} {arms} END"
 
 
 FOREIGN = f"""foreign_mails AS (
@@ -444,6 +450,9 @@ read_mails AS (
 
 ORACLES: dict[str, str] = {
     "mail_charsets": with_(MAILS, FOREIGN) + "SELECT id AS mail_id, subject, body, parse_error FROM read_mails",
+    "mail_uuencode": with_(MAILS)
+    + """SELECT id AS mail_id, CASE id % 4 WHEN 0 THEN 'x-uuencode' WHEN 1 THEN 'uuencode' WHEN 2 THEN 'x-uue' ELSE 'uue' END AS encoding,
+  body AS text FROM mails""",
     "reject_parsed": with_(
         MAILS,
         FOREIGN,

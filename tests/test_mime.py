@@ -1,6 +1,7 @@
 """Mail decoding against the standard library's parser and against composed mails."""
 
 import base64
+import binascii
 import email
 from email.header import decode_header
 from email.parser import Parser
@@ -137,3 +138,60 @@ def test_many_quoted_attributes_do_not_overflow(spark):
     long_tag = "<a " + "x='1' " * 50_000 + ">hi</a>"
     df = spark.createDataFrame([(long_tag,)], "x string")
     assert df.select(html_text(F.col("x"))).first()[0] == "hi"
+
+
+def uu(data, end="`\nend\n", strip=False):
+    lines = [binascii.b2a_uu(data[i : i + 45]).decode().rstrip("\n") for i in range(0, len(data), 45)]
+    if strip:
+        lines = [line.replace("`", " ").rstrip(" ") for line in lines]
+    return "begin 644 file name\n" + "\n".join(lines) + "\n" + end
+
+
+UU = bytes(range(256)) * 2 + b"tail"
+UU_BODIES = {
+    "whole": uu(UU),
+    "short": uu(b"ab"),
+    "stripped": uu(bytes(200) + b"x" + bytes(7), strip=True),
+    "no_end": uu(UU, ""),
+    "text_before": "hello\n\n" + uu(UU) + "and after\n",
+    "end_with_blanks": uu(UU, " end \t\nmore"),
+    "trailing_sign": "begin 644 x\n" + binascii.b2a_uu(b"check me").decode().rstrip("\n") + "A\nend\n",
+    "no_begin": binascii.b2a_uu(b"abc").decode() + "end\n",
+    "bad_mode": "begin 9x4 x\n" + binascii.b2a_uu(b"abc").decode() + "end\n",
+    "bad_sign": "begin 644 x\n#86)~\nend\n",
+    "gap": "begin 644 x\n#86)C\n\n#86)C\nend\n",
+}
+
+
+def test_uuencoded_bodies_equal_the_standard_library(spark):
+    head = "Subject: s\nContent-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: {}\n\n"
+    mails = {f"{k}/{e}": head.format(e) + b for k, b in UU_BODIES.items() for e in ("x-uuencode", "UUE")}
+    df = spark.createDataFrame(list(mails.items()), "mail_id string, message string")
+    got = {r["mail_id"]: r["text"] for r in mime.mail_parts(mime.parse_mails(df)).collect()}
+    want = {k: email.message_from_string(m).get_payload(decode=True).decode("latin1") for k, m in mails.items()}
+    assert got == want
+
+
+def test_every_declared_set_of_the_platform_is_read(spark):
+    """One text per set, in letters that it has, 8-bit and base64, under each of several names."""
+    texts = {
+        "windows-1255": "שלום", "windows-1256": "سلام", "windows-1257": "ąčęė", "windows-1258": "Việt".replace("ệ", "ê"), "windows-874": "สวัสดี",
+        "iso-8859-3": "ĉĝĥĵŝŭ", "iso-8859-4": "ąķĸŗ", "iso-8859-6": "سلام", "iso-8859-8": "שלום", "iso-8859-13": "ąčęė", "iso-8859-16": "ăâîșț",
+        "koi8-u": "їєґі", "macintosh": "café", "mac-roman": "café", "mac_cyrillic": "Привет", "cp437": "café", "IBM850": "café", "cp866": "Привет", "tis-620": "สวัสดี",
+        "ks_c_5601-1987": "한국어", "iso-2022-kr": "한국어", "utf-32": "é漢😀", "latin2": "łóź", "iso_8859-5": "Привет",
+    }
+    rows = []
+    for name, text in texts.items():
+        codec = {"ks_c_5601-1987": "euc-kr", "IBM850": "cp850", "mac_cyrillic": "mac_cyrillic", "iso-2022-kr": "iso2022_kr", "windows-874": "cp874"}.get(name, name)
+        data = text.encode(codec)
+        rows.append((name, f"Subject: s\nContent-Type: text/plain; charset=\"{name}\"\nContent-Transfer-Encoding: base64\n\n{base64.b64encode(data).decode()}"))
+    df = spark.createDataFrame(rows, "mail_id string, message string")
+    got = {r["mail_id"]: r["text"] for r in mime.mail_parts(mime.parse_mails(df)).collect()}
+    assert got == texts
+
+
+def test_names_of_no_set_count_as_undeclared(spark):
+    body = base64.b64encode("für".encode("latin1")).decode()
+    rows = [(n, f"Subject: s\nContent-Type: text/plain; charset={n}\nContent-Transfer-Encoding: base64\n\n{body}") for n in ("x-none", "unknown-8bit")]
+    df = spark.createDataFrame(rows, "mail_id string, message string")
+    assert {r["text"] for r in mime.mail_parts(mime.parse_mails(df)).collect()} == {"für"}
