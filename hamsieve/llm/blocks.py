@@ -22,16 +22,18 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 12 << 20
 
 _ASK = "block int, owner int, kind int, keys binary, counts binary"
-_ANSWER = "block int, owner int, kind int, counts binary"
+_ANSWER = "block int, owner int, kind int, counts binary, more binary"
+#: Stands for a sum that takes more than 32 bits; those follow in ``more``, in order, as 64-bit numbers.
+_LARGE = 0xFFFFFFFF
 
 Keys = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` with ``block``, partitioned by it, and the number of blocks."""
+    """``docs`` with ``block``, partitioned by it, and the number of blocks. Rows of one id are dealt by their texts."""
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).collect()[0]["n"] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).cast("int")
     return docs.withColumn("block", block).repartition(blocks, "block"), blocks
 
 
@@ -86,26 +88,32 @@ def ask(blocked: DataFrame, keys_of: Callable[[pa.Table], Keys], owners: int) ->
 
 
 def answer_sums(asks: DataFrame) -> DataFrame:
-    """Per ask the sum of all blocks' counts for each of its keys, as 32-bit numbers (held at the top)."""
+    """Per ask the sum of all blocks' counts for each of its keys: 32 bits each, and 64 for the few that need them."""
 
     def per_owner(table: pa.Table) -> pa.Table:
         kinds = np.asarray(table.column("kind"))
         out: list[bytes] = [b""] * table.num_rows
+        more: list[bytes | None] = [None] * table.num_rows
         for kind in np.unique(kinds):
             at = np.flatnonzero(kinds == kind)
             keys = [unpack(table.column("keys")[int(i)].as_py()) for i in at]
             counts = [np.frombuffer(table.column("counts")[int(i)].as_py(), np.uint32) for i in at]
             known, where = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(where, np.concatenate(counts), len(known))
-            told = np.minimum(sums, 0xFFFFFFFF).astype(np.uint32)[where]
-            for i, part in zip(at, np.split(told, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+            sums = np.bincount(where, np.concatenate(counts), len(known)).astype(np.uint64)
+            told = np.minimum(sums, np.uint64(_LARGE)).astype(np.uint32)[where]
+            edges = np.cumsum([len(k) for k in keys])[:-1]
+            for i, part, places in zip(at, np.split(told, edges), np.split(where, edges), strict=True):
                 out[int(i)] = part.tobytes()
+                large = part == _LARGE
+                if large.any():
+                    more[int(i)] = sums[places[large]].tobytes()
         return pa.table(
             {
                 "block": table.column("block"),
                 "owner": table.column("owner"),
                 "kind": table.column("kind"),
                 "counts": pa.array(out, pa.binary()),
+                "more": pa.array(more, pa.binary()),
             }
         )
 
@@ -114,8 +122,12 @@ def answer_sums(asks: DataFrame) -> DataFrame:
 
 def told(answers: pa.Table) -> dict[int, np.ndarray]:
     """A block's answers by kind, in the order of its sorted keys."""
-    rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "owner", "counts")), strict=True), key=lambda r: r[:2])
+    rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "owner", "counts", "more")), strict=True), key=lambda r: r[:2])
     out: dict[int, list[np.ndarray]] = {}
-    for kind, _, counts in rows:
-        out.setdefault(kind, []).append(np.frombuffer(counts, np.uint32))
+    for kind, _, counts, more in rows:
+        sums = np.frombuffer(counts, np.uint32)
+        if more:
+            sums = sums.astype(np.uint64)
+            sums[sums == _LARGE] = np.frombuffer(more, np.uint64)
+        out.setdefault(kind, []).append(sums)
     return {kind: np.concatenate(parts) for kind, parts in out.items()}

@@ -15,6 +15,7 @@ centre (the member with the fewest rare tokens); then only members of different
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from hamsieve.sources.scratch import materialize
 #: Counters of the frequency sketch (4 bytes each, one table per task and one broadcast), in slices.
 SKETCH = 1 << 20
 _SLICES = 16
+#: Tables of tasks that are summed in one group; more are summed in rounds.
+FAN = 64
 #: A token is frequent if its counter stands so far above the mean counter.
 FREQUENT = 32
 #: Sets beyond this size index frequent tokens singly: pairs would grow with the square of the prefix.
@@ -136,7 +139,7 @@ def _classes_and_sketch(docs: DataFrame, id_col: str, k: int) -> tuple[DataFrame
         total = np.zeros(SKETCH // _SLICES, np.uint64)
         for c in pdf["counts"]:
             total += np.frombuffer(c, np.uint32)
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "part": pdf["part"].iloc[:1], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[int, np.ndarray] = {}
@@ -147,9 +150,14 @@ def _classes_and_sketch(docs: DataFrame, id_col: str, k: int) -> tuple[DataFrame
         for at, held in totals.items():
             yield pd.DataFrame({"slice": [at], "counts": [np.minimum(held, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
-    # Tables of tasks are folded where they lie, then by slice: _SLICES rows of fixed size reach the driver.
+    # Tables of tasks are folded where they lie, then FAN at a time: _SLICES rows of fixed size reach the driver.
     parts = stored.where("slice IS NOT NULL").select("slice", "counts").mapInPandas(fold, "slice int, counts binary")
-    rows = parts.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
+    parts = materialize(parts.withColumn("part", F.spark_partition_id()), "jaccard-sketch")
+    left = (parts.agg(F.max("part").alias("n")).collect()[0]["n"] or 0) + 1
+    while left > FAN:
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("slice", "part").applyInPandas(add, "slice int, counts binary, part int")
+        left = math.ceil(left / FAN)
+    rows = parts.groupBy("slice").applyInPandas(add, "slice int, counts binary, part int").collect()
     sketch = np.zeros((_SLICES, SKETCH // _SLICES), np.uint32)
     for r in rows:
         sketch[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
@@ -247,7 +255,7 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, classes: Da
 
 def row_key(id_: Column, text: Column) -> Column:
     """A number for the id and text of a row: rows of one id and different texts have different ones."""
-    return F.xxhash64(F.coalesce(id_.cast("long"), F.lit(-1)), F.coalesce(text.cast("string"), F.lit("")))
+    return F.xxhash64(id_.cast("long").isNull(), F.coalesce(id_.cast("long"), F.lit(0)), F.coalesce(text.cast("string"), F.lit("")))
 
 
 def near_groups(
@@ -258,7 +266,7 @@ def near_groups(
     Sets of ``k``-word shingles link when ``100 * both >= percent * either``. ``component_id`` is the
     smallest id reachable by links. Texts without words (null, empty, blank) have no shingles and
     are alone; texts of fewer than ``k`` words have one shingle and link to their equals. Repeated
-    rows share their class; a null id counts as -1; different texts under one id (or under none) are
+    rows share their class; a null id is none: such a row has the smallest id of the others, or null; different texts under one id (or under none) are
     members of their own, so rows of one id can have different components; an empty table gives no rows;
     further columns are ignored. Texts are read whole. Equal sets are one member of the join, whatever
     their number.
@@ -276,17 +284,20 @@ def first_of_groups(
     id, all stay. Texts without words stay once per id and text.
     """
     found = _grouped(df, k, percent, id_col, text_col)
-    some = found.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col(id_col).alias("_id"), F.col("row").alias("_row"))).alias("f"))
-    first = some.select("f.*").unionByName(found.where("n = 0").select(F.col(id_col).alias("_id"), F.col("row").alias("_row"))).distinct()
-    keyed = df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "_row": row_key(F.col(id_col), F.col(text_col))})
+    # Rows without an id come after all others.
+    key = {"_none": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_row": F.col("row")}
+    found = found.withColumns(key)
+    some = found.where("n > 0").groupBy("component").agg(F.min(F.struct(*key)).alias("f")).select("f.*")
+    first = some.unionByName(found.where("n = 0").select(*key)).distinct()
+    keyed = df.withColumns(key | {"_row": row_key(F.col(id_col), F.col(text_col))})
     # A row that stands in the table twice is a group, too. Both steps share one shuffle.
-    return keyed.join(first, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*df.columns)
+    return keyed.join(first, list(key), "left_semi").dropDuplicates(list(key)).select(*df.columns)
 
 
 def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Per row of ``df``: id, ``row``, ``n``, ``component`` (a number of its own; null without shingles), ``component_id``."""
     docs = df.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias(id_col),
+        F.col(id_col).cast("long").alias(id_col),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         row_key(F.col(id_col), F.col(text_col)).alias("row"),
     )

@@ -1,25 +1,29 @@
-"""Repeated substrings across documents, by sorting the suffixes at a cover of the texts.
+"""Repeated substrings across documents, by grouping the strings at a cover of the texts.
 
 A difference cover samples positions so that any two suffixes meet at samples after the same short
-distance; sorting the samples then settles all other suffixes. Here the cover is chosen by content
+distance; the samples' order then settles all other suffixes. Here the cover is chosen by content
 instead of by position: the position of the smallest hash of ``GRAM`` bytes in every string of the
 wanted length. Equal strings choose the same place, so they meet at it, wherever they stand, and a
-sample whose gram is met once in the corpus settles that its strings are not repeated: no suffix
-near it has to be sorted at all. (A cover by position would have every suffix of the corpus sorted.)
+sample whose gram is met once in the corpus settles that its strings are not repeated: nothing
+near it is looked at again. (A cover by position would have every suffix of the corpus sorted.)
 
 1. Name the samples: count each sample's gram over the corpus (``blocks``).
-2. Around each repeated sample, send the suffixes it stands for, as one stretch of bytes, to the
+2. Around each repeated sample, send the strings it stands for, as one stretch of bytes, to the
    owner of its name; equal stretches of a block go once, with the smallest id.
-3. The owner sorts the suffixes by their next ``length`` bytes, compares neighbours byte for byte and
-   marks those that begin in a document with a larger id than the smallest.
+3. The owner puts the strings in the order of a 64-bit hash of their ``length`` bytes, compares
+   neighbours byte for byte (those of one hash that differ are put in the order of their bytes), and
+   marks the strings that begin in a document with a larger id than the smallest.
 4. Each block takes back the marks and removes what the marked strings cover.
 
-The strings are compared up to the wanted length, so names never have to be refined by recursion.
+The strings are compared up to the wanted length, so names never have to be refined by recursion. All
+stretches around one name meet at one owner: a template with a changing field, met in a large share of
+all documents, is not split further.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -242,9 +246,18 @@ def _marks(ids: np.ndarray, counts: np.ndarray, body: np.ndarray, length: int) -
     eights = np.ndarray((max(len(body) - 7, 0),), "<u8", body, strides=(1,))
     right = np.flatnonzero(~new)
     left, right = at[order[right - 1]], at[order[right]]
+    differ = np.zeros(len(left), bool)
     for shift in sorted({*range(0, length - 7, 8), length - 8}):
-        if (eights[left + shift] != eights[right + shift]).any():
-            raise ArithmeticError("two strings of one hash differ: choose another table of byte values")
+        differ |= eights[left + shift] != eights[right + shift]
+    if differ.any():
+        # Two strings under one hash: the strings of such a hash are put in the order of their bytes.
+        run = np.cumsum(new) - 1
+        for k in np.unique(run[np.flatnonzero(~new)[differ]]).tolist():
+            lo, hi = np.searchsorted(run, [k, k + 1])
+            texts = [body[p : p + length].tobytes() for p in at[order[lo:hi]].tolist()]
+            by_bytes = sorted(range(hi - lo), key=texts.__getitem__)
+            order[lo:hi] = order[lo:hi][by_bytes]
+            new[lo + 1 : hi] = [texts[a] != texts[b] for a, b in itertools.pairwise(by_bytes)]
     group = np.cumsum(new) - 1
     least = np.minimum.reduceat(who[order], np.flatnonzero(new)) if total else who
     marked = np.zeros(total, bool)
@@ -358,7 +371,7 @@ def remove_repeats(
     by_block = blocked.groupBy("block")
     stretches = by_block.cogroup(counted.groupBy("block")).applyInArrow(send, "block int, owner int, ids binary, counts binary, body binary")
     marks = stretches.groupBy("owner").applyInArrow(mark, "block int, owner int, kind int, counts binary")
-    cut_out = by_block.cogroup(counted.unionByName(marks).groupBy("block")).applyInArrow(
+    cut_out = by_block.cogroup(counted.unionByName(marks, allowMissingColumns=True).groupBy("block")).applyInArrow(
         cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
     return cut_out.withColumn(id_col, F.when(F.col(id_col) != last, F.col(id_col)))
