@@ -2,8 +2,8 @@
 
 States are the contexts that training has seen; an arc reads a word and carries its smoothed log10
 probability; a failure arc leads to the next shorter context and carries what backing off costs. A
-text is read once from left to right: each word takes the arc of the longest context that has one,
-after the failure arcs above it, and the weights add up.
+text is read once from left to right, carrying its state: each word takes the state's arc, after as many
+failure arcs as it takes to come to one, and the weights add up.
 
 Counts are gathered over the whole corpus (see ``blocks``): each block of texts receives the counts
 of its own n-grams and builds just the part of the automaton that its texts can enter. Nothing that
@@ -105,53 +105,118 @@ def _keys(table: pa.Table, order: int) -> Keys:
     return out
 
 
+#: Words of a text that are read one after another by one lane; a longer text takes several, each entered at its state.
+LANE = 512
+
+
 class BackoffAutomaton:
-    """The part of the model that a block's n-grams can enter; ``counts[k]`` belongs to ``keys[k]``."""
+    """The part of the model that a block's texts can enter.
 
-    def __init__(self, grams: list[np.ndarray], bounds: np.ndarray, counts: dict[int, np.ndarray], totals: Totals):
-        self.counts: list[np.ndarray] = []
-        self.arcs: list[np.ndarray] = []
-        #: Log10 weight of the failure arc out of each position's context, per length.
-        self.failures: list[np.ndarray] = []
+    State 0 is the empty context, all others are contexts that training has seen: n-grams of up to ``order - 1``
+    words, the begin of a text among them. ``failure`` leads from a state to its context without the first
+    word and costs ``paid``. An arc is found by its state and word (``arc``: sorted numbers of both), costs
+    ``weight`` and leads to ``target``, the longest context that ends in the word. ``counts[k]`` belongs to ``keys[k]``.
+    """
+
+    def __init__(self, seq: np.ndarray, bounds: np.ndarray, order: int, counts: dict[int, np.ndarray], totals: Totals):
+        self.bounds = bounds
+        n, starts = len(seq), bounds[:-1]
         total, discount = max(totals.tokens, 1), totals.discount
         unknown = discount * totals.distinct / total if totals.tokens else 1.0
-        below = np.zeros(0)
-        for k, g in enumerate(grams, 1):
-            _, where = np.unique(g, return_inverse=True)
-            c = counts[k][where].astype(np.float64)
+        vocabulary, word = np.unique(seq, return_inverse=True)
+        self.word, self.words = word.astype(np.int32), len(vocabulary)
+        # Per position the state of the longest context that ends there, and of that of the length before.
+        self.entered = np.zeros(n, np.int32)
+        begin = 1 if totals.texts and order > 1 else 0
+        self.failure, self.paid = [np.zeros(1 + begin, np.int32)], [np.zeros(1)]
+        if begin:
+            self.paid.append(np.log10([_share(np.array([totals.texts]))[0]]))
+        states = 1 + begin
+        arcs: list[np.ndarray] = []
+        weights: list[np.ndarray] = []
+        targets: list[np.ndarray] = []
+        below = before = None
+        shorter = np.zeros(n, np.int32)
+        for k, g in enumerate(_grams(seq, bounds, order), 1):
+            _, first, where = np.unique(g, return_index=True, return_inverse=True)
+            c = counts[k].astype(np.float64)[where]
             c[g == 0] = 0
+            seen = c[first] > 0
             if k == 1:
+                self.known = c
                 below = np.where(c > 0, np.maximum(c - discount, 0) / total, unknown)
-                self.failures.append(np.zeros(len(g)))
+                source = np.zeros(n, np.int32)
             else:
-                context = np.empty(len(g))
-                context[1:] = self.counts[-1][:-1]
+                context = np.zeros(n)
+                context[1:] = before[:-1]
+                source = np.zeros(n, np.int32)
+                source[1:] = shorter[:-1]
                 if k == 2:
-                    context[bounds[:-1]] = totals.texts
+                    context[starts], source[starts] = totals.texts, begin
                 context[g == 0] = 0
-                share = FLOOR + (1 - FLOOR) * HALF / (HALF + context)
-                # A state that training has not seen does not exist: nothing is paid for leaving it.
-                share[context == 0] = 1.0
+                share = _share(context)
                 below = (1 - share) * c / np.maximum(context, 1) + share * below
-                self.failures.append(np.log10(share))
-            self.counts.append(c)
-            self.arcs.append(np.log10(below))
+                del share, context
+            if k < order:
+                # Contexts that training has seen become states; the failure arc leads to the same without its first word.
+                state = np.where(seen, np.cumsum(seen) - 1 + states, 0).astype(np.int32)
+                self.failure.append(shorter[first[seen]])
+                self.paid.append(np.log10(_share(c[first[seen]])))
+                states += int(seen.sum())
+                shorter = state[where]
+                self.entered = np.where(shorter > 0, shorter, self.entered)
+                reached = shorter
+            else:
+                reached = self.entered if order > 1 else np.zeros(n, np.int32)
+            # The empty context has an arc for every word, any other one for the words that training has seen after it.
+            at = first if k == 1 else first[seen]
+            arcs.append(source[at].astype(np.int64) * self.words + self.word[at])
+            weights.append(np.log10(below[at]))
+            targets.append(reached[at])
+            before = c
+            del where, source
+        arc = np.concatenate(arcs)
+        order_ = np.argsort(arc)
+        self.arc, self.weight, self.target = arc[order_], np.concatenate(weights)[order_], np.concatenate(targets)[order_]
+        self.failure, self.paid = np.concatenate(self.failure), np.concatenate(self.paid)
+        self.begin = begin
 
     def traverse(self) -> np.ndarray:
-        """Weight of each word: failure arcs from the longest context down, then the arc that reads it.
+        """Log10 probability of each word. Texts are read from left to right side by side, each lane carrying its state.
 
-        The state before a word is its longest known context, so all words are stepped through at
-        once: those whose state has no arc for the word follow the failure arc together.
+        A lane whose state has no arc for its word follows failure arcs until one has; the empty context has all.
         """
-        weight = np.zeros(len(self.counts[0]))
-        waiting = np.ones(len(weight), bool)
-        for k in range(len(self.counts) - 1, 0, -1):
-            reads = waiting & (self.counts[k] > 0)
-            weight[reads] += self.arcs[k][reads]
-            waiting &= ~reads
-            weight[waiting] += self.failures[k][waiting]
-        weight[waiting] += self.arcs[0][waiting]
-        return weight
+        out = np.zeros(len(self.word))
+        sizes = np.diff(self.bounds)
+        lanes = -(-sizes // LANE)
+        inner = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = np.repeat(self.bounds[:-1], lanes) + inner * LANE
+        length = np.minimum(np.repeat(self.bounds[1:], lanes) - start, LANE)
+        state = np.where(inner > 0, self.entered[np.maximum(start - 1, 0)], self.begin).astype(np.int64)
+        longest = np.argsort(-length, kind="stable")
+        start, length, state = start[longest], length[longest], state[longest]
+        for t in range(int(length[0]) if len(length) else 0):
+            active = int(np.searchsorted(-length, -t, "left"))
+            at = start[:active] + t
+            now, word, paid = state[:active].copy(), self.word[at], np.zeros(active)
+            place = np.empty(active, np.int64)
+            left = np.arange(active)
+            while len(left):
+                wanted = now[left] * self.words + word[left]
+                found = np.minimum(np.searchsorted(self.arc, wanted), len(self.arc) - 1)
+                hit = self.arc[found] == wanted
+                place[left[hit]] = found[hit]
+                left = left[~hit]
+                paid[left] += self.paid[now[left]]
+                now[left] = self.failure[now[left]]
+            out[at] = paid + self.weight[place]
+            state[:active] = self.target[place]
+        return out
+
+
+def _share(context: np.ndarray) -> np.ndarray:
+    """What a context of so many occurrences leaves to the next shorter one; all, where training has not seen it."""
+    return np.where(context > 0, FLOOR + (1 - FLOOR) * HALF / (HALF + context), 1.0)
 
 
 def corpus_totals(docs: DataFrame, owners: int) -> Totals:
@@ -221,9 +286,8 @@ def score_texts(
 
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
         seq, bounds = _sequence(table.column("text"))
-        grams = _grams(seq, bounds, order)
-        automaton = BackoffAutomaton(grams, bounds, told(replies), totals)
-        known = automaton.counts[0]
+        automaton = BackoffAutomaton(seq, bounds, order, told(replies), totals)
+        known = automaton.known
         space = totals.tokens + BASE_ADD * (totals.distinct + 1)
         starts = bounds[:-1]
         return pa.table(

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hamsieve.llm import blocks, suffixes
+from hamsieve.llm import blocks, lm, suffixes
 from hamsieve.llm.components import connected_components
 from hamsieve.llm.exact import directory, exact_groups
 from hamsieve.llm.jaccard import first_of_groups, near_groups
@@ -130,37 +130,69 @@ def test_components_of_a_long_path(spark, make):
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100}
 
 
-def test_scores(make, corpus):
-    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
-    got = {r["doc_id"]: r for r in score_texts(make(corpus), train).collect()}
-    seqs = {i: [*tokens(t), None] for i, t in corpus}
-    learn = {i for i in seqs if zlib.crc32(str(i).encode()) % 10}
-    one = Counter(w for i in learn for w in seqs[i])
-    two = Counter(p for i in learn for p in zip(["<s>", *seqs[i]], seqs[i]))
+def plain_scores(seqs, learn, order):
+    """Per text: its tokens, known ones, base score and score, by dictionaries and the definition of the probabilities."""
+    grams = [Counter() for _ in range(order + 1)]
+    for i in learn:
+        padded = ["<s>", *seqs[i]]
+        for k in range(1, order + 1):
+            for end in range(1, len(padded)):
+                if end - k + 1 >= (0 if k > 1 else 1):
+                    grams[k][tuple(padded[end - k + 1 : end + 1])] += 1
+    one = grams[1]
     n, v = sum(one.values()), len(one)
     n1, n2 = (sum(c == k for c in one.values()) for k in (1, 2))
-    d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9)
+    d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 + n2 else 0.5
+
+    def probability(context, w):
+        if not context:
+            return (one[w,] - d) / n if one[w,] else d * v / n
+        shorter = probability(context[1:], w)
+        c = len(learn) if context == ("<s>",) else grams[len(context)][context]
+        if not c:
+            return shorter
+        share = 0.3 + 0.7 * 4 / (4 + c)
+        return (1 - share) * grams[len(context) + 1][*context, w] / c + share * shorter
+
+    out = {}
     for i, s in seqs.items():
-        base = sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s)
-        score, before = 0.0, "<s>"
-        for w in s:
-            p = (one[w] - d) / n if one[w] else d * v / n
-            c = len(learn) if before == "<s>" else one[before]
-            if c:
-                share = 0.3 + 0.7 * 4 / (4 + c)
-                p = (1 - share) * two[before, w] / c + share * p
-            score += math.log10(p)
-            before = w
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(s), sum(one[w] > 0 for w in s), n)
-        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
-
-
-def test_a_longer_order_and_no_training(make, corpus):
+        padded = ["<s>", *s]
+        base = sum(math.log10((one[w,] + 0.1) / (n + 0.1 * (v + 1))) for w in s)
+        score = sum(math.log10(probability(tuple(padded[max(0, at - order + 1) : at]), padded[at])) for at in range(1, len(padded)))
+        out[i] = (len(s), sum(one[w,] > 0 for w in s), n, base, score)
+    return out
+
+
+@pytest.mark.parametrize(("order", "lane"), [(1, 512), (2, 512), (2, 7), (3, 512), (3, 5), (4, 512)])
+def test_scores(make, corpus, monkeypatch, order, lane):
+    monkeypatch.setattr(lm, "LANE", lane)
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    rows = [(i, t) for i, t in corpus if t is None or len(t) < 20_000] if order > 2 else corpus
+    got = {r["doc_id"]: tuple(r)[1:] for r in score_texts(make(rows), train, order=order).collect()}
+    learn = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10}
+    want = plain_scores({i: [*tokens(t), None] for i, t in rows}, learn, order)
+    assert {i: r[:3] for i, r in got.items()} == {i: r[:3] for i, r in want.items()}
+    assert {i: r[3:] for i, r in got.items()} == {i: pytest.approx(r[3:]) for i, r in want.items()}
+
+
+def test_states_and_arcs(make):
+    """Two texts, a bigram model: what the automaton is made of, and the way of a word it has not seen."""
+    seq, bounds = lm._sequence(pa.array(["a b a", "a c"]))
+    counts = {k: np.unique(g, return_counts=True)[1] for k, g in enumerate(lm._grams(seq, bounds, 2), 1)}
+    model = lm.BackoffAutomaton(seq, bounds, 2, counts, lm.Totals(7, 4, 2, 1, 2))
+    # The empty context, the begin, and one state per word; an arc for every word, and for each pair that was seen.
+    assert len(model.failure) == 2 + 4 and (model.failure == 0).all() and model.paid[0] == 0 and (model.paid[1:] < 0).all()
+    assert len(model.arc) == 4 + 6 and (np.diff(model.arc) > 0).all()
+    assert (model.target[model.arc // model.words == 0] > 0).all()
+    a, b = model.word[0], model.word[1]
+    state = {w: int(model.entered[list(model.word).index(w)]) for w in (a, b)}
+    assert state[b] * model.words + b not in model.arc and state[a] * model.words + b in model.arc
+
+
+def test_no_training(make, corpus):
     few = corpus[:20]
-    longer = {r["doc_id"]: r["score"] for r in score_texts(make(few), F.lit(True), order=3).collect()}
-    assert all(math.isfinite(s) and s < 0 for s in longer.values())
     assert {r["score"] for r in score_texts(make(few), F.lit(False)).collect()} == {0.0}
+    assert {r["score"] for r in score_texts(make(few), F.lit(False), order=3).collect()} == {0.0}
     assert score_texts(make([]), F.lit(True)).collect() == []
 
 
