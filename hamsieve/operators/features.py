@@ -7,9 +7,13 @@ that is in every mail costs one partial row per task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import (
     CountVectorizer,
     CountVectorizerModel,
@@ -69,18 +73,96 @@ def term_stats(df: DataFrame, term_col: str = "terms") -> DataFrame:
     )
 
 
+#: Terms from which a first pass finds those that only one mail has; buckets per term of its table, and their number at most
+#: (two bits each: 256 MB).
+FILTER_TERMS = 20_000_000
+_BUCKETS_PER_TERM = 4
+_MOST_BITS = 30
+#: Tables are merged so many at a time, in slices of so many buckets.
+_FAN = 64
+_SLICE_BITS = 20
+
+
+def _pack(once: np.ndarray, twice: np.ndarray, part: int) -> pd.DataFrame:
+    n = max(1, len(once) >> _SLICE_BITS)
+    packed = [[np.packbits(x).tobytes() for x in np.split(bits, n)] for bits in (once, twice)]
+    return pd.DataFrame({"slice": range(n), "part": part, "once": packed[0], "twice": packed[1]})
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    once = twice = None
+    for a, b in zip(pdf["once"], pdf["twice"], strict=True):
+        o, t = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+        once, twice = (o, t) if once is None else (once | o, twice | t | (once & o))
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "part": pdf["part"].iloc[:1], "once": [once.tobytes()], "twice": [twice.tobytes()]})
+
+
+def seen_twice(df: DataFrame, term_col: str, bits: int) -> np.ndarray:
+    """A bit per bucket of terms: may a term in it be in two mails or more? (Never no, if one is.)
+
+    Each task marks what it has seen once and twice; tables are merged a few at a time, in rounds, and
+    slices of fixed size reach the driver.
+    """
+    schema = "slice int, part int, once binary, twice binary"
+    mask = (1 << bits) - 1
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        for pdf in batches:
+            if len(pdf):
+                at, n = np.unique(np.concatenate(pdf["h"].to_list()).astype(np.int64) & mask, return_counts=True)
+                twice[at] |= once[at] | (n > 1)
+                once[at] = True
+        if once.any():
+            yield _pack(once, twice, TaskContext.get().partitionId())
+
+    hashes = F.transform(F.array_distinct(F.col(term_col)), lambda t: F.xxhash64(t))
+    parts = materialize(df.select(hashes.alias("h")).mapInPandas(scan, schema), "seen")
+    left = (parts.agg(F.max("part").alias("n")).first()["n"] or 0) + 1
+    while left > 1:
+        parts = parts.withColumn("part", F.floor(F.col("part") / _FAN).cast("int")).groupBy("slice", "part").applyInPandas(_merge, schema)
+        left = -(-left // _FAN)
+    out = np.zeros(1 << bits, bool).reshape(max(1, (1 << bits) >> _SLICE_BITS), -1)
+    for r in parts.select("slice", "twice").toLocalIterator():
+        out[r["slice"]] = np.unpackbits(np.frombuffer(r["twice"], np.uint8)).astype(bool)
+    return np.packbits(out)
+
+
+def without_single(df: DataFrame, term_col: str, bits: int) -> DataFrame:
+    """``df`` whose mails have lost (nearly) all terms that no other mail has; all others stay."""
+    shared = df.sparkSession.sparkContext.broadcast(seen_twice(df, term_col, bits))
+    mask = (1 << bits) - 1
+
+    @F.arrow_udf("array<boolean>")
+    def again(hashes: pa.Array) -> pa.Array:
+        at = hashes.flatten().to_numpy(zero_copy_only=False) & mask
+        known = (shared.value[at >> 3] >> (7 - (at & 7))) & 1
+        bounds = np.concatenate([[0], np.cumsum(hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(known.astype(bool)))
+
+    kept = again(F.transform(term_col, lambda t: F.xxhash64(t)))
+    pairs = F.filter(F.arrays_zip(F.col(term_col).alias("t"), kept.alias("k")), lambda x: x["k"])
+    return df.withColumn(term_col, F.transform(pairs, lambda x: x["t"]))
+
+
 def fit_vocabulary(
     df: DataFrame,
     term_col: str = "terms",
     max_features: int | None = fixed.MAX_FEATURES,
     min_df: int = fixed.MIN_DF,
     max_df: float = fixed.MAX_DF,
+    filter_terms: int = FILTER_TERMS,
 ) -> DataFrame:
     """``term, df, total, idf``: terms by document frequency, then the most frequent; ties by term.
 
-    ``df`` is read twice (once for its row count): pass a stored table.
+    ``df`` is read twice (once for its row count): pass a stored table. From ``filter_terms`` terms on it is read
+    once more, to find the terms of a single mail (most bigrams are), which then are not shuffled; what
+    the vocabulary is doesn't depend on it.
     """
-    n = df.select(F.count(F.lit(1)).cast("double")).scalar()
+    counted = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(term_col)), F.lit(0)).alias("terms")).first()
+    n = F.lit(float(counted["n"]))
+    if min_df >= 2 and counted["terms"] >= max(filter_terms, 1):
+        df = without_single(df, term_col, min(_MOST_BITS, max(_SLICE_BITS, (_BUCKETS_PER_TERM * counted["terms"]).bit_length())))
     vocab = (
         term_stats(df, term_col)
         .where((F.col("df") >= min_df) & (F.col("df") <= n * F.lit(max_df)))

@@ -628,6 +628,13 @@ def vocab(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def vocab_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary of all mails, with the terms of single mails left out before they are shuffled."""
+    every = with_terms(labelled_split(spark, d, english_mails(spark, d)))
+    return V.fit_vocabulary(every, filter_terms=1).select("term", F.col("df"), F.col("total"), r6("idf").alias("idf"))
+
+
 @query
 def tf(spark: SparkSession, d: str) -> DataFrame:
     """Raw counts per mail; the tokens of a mail meet in one task before they shuffle."""

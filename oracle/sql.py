@@ -569,6 +569,8 @@ FROM (SELECT id, {tokens("subject || ' ' || body")} AS t FROM mails)""",
   FROM (SELECT id, {tokens("subject || ' ' || body")} AS t FROM mails))""",
     "vocab": with_(*CORPUS, TERMS, VOCAB)
     + "SELECT term, df, total, round(idf, 6) AS idf FROM vocab",
+    "vocab_filtered": with_(*CORPUS, TERMS, VOCAB.replace(" WHERE split = 'train'", ""))
+    + "SELECT term, df, total, round(idf, 6) AS idf FROM vocab",
     "tf": with_(*KEPT, "corpus AS (SELECT *, 0 AS label, 'all' AS split FROM kept)", TERMS) + "SELECT id, term, tf FROM tf",
     "tfidf": with_(*CORPUS, TERMS, VOCAB, TFIDF)
     + "SELECT id, term, round(weight, 6) AS weight FROM tfidf WHERE split = 'train'",
