@@ -116,8 +116,8 @@ def seen_twice(df: DataFrame, term_col: str, bits: int) -> np.ndarray:
         if once.any():
             yield _pack(once, twice, TaskContext.get().partitionId())
 
-    hashes = F.transform(F.array_distinct(F.col(term_col)), lambda t: F.xxhash64(t))
-    parts = materialize(df.select(hashes.alias("h")).mapInPandas(scan, schema), "seen")
+    hashes = F.transform(F.array_distinct(F.col(term_col)), lambda t: F.xxhash64(t)).alias("h")
+    parts = materialize(df.where(F.col(term_col).isNotNull()).select(hashes).mapInPandas(scan, schema), "seen")
     left = (parts.agg(F.max("part").alias("n")).first()["n"] or 0) + 1
     while left > 1:
         parts = parts.withColumn("part", F.floor(F.col("part") / _FAN).cast("int")).groupBy("slice", "part").applyInPandas(_merge, schema)
