@@ -778,7 +778,7 @@ def lr_score(spark: SparkSession, d: str) -> DataFrame:
     data = corpus(spark, d)
     fitted = fit_baselines(part(data, "train"), ("logistic_regression",))
     scored = fitted.models["logistic_regression"].score(fitted.features(part(data, "test")))
-    return scored.select("id", "label", "spam_prob", L.predicted_class().alias("pred"))
+    return scored.select("id", "label", F.round("spam_prob", 3).alias("spam_prob"), L.predicted_class().alias("pred"))
 
 
 @query
@@ -797,7 +797,8 @@ def model_compare(spark: SparkSession, d: str) -> DataFrame:
     areas = [
         M.roc_auc(scored.where(F.col("model") == name)).withColumn("model", F.lit(name)) for name in fitted.models
     ]
-    return M.binary_metrics(scored, "model").join(C.union_corpora(*areas), "model")
+    both = M.binary_metrics(scored, "model").join(C.union_corpora(*areas), "model")
+    return _metrics6(both, "model", r6("auc").alias("auc"))
 
 
 @query
