@@ -71,3 +71,25 @@ def test_rows_without_an_id(spark, make):
     assert got == Counter({(None, -1): 1, (-1, -1): 2, (4, -1): 1, (None, None): 3})
     kept = Counter((r["doc_id"], r["text"]) for r in first_of_groups(docs).collect())
     assert kept == Counter([(-1, a), (None, b), (-1, "x y z"), (None, None)])
+
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.mark.parametrize("rows", [[], "odd"])
+def test_pipeline_on_nothing_and_on_rows_without_ids(spark, sf, make, corpus, rows):
+    """Every stage runs on an empty table, and on rows whose columns are null, each for itself."""
+    import corpus_pipeline
+
+    if rows == "odd":
+        prose = [(i, t) for i, t in corpus if t and len(t) < 2000]
+        rows = prose + [(None, prose[0][1] + " and one more"), (None, None), (None, ""), (prose[1][0], prose[2][1] + " other end")]
+    docs = make(rows).select(*COLUMNS).withColumns({c: F.when(F.col("doc_id").isNotNull(), F.col(c)) for c in ("lang", "source", "n_chars")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        n = out.count()
+        assert (n == 0) == (not rows) or name in ("quality", "mixing"), name
+        if name != "sharding":
+            assert out.columns == COLUMNS
+            kept = Counter((r["doc_id"], r["text"]) for r in out.collect())
+            assert not kept - Counter((r["doc_id"], r["text"]) for r in docs.collect())
