@@ -15,9 +15,9 @@ near it is looked at again. (A cover by position would have every suffix of the
    marks the strings that begin in a document with a larger id than the smallest.
 4. Each block takes back the marks and removes what the marked strings cover.
 
-The strings are compared up to the wanted length, so names never have to be refined by recursion. All
-stretches around one name meet at one owner: a template with a changing field, met in a large share of
-all documents, is not split further.
+The strings are compared up to the wanted length, so names never have to be refined by recursion. Around
+a name that is met very often (a template with a changing field, in a large share of all documents) each
+string goes by itself, to an owner that its own bytes choose.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from hamsieve.llm.kernels import mix, power_table, text_bytes
 GRAM = 16
 #: Bytes that are hashed at once: small enough for the arrays to stay in a core's cache.
 PIECE = 1 << 16
+#: Occurrences of a name from which its strings go to owners of their own, not all to the name's.
+HOT = 100_000
 #: Owners per block in step 3, whose suffixes take ten times their bytes while they are sorted.
 OWNERS_PER_BLOCK = 4
 
@@ -169,6 +171,21 @@ def _stretch_hash(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.n
     return mix((sums[first + size] - sums[first]) * inverse[first] + size.astype(np.uint64))
 
 
+def _singly(
+    name: np.ndarray, first: np.ndarray, last: np.ndarray, hot: np.ndarray, data: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of hot names as single strings, each named by its own bytes: they spread over all owners, and equal ones still meet."""
+    at = np.minimum(np.searchsorted(hot, name), len(hot) - 1)
+    split = hot[at] == name
+    if not split.any():
+        return name, first, last
+    n = (last - first + 1)[split]
+    place = np.repeat(first[split], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    own = _stretch_hash(data, place, np.full(len(place), length))
+    whole = ~split
+    return np.concatenate([name[whole], own]), np.concatenate([first[whole], place]), np.concatenate([last[whole], place])
+
+
 class _Stretches:
     """Repeated samples of a block: each occurrence, and the distinct stretches of bytes they have.
 
@@ -176,10 +193,11 @@ class _Stretches:
     what the block holds alone, not on the order of its rows, so that it can be worked out again.
     """
 
-    def __init__(self, table: pa.Table, id_col: str, replies: pa.Table, length: int):
+    def __init__(self, table: pa.Table, id_col: str, replies: pa.Table, length: int, hot_from: int):
         sampled = _sampled(table, length)
         names, _ = _names(sampled)[1]
-        repeated = names[told(replies)[1] > 1] if len(names) else names
+        times = told(replies)[1] if len(names) else np.zeros(0, np.uint32)
+        repeated, hot = names[times > 1], names[times > hot_from]
         ids = table.column(id_col).to_numpy()
         cols: dict[str, list[np.ndarray]] = {c: [] for c in ("name", "hash", "row", "start", "count")}
         bodies: list[np.ndarray] = []
@@ -189,6 +207,8 @@ class _Stretches:
             name, first, last = _runs(s, repeated, length)
             if not len(name):
                 continue
+            if len(hot):
+                name, first, last = _singly(name, first, last, hot, data, length)
             text = np.searchsorted(bounds, first, "right") - 1
             count = last - first + 1
             cols["name"].append(name)
@@ -266,7 +286,7 @@ def _marks(ids: np.ndarray, counts: np.ndarray, body: np.ndarray, length: int) -
 
 
 def remove_repeats(
-    df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES
+    df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot: int = HOT
 ) -> DataFrame:
     """Per row of ``df``: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
@@ -286,7 +306,7 @@ def remove_repeats(
     counted = answer_sums(ask(blocked, lambda table: _names(_sampled(table, length)), blocks))
 
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
-        s = _Stretches(table, id_col, replies, length)
+        s = _Stretches(table, id_col, replies, length, hot)
         own = owners_of(s.name, owners).astype(np.int64)
         cuts = np.flatnonzero(np.diff(own)) + 1
         body, size = s.body(), s.count + length - 1
@@ -321,7 +341,7 @@ def remove_repeats(
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         kinds = np.asarray(replies.column("kind"))
-        s = _Stretches(table, id_col, replies.filter(pa.array(kinds == 1)), length)
+        s = _Stretches(table, id_col, replies.filter(pa.array(kinds == 1)), length, hot)
         own = owners_of(s.name, owners).astype(np.int64)
         bits = np.zeros(int(s.count.sum()), bool)
         begin = np.cumsum(s.count) - s.count

@@ -196,9 +196,9 @@ def test_no_training(make, corpus):
     assert score_texts(make([]), F.lit(True)).collect() == []
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 20_000])
-def test_repeats(make, corpus, block_bytes):
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.remove_repeats(make(corpus), block_bytes=block_bytes).collect()}
+@pytest.mark.parametrize(("block_bytes", "hot"), [(1 << 20, suffixes.HOT), (20_000, suffixes.HOT), (20_000, 3), (1 << 20, 1)])
+def test_repeats(make, corpus, block_bytes, hot):
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.remove_repeats(make(corpus), block_bytes=block_bytes, hot=hot).collect()}
     data = {i: (t or "").encode() for i, t in corpus}
     first = {}
     for i in sorted(data):
