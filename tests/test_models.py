@@ -345,3 +345,38 @@ def test_empty_vector(spark):
     m = L.LinearModel(0.0, (1.0, 2.0))
     df = spark.createDataFrame([(Vectors.sparse(2, [], []),)], ["features"])
     assert m.score(df).first()["spam_prob"] == 0.5
+
+
+def test_dense_head_is_at_its_optimum(spark, sf):
+    """The softmax head's gradient, worked out from its weights over all rows, is zero."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding", "label")
+    model = L.fit_dense_head(rows, reg=0.05)
+    data = rows.collect()
+    x, y = np.array([r["embedding"] for r in data], float), np.array([r["label"] for r in data])
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    z = x @ w.T + b
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    rest = p - np.eye(len(b))[y]
+    assert np.abs(rest.T @ x / len(x) + 0.05 * w).max() < 1e-4 and np.abs(rest.mean(0)).max() < 1e-4
+    scored = L.dense_logits(rows, model).select("embedding", "logits", L.argmax(F.col("logits")).alias("top"), L.softmax(F.col("logits")).alias("p")).collect()
+    found = {tuple(r["embedding"]): r for r in scored}
+    for k in range(0, len(x), 50):
+        r = found[tuple(data[k]["embedding"])]
+        assert np.allclose(r["logits"], z[k]) and r["top"] == int(z[k].argmax()) and np.allclose(r["p"], p[k])
+
+
+def test_logistic_weights_equal_newton_steps(spark, train, fitted):
+    """Weights of the fit against plain Newton steps on the same vectors."""
+    tfidf = fitted.tfidf
+    rows = fitted.features(train).collect()
+    x, y = np.array([r["features"].toArray() for r in rows]), np.array([r["label"] for r in rows], float)
+    model = L.fit_logistic(fitted.features(train), len(tfidf.vocabulary))
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    full, penalty = np.hstack([x, np.ones((len(x), 1))]), np.append(np.ones(x.shape[1]), 0.0)
+    w = np.zeros(full.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-full @ w))
+        slope = full.T @ (weight * (p - y)) + penalty * w
+        w -= np.linalg.solve(full.T @ (full * (weight * p * (1 - p))[:, None]) + np.diag(penalty), slope)
+    assert np.allclose(model.weights, w[:-1], atol=2e-3) and model.intercept == pytest.approx(w[-1], abs=2e-3)
