@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a block. A block is one task's memory: its arrays take some 20 times as much. Each block
 #: asks each owner in one row, so a larger corpus wants larger blocks: at 100 TB some 1 GB, for 100,000 blocks.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 
 _ASK = "block int, owner int, kind int, keys binary, counts binary"
 _ANSWER = "block int, owner int, kind int, counts binary, more binary"
