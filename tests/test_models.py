@@ -13,7 +13,7 @@ from hamsieve.operators import models as L
 from hamsieve.plans.flows import Baselines, fit_baselines
 from hamsieve.sources import artifacts
 from hamsieve.sources.artifacts import read_predictions
-from hamsieve.sources.scratch import scratch_path
+from hamsieve.sources.scratch import materialize, scratch_path
 from hamsieve.streaming.scoring import mail_stream, score_stream
 
 TEXTS = [
@@ -289,6 +289,31 @@ def test_samples_are_scored_in_parts(spark, fitted, monkeypatch):
     assert np.allclose(scorer.score_neighbours(mail), whole)
 
 
+def test_scores_do_not_depend_on_how_pairs_are_found(spark, fitted, monkeypatch):
+    text = "Free free money, FREE money for the friday meeting notes: win now notes friday meeting " * 5
+    (mail,) = rows_of(spark.createDataFrame([(1, text)], "id long, text string"), num_samples=80)
+    scorer = fitted.neighbours().get()
+    by_table = scorer.score_neighbours(mail)
+    monkeypatch.setattr(L, "_TABLE", 0)
+    assert np.allclose(scorer.score_neighbours(mail), by_table) and len(set(by_table)) > 20
+
+
+def test_mails_to_explain_are_dealt_evenly_to_tasks(spark):
+    # One file of one row group is one task's work, however many cores there are.
+    df = materialize(spark.range(1000).selectExpr("id", "concat('win ', id) AS text").coalesce(1), "t-one-file")
+    assert df.rdd.getNumPartitions() == 1
+    sizes = [len(p) for p in X.dealt(df, 100).rdd.glom().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 150 and sum(sizes) == 1000
+    assert X.dealt(df.where("id < 0")).count() == 0
+
+
+def test_places_of_words_are_looked_up_not_searched_for_in_columns(spark):
+    df = spark.createDataFrame([(1, ODD_TEXT)], "id long, text string")
+    assert "array_position" not in X.neighbourhoods(df)._jdf.queryExecution().executedPlan().toString()
+    (mail,) = rows_of(df, num_samples=5)
+    assert [mail.words[k] for k in mail.order] == [p for p in mail.pieces if p in mail.words] and len(mail.order) > 12
+
+
 def test_an_outside_model_explains_and_is_loaded_once_per_worker(spark, tmp_path):
     path = str(tmp_path / "loads")
 
