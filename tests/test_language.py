@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,30 @@ def test_terms_of_single_mails_are_found(spark, monkeypatch, fan, bits):
     assert singles < 5 < sum(n == 1 for n in held.values())
     plainly = {tuple(row) for row in V.fit_vocabulary(df.where("terms IS NOT NULL"), filter_terms=10**9).collect()}
     assert {tuple(row) for row in V.fit_vocabulary(df.where("terms IS NOT NULL"), filter_terms=1).collect()} == plainly
+
+
+def test_buckets_are_marked_in_tables_of_one_bit_each():
+    r = np.random.default_rng(3)
+    once, twice, seen = np.zeros(1 << 5, np.uint8), np.zeros(1 << 5, np.uint8), Counter()
+    for size in (0, 1, 40, 60):
+        at = r.integers(0, 1 << 8, size)
+        V._mark(once, twice, at)
+        seen.update(at.tolist())
+        for table, least in ((once, 1), (twice, 2)):
+            assert np.unpackbits(table).tolist() == [int(seen[k] >= least) for k in range(1 << 8)]
+    # Both tables of a worker, whatever the number of terms.
+    assert 2 * (1 << V._MOST_BITS) // 8 <= 64 << 20
+
+
+def test_texts_of_a_batch_are_taken_out_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(language, "_ROWS", 4)
+    taken = []
+
+    class Column:
+        def take(self, rows):
+            taken.append(len(rows))
+            return pa.array([f"text {k}" for k in rows.to_pylist()])
+
+    texts = language._texts(Column(), pa.array(range(1, 11)))
+    assert next(texts) == "text 1" and taken == [4]
+    assert list(texts) == [f"text {k}" for k in range(2, 11)] and taken == [4, 4, 2]
