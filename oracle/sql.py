@@ -396,7 +396,13 @@ STOPS = ", ".join(q(w) for w in STOP_WORDS)
 LIME_N = 1000
 
 
-def masks(source: str) -> str:
+#: The order in which a sample removes words: by their numbers times its factor, or by a hash of its own per word.
+NUMBER_TIMES_FACTOR = """
+      (('0x' || substr(md5('42:' || id || ':' || word), 1, 8))::BIGINT % 2147483648 * factor) % 2147483648, word"""
+OWN_HASH = " md5('42:' || id || ':' || sample || ':' || word)"
+
+
+def masks(source: str, order: str = NUMBER_TIMES_FACTOR) -> str:
     """One row per text, sample and distinct word: does the word stay?"""
     return f"""lime_words AS (
   SELECT id, list_distinct(regexp_extract_all(text, '[{WORD}]+')) AS words FROM {source}),
@@ -406,8 +412,7 @@ lime_samples AS (
   FROM lime_words, (SELECT unnest(range({LIME_N})) AS s) WHERE len(words) > 0),
 masks AS (
   SELECT id, sample, word, total,
-    row_number() OVER (PARTITION BY id, sample ORDER BY
-      (('0x' || substr(md5('42:' || id || ':' || word), 1, 8))::BIGINT % 2147483648 * factor) % 2147483648, word) > k AS stays
+    row_number() OVER (PARTITION BY id, sample ORDER BY{order}) > k AS stays
   FROM (SELECT id, sample, total, k, unnest(words) AS word,
     2 * (('0x' || substr(md5('42:' || id || ':' || sample), 9, 7))::BIGINT) + 1 AS factor FROM lime_samples))"""
 
@@ -716,7 +721,7 @@ WHERE s.stop_epoch IS NULL OR l.epoch <= s.stop_epoch GROUP BY l.run_id""",
     (SELECT unnest(range({LIME_N})) AS s) WHERE total > 0)""")
     + """SELECT id, CAST(sample AS INTEGER) AS sample, CAST(kept AS INTEGER) AS kept, CAST(total AS INTEGER) AS total,
   round(sqrt(exp(-pow(100 * (1 - sqrt(CAST(kept AS DOUBLE) / total)), 2) / 625)), 6) AS weight FROM removals""",
-    "lime_masks": with_("items AS (SELECT item_id AS id, text FROM benchmark)", masks("items"))
+    "lime_masks": with_("items AS (SELECT item_id AS id, text FROM benchmark)", masks("items", OWN_HASH))
     + "SELECT id, word, count(*) FILTER (stays) AS kept FROM masks GROUP BY ALL",
     "lime_scores": with_(
         *MODEL,

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 
@@ -314,6 +315,16 @@ def test_places_of_words_are_looked_up_not_searched_for_in_columns(spark):
     assert [mail.words[k] for k in mail.order] == [p for p in mail.pieces if p in mail.words] and len(mail.order) > 12
 
 
+def test_masks_of_samples_with_an_order_of_their_own(spark):
+    text = "w0 w1 w2 w3 w4 w5 w6 w7, w8 w9"
+    df = spark.createDataFrame([(1, text), (2, "one"), (3, " ")], "id long, text string")
+    rows = X.lime_masks(df, num_samples=300, own_order=True).collect()
+    assert len(rows) == 600
+    for r in rows:
+        order = sorted(range(len(r["vocab"])), key=lambda k: hashlib.md5(f"42:{r['id']}:{r['sample']}:{r['vocab'][k]}".encode()).hexdigest())
+        assert {k for k, stays in enumerate(r["mask"]) if not stays} == set(order[: r["removed"]])
+
+
 def test_an_outside_model_explains_and_is_loaded_once_per_worker(spark, tmp_path):
     path = str(tmp_path / "loads")
 
