@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import re
 
@@ -315,6 +316,58 @@ def test_places_of_words_are_looked_up_not_searched_for_in_columns(spark):
     assert [mail.words[k] for k in mail.order] == [p for p in mail.pieces if p in mail.words] and len(mail.order) > 12
 
 
+def test_words_and_samples_are_hashed_in_tasks_as_in_columns(spark):
+    text = "one İstanbul\u0301 漢字 two " + "w" * 60 + " " + "é" * 30 + " " + " ".join(f"v{k}" for k in range(40))
+    rows = [("7", text), (None, text), ("x" * 54, text), ("x" * 80, "one two"), ("é:", "b " + "a" * 48)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    mails = X.neighbourhoods(df, num_samples=1200)
+    # A thousand hashes per mail, worked out one by one in the columns, took longer than cutting the mail.
+    assert "md5" not in mails._jdf.queryExecution().executedPlan().toString()
+    i = F.col("id")
+    draws = F.transform(F.sequence(F.lit(0), F.lit(1199)), lambda s: X.sample_draw(i, s, 42))
+    want = mails.select(X.word_keys(F.col("vocab"), i, 42).alias("keys"), draws.alias("draws")).collect()
+    (batch,) = mails.toArrow().combine_chunks().to_batches()
+    got = X.keys_and_draws(batch["head"].to_pylist(), batch["vocab"], 1200)
+    for r, (keys, first, factor) in zip(want, got, strict=True):
+        assert keys.tolist() == r["keys"]
+        assert first.tolist() == [d >> 28 for d in r["draws"]]
+        assert factor.tolist() == [(d & (2**28 - 1)) * 2 + 1 for d in r["draws"]]
+
+
+def test_words_of_one_number_are_removed_in_the_order_of_their_letters(spark):
+    seen = {}
+    for k in itertools.count():
+        number = int(hashlib.md5(f"42:1:w{k}".encode()).hexdigest()[:8], 16) % 2**31
+        if number in seen:
+            break
+        seen[number] = f"w{k}"
+    text = f"w{k} and {seen[number]} of one number"
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    (mail,) = rows_of(df, num_samples=200)
+    want = sorted(X.lime_masks(df, num_samples=200).collect(), key=lambda r: r["sample"])
+    assert [r["mask"] for r in want] == mail.masks.tolist()
+    assert mail.masks.sum(1).tolist() == (len(mail.words) - mail.removed).tolist()
+    assert (mail.masks[:, 0] != mail.masks[:, 2]).any()
+
+
+def test_what_samples_have_in_common_is_counted_exactly():
+    rng = np.random.default_rng(2)
+    x, y, w = rng.integers(0, 2, (60, 2500)).astype(bool), rng.normal(size=60), rng.uniform(3e-4, 1, 60)
+    assert np.allclose(X._ridge(x, y, w, 0.01), X._ridge(x.astype(float), y, w, 0.01), rtol=0, atol=1e-12)
+    xc, yc = x - (w @ x) / w.sum(), y - (w @ y) / w.sum()
+    got = X._ridge(x, y, w, 0.01)
+    assert np.allclose(xc.T @ (w * (yc - xc @ got)), 0.01 * got, atol=1e-12)
+
+
+def test_tokens_of_words_are_those_of_each_word(spark):
+    text = "ΟΔΟΣ a1 abİcd x ΣΑΣ_ B's ΑΣ win"
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    (mail,) = rows_of(df, num_samples=5)
+    alone = spark.createDataFrame([(k, w) for k, w in enumerate(mail.words)], "k int, w string")
+    assert mail.tokens == [r["t"] for r in alone.select("k", V.tokens(F.col("w")).alias("t")).orderBy("k").collect()]
+    assert len(mail.words) == 9 and [] in mail.tokens and max(map(len, mail.tokens)) == 2
+
+
 def test_masks_of_samples_with_an_order_of_their_own(spark):
     text = "w0 w1 w2 w3 w4 w5 w6 w7, w8 w9"
     df = spark.createDataFrame([(1, text), (2, "one"), (3, " ")], "id long, text string")
